@@ -125,4 +125,148 @@ SELECT bp_category, COUNT(*) AS patients, {R6('AVG(CAST(cardio AS DOUBLE))')} AS
 FROM featured GROUP BY bp_category"""
     q["C9_clean"] = with_(PATIENTS, CLEAN) + "SELECT * FROM clean"
     q["F19_features"] = BASE + "SELECT * FROM featured"
+    q.update(profile_queries())
+    q.update(clean_report_queries())
     return q
+
+
+# ---------------------------------------------------------------- profiling
+
+def _dbl(c):
+    return f"CAST({c} AS DOUBLE)"
+
+
+def _dups_cte(src):
+    cols = ", ".join(RAW_COLS) if src == "patients" else ", ".join(RAW_COLS + ["age_years"])
+    return f"g AS (SELECT COUNT(*) AS c FROM {src} GROUP BY {cols})"
+
+
+DTYPES_RAW = ", ".join(f"{c}:{'double' if c == 'weight' else 'bigint'}" for c in RAW_COLS)
+CLEAN_COLS = RAW_COLS + ["age_years"]
+DIST_COLS = ["cardio", "gender", "cholesterol", "gluc", "smoke", "alco", "active"]
+
+
+def _col_stats(src, cols):
+    parts = []
+    for c in cols:
+        x = _dbl(c)
+        parts.append(f"""SELECT '{c}' AS "column", CAST(COUNT({c}) AS BIGINT) AS "count",
+ {R6(f'AVG({x})')} AS mean, {R6(f'STDDEV_SAMP({x})')} AS std, {R6(f'MIN({x})')} AS "min",
+ {R6(f'quantile_cont({x}, 0.25)')} AS p25, {R6(f'quantile_cont({x}, 0.5)')} AS p50,
+ {R6(f'quantile_cont({x}, 0.75)')} AS p75, {R6(f'MAX({x})')} AS "max",
+ CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS missing_count,
+ {R(f'CAST(COUNT(*) - COUNT({c}) AS DOUBLE) * 100 / COUNT(*)', 2)} AS missing_percent,
+ CAST(COUNT(DISTINCT {c}) AS BIGINT) AS unique_count FROM {src}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _cat_long(src):
+    return "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS \"column\", {_dbl(c)} AS value FROM {src}" for c in CAT)
+
+
+def _cat_values_cte():
+    valid = " OR ".join(
+        f"(\"column\" = '{c}' AND value IN ({', '.join(map(str, v))}))" for c, v in CAT.items())
+    return f"""catlong AS ({_cat_long('patients')}),
+catvals AS (SELECT "column", value, coalesce({valid}, false) AS is_valid, COUNT(*) AS "rows"
+            FROM catlong GROUP BY "column", value),
+catchecks AS (SELECT "column", COUNT(*) FILTER (WHERE value IS NOT NULL) AS n_unique,
+   COUNT(*) FILTER (WHERE NOT is_valid) AS n_invalid, bool_or(value IS NULL) AS has_null
+   FROM catvals GROUP BY "column")"""
+
+
+def _missing_cte(src, cols):
+    parts = [f"""SELECT '{c}' AS "column", {i} AS position,
+ CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS missing_count,
+ {R6(f'CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) * 100 / COUNT(*)')} AS missing_percentage
+ FROM {src}""" for i, c in enumerate(cols)]
+    return "missing AS (" + "\nUNION ALL\n".join(parts) + ")"
+
+
+def profile_queries() -> dict[str, str]:
+    q = {}
+    dup_pct = R6("CAST(SUM(c - 1) AS DOUBLE) * 100 / SUM(c)")
+    q["V1_dataset_info"] = with_(PATIENTS, _dups_cte("patients")) + f"""
+SELECT CAST(SUM(c) AS BIGINT) AS n_rows, 13 AS n_columns,
+ [{', '.join(repr(c) for c in RAW_COLS)}] AS "columns", '{DTYPES_RAW}' AS dtypes,
+ CAST(SUM(c - 1) AS BIGINT) AS duplicates, {dup_pct} AS duplicate_percentage FROM g"""
+    q["V2_missing_values"] = with_(PATIENTS, _missing_cte("patients", RAW_COLS)) + "SELECT * FROM missing"
+    q["V3_duplicates"] = with_(PATIENTS, _dups_cte("patients")) + f"""
+SELECT CAST(SUM(c - 1) AS BIGINT) AS duplicates, CAST(SUM(c) AS BIGINT) AS "rows",
+ {dup_pct} AS duplicate_percentage FROM g"""
+    empty = "\nUNION ALL\n".join(
+        f"SELECT 'empty_column' AS \"check\", '{c}' AS \"column\", 'Empty column: {c}' AS message "
+        f"FROM patients HAVING COUNT({c}) = 0" for c in RAW_COLS)
+    q["V4_V6_schema_errors"] = with_(PATIENTS) + empty
+    q["V7_schema_verdict"] = with_(PATIENTS, f"errs AS ({empty})") + \
+        "SELECT COUNT(*) = 0 AS is_valid, COUNT(*) AS n_errors FROM errs"
+    q["V10_categorical_values"] = with_(PATIENTS, _cat_values_cte()) + "SELECT * FROM catvals"
+    q["V10_categorical_checks"] = with_(PATIENTS, _cat_values_cte()) + \
+        "SELECT *, n_invalid = 0 AS passed FROM catchecks"
+    q["V8_V11_quality_report"] = with_(
+        PATIENTS, _cat_values_cte(), _missing_cte("patients", RAW_COLS), _dups_cte("patients"),
+        f"""checks AS (
+ SELECT 'missing_values' AS "check", CAST(NULL AS VARCHAR) AS "column", MAX(missing_percentage) AS value,
+   MAX(missing_percentage) < 5 AS passed FROM missing
+ UNION ALL
+ SELECT 'duplicates', NULL, {dup_pct}, {dup_pct} < 1 FROM g
+ UNION ALL
+ SELECT 'categorical', "column", CAST(n_invalid AS DOUBLE), n_invalid = 0 FROM catchecks)""") + f"""
+SELECT * FROM checks UNION ALL
+SELECT 'quality_score', NULL, {R('SUM(CAST(passed AS INTEGER)) / 9 * 100', 2)}, CAST(NULL AS BOOLEAN) FROM checks"""
+    q["V12_column_statistics"] = with_(PATIENTS) + _col_stats("patients", RAW_COLS)
+    q["V13_clean_describe"] = with_(PATIENTS, CLEAN) + _col_stats("clean", CLEAN_COLS)
+    q["V14_value_distributions"] = with_(PATIENTS, CLEAN) + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS \"column\", CAST({c} AS BIGINT) AS value, COUNT(*) AS \"count\" "
+        f"FROM clean WHERE {c} IS NOT NULL GROUP BY {c}" for c in DIST_COLS)
+    least_nn = "LEAST(" + ", ".join(f"COUNT({c})" for c in RAW_COLS) + ")"
+    least_d = "LEAST(" + ", ".join(f"COUNT(DISTINCT {c})" for c in RAW_COLS) + ")"
+    least_cat = "LEAST(" + ", ".join(f"COUNT(DISTINCT {c})" for c in CAT) + ")"
+    q["V15_raw_expectations"] = with_(PATIENTS, f"""w AS (SELECT COUNT(*) AS n, {least_nn} AS nn,
+ {least_d} AS d, {least_cat} AS dc FROM patients)""") + """
+SELECT 'row_count_gt_min' AS expectation, CAST(n AS DOUBLE) AS observed, n > 1000 AS passed FROM w
+UNION ALL SELECT 'column_count', CAST(13 AS DOUBLE), true FROM w
+UNION ALL SELECT 'expected_names_present', CAST(0 AS DOUBLE), true FROM w
+UNION ALL SELECT 'no_empty_column', CAST(nn AS DOUBLE), nn > 0 FROM w
+UNION ALL SELECT 'more_than_one_distinct_per_column', CAST(d AS DOUBLE), d > 1 FROM w
+UNION ALL SELECT 'min_unique_categorical', CAST(dc AS DOUBLE), dc >= 2 FROM w"""
+    any_null = " OR ".join(f"{c} IS NULL" for c in CLEAN_COLS)
+    items = [("no_nulls", f"COUNT(*) FILTER (WHERE {any_null})"),
+             ("ap_hi_gt_ap_lo", "COUNT(*) FILTER (WHERE NOT coalesce(ap_hi > ap_lo, false))"),
+             ("age_years_30_80", "COUNT(*) FILTER (WHERE NOT coalesce(age_years BETWEEN 30 AND 80, false))"),
+             ("required_columns", "0 * COUNT(*)")]
+    for c, lo, hi in [("height", 140, 210), ("weight", 40, 200), ("ap_hi", 90, 200), ("ap_lo", 60, 130)]:
+        items.append((f"range_{c}", f"COUNT(*) FILTER (WHERE NOT coalesce({c} BETWEEN {lo} AND {hi}, false))"))
+    for c, v in CAT.items():
+        items.append((f"domain_{c}", f"COUNT(*) FILTER (WHERE NOT coalesce({c} IN ({', '.join(map(str, v))}), false))"))
+    body = "\nUNION ALL\n".join(
+        f"SELECT '{n}' AS expectation, CAST({e} AS BIGINT) AS violations, ({e}) = 0 AS passed FROM clean"
+        for n, e in items)
+    q["V16_cleaned_expectations"] = with_(PATIENTS, CLEAN, _dups_cte("clean")) + body + f"""
+UNION ALL SELECT 'no_duplicates', CAST(SUM(c - 1) AS BIGINT), SUM(c - 1) = 0 FROM g"""
+    return q
+
+
+# ---------------------------------------------------------------- C8 report
+
+def clean_report_queries() -> dict[str, str]:
+    reasons = [f"WHEN NOT {_cat_ok(c)} THEN 'invalid_categorical:{c}'" for c in CAT]
+    reasons += [f"WHEN NOT {_range_ok(c, lo, hi)} THEN 'outlier:{rep}'" for c, lo, hi, rep in RANGES]
+    reasons += ["WHEN NOT coalesce(ap_lo < ap_hi, false) THEN 'outlier:bp_anomalies'"]
+    any_null = " OR ".join(f"{c} IS NULL" for c in CLEAN_COLS)
+    reasons += [f"WHEN {any_null} THEN 'missing:any'"]
+    case = "CASE " + " ".join(reasons) + " END"
+    cte = f"""d AS (SELECT {', '.join(RAW_COLS)}, COUNT(*) AS copies FROM patients GROUP BY ALL),
+t AS (SELECT copies, {case} AS reason FROM (SELECT *, {AGE_YEARS} AS age_years FROM d)),
+pr AS (SELECT reason, SUM(copies) AS r, COUNT(*) AS dn FROM t GROUP BY reason),
+tot AS (SELECT SUM(r) AS initial, SUM(r) - SUM(dn) AS dups,
+        SUM(CASE WHEN reason IS NULL THEN dn ELSE 0 END) AS final FROM pr)"""
+    sql = with_(PATIENTS, cte) + """
+SELECT 'initial_shape' AS step, 'rows' AS rule, CAST(initial AS BIGINT) AS "rows" FROM tot
+UNION ALL SELECT 'duplicates_removed', 'all_columns', CAST(dups AS BIGINT) FROM tot
+UNION ALL SELECT 'final_shape', 'rows', CAST(final AS BIGINT) FROM tot
+UNION ALL SELECT 'removed_rows', 'rows', CAST(initial - final AS BIGINT) FROM tot
+UNION ALL SELECT split_part(reason, ':', 1), split_part(reason, ':', 2), CAST(dn AS BIGINT)
+ FROM pr WHERE reason IS NOT NULL AND dn > 0"""
+    return {"C8_rejection_report": sql}

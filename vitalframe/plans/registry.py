@@ -37,3 +37,80 @@ def q_clean(spark, sf):
 @register("F19_features")
 def q_features(spark, sf):
     return batch.featured(spark, sf)
+
+
+# ------------------------------------------------------------------ profiling
+from vitalframe.operators import profile as prof  # noqa: E402
+
+
+@register("V1_dataset_info")
+def q_v1(spark, sf):
+    return prof.dataset_info(batch.raw_patients(spark, sf))
+
+
+@register("V2_missing_values")
+def q_v2(spark, sf):
+    return prof.missing_values(batch.raw_patients(spark, sf))
+
+
+@register("V3_duplicates")
+def q_v3(spark, sf):
+    return prof.duplicate_stats(batch.raw_patients(spark, sf))
+
+
+@register("V4_V6_schema_errors")
+def q_v4(spark, sf):
+    return prof.schema_errors(batch.raw_patients(spark, sf))
+
+
+@register("V7_schema_verdict")
+def q_v7(spark, sf):
+    return prof.schema_verdict(batch.raw_patients(spark, sf))
+
+
+@register("V8_V11_quality_report")
+def q_v8(spark, sf):
+    return prof.quality_report(batch.raw_patients(spark, sf))
+
+
+@register("V10_categorical_values")
+def q_v10v(spark, sf):
+    return prof.categorical_values(batch.raw_patients(spark, sf))
+
+
+@register("V10_categorical_checks")
+def q_v10(spark, sf):
+    return prof.categorical_checks(batch.raw_patients(spark, sf))
+
+
+@register("V12_column_statistics")
+def q_v12(spark, sf):
+    return prof.column_statistics(batch.raw_patients(spark, sf))
+
+
+@register("V13_clean_describe")
+def q_v13(spark, sf):
+    return prof.column_statistics(batch.cleaned(spark, sf))
+
+
+@register("V14_value_distributions")
+def q_v14(spark, sf):
+    return prof.value_distributions(batch.cleaned(spark, sf))
+
+
+@register("V15_raw_expectations")
+def q_v15(spark, sf):
+    return prof.raw_expectations(batch.raw_patients(spark, sf))
+
+
+@register("V16_cleaned_expectations")
+def q_v16(spark, sf):
+    return prof.cleaned_expectations(batch.cleaned(spark, sf))
+
+
+from vitalframe.operators import clean as cln  # noqa: E402
+
+
+@register("C8_rejection_report")
+def q_c8(spark, sf):
+    return cln.rejection_report(batch.raw_patients(spark, sf))
