@@ -127,6 +127,9 @@ FROM featured GROUP BY bp_category"""
     q["F19_features"] = BASE + "SELECT * FROM featured"
     q.update(profile_queries())
     q.update(clean_report_queries())
+    q.update(split_queries())
+    q.update(eval_queries())
+    q.update(scoring_queries())
     return q
 
 
@@ -270,3 +273,192 @@ UNION ALL SELECT 'removed_rows', 'rows', CAST(initial - final AS BIGINT) FROM to
 UNION ALL SELECT split_part(reason, ':', 1), split_part(reason, ':', 2), CAST(dn AS BIGINT)
  FROM pr WHERE reason IS NOT NULL AND dn > 0"""
     return {"C8_rejection_report": sql}
+
+
+# ---------------------------------------------------------------- splits
+
+def D(x: float) -> str:
+    """A double literal with the exact value of the Python float."""
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+TEST_SIZE, VAL_SIZE = 0.2, 0.15
+T_CUT = TEST_SIZE
+VAL_RATIO = VAL_SIZE / (1 - TEST_SIZE)
+V_CUT = TEST_SIZE + VAL_RATIO * (1 - TEST_SIZE)
+HKEY = "CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || '|42'), 1, 8)) AS BIGINT)"
+HUNIT = f"({HKEY} / CAST(4294967296 AS DOUBLE))"
+SPLIT = (f"CASE WHEN {HUNIT} < {D(T_CUT)} THEN 'test' WHEN {HUNIT} < {D(V_CUT)} "
+         "THEN 'validation' ELSE 'train' END")
+SPLIT_CTE = f"splitted AS (SELECT *, {SPLIT} AS split FROM featured)"
+FEATS20 = ["age_years", "gender", "height", "weight", "ap_hi", "ap_lo", "cholesterol", "gluc",
+           "smoke", "alco", "active", "bmi", "bmi_category", "pulse_pressure",
+           "mean_arterial_pressure", "bp_category", "age_group", "lifestyle_risk_score",
+           "metabolic_risk_score", "combined_risk_score"]
+
+
+def _cnt(src, *keys):
+    k = ", ".join(keys)
+    return f"SELECT {k}, COUNT(*) AS \"rows\" FROM {src} GROUP BY {k}"
+
+
+def split_queries() -> dict[str, str]:
+    q = {}
+    q["P1_split_counts"] = with_(PATIENTS, CLEAN, FEATURED, SPLIT_CTE) + _cnt("splitted", "split", "cardio")
+    ranked = f"""ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cardio ORDER BY {HKEY}, id) - 1 AS rk,
+   COUNT(*) OVER (PARTITION BY cardio) AS n FROM featured),
+ex AS (SELECT *, round_even(n * {D(TEST_SIZE)}, 0) AS n_test FROM ranked),
+ex2 AS (SELECT *, CASE WHEN rk < n_test THEN 'test'
+   WHEN rk < n_test + round_even((n - n_test) * {D(VAL_RATIO)}, 0) THEN 'validation' ELSE 'train' END AS split FROM ex)"""
+    q["P1_exact_split_counts"] = with_(PATIENTS, CLEAN, FEATURED, ranked) + _cnt("ex2", "split", "cardio")
+    q["P2_train_test_counts"] = with_(PATIENTS, CLEAN, FEATURED, f"""tt AS (SELECT *,
+   CASE WHEN {HUNIT} < {D(TEST_SIZE)} THEN 'test' ELSE 'train' END AS split FROM featured)""") + \
+        _cnt("tt", "split", "cardio")
+    q["P3_kfold_counts"] = with_(PATIENTS, CLEAN, FEATURED, f"""kf AS (SELECT *,
+   CAST(floor({HUNIT} * 5) AS INTEGER) AS fold FROM featured)""") + _cnt("kf", "fold", "cardio")
+    q["P3_kfold_exact_counts"] = with_(PATIENTS, CLEAN, FEATURED, f"""kf AS (SELECT *,
+   CAST((ROW_NUMBER() OVER (PARTITION BY cardio ORDER BY {HKEY}, id) - 1) % 5 AS INTEGER) AS fold
+   FROM featured)""") + _cnt("kf", "fold", "cardio")
+    std_stats = ", ".join(
+        f"AVG(CAST({c} AS DOUBLE)) AS m_{c}, coalesce(nullif(STDDEV_POP(CAST({c} AS DOUBLE)), 0), 1) AS s_{c}"
+        for c in FEATS20)
+    q["P4_standard_scaling"] = with_(PATIENTS, CLEAN, FEATURED, SPLIT_CTE,
+                                     f"st AS (SELECT {std_stats} FROM splitted WHERE split = 'train')") + \
+        "SELECT id, " + ", ".join(f"{R6(f'(CAST({c} AS DOUBLE) - m_{c}) / s_{c}')} AS {c}" for c in FEATS20) + \
+        ", cardio FROM splitted, st WHERE split = 'test'"
+    mm_stats = ", ".join(
+        f"MIN(CAST({c} AS DOUBLE)) AS m_{c}, coalesce(nullif(MAX(CAST({c} AS DOUBLE)) - MIN(CAST({c} AS DOUBLE)), 0), 1) AS s_{c}"
+        for c in FEATS20)
+    q["D3_minmax_scaling"] = with_(PATIENTS, CLEAN, FEATURED, SPLIT_CTE,
+                                   f"st AS (SELECT {mm_stats} FROM splitted WHERE split = 'train')") + \
+        "SELECT id, " + ", ".join(f"{R6(f'(CAST({c} AS DOUBLE) - m_{c}) / s_{c}')} AS {c}" for c in FEATS20) + \
+        ", cardio FROM splitted, st WHERE split = 'test'"
+    return q
+
+
+# ---------------------------------------------------------------- evaluation
+
+MODEL_W = [("age_years", 0.05), ("ap_hi", 0.025), ("mean_arterial_pressure", 0.01),
+           ("cholesterol", 0.35), ("gluc", 0.1), ("bmi", 0.03), ("smoke", 0.15),
+           ("alco", 0.1), ("active", -0.25)]
+MODEL_B = -8.0
+
+
+def prob_expr() -> str:
+    z = D(MODEL_B)
+    for c, w in MODEL_W:
+        z = f"({z} + {D(w)} * CAST({c} AS DOUBLE))"
+    return R(f"1 / (1 + exp(-{z}))", 12)
+
+
+SCORED_CTE = f"""scored0 AS (SELECT id, CAST(cardio AS INTEGER) AS label, {prob_expr()} AS probability, split FROM splitted),
+scored AS (SELECT *, CAST(probability > {D(0.5)} AS INTEGER) AS prediction FROM scored0),
+test AS (SELECT * FROM scored WHERE split = 'test')"""
+EVAL_BASE = with_(PATIENTS, CLEAN, FEATURED, SPLIT_CTE, SCORED_CTE)
+
+
+def _ratio(num, den):
+    return f"(CASE WHEN ({den}) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({num} AS DOUBLE) / ({den}) END)"
+
+
+def _cc(src, group=None):
+    g = f"{group}, " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    return f"""SELECT {g}COUNT(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+ COUNT(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+ COUNT(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+ COUNT(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp, COUNT(*) AS n FROM {src}{gb}"""
+
+
+def _metrics_select(tn="tn", fp="fp", fn="fn", tp="tp"):
+    return (f"{R6(_ratio(f'{tp} + {tn}', f'{tn} + {fp} + {fn} + {tp}'))} AS accuracy, "
+            f"{R6(_ratio(tp, f'{tp} + {fp}'))} AS precision, "
+            f"{R6(_ratio(tp, f'{tp} + {fn}'))} AS recall, "
+            f"{R6(_ratio(f'2 * {tp}', f'2 * {tp} + {fp} + {fn}'))} AS f1_score")
+
+
+def _auc_cte(src, group=None, const=True, name="auc"):
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    auc = "u / (p * nn)"
+    if const:
+        auc = f"CASE WHEN d <= 1 THEN CAST(0 AS DOUBLE) ELSE {auc} END"
+    return f"""{name}_g AS (SELECT {g}probability, COUNT(*) FILTER (WHERE label = 1) AS pos,
+   COUNT(*) FILTER (WHERE label = 0) AS neg FROM {src} GROUP BY {g}probability),
+{name}_c AS (SELECT *, coalesce(SUM(neg) OVER ({part}ORDER BY probability ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bn FROM {name}_g),
+{name} AS (SELECT {g}{R6(f"CASE WHEN p = 0 OR nn = 0 THEN NULL ELSE {auc} END")} AS roc_auc FROM
+   (SELECT {g}SUM(pos * (bn + neg / 2)) AS u, SUM(pos) AS p, SUM(neg) AS nn, COUNT(*) AS d FROM {name}_c{gb}))"""
+
+
+def _calib_bins(src):
+    b = " + ".join(f"CAST(probability > {i} * {D(0.1)} AS INTEGER)" for i in range(1, 10))
+    return f"""SELECT {b} AS bin, AVG(probability) AS mean_predicted,
+ AVG(CAST(label AS DOUBLE)) AS observed_rate, COUNT(*) AS "count" FROM {src} GROUP BY 1"""
+
+
+def _report_rows(src, group=None):
+    g = f"{group}, " if group else ""
+    sel = lambda *cols: ", ".join(cols)
+    p0, r0, f0 = _ratio("tn", "tn + fn"), _ratio("tn", "tn + fp"), _ratio("2 * tn", "2 * tn + fn + fp")
+    p1, r1, f1 = _ratio("tp", "tp + fp"), _ratio("tp", "tp + fn"), _ratio("2 * tp", "2 * tp + fp + fn")
+    rows = [
+        ("'0'", p0, r0, f0, "tn + fp"),
+        ("'1'", p1, r1, f1, "tp + fn"),
+        ("'accuracy'", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", _ratio("tp + tn", "n"), "n"),
+        ("'macro avg'", f"({p0} + {p1}) / 2", f"({r0} + {r1}) / 2", f"({f0} + {f1}) / 2", "n"),
+        ("'weighted avg'", _ratio(f"{p0} * (tn + fp) + {p1} * (tp + fn)", "CAST(n AS DOUBLE)"),
+         _ratio(f"{r0} * (tn + fp) + {r1} * (tp + fn)", "CAST(n AS DOUBLE)"),
+         _ratio(f"{f0} * (tn + fp) + {f1} * (tp + fn)", "CAST(n AS DOUBLE)"), "n"),
+    ]
+    return "\nUNION ALL\n".join(
+        f"SELECT {g}{c} AS class, {R6(pp)} AS precision, {R6(rr)} AS recall, {R6(ff)} AS f1_score, "
+        f"CAST({ss} AS BIGINT) AS support FROM ({_cc(src, group)})"
+        for c, pp, rr, ff, ss in rows)
+
+
+def _reliability(src):
+    return f"""rel AS (SELECT {R6(_ratio("COUNT(*) FILTER (WHERE (probability > 0.8 OR probability < 0.2) AND CAST(probability > 0.5 AS INTEGER) = label)", "COUNT(*) FILTER (WHERE probability > 0.8 OR probability < 0.2)"))} AS high_confidence_accuracy,
+   {R6(_ratio("COUNT(*) FILTER (WHERE probability > 0.8 OR probability < 0.2) * 100", "COUNT(*)"))} AS high_confidence_percentage,
+   {R6("AVG(probability)")} AS mean_predicted_probability,
+   {R6("STDDEV_POP(probability)")} AS std_predicted_probability FROM {src}),
+cal AS (SELECT {R6("AVG(abs(observed_rate - mean_predicted))")} AS calibration_error FROM ({_calib_bins(src)}))"""
+
+
+def eval_queries() -> dict[str, str]:
+    q = {}
+    q["E1_E2_E4_metrics_by_split"] = EVAL_BASE.rstrip() + ",\n" + _auc_cte("scored", "split") + f"""
+SELECT c.split, {_metrics_select()}, {R6(_ratio('tn', 'tn + fp'))} AS specificity, a.roc_auc
+FROM ({_cc('scored', 'split')}) c LEFT JOIN auc a ON a.split = c.split"""
+    q["E2_roc_auc_test"] = EVAL_BASE.rstrip() + ",\n" + _auc_cte("test", None, const=False) + "SELECT * FROM auc"
+    q["E3_confusion_matrix_by_split"] = EVAL_BASE + f"""
+SELECT split, 0 AS actual, tn AS predicted_0, fp AS predicted_1 FROM ({_cc('scored', 'split')})
+UNION ALL SELECT split, 1, fn, tp FROM ({_cc('scored', 'split')})"""
+    q["E5_classification_report_test"] = EVAL_BASE + _report_rows("test")
+    q["E6_calibration_bins_test"] = EVAL_BASE + f"""
+SELECT bin, {R6('mean_predicted')} AS mean_predicted, {R6('observed_rate')} AS observed_rate, "count"
+FROM ({_calib_bins('test')})"""
+    q["E6_E8_reliability_test"] = EVAL_BASE.rstrip() + ",\n" + _reliability("test") + "SELECT * FROM rel, cal"
+    sweep = "\nUNION ALL\n".join(
+        f"SELECT {D(t)} AS threshold, " + _metrics_select(
+            f"COUNT(*) FILTER (WHERE probability < {D(t)} AND label = 0)",
+            f"COUNT(*) FILTER (WHERE probability >= {D(t)} AND label = 0)",
+            f"COUNT(*) FILTER (WHERE probability < {D(t)} AND label = 1)",
+            f"COUNT(*) FILTER (WHERE probability >= {D(t)} AND label = 1)") + " FROM test"
+        for t in [0.3, 0.4, 0.5, 0.6, 0.7])
+    q["E9_threshold_sweep_test"] = EVAL_BASE + sweep
+    names = ["accuracy", "precision", "recall", "f1_score", "roc_auc", "specificity", "calibration_error",
+             "high_confidence_accuracy", "high_confidence_percentage", "mean_predicted_probability",
+             "std_predicted_probability"]
+    q["E10_evaluation_bundle_test"] = EVAL_BASE.rstrip() + ",\n" + _auc_cte("test", None, const=False) + ",\n" + \
+        _reliability("test") + f""",
+b AS (SELECT {_metrics_select()}, {R6(_ratio('tn', 'tn + fp'))} AS specificity FROM ({_cc('test')})),
+allm AS (SELECT * FROM b, auc, rel, cal)
+""" + "\nUNION ALL\n".join(f"SELECT '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM allm" for n in names)
+    q["E13_train_validation_report"] = EVAL_BASE.rstrip() + \
+        ",\ntv AS (SELECT * FROM scored WHERE split IN ('train', 'validation'))\n" + _report_rows("tv", "split")
+    return q
+
+
+def scoring_queries() -> dict[str, str]:
+    return {}

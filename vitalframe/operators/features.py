@@ -84,12 +84,15 @@ def select_model_features(df: DataFrame, feature_columns: list[str] | None = Non
     return df.select(*extra, *present, *lab)
 
 
-def serving_features(requests: DataFrame, bp_profile: str = "serve") -> DataFrame:
+def serving_features(requests: DataFrame, bp_profile: str = "serve",
+                     keep: tuple[str, ...] = ()) -> DataFrame:
     """score requests (age in years, gender text) -> the 20 model columns.
 
-    Keeps ``request_id`` (or ``id``) so results can be tied back to requests.
+    Keeps ``request_id`` (or ``id``) and any ``keep`` columns, so results can
+    be tied back to requests without a join.
     """
     keys = [c for c in ("request_id", "id") if c in requests.columns]
+    keys += [c for c in keep if c in requests.columns and c not in keys]
     base = requests.select(
         *keys,
         F.col("age").cast("bigint").alias("age_years"),

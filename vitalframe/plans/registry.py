@@ -114,3 +114,169 @@ from vitalframe.operators import clean as cln  # noqa: E402
 @register("C8_rejection_report")
 def q_c8(spark, sf):
     return cln.rejection_report(batch.raw_patients(spark, sf))
+
+
+# ------------------------------------------------------------------ splits
+from pyspark.sql import functions as F  # noqa: E402
+
+from vitalframe.functions.rounding import r6  # noqa: E402
+from vitalframe.operators import metrics as ev  # noqa: E402
+from vitalframe.operators import score as sc  # noqa: E402
+from vitalframe.operators import split as sp  # noqa: E402
+from vitalframe.schema import MODEL_FEATURES  # noqa: E402
+
+
+def _counts(df, *keys):
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("P1_split_counts")
+def q_p1(spark, sf):
+    return _counts(sp.train_val_test_split(batch.featured(spark, sf)), "split", "cardio")
+
+
+@register("P1_exact_split_counts")
+def q_p1x(spark, sf):
+    return _counts(sp.train_val_test_split_exact(batch.featured(spark, sf)), "split", "cardio")
+
+
+@register("P2_train_test_counts")
+def q_p2(spark, sf):
+    return _counts(sp.train_test_split(batch.featured(spark, sf)), "split", "cardio")
+
+
+@register("P3_kfold_counts")
+def q_p3(spark, sf):
+    return _counts(sp.kfold(batch.featured(spark, sf)), "fold", "cardio")
+
+
+@register("P3_kfold_exact_counts")
+def q_p3x(spark, sf):
+    return _counts(sp.kfold(batch.featured(spark, sf), exact=True), "fold", "cardio")
+
+
+def _scaled(spark, sf, fit):
+    s = sp.train_val_test_split(batch.featured(spark, sf))
+    model = fit(s.where(F.col("split") == "train"), MODEL_FEATURES)
+    out = model.transform(s.where(F.col("split") == "test"), MODEL_FEATURES)
+    return out.select("id", *[r6(F.col(c)).alias(c) for c in MODEL_FEATURES], "cardio")
+
+
+@register("P4_standard_scaling")
+def q_p4(spark, sf):
+    return _scaled(spark, sf, sp.fit_standard_scaler)
+
+
+@register("D3_minmax_scaling")
+def q_d3(spark, sf):
+    return _scaled(spark, sf, sp.fit_minmax_scaler)
+
+
+# ------------------------------------------------------------------ evaluation
+
+def scored_splits(spark, sf):
+    """Fixed linear risk score over the featured table, with the hash split."""
+    s = sp.train_val_test_split(batch.featured(spark, sf))
+    return sc.score_table(s, keep=("split",))
+
+
+def scored_test(spark, sf):
+    return scored_splits(spark, sf).where(F.col("split") == "test").drop("split")
+
+
+@register("E1_E2_E4_metrics_by_split")
+def q_e1(spark, sf):
+    return ev.basic_metrics(scored_splits(spark, sf), ["split"])
+
+
+@register("E2_roc_auc_test")
+def q_e2(spark, sf):
+    return ev.roc_auc(scored_test(spark, sf), constant_score_auc=None)
+
+
+@register("E3_confusion_matrix_by_split")
+def q_e3(spark, sf):
+    return ev.confusion_matrix(scored_splits(spark, sf), ["split"])
+
+
+@register("E5_classification_report_test")
+def q_e5(spark, sf):
+    return ev.classification_report(scored_test(spark, sf))
+
+
+@register("E6_calibration_bins_test")
+def q_e6b(spark, sf):
+    b = ev.calibration_bins(scored_test(spark, sf))
+    return b.select("bin", r6(F.col("mean_predicted")).alias("mean_predicted"),
+                    r6(F.col("observed_rate")).alias("observed_rate"), "count")
+
+
+@register("E6_E8_reliability_test")
+def q_e6(spark, sf):
+    return ev.reliability_metrics(scored_test(spark, sf))
+
+
+@register("E9_threshold_sweep_test")
+def q_e9(spark, sf):
+    return ev.threshold_sweep(scored_test(spark, sf))
+
+
+@register("E10_evaluation_bundle_test")
+def q_e10(spark, sf):
+    return ev.evaluation_bundle(scored_test(spark, sf))
+
+
+@register("E13_train_validation_report")
+def q_e13(spark, sf):
+    s = scored_splits(spark, sf).where(F.col("split").isin("train", "validation"))
+    return ev.classification_report(s, ["split"])
+
+
+# ------------------------------------------------------------------ scoring
+
+def requests(spark, sf):
+    return sc.requests_from_patients(batch.raw_patients(spark, sf))
+
+
+def responses(spark, sf):
+    return sc.score_requests(requests(spark, sf))
+
+
+@register("K1_score_requests")
+def q_k1(spark, sf):
+    r = responses(spark, sf)
+    return r.withColumn("probability", r6(F.col("probability")))
+
+
+@register("K5_prediction_reports_test")
+def q_k5(spark, sf):
+    rep = sc.prediction_reports(scored_test(spark, sf))
+    return rep.select("id", F.col("report").withField("probability", r6(F.col("report.probability")))
+                      .alias("report"))
+
+
+@register("K9_K16_assessment")
+def q_k9(spark, sf):
+    a = sc.assessment(responses(spark, sf))
+    return a.withColumn("probability", r6(F.col("probability")))
+
+
+@register("K10_K12_assessment_v1")
+def q_k10(spark, sf):
+    a = sc.assessment(responses(spark, sf), variant="v1")
+    return a.withColumn("probability", r6(F.col("probability")))
+
+
+@register("K18_what_if")
+def q_k18(spark, sf):
+    return sc.what_if(requests(spark, sf))
+
+
+@register("K19_report_highlights")
+def q_k19(spark, sf):
+    return sc.report_highlights(sc.assessment(responses(spark, sf)))
+
+
+@register("S10_text_report")
+def q_s10(spark, sf):
+    return sc.text_report(responses(spark, sf), generated_at=F.lit("2025-01-01 00:00"))
