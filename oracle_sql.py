@@ -460,5 +460,311 @@ allm AS (SELECT * FROM b, auc, rel, cal)
     return q
 
 
+
+
+# ---------------------------------------------------------------- scoring
+
+def _s(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def LEVEL(p="probability"):
+    return (f"CASE WHEN {p} < {D(0.3)} THEN 'Low' WHEN {p} < {D(0.5)} THEN 'Moderate' "
+            f"WHEN {p} < {D(0.7)} THEN 'High' ELSE 'Very High' END")
+
+
+def _case(key, mapping, default):
+    return f"CASE {key} " + " ".join(f"WHEN {k} THEN {_s(v)}" for k, v in mapping.items()) + \
+        f" ELSE {_s(default)} END"
+
+
+BOUNDS = [("age", 18, 100), ("height", 120, 220), ("weight", 30, 250), ("ap_hi", 60, 250),
+          ("ap_lo", 30, 200), ("cholesterol", 1, 3), ("gluc", 1, 3), ("smoke", 0, 1),
+          ("alco", 0, 1), ("active", 0, 1)]
+
+
+def _serving_ctes(src, keep, name="sv"):
+    k = "".join(f"{c}, " for c in keep)
+    return f"""{name}1 AS (SELECT {k}CAST(age AS BIGINT) AS age_years,
+   CAST(CASE WHEN lower(trim(gender)) IN ('male', 'm') THEN 2 ELSE 1 END AS BIGINT) AS gender,
+   CAST(height AS DOUBLE) AS height, CAST(weight AS DOUBLE) AS weight,
+   CAST(ap_hi AS BIGINT) AS ap_hi, CAST(ap_lo AS BIGINT) AS ap_lo, CAST(cholesterol AS BIGINT) AS cholesterol,
+   CAST(gluc AS BIGINT) AS gluc, CAST(smoke AS BIGINT) AS smoke, CAST(alco AS BIGINT) AS alco,
+   CAST(active AS BIGINT) AS active FROM {src}),
+{name}2 AS (SELECT *, {R('weight / ((height / 100) * (height / 100))', 2)} AS bmi FROM {name}1),
+{name}3 AS (SELECT *, {BMI_CAT} AS bmi_category, CAST(ap_hi - ap_lo AS BIGINT) AS pulse_pressure FROM {name}2),
+{name}4 AS (SELECT *, {R('ap_lo + pulse_pressure / 3', 1)} AS mean_arterial_pressure, {BP_SERVE} AS bp_category,
+   {AGE_GROUP} AS age_group, CAST(smoke + alco + (1 - active) AS BIGINT) AS lifestyle_risk_score,
+   CAST(cholesterol + gluc AS BIGINT) AS metabolic_risk_score FROM {name}3),
+{name} AS (SELECT *, {COMBINED} AS combined_risk_score FROM {name}4)"""
+
+
+def _requests_ctes():
+    rej = ["WHEN gender IS NULL THEN 'missing:gender'"]
+    for c, lo, hi in BOUNDS:
+        rej += [f"WHEN {c} IS NULL THEN 'missing:{c}'", f"WHEN NOT ({c} BETWEEN {lo} AND {hi}) THEN 'out_of_bounds:{c}'"]
+    advice = [
+        f"CASE WHEN bmi >= 25 THEN {_s(ADVICE['bmi_high'])} WHEN bmi < 18.5 THEN {_s(ADVICE['bmi_low'])} END",
+        f"CASE WHEN bp_category >= 2 THEN {_s(ADVICE['bp'])} END",
+        f"CASE WHEN cholesterol > 1 THEN {_s(ADVICE['chol'])} END",
+        f"CASE WHEN gluc > 1 THEN {_s(ADVICE['gluc'])} END",
+        f"CASE WHEN smoke <> 0 THEN {_s(ADVICE['smoke'])} END",
+        f"CASE WHEN alco <> 0 THEN {_s(ADVICE['alco'])} END",
+        f"CASE WHEN active = 0 THEN {_s(ADVICE['inactive'])} END",
+        f"CASE WHEN {LEVEL()} IN ('High', 'Very High') THEN {_s(ADVICE['level_high'])} "
+        f"WHEN {LEVEL()} = 'Moderate' THEN {_s(ADVICE['level_moderate'])} ELSE {_s(ADVICE['level_low'])} END",
+    ]
+    hh = R("100 - combined_risk_score", 1)
+    hs = (f"CASE WHEN {hh} >= 80 THEN 'Excellent' WHEN {hh} >= 60 THEN 'Good' WHEN {hh} >= 40 THEN 'Moderate' "
+          f"WHEN {hh} >= 20 THEN 'Poor' ELSE 'Very Poor' END")
+    ok, gated = "status = 'scored'", "status = 'not_applicable'"
+    return [
+        f"""req AS (SELECT id AS request_id, {AGE_YEARS} AS age,
+   CASE WHEN gender = 2 THEN 'male' ELSE 'female' END AS gender, CAST(height AS DOUBLE) AS height,
+   CAST(weight AS DOUBLE) AS weight, ap_hi, ap_lo, cholesterol, gluc, smoke, alco, active FROM patients)""",
+        f"rq AS (SELECT *, CASE {' '.join(rej)} END AS rejection, height AS req_height, weight AS req_weight FROM req)",
+        _serving_ctes("rq", ["request_id", "rejection", "req_height", "req_weight"]),
+        f"""st AS (SELECT *, CASE WHEN rejection IS NOT NULL THEN 'rejected' WHEN ap_hi < 90 OR ap_lo < 60
+   THEN 'not_applicable' ELSE 'scored' END AS status FROM sv)""",
+        f"pr AS (SELECT *, CASE WHEN status = 'scored' THEN {prob_expr()} END AS probability FROM st)",
+        f"""resp AS (SELECT request_id, status, rejection,
+   CASE WHEN {gated} THEN 'Hypotension (<90/60). Model not trained for low BP.' END AS warning,
+   CASE WHEN {ok} THEN CAST(probability > {D(0.5)} AS INTEGER) END AS prediction, probability,
+   CASE WHEN {ok} THEN {LEVEL()} WHEN {gated} THEN 'Not Applicable' END AS risk_level,
+   CASE WHEN {ok} THEN 'Estimated risk: ' || printf('%.1f', probability * 100) || '% (' || {LEVEL()} || ').'
+        WHEN {gated} THEN 'BP too low for reliable prediction.' END AS summary,
+   CASE WHEN {ok} THEN {{'score': {hh}, 'status': {hs}}} END AS heart_health,
+   CASE WHEN {ok} THEN {_case('bp_category', BP_TEXT, BP_DEFAULT)} END AS bp_interpretation,
+   CASE WHEN {ok} THEN {_case('cholesterol', CHOL_TEXT, CHOL_DEFAULT)} END AS cholesterol_interpretation,
+   CASE WHEN {ok} THEN {_case('gluc', GLUC_TEXT, GLUC_DEFAULT)} END AS glucose_interpretation,
+   CASE WHEN {ok} THEN {{'bmi': bmi, 'bmi_category': bmi_category, 'blood_pressure_category': bp_category,
+        'combined_risk_score': combined_risk_score}} END AS risk_factors,
+   CASE WHEN {ok} THEN list_filter([{', '.join(advice)}], lambda x: x IS NOT NULL) END AS recommendations,
+   age_years AS age, gender, ap_hi, ap_lo, cholesterol, gluc, smoke, alco, active, bmi, bp_category,
+   req_height AS height, req_weight AS weight FROM pr)""",
+    ]
+
+
+def _contrib(pos, sev, factor, desc, modif):
+    rank = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}[sev]
+    m = f", 'modifiability': {_s(modif)}" if modif is not None else ""
+    return (f"{{'rank': {rank}, 'pos': {pos}, 'severity': {_s(sev)}, 'factor': {_s(factor)}, "
+            f"'description': {desc}{m}}}")
+
+
+def _sorted(items, keep):
+    inner = ", ".join(f"'{k}': x.{k}" for k in keep)
+    return (f"list_transform(list_sort(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)), "
+            f"lambda x: {{{inner}}})")
+
+
+def _contributors(v1=False):
+    b, intb = "bmi_raw", "CAST(CAST(floor(bmi_raw) AS INTEGER) AS VARCHAR)"
+    if not v1:
+        items = [
+            f"CASE WHEN age >= 55 THEN {_contrib(0, 'MEDIUM', 'Age', "CAST(age AS VARCHAR) || ' years'", 'Non-modifiable')} END",
+            f"CASE WHEN bp_category >= 3 THEN {_contrib(1, 'HIGH', 'Blood Pressure', "'High blood pressure (Stage ' || CAST(bp_category - 1 AS VARCHAR) || ')'", 'Treatable')} "
+            f"WHEN bp_category = 2 THEN {_contrib(1, 'MEDIUM', 'Blood Pressure', "'High blood pressure (Stage 1)'", 'Treatable')} END",
+            f"CASE WHEN cholesterol = 3 THEN {_contrib(2, 'HIGH', 'Cholesterol', "'Very high levels'", 'Modifiable')} "
+            f"WHEN cholesterol = 2 THEN {_contrib(2, 'MEDIUM', 'Cholesterol', "'Above normal'", 'Modifiable')} END",
+            f"CASE WHEN {b} >= 30 THEN {_contrib(3, 'HIGH', 'BMI', f"'Obese (' || {intb} || ')'", 'Modifiable')} "
+            f"WHEN {b} >= 25 THEN {_contrib(3, 'MEDIUM', 'BMI', f"'Overweight (' || {intb} || ')'", 'Modifiable')} END",
+            f"CASE WHEN gluc = 3 THEN {_contrib(4, 'HIGH', 'Glucose', "'Very high levels'", 'Modifiable')} "
+            f"WHEN gluc = 2 THEN {_contrib(4, 'MEDIUM', 'Glucose', "'Above normal'", 'Modifiable')} END",
+            f"CASE WHEN smoke = 1 THEN {_contrib(5, 'HIGH', 'Smoking', "'Active smoker'", 'Modifiable - Very High Impact')} END",
+            f"CASE WHEN alco = 1 THEN {_contrib(6, 'MEDIUM', 'Alcohol', "'Regular consumption'", 'Modifiable')} END",
+            f"CASE WHEN active = 0 THEN {_contrib(7, 'LOW', 'Physical Activity', "'Sedentary lifestyle'", 'Modifiable')} END",
+        ]
+        return _sorted(items, ["severity", "factor", "description", "modifiability"])
+    b1 = f"printf('%.1f', {b})"
+    items = [
+        f"CASE WHEN bp_category >= 3 THEN {_contrib(1, 'HIGH', 'Blood Pressure', "'Stage ' || CAST(bp_category - 1 AS VARCHAR) || ' Hypertension'", None)} "
+        f"WHEN bp_category = 2 THEN {_contrib(1, 'MEDIUM', 'Blood Pressure', "'Elevated blood pressure'", None)} END",
+        f"CASE WHEN cholesterol = 3 THEN {_contrib(2, 'HIGH', 'Cholesterol', "'Very high cholesterol levels'", None)} "
+        f"WHEN cholesterol = 2 THEN {_contrib(2, 'MEDIUM', 'Cholesterol', "'Above normal cholesterol'", None)} END",
+        f"CASE WHEN {b} >= 30 THEN {_contrib(3, 'HIGH', 'BMI', f"'Obese (BMI: ' || {b1} || ')'", None)} "
+        f"WHEN {b} >= 25 THEN {_contrib(3, 'MEDIUM', 'BMI', f"'Overweight (BMI: ' || {b1} || ')'", None)} END",
+        f"CASE WHEN gluc = 3 THEN {_contrib(4, 'HIGH', 'Glucose', "'Very high glucose levels'", None)} "
+        f"WHEN gluc = 2 THEN {_contrib(4, 'MEDIUM', 'Glucose', "'Above normal glucose'", None)} END",
+        f"CASE WHEN smoke = 1 THEN {_contrib(5, 'HIGH', 'Smoking', "'Active smoker'", None)} END",
+        f"CASE WHEN alco = 1 THEN {_contrib(6, 'MEDIUM', 'Alcohol', "'Regular alcohol consumption'", None)} END",
+        f"CASE WHEN active = 0 THEN {_contrib(7, 'LOW', 'Physical Activity', "'Sedentary lifestyle'", None)} END",
+    ]
+    return _sorted(items, ["severity", "factor", "description"])
+
+
+def _rec(pair):
+    return f"{{'text': {_s(pair[0])}, 'target': {_s(pair[1])}}}"
+
+
+def _fill(items, filler):
+    lst = f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+    return f"CASE WHEN len({lst}) = 0 THEN [{filler}] ELSE {lst} END"
+
+
+def _recommendations(v1=False):
+    import vitalframe.functions.rules as RL
+    b = "bmi_raw"
+    if not v1:
+        loss = f"greatest(3, CAST(floor(({b} - 24) * {D(1.5)}) AS INTEGER))"
+        weight = f"{{'text': {_s(RL.REC_MED_WEIGHT)}, 'target': 'Target: -' || CAST({loss} AS VARCHAR) || ' kg in 3 months'}}"
+        high = _fill([f"CASE WHEN bp_category >= 3 THEN {_rec(RL.REC_HIGH_BP)} END",
+                      f"CASE WHEN cholesterol = 3 THEN {_rec(RL.REC_HIGH_CHOL)} END",
+                      f"CASE WHEN smoke = 1 THEN {_rec(RL.REC_HIGH_SMOKE)} END"], _rec(RL.REC_HIGH_FILLER))
+        med = _fill([f"CASE WHEN bp_category >= 2 THEN {_rec(RL.REC_MED_BP)} END",
+                     f"CASE WHEN {b} >= 25 THEN {weight} END",
+                     f"CASE WHEN cholesterol = 2 THEN {_rec(RL.REC_MED_CHOL)} END",
+                     f"CASE WHEN gluc >= 2 THEN {_rec(RL.REC_MED_GLUC)} END",
+                     f"CASE WHEN alco = 1 THEN {_rec(RL.REC_MED_ALCO)} END"], _rec(RL.REC_MED_FILLER))
+        long_ = (f"[CASE WHEN active = 0 THEN {_rec(RL.REC_LONG_INACTIVE)} ELSE {_rec(RL.REC_LONG_ACTIVE)} END, "
+                 f"{_rec(RL.REC_LONG_CHECKUP)}, {_rec(RL.REC_LONG_TRACK)}]")
+    else:
+        loss = f"greatest(5, CAST(floor(({b} - 24) * 2) AS INTEGER))"
+        high = _fill([f"CASE WHEN bp_category >= 3 THEN {_s(RL.REC1_HIGH_BP)} END",
+                      f"CASE WHEN cholesterol = 3 THEN {_s(RL.REC1_HIGH_CHOL)} END",
+                      f"CASE WHEN smoke = 1 THEN {_s(RL.REC1_HIGH_SMOKE)} END"], _s(RL.REC1_HIGH_FILLER))
+        med = _fill([f"CASE WHEN bp_category = 2 THEN {_s(RL.REC1_MED_BP)} END",
+                     f"CASE WHEN {b} >= 25 THEN 'Target weight reduction of ' || CAST({loss} AS VARCHAR) || ' kg through diet and exercise' END",
+                     f"CASE WHEN cholesterol = 2 THEN {_s(RL.REC1_MED_CHOL)} END",
+                     f"CASE WHEN gluc >= 2 THEN {_s(RL.REC1_MED_GLUC)} END",
+                     f"CASE WHEN alco = 1 THEN {_s(RL.REC1_MED_ALCO)} END"], _s(RL.REC1_MED_FILLER))
+        long_ = (f"[CASE WHEN active = 0 THEN {_s(RL.REC1_LONG_INACTIVE)} ELSE {_s(RL.REC1_LONG_ACTIVE)} END, "
+                 f"{_s(RL.REC1_LONG_CHECKUP)}, {_s(RL.REC1_LONG_MONITOR)}]")
+    return f"{{'high': {high}, 'medium': {med}, 'long_term': {long_}}}"
+
+
+def _context(v1=False):
+    import vitalframe.functions.rules as RL
+    t = RL.RISK_CONTEXT_V1 if v1 else RL.RISK_CONTEXT
+
+    def pick(i):
+        return ("CASE " + " ".join(f"WHEN risk_level = {_s(k)} THEN {_s(t[k][i])}" for k in ("Very High", "High", "Low"))
+                + f" ELSE {_s(t['Moderate'][i])} END")
+    return f"{{'meaning': {pick(0)}, 'action': {pick(1)}, 'note': {pick(2)}}}"
+
+
+def _assessment_sql(v1=False):
+    pct = "age_percentile"
+    if not v1:
+        band = "' of individuals in the ' || CAST(age - 5 AS VARCHAR) || ' to ' || CAST(age + 5 AS VARCHAR) || ' age range.'"
+        cmp_ = (f"CASE WHEN {pct} >= 50 THEN 'Your risk profile is higher than approximately ' || CAST({pct} AS VARCHAR) || '%' || {band} "
+                f"ELSE 'Your risk profile is lower than approximately ' || CAST(100 - {pct} AS VARCHAR) || '%' || {band} END")
+    else:
+        band = "' of individuals in your age group (' || CAST(age - 5 AS VARCHAR) || ' to ' || CAST(age + 5 AS VARCHAR) || ' years).'"
+        hi = f"'Your estimated risk is higher than approximately ' || CAST({pct} AS VARCHAR) || '%' || {band}"
+        lo = f"'Your estimated risk is lower than approximately ' || CAST(100 - {pct} AS VARCHAR) || '%' || {band}"
+        cmp_ = (f"{{'tier': CASE WHEN {pct} >= 75 THEN 'warning' WHEN {pct} >= 50 THEN 'info' ELSE 'success' END, "
+                f"'text': CASE WHEN {pct} >= 50 THEN {hi} ELSE {lo} END}}")
+    base = "probability * 100"
+    perc = (f"CASE WHEN age < 40 THEN least(CAST(95 AS DOUBLE), {base} + 15) WHEN age < 50 THEN least(CAST(95 AS DOUBLE), {base} + 10) "
+            f"WHEN age < 60 THEN {base} + 5 ELSE greatest(CAST(50 AS DOUBLE), {base} - 5) END")
+    ipct = "CAST(floor(probability * 100) AS INTEGER)"
+    return [
+        "a0 AS (SELECT *, weight / ((height / 100) * (height / 100)) AS bmi_raw FROM resp WHERE status = 'scored')",
+        f"a1 AS (SELECT *, CAST(floor(least(CAST(99 AS DOUBLE), greatest(CAST(1 AS DOUBLE), {perc}))) AS INTEGER) AS age_percentile FROM a0)",
+        f"""asm AS (SELECT request_id, {R6('probability')} AS probability, prediction, risk_level,
+   CASE WHEN prediction = 1 THEN 'Elevated Cardiovascular Risk Identified' ELSE 'Lower Risk Profile' END AS assessment,
+   CAST({ipct} AS VARCHAR) || '% ' || CASE WHEN {ipct} >= 70 THEN '(Significantly Elevated)'
+     WHEN {ipct} >= 50 THEN '(Moderately Elevated)' ELSE '(Within Expected Range)' END AS risk_index,
+   {_context(v1)} AS risk_context, age_percentile, {cmp_} AS age_comparison,
+   {_contributors(v1)} AS contributors, {_recommendations(v1)} AS action_plan,
+   age, gender, height, weight, ap_hi, ap_lo, probability AS p_full FROM a1)""",
+    ]
+
+
+def _what_if_sql():
+    import vitalframe.operators.score as SC
+    T = SC.SCENARIO_TEXT
+
+    def txt(i):
+        return "CASE scenario " + " ".join(
+            f"WHEN {_s(k)} THEN {_s(v[i])}" for k, v in T.items() if v[i] is not None) + " END"
+    ctes = [
+        """wb AS (SELECT request_id, probability AS base_probability, age,
+   CASE WHEN gender = 2 THEN 'male' ELSE 'female' END AS gender, height, weight, ap_hi, ap_lo,
+   cholesterol, gluc, alco, smoke, active FROM resp WHERE status = 'scored')""",
+        f"""ws AS (
+   SELECT *, 'quit_smoking' AS scenario, 1 AS ord, 0 AS s_smoke, active AS s_active, 0 AS s_red, {D(1.0)} AS min_drop FROM wb WHERE smoke = 1
+   UNION ALL SELECT *, 'become_active', 2, smoke, 1, 0, {D(1.0)} FROM wb WHERE active = 0
+   UNION ALL SELECT *, 'bp_reduction', 3, smoke, active, 15, {D(1.0)} FROM wb WHERE ap_hi > 130
+   UNION ALL SELECT *, 'combined', 4, 0, active, 15, {D(2.0)} FROM wb WHERE smoke = 1 AND ap_hi > 130
+   UNION ALL SELECT *, 'optimal', 5, smoke, active, 0, {D(0.0)} FROM wb WHERE smoke <> 1 AND active <> 0 AND ap_hi <= 130)""",
+        f"""wm AS (SELECT request_id, base_probability, scenario, ord, min_drop, age, gender, height, weight,
+   greatest(90, ap_hi - s_red) AS ap_hi, greatest(60, ap_lo - CAST(floor(s_red * {D(0.6)}) AS INTEGER)) AS ap_lo,
+   cholesterol, gluc, alco, s_smoke AS smoke, s_active AS active FROM ws)""",
+        _serving_ctes("wm", ["request_id", "base_probability", "scenario", "ord", "min_drop"], "wv"),
+        f"""wp AS (SELECT request_id, scenario, ord, base_probability, min_drop,
+   CASE WHEN scenario <> 'optimal' THEN {prob_expr()} END AS new_probability FROM wv)""",
+        "wr AS (SELECT *, base_probability * 100 - new_probability * 100 AS reduction FROM wp)",
+    ]
+    moved = "reduction > min_drop"
+    shown = f"(scenario = 'optimal' OR {moved} OR scenario <> 'combined')"
+    numeric = (f"{txt(0)} || ': ' || CAST(CAST(floor(new_probability * 100) AS INTEGER) AS VARCHAR) || '% (↓' || "
+               f"CAST(CAST(floor(reduction) AS INTEGER) AS VARCHAR) || '% reduction)'")
+    sel = f"""SELECT request_id, scenario, ord, {R6('base_probability')} AS base_probability,
+ {R6('new_probability')} AS new_probability, {R6('reduction')} AS reduction, {shown} AS shown,
+ CASE WHEN scenario = 'optimal' THEN false ELSE {moved} END AS estimate_moved,
+ CASE WHEN scenario <> 'optimal' AND {moved} THEN {numeric} WHEN {shown} THEN {txt(2)} END AS title,
+ CASE WHEN scenario <> 'optimal' AND {moved} THEN {txt(1)} WHEN {shown} THEN {txt(3)} END AS note FROM wr"""
+    return ctes, sel
+
+
 def scoring_queries() -> dict[str, str]:
-    return {}
+    q = {}
+    base = [PATIENTS] + _requests_ctes()
+    cols_k1 = ("request_id, status, rejection, warning, prediction, " + R6("probability") + " AS probability, "
+               "risk_level, summary, heart_health, bp_interpretation, cholesterol_interpretation, "
+               "glucose_interpretation, risk_factors, recommendations, age, gender, ap_hi, ap_lo, cholesterol, "
+               "gluc, smoke, alco, active, bmi, bp_category, height, weight")
+    q["K1_score_requests"] = with_(*base) + f"SELECT {cols_k1} FROM resp"
+    conf = (f"CASE WHEN abs(probability - {D(0.5)}) * 2 > {D(0.8)} THEN 'Very High' "
+            f"WHEN abs(probability - {D(0.5)}) * 2 > {D(0.6)} THEN 'High' "
+            f"WHEN abs(probability - {D(0.5)}) * 2 > {D(0.4)} THEN 'Moderate' ELSE 'Low' END")
+    interp = ("CASE WHEN prediction = 0 THEN 'The model indicates LOW likelihood of cardiovascular disease (Risk Score: ' "
+              "|| printf('%.1f', probability * 100) || '%). Maintain healthy habits.' "
+              "ELSE 'The model indicates HIGH likelihood of cardiovascular disease (Risk Score: ' "
+              "|| printf('%.1f', probability * 100) || '%). Medical consultation recommended.' END")
+    q["K5_prediction_reports_test"] = EVAL_BASE + f"""
+SELECT id, {{'prediction': prediction, 'probability': {R6('probability')}, 'risk_level': {LEVEL()} || ' Risk',
+ 'confidence': {conf}, 'interpretation': {interp}}} AS report FROM test"""
+    acols = ("request_id, probability, prediction, risk_level, assessment, risk_index, risk_context, "
+             "age_percentile, age_comparison, contributors, action_plan, age, gender, height, weight, ap_hi, ap_lo")
+    q["K9_K16_assessment"] = with_(*base, *_assessment_sql()) + f"SELECT {acols} FROM asm"
+    q["K10_K12_assessment_v1"] = with_(*base, *_assessment_sql(True)) + f"SELECT {acols} FROM asm"
+    wctes, wsel = _what_if_sql()
+    q["K18_what_if"] = with_(*base, *wctes) + wsel
+    cut = "CASE WHEN length(r.text) > 65 THEN substr(r.text, 1, 65) || '...' ELSE r.text END"
+    q["K19_report_highlights"] = with_(*base, *_assessment_sql()) + f"""
+SELECT request_id, list_slice(contributors, 1, 5) AS top_contributors,
+ list_transform(list_slice(action_plan.high, 1, 3), lambda r: {{'text': {cut}, 'target': r.target}}) AS top_high,
+ list_transform(list_slice(action_plan.medium, 1, 3), lambda r: {{'text': {cut}, 'target': r.target}}) AS top_medium
+FROM asm"""
+    nl = "chr(10)"
+    line = _s("=" * 60)
+    rec = f"list_transform(%s, lambda r: '  - ' || r.text || {nl} || '    ' || r.target)"
+    body = ", ".join([
+        line, "'CARDIOVASCULAR RISK ASSESSMENT REPORT'", line, "'Generated: 2025-01-01 00:00'", "''",
+        "'PATIENT INFORMATION'",
+        "'Age: ' || CAST(age AS VARCHAR) || ' | Gender: ' || CASE WHEN gender = 2 THEN 'Male' ELSE 'Female' END",
+        "'Height: ' || CAST(height AS VARCHAR) || ' cm | Weight: ' || CAST(weight AS VARCHAR) || ' kg'",
+        "'Blood Pressure: ' || CAST(ap_hi AS VARCHAR) || '/' || CAST(ap_lo AS VARCHAR) || ' mmHg'",
+        "''", "'RISK ASSESSMENT'",
+        "'Risk Score: ' || CAST(CAST(floor(p_full * 100) AS INTEGER) AS VARCHAR) || '%'",
+        "'Classification: ' || risk_level", "''", "'KEY RISK CONTRIBUTORS'",
+        f"array_to_string(list_transform(contributors, lambda c: '[' || c.severity || '] ' || c.factor || ': ' "
+        f"|| c.description || ' (' || c.modifiability || ')'), {nl})",
+        "''", "'RECOMMENDATIONS'", "'High Priority:'", f"array_to_string({rec % 'action_plan.high'}, {nl})",
+        "'Medium Priority:'", f"array_to_string({rec % 'action_plan.medium'}, {nl})",
+        "''", line, "'DISCLAIMER'", "'This assessment is for educational purposes only.'",
+        "'It is not a substitute for professional medical advice.'",
+        "'Risk categories aligned with standard cardiovascular'",
+        "'prevention guidelines (educational use only).'", line])
+    q["S10_text_report"] = with_(*base, *_assessment_sql()) + f"SELECT request_id, concat_ws({nl}, {body}) AS report FROM asm"
+    return q
+
+
+# Texts shared with the Spark rules (fixed values of the reference service).
+from vitalframe.functions.rules import (  # noqa: E402
+    ADVICE, BP_TEXT, BP_TEXT_DEFAULT as BP_DEFAULT, CHOLESTEROL_TEXT as CHOL_TEXT,
+    CHOLESTEROL_TEXT_DEFAULT as CHOL_DEFAULT, GLUCOSE_TEXT as GLUC_TEXT, GLUCOSE_TEXT_DEFAULT as GLUC_DEFAULT,
+)
