@@ -280,3 +280,78 @@ def q_k19(spark, sf):
 @register("S10_text_report")
 def q_s10(spark, sf):
     return sc.text_report(responses(spark, sf), generated_at=F.lit("2025-01-01 00:00"))
+
+
+# ------------------------------------------------------------------ models (rows-only)
+from vitalframe.operators import models as ml  # noqa: E402
+
+# Reduced tree counts / depths for the registered checks; the reference
+# settings are the defaults of ``models.MODEL_CONFIG``.
+QUERY_MODEL_PARAMS = {
+    "Random_Forest": {"n_estimators": 20, "max_depth": 6},
+    "Gradient_Boosting": {"n_estimators": 15, "max_depth": 4},
+    "XGBoost": {"n_estimators": 15, "max_depth": 4, "learning_rate": 0.1},
+}
+
+
+def splits(spark, sf):
+    return sp.train_val_test_split(batch.featured(spark, sf))
+
+
+@register("M6_M7_M10_M11_training_summary")
+def q_m11(spark, sf):
+    _, metrics = ml.train_and_evaluate(splits(spark, sf), params=QUERY_MODEL_PARAMS)
+    return ml.training_summary(metrics)
+
+
+@register("M8_M9_cross_validation")
+def q_m8(spark, sf):
+    fs = ml.cross_validate(batch.featured(spark, sf), names=["Logistic_Regression", "XGBoost"],
+                           k=5, params=QUERY_MODEL_PARAMS)
+    return ml.cv_summary(fs)
+
+
+@register("M12_grid_search")
+def q_m12(spark, sf):
+    train = splits(spark, sf).where(F.col("split") == "train")
+    _, _, table = ml.grid_search(train, {"n_estimators": [10, 20], "max_depth": [3, 5]}, folds=3)
+    return table
+
+
+@register("M13_M14_random_search")
+def q_m14(spark, sf):
+    train = splits(spark, sf).where(F.col("split") == "train")
+    return ml.tune(train, "Logistic_Regression", n_trials=3, k=3)
+
+
+@register("M18_feature_importance")
+def q_m18(spark, sf):
+    s = splits(spark, sf)
+    b = ml.fit_bundle("XGBoost", s.where(F.col("split") == "train"),
+                      params=QUERY_MODEL_PARAMS["XGBoost"])
+    return ml.feature_importance(b)
+
+
+@register("E12_best_model_test_evaluation")
+def q_e12(spark, sf):
+    s = splits(spark, sf)
+    b = ml.fit_bundle("Logistic_Regression", s.where(F.col("split") == "train"))
+    scored = b.score(s.where(F.col("split") == "test"), keep=("id",))
+    return ev.basic_metrics(scored)
+
+
+@register("K1_fitted_model_scoring")
+def q_k1m(spark, sf):
+    s = splits(spark, sf)
+    b = ml.fit_bundle("Logistic_Regression", s.where(F.col("split") == "train"))
+    lin = sc.LinearRiskModel.from_spark_lr(b.model, b.features, b.scaler.center, b.scaler.scale)
+    return sc.score_requests(requests(spark, sf), model=lin)
+
+
+@register("M17_improvement")
+def q_m17(spark, sf):
+    s = splits(spark, sf)
+    b = ml.fit_bundle("Logistic_Regression", s.where(F.col("split") == "train"))
+    m = ev.basic_metrics(b.score(s.where(F.col("split") == "test"), keep=("id",))).first().asDict()
+    runs = ml.runs_rows(spark, "run-1", b.name, b.params, m, "test")
+    return ml.improvement(runs)

@@ -17,14 +17,18 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
-                app_name: str = "vitalframe") -> SparkSession:
+                app_name: str = "vitalframe", driver_memory: str = "16g") -> SparkSession:
     """Build (or reuse) a session with the settings the library is tuned for.
 
     On a cluster, call this without ``master`` and let spark-submit decide.
+    In local mode the executors live in the driver JVM, so ``driver_memory``
+    is the only memory knob (it only applies when the JVM is started here).
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", driver_memory)
     spark = (
         builder
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
