@@ -130,6 +130,7 @@ FROM featured GROUP BY bp_category"""
     q.update(split_queries())
     q.update(eval_queries())
     q.update(scoring_queries())
+    q.update(option_queries())
     return q
 
 
@@ -768,3 +769,55 @@ from vitalframe.functions.rules import (  # noqa: E402
     ADVICE, BP_TEXT, BP_TEXT_DEFAULT as BP_DEFAULT, CHOLESTEROL_TEXT as CHOL_TEXT,
     CHOLESTEROL_TEXT_DEFAULT as CHOL_DEFAULT, GLUCOSE_TEXT as GLUC_TEXT, GLUCOSE_TEXT_DEFAULT as GLUC_DEFAULT,
 )
+
+
+# ---------------------------------------------------------------- options, requests, I/O
+
+def option_queries() -> dict[str, str]:
+    import vitalframe.operators.outliers as OL
+    import vitalframe.operators.clean as CL
+    q = {}
+    ocols = ["age_years", "height", "weight", "ap_hi", "ap_lo"]
+    iqr = ", ".join(
+        f"quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1_{c}, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3_{c}"
+        for c in ocols)
+    keep = " AND ".join(
+        f"{c} BETWEEN q1_{c} - {D(1.5)} * (q3_{c} - q1_{c}) AND q3_{c} + {D(1.5)} * (q3_{c} - q1_{c})"
+        for c in ocols)
+    q["D1_iqr_outlier_filter"] = with_(PATIENTS, CLEAN, f"b AS (SELECT {iqr} FROM clean)") + \
+        f"SELECT clean.* FROM clean, b WHERE {keep}"
+    zs = ", ".join(f"AVG(CAST({c} AS DOUBLE)) AS m_{c}, STDDEV_POP(CAST({c} AS DOUBLE)) AS s_{c}" for c in ocols)
+    zkeep = " AND ".join(f"(s_{c} = 0 OR abs({c} - m_{c}) / s_{c} <= 3)" for c in ocols)
+    q["D2_zscore_outlier_filter"] = with_(PATIENTS, CLEAN, f"b AS (SELECT {zs} FROM clean)") + \
+        f"SELECT clean.* FROM clean, b WHERE {zkeep}"
+
+    def band(c, bands):
+        return "CASE " + " ".join(f"WHEN {c} >= {D(float(lo))} AND {c} < {D(float(hi))} THEN '{n}'"
+                                  for n, lo, hi in bands) + " END"
+    bp = "CASE " + " ".join(
+        f"WHEN (ap_hi >= {slo} AND ap_hi < {shi}) OR (ap_lo >= {dlo} AND ap_lo < {dhi}) THEN '{n}'"
+        for n, (slo, shi), (dlo, dhi) in reversed(OL.BP_BANDS)) + " END"
+    q["D7_reference_bands"] = BASE + f"""
+SELECT bmi_who_class, age_band, bp_band, COUNT(*) AS "rows" FROM (
+ SELECT {band('bmi', OL.BMI_WHO_BANDS)} AS bmi_who_class, {band('age_years', OL.AGE_BANDS)} AS age_band,
+ {bp} AS bp_band FROM featured) GROUP BY ALL"""
+    q["F7_F8_bp_profile_skew"] = with_(PATIENTS, CLEAN) + f"""
+SELECT {BP_TRAIN} AS bp_category_train, {BP_SERVE} AS bp_category_serve, COUNT(*) AS "rows" FROM clean GROUP BY ALL"""
+    q["C11_C12_request_routing"] = with_(PATIENTS, *_requests_ctes()) + \
+        'SELECT status, rejection, COUNT(*) AS "rows" FROM resp GROUP BY ALL'
+    chol = "CASE cholesterol " + " ".join(f"WHEN {v} THEN {v}" for v in CL.CHOLESTEROL_LABELS.values()) + " END"
+    gl = "CASE gluc " + " ".join(f"WHEN {v} THEN {v}" for v in CL.GLUCOSE_LABELS.values()) + " END"
+    q["C13_C14_form_codes"] = with_(PATIENTS) + f"""
+SELECT id, CAST(CASE WHEN gender = 2 THEN 2 ELSE 1 END AS BIGINT) AS gender,
+ CAST({chol} AS BIGINT) AS cholesterol, CAST({gl} AS BIGINT) AS gluc,
+ CAST(CASE WHEN smoke = 1 THEN 1 ELSE 0 END AS BIGINT) AS smoke,
+ CAST(CASE WHEN alco = 1 THEN 1 ELSE 0 END AS BIGINT) AS alco,
+ CAST(CASE WHEN active = 1 THEN 1 ELSE 0 END AS BIGINT) AS active FROM patients"""
+    q["S1_S3_delimited_round_trip"] = with_(PATIENTS) + "SELECT * FROM patients"
+    q["S2_stage_csv_round_trip"] = with_(PATIENTS, CLEAN) + "SELECT * FROM clean"
+    q["S4_S5_saved_test_split"] = with_(PATIENTS, CLEAN, FEATURED, SPLIT_CTE) + \
+        f"SELECT {', '.join(FEATS20)}, cardio, split FROM splitted WHERE split = 'test'"
+    rq = [PATIENTS] + _requests_ctes()[:2]
+    q["S6_C11_json_requests"] = with_(*rq) + "SELECT request_id, rejection FROM rq"
+    q["K20_streaming_scoring"] = scoring_queries()["K1_score_requests"]
+    return q

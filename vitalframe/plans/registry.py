@@ -355,3 +355,136 @@ def q_m17(spark, sf):
     m = ev.basic_metrics(b.score(s.where(F.col("split") == "test"), keep=("id",))).first().asDict()
     runs = ml.runs_rows(spark, "run-1", b.name, b.params, m, "test")
     return ml.improvement(runs)
+
+
+# ------------------------------------------------------------------ options D1 / D2 / D7
+from vitalframe.operators import outliers as ol  # noqa: E402
+from vitalframe.operators.features import bp_profile_skew  # noqa: E402
+
+
+@register("D1_iqr_outlier_filter")
+def q_d1(spark, sf):
+    c = batch.cleaned(spark, sf)
+    return ol.filter_iqr(c, ol.iqr_bounds(c))
+
+
+@register("D2_zscore_outlier_filter")
+def q_d2(spark, sf):
+    c = batch.cleaned(spark, sf)
+    return ol.filter_zscore(c, ol.zscore_bounds(c))
+
+
+@register("D7_reference_bands")
+def q_d7(spark, sf):
+    f = ol.with_reference_bands(batch.featured(spark, sf))
+    return _counts(f, "bmi_who_class", "age_band", "bp_band")
+
+
+@register("F7_F8_bp_profile_skew")
+def q_skew(spark, sf):
+    return bp_profile_skew(batch.cleaned(spark, sf))
+
+
+# ------------------------------------------------------------------ requests C11 - C14
+@register("C11_C12_request_routing")
+def q_c11(spark, sf):
+    return _counts(responses(spark, sf), "status", "rejection")
+
+
+def form_inputs(raw):
+    """Stand-in form submissions: codes shown as the form's labels and answers."""
+    inv_chol = {v: k for k, v in cln.CHOLESTEROL_LABELS.items()}
+    inv_gluc = {v: k for k, v in cln.GLUCOSE_LABELS.items()}
+
+    def to_map(d):
+        return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+
+    yn = lambda c: F.when(F.col(c) == 1, "Yes").otherwise("No")
+    g = F.when(F.col("gender") == 2, F.when(F.col("id") % 2 == 0, " Male ").otherwise("m")) \
+        .otherwise(F.when(F.col("id") % 2 == 0, "Female").otherwise("f"))
+    return raw.select("id", g.alias("gender"),
+                      to_map(inv_chol)[F.col("cholesterol")].alias("cholesterol"),
+                      to_map(inv_gluc)[F.col("gluc")].alias("gluc"),
+                      yn("smoke").alias("smoke"), yn("alco").alias("alco"), yn("active").alias("active"))
+
+
+@register("C13_C14_form_codes")
+def q_c13(spark, sf):
+    from vitalframe.functions.clinical import gender_code
+    f = form_inputs(batch.raw_patients(spark, sf))
+    return f.select("id", gender_code("gender").alias("gender"),
+                    cln.label_code("cholesterol", cln.CHOLESTEROL_LABELS).alias("cholesterol"),
+                    cln.label_code("gluc", cln.GLUCOSE_LABELS).alias("gluc"),
+                    cln.yes_no_code("smoke").alias("smoke"), cln.yes_no_code("alco").alias("alco"),
+                    cln.yes_no_code("active").alias("active"))
+
+
+# ------------------------------------------------------------------ sources / sinks
+from vitalframe.session import scratch_dir  # noqa: E402
+from vitalframe.sources import io as sio  # noqa: E402
+from vitalframe.schema import RAW_SCHEMA  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+CLEAN_SCHEMA = T.StructType([T.StructField(f.name, f.dataType, True) for f in RAW_SCHEMA.fields]
+                            + [T.StructField("age_years", T.LongType(), True)])
+
+
+@register("S1_S3_delimited_round_trip")
+def q_s1(spark, sf):
+    path = scratch_dir(spark, "raw_csv")
+    sio.write_delimited(batch.raw_patients(spark, sf), path, sep=";")
+    return sio.read_delimited(spark, path, RAW_SCHEMA, sep=";")
+
+
+@register("S2_stage_csv_round_trip")
+def q_s2(spark, sf):
+    path = scratch_dir(spark, "clean_csv")
+    sio.write_delimited(batch.cleaned(spark, sf), path, sep=",")
+    return sio.read_delimited(spark, path, CLEAN_SCHEMA, sep=",")
+
+
+@register("S4_S5_saved_test_split")
+def q_s4(spark, sf):
+    path = scratch_dir(spark, "splits")
+    sio.write_splits(splits(spark, sf), path, MODEL_FEATURES)
+    return sio.read_split(spark, path, "test")
+
+
+@register("S6_C11_json_requests")
+def q_s6(spark, sf):
+    path = scratch_dir(spark, "requests_json")
+    sio.write_requests(requests(spark, sf), path)
+    r = sio.read_requests(spark, path)
+    return cln.validate_requests(r).select("request_id", "rejection")
+
+
+@register("K20_streaming_scoring")
+def q_k20(spark, sf):
+    from vitalframe.streaming.scoring import run_to_completion
+    src = scratch_dir(spark, "stream_in")
+    requests(spark, sf).repartition(4).write.json(src)
+    out = run_to_completion(spark, src, scratch_dir(spark, "stream_out"),
+                            scratch_dir(spark, "stream_ckpt"), max_files_per_trigger=1)
+    return out.withColumn("probability", r6(F.col("probability")))
+
+
+@register("S7_model_save_load")
+def q_s7(spark, sf):
+    s = splits(spark, sf)
+    b = ml.fit_bundle("Logistic_Regression", s.where(F.col("split") == "train"))
+    path = scratch_dir(spark, "model")
+    b.save(path)
+    return ml.ModelBundle.load(path).score(s.where(F.col("split") == "test"), keep=("id",))
+
+
+@register("S8_S9_best_params_and_runs")
+def q_s8(spark, sf):
+    s = splits(spark, sf)
+    b = ml.fit_bundle("Logistic_Regression", s.where(F.col("split") == "train"))
+    m = ev.basic_metrics(b.score(s.where(F.col("split") == "test"), keep=("id",))).first().asDict()
+    sio.write_json_record(ml.best_params_record(spark, b.name, ml.MODEL_CONFIG[b.name], None, m),
+                          scratch_dir(spark, "best_params"))
+    runs = scratch_dir(spark, "runs")
+    ml.log_runs(ml.runs_rows(spark, "run-1", b.name, b.params, m, "test"), runs)
+    ml.log_runs(ml.runs_rows(spark, "run-2", b.name, b.params, m, "test"), runs)
+    return spark.read.parquet(runs).drop("logged_at")
