@@ -59,13 +59,25 @@ def basic_metrics(scored: DataFrame, group_cols: list[str] | None = None,
                     r6(_ratio(F.col("tn"), F.col("tn") + F.col("fp"))).alias("specificity"))
     if with_auc:
         auc = roc_auc(scored, g, constant_score_auc=constant_score_auc)
-        out = out.join(auc, on=g, how="left") if g else _one_row_join(out, auc)
+        out = merge_rows([out, auc], g)
     return out
 
 
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two one-row frames on a constant key (an equi-join, not a cross join)."""
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+def merge_rows(frames: list[DataFrame], group_cols: list[str]) -> DataFrame:
+    """Combine per-group result rows that carry different columns, without a join.
+
+    The frames are unioned (missing columns become null) and each column's
+    single non-null value is taken per group. With no groups this merges
+    one-row results; there is no cross join and no constant-key join.
+    """
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    cols = []
+    for f in frames:
+        cols += [c for c in f.columns if c not in group_cols and c not in cols]
+    aggs = [F.first(c, ignorenulls=True).alias(c) for c in cols]
+    return (u.groupBy(*group_cols).agg(*aggs) if group_cols else u.agg(*aggs))
 
 
 def roc_auc(scored: DataFrame, group_cols: list[str] | None = None, label: str = "label",
@@ -189,7 +201,7 @@ def reliability_metrics(scored: DataFrame, group_cols: list[str] | None = None)
         r6(F.col("_mean")).alias("mean_predicted_probability"),
         r6(F.col("_std")).alias("std_predicted_probability"))
     ce = calibration_error(scored, g)
-    return rel.join(ce, on=g, how="left") if g else _one_row_join(rel, ce)
+    return merge_rows([rel, ce], g)
 
 
 def threshold_sweep(scored: DataFrame, group_cols: list[str] | None = None,
@@ -221,7 +233,7 @@ def evaluation_bundle(scored: DataFrame, group_cols: list[str] | None = None) ->
     g = group_cols or []
     basic = basic_metrics(scored, g, constant_score_auc=None)
     rel = reliability_metrics(scored, g)
-    both = basic.join(rel, on=g, how="inner") if g else _one_row_join(basic, rel)
+    both = merge_rows([basic, rel], g)
     names = ["accuracy", "precision", "recall", "f1_score", "roc_auc", "specificity",
              "calibration_error", "high_confidence_accuracy", "high_confidence_percentage",
              "mean_predicted_probability", "std_predicted_probability"]

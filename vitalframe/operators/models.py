@@ -200,9 +200,9 @@ def train_and_evaluate(splits: DataFrame, names: list[str] | None = None,
     """M6 + M7: fit each registry model on split='train'; score train and
     validation; return fitted bundles and per-(model, split) metrics."""
     names = names or list(MODEL_CONFIG)
-    # The split table feeds every fit and every scoring pass: cache it once
-    # (spillable; recomputed from lineage if an executor is lost).
-    cached = splits.persist(StorageLevel.MEMORY_AND_DISK)
+    # The split table feeds every fit and every scoring pass: write it once to
+    # the shared checkpoint folder (cuts the lineage; lost executors re-read it).
+    cached = reliable_checkpoint(splits)
     train = cached.where(F.col("split") == "train")
     bundles, scored = {}, None
     for order, name in enumerate(names):
@@ -215,7 +215,6 @@ def train_and_evaluate(splits: DataFrame, names: list[str] | None = None,
     metrics = ev.basic_metrics(scored, ["model", "model_order", "split"]) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     metrics.count()
-    cached.unpersist(blocking=False)
     return bundles, metrics
 
 
@@ -254,7 +253,7 @@ def cross_validate(df: DataFrame, names: list[str] | None = None, k: int = 5,
     unioned and evaluated in one grouped aggregation.
     """
     names = names or list(MODEL_CONFIG)
-    folded = kfold(df, k=k, exact=exact_folds, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = reliable_checkpoint(kfold(df, k=k, exact=exact_folds, seed=seed))
     scored = None
     try:
         for name in names:
@@ -273,6 +272,13 @@ def cross_validate(df: DataFrame, names: list[str] | None = None, k: int = 5,
         folded.unpersist(blocking=False)
 
 
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` into the session's checkpoint folder and cut its lineage."""
+    from vitalframe.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def cv_summary(fold_scores: DataFrame) -> DataFrame:
     """M8 / M9 summary: mean, population std, score list and the 95% text per (model, metric)."""
     g = fold_scores.groupBy("model", "metric").agg(

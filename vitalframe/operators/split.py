@@ -72,9 +72,23 @@ def kfold(df: DataFrame, k: int = CV_FOLDS, id_col: str = "id", seed: int = RAND
 
 
 def _rank_in_label(df: DataFrame, id_col: str, seed: int, label_col: str) -> DataFrame:
-    keyed = df.withColumn("_hk", hash_key(id_col, seed)).withColumn("_one", F.lit(1))
-    pre = exclusive_prefix_sums(keyed, [label_col], ["_hk", id_col], ["_one"])
-    return pre.withColumnRenamed("before__one", "_rank").drop("_hk")
+    """0-based rank of each row inside its label, ordered by the id hash.
+
+    The order key is ``hash_key(id) + f`` where ``f`` in [0, 1) comes from 20
+    bits of a hash of the whole row: still ordered by the id hash first, but
+    rows of one hot id get distinct keys, so range buckets can split them
+    (32 + 20 bits stay exact in a double). The full row hash breaks any
+    remaining tie, so ranks are identical when a task is recomputed.
+    """
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    keyed = df.withColumns({
+        "_rh": row_hash,
+        "_hk": hash_key(id_col, seed).cast("double")
+        + F.pmod(row_hash, F.lit(1 << 20)).cast("double") / float(1 << 20),
+        "_one": F.lit(1),
+    })
+    pre = exclusive_prefix_sums(keyed, [label_col], ["_hk", id_col, "_rh"], ["_one"])
+    return pre.withColumnRenamed("before__one", "_rank").drop("_hk", "_rh")
 
 
 def train_val_test_split_exact(df: DataFrame, id_col: str = "id", seed: int = RANDOM_STATE,
