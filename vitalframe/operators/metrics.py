@@ -95,7 +95,7 @@ def roc_auc(scored: DataFrame, group_cols: list[str] | None = None, label: str =
     per = scored.groupBy(*g, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) == 0).alias("neg"))
-    pre = exclusive_prefix_sums(per, g, [score], ["neg"], num_buckets)
+    pre = exclusive_prefix_sums(per, g, [score], ["neg"], num_buckets, materialize=True)
     agg = pre.groupBy(*g).agg(
         F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("_u"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),

@@ -178,17 +178,23 @@ class ModelBundle:
 
 def fit_bundle(name: str, train: DataFrame, features: list[str] | None = None,
                params: dict | None = None) -> ModelBundle:
-    """M6 (fit part): scaler on the training rows, then the estimator."""
+    """M6 (fit part): scaler on the training rows, then the estimator.
+
+    Only the feature and label columns are cached (spillable), so the
+    upstream plan runs once for the scaler statistics, the row count and
+    every optimiser iteration.
+    """
     feats = features or [c for c in MODEL_FEATURES if c in train.columns]
     if not feats:
         raise ValueError("No valid feature columns found")
-    scaler = fit_standard_scaler(train, feats)
-    data = assemble(scaler.transform(train, feats), feats).persist(StorageLevel.MEMORY_AND_DISK)
+    base = train.select(*feats, "cardio").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = data.count()
+        scaler = fit_standard_scaler(base, feats)
+        data = assemble(scaler.transform(base, feats), feats)
+        n = base.count()
         model = build_estimator(name, params, n_train=n).fit(data)
     finally:
-        data.unpersist()
+        base.unpersist()
     return ModelBundle(name, feats, scaler, model, dict(params or {}))
 
 

@@ -59,12 +59,21 @@ def with_bucket(df: DataFrame, order_col: str, bounds: list[float],
 
 def exclusive_prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
                           sum_cols: list[str], num_buckets: int | None = None,
-                          prefix: str = "before_") -> DataFrame:
+                          prefix: str = "before_", materialize: bool = False) -> DataFrame:
     """Add ``before_<c>``: sum of ``c`` over earlier rows of the same group.
 
     Rows are ordered by ``order_cols`` (the first one is numeric and picks the
     bucket; later ones break ties). Null order keys are not allowed.
+
+    The boundaries and the windows are two passes over ``df``. For a reduced
+    input (per-score or per-value counts) pass ``materialize=True``: it is
+    written once to the checkpoint folder (lineage cut), so the upstream
+    plan runs once instead of twice.
     """
+    if materialize:
+        from vitalframe.session import checkpoint_root
+        checkpoint_root(df.sparkSession)
+        df = df.checkpoint(eager=True)
     nb = num_buckets or default_buckets(df)
     key = order_cols[0]
     bounds = range_bounds(df, key, nb)
@@ -103,8 +112,9 @@ def exact_quantiles(long_df: DataFrame, group_col: str, value_col: str,
     names = out_names or [f"q{int(round(p * 100))}" for p in probs]
     counts = (long_df.where(F.col(value_col).isNotNull())
               .groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
-    pre = exclusive_prefix_sums(counts, [group_col], [value_col], ["_cnt"], num_buckets)
-    n = counts.groupBy(group_col).agg(F.sum("_cnt").alias("_n"))
+    pre = exclusive_prefix_sums(counts, [group_col], [value_col], ["_cnt"], num_buckets,
+                                materialize=True)
+    n = pre.groupBy(group_col).agg(F.sum("_cnt").alias("_n"))
     x = pre.join(n, on=group_col)
     aggs = []
     for p, name in zip(probs, names):
