@@ -150,33 +150,34 @@ def rejection_report(raw: DataFrame) -> DataFrame:
     cols = raw.columns + ["age_years"]
     tagged = with_age.select(F.col("_copies"), rejection_reason(cols).alias("_reason"))
     per_reason = tagged.groupBy("_reason").agg(
-        F.sum("_copies").alias("_rows"), F.count(F.lit(1)).alias("_distinct")
-    )
-    # per_reason has at most (number of rules + 1) rows.
-    totals = per_reason.agg(
+        F.sum("_copies").alias("_rows"), F.count(F.lit(1)).alias("_distinct"))
+    # per_reason has at most (number of rules + 1) rows: fold it into one row
+    # (the list is bounded by the rule count) and explode once, so the
+    # all-columns shuffle above runs a single time.
+    one = per_reason.agg(
         F.sum("_rows").alias("initial"),
         (F.sum("_rows") - F.sum("_distinct")).alias("duplicates"),
         F.sum(F.when(F.col("_reason").isNull(), F.col("_distinct")).otherwise(0)).alias("final"),
+        F.collect_list(F.when(F.col("_reason").isNotNull() & (F.col("_distinct") > 0),
+                              F.struct(F.col("_reason").alias("reason"),
+                                       F.col("_distinct").alias("n")))).alias("rules"),
     )
-    summary = totals.select(
-        F.explode(F.array(
-            F.struct(F.lit("initial_shape").alias("step"), F.lit("rows").alias("rule"),
-                     F.col("initial").alias("rows")),
-            F.struct(F.lit("duplicates_removed").alias("step"), F.lit("all_columns").alias("rule"),
-                     F.col("duplicates").alias("rows")),
-            F.struct(F.lit("final_shape").alias("step"), F.lit("rows").alias("rule"),
-                     F.col("final").alias("rows")),
-            F.struct(F.lit("removed_rows").alias("step"), F.lit("rows").alias("rule"),
-                     (F.col("initial") - F.col("final")).alias("rows")),
-        )).alias("r")
-    ).select("r.*")
-    rules = per_reason.where(F.col("_reason").isNotNull() & (F.col("_distinct") > 0)).select(
-        F.split(F.col("_reason"), ":").getItem(0).alias("step"),
-        F.split(F.col("_reason"), ":").getItem(1).alias("rule"),
-        F.col("_distinct").alias("rows"),
+
+    def row(step, rule, n):
+        return F.struct(F.lit(step).alias("step"), F.lit(rule).alias("rule"),
+                        n.cast("bigint").alias("rows"))
+
+    summary = F.array(
+        row("initial_shape", "rows", F.col("initial")),
+        row("duplicates_removed", "all_columns", F.col("duplicates")),
+        row("final_shape", "rows", F.col("final")),
+        row("removed_rows", "rows", F.col("initial") - F.col("final")),
     )
-    return summary.unionByName(rules).select(
-        "step", "rule", F.col("rows").cast("bigint").alias("rows"))
+    rules = F.transform("rules", lambda r: F.struct(
+        F.split(r["reason"], ":").getItem(0).alias("step"),
+        F.split(r["reason"], ":").getItem(1).alias("rule"),
+        r["n"].cast("bigint").alias("rows")))
+    return one.select(F.explode(F.concat(summary, rules)).alias("r")).select("r.*")
 
 
 # ---------------------------------------------------------------- requests

@@ -109,11 +109,22 @@ def exact_quantiles(long_df: DataFrame, group_col: str, value_col: str,
     a count per distinct (group, value), distributed prefix sums and one
     conditional aggregate; no group is ever gathered into one task.
     """
-    names = out_names or [f"q{int(round(p * 100))}" for p in probs]
     counts = (long_df.where(F.col(value_col).isNotNull())
               .groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
+    return quantiles_from_counts(counts, group_col, value_col, probs, num_buckets, out_names)
+
+
+def quantiles_from_counts(counts: DataFrame, group_col: str, value_col: str,
+                          probs: list[float], num_buckets: int | None = None,
+                          out_names: list[str] | None = None,
+                          materialize: bool = True) -> DataFrame:
+    """``exact_quantiles`` from a (group, value, _cnt) table of distinct non-null values.
+
+    Pass ``materialize=False`` when ``counts`` is already checkpointed.
+    """
+    names = out_names or [f"q{int(round(p * 100))}" for p in probs]
     pre = exclusive_prefix_sums(counts, [group_col], [value_col], ["_cnt"], num_buckets,
-                                materialize=True)
+                                materialize=materialize)
     n = pre.groupBy(group_col).agg(F.sum("_cnt").alias("_n"))
     x = pre.join(n, on=group_col)
     aggs = []

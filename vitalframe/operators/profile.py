@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalframe.functions.rounding import half_even, r6
-from vitalframe.operators.ordered import exact_quantiles
+from vitalframe.operators.ordered import quantiles_from_counts
+from vitalframe.session import checkpoint_root
 from vitalframe.schema import (
     CATEGORICAL_DOMAINS,
     DUPLICATE_THRESHOLD,
@@ -183,11 +184,16 @@ def quality_report(df: DataFrame, domains: dict | None = None,
         F.col("n_invalid").cast("double").alias("value"), "passed")
     checks = miss.unionByName(dup).unionByName(cat)
     n_cat = len([c for c in domains if c in df.columns])
-    score = checks.agg(
-        half_even(F.sum(F.col("passed").cast("int")) / F.lit(2 + n_cat) * 100, 2).alias("value")
-    ).select(F.lit("quality_score").alias("check"), F.lit(None).cast("string").alias("column"),
-             "value", F.lit(None).cast("boolean").alias("passed"))
-    return checks.unionByName(score)
+    # The check rows (2 + categorical columns) fold into one row, so each
+    # source is computed once; the score is added before exploding back.
+    one = checks.agg(
+        F.collect_list(F.struct("check", "column", "value", "passed")).alias("rows"),
+        half_even(F.sum(F.col("passed").cast("int")) / F.lit(2 + n_cat) * 100, 2).alias("score"))
+    score_row = F.struct(F.lit("quality_score").alias("check"),
+                         F.lit(None).cast("string").alias("column"),
+                         F.col("score").alias("value"),
+                         F.lit(None).cast("boolean").alias("passed"))
+    return one.select(F.explode(F.concat("rows", F.array(score_row))).alias("r")).select("r.*")
 
 
 # ----------------------------------------------------------------- V12 - V14
@@ -220,10 +226,14 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None,
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
         for c in cols])).alias("kv")).select("kv.*")
-    quants = exact_quantiles(long, "column", "value", [0.25, 0.5, 0.75], num_buckets,
-                             ["p25", "p50", "p75"])
-    uniq = long.where(F.col("value").isNotNull()).groupBy("column", "value").count() \
-        .groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    # One count per distinct (column, value), written once: it feeds both the
+    # quantiles and the unique counts.
+    checkpoint_root(df.sparkSession)
+    counts = (long.where(F.col("value").isNotNull()).groupBy("column", "value")
+              .agg(F.count(F.lit(1)).alias("_cnt"))).checkpoint(eager=True)
+    quants = quantiles_from_counts(counts, "column", "value", [0.25, 0.5, 0.75], num_buckets,
+                                   ["p25", "p50", "p75"], materialize=False)
+    uniq = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
     out = basic.join(quants, "column", "left").join(uniq, "column", "left")
     return out.select(
         "column",
