@@ -92,3 +92,21 @@ def test_csv_round_trip_and_corrupt_lines(spark, tmp_path):
                    "1;18000;1;170;70.5;120;80;1;1;0;0;1;0\n2;x;1;170;70;120;80;1;1;0;0;1;0\n")
     rows = sio.read_delimited(spark, str(bad), RAW_SCHEMA, keep_corrupt=True).orderBy("id").collect()
     assert rows[0]["_corrupt_record"] is None and rows[1]["_corrupt_record"] is not None
+
+
+def test_batch_pipeline_end_to_end(spark):
+    from vitalframe.operators.clean import clean
+    out = batch.run_batch_pipeline(
+        spark, "/root/testdata/sf0.001", scratch_dir(spark, "pipeline-test"),
+        model_names=["Logistic_Regression", "Gradient_Boosting"],
+        model_params={"Gradient_Boosting": {"n_estimators": 5, "max_depth": 3}})
+    p = out["paths"]
+    assert out["best_model"] in ("Logistic_Regression", "Gradient_Boosting")
+    cleaned = spark.read.parquet(p["clean"])
+    direct = batch.raw_patients(spark, "/root/testdata/sf0.001").transform(clean)
+    assert sorted(map(tuple, cleaned.collect())) == sorted(map(tuple, direct.collect()))
+    rep = {(r.step, r.rule): r.rows for r in spark.read.json(p["cleaning_report"]).collect()}
+    assert rep[("final_shape", "rows")] == cleaned.count()
+    loaded = ml.ModelBundle.load(p["model"])
+    assert loaded.name == out["best_model"]
+    assert 0.0 <= out["test_metrics"]["roc_auc"] <= 1.0

@@ -71,3 +71,32 @@ def test_standard_scaler_population_std(spark):
     assert sum(out) == pytest.approx(0.0, abs=1e-12)
     const = spark.createDataFrame([(3.0,), (3.0,)], "x double")
     assert S.fit_standard_scaler(const, ["x"]).scale["x"] == 1.0
+
+
+def test_select_model_features_and_consistency(spark):
+    from vitalframe.operators.features import select_model_features
+    from vitalframe.operators.metrics import check_feature_consistency, feature_consistency
+    df = spark.createDataFrame([(1, 50, 120, 0)], "id long, age_years long, ap_hi long, cardio long")
+    assert select_model_features(df, keep=("id",)).columns == ["id", "age_years", "ap_hi", "cardio"]
+    with pytest.raises(ValueError):
+        select_model_features(df.select("id"))
+    assert feature_consistency(["a", "b"], ["b", "c"]) == {"missing": ["a"], "extra": ["c"]}
+    with pytest.raises(ValueError):
+        check_feature_consistency(["a"], ["b"])
+
+
+def test_optional_range_rules_and_threshold(spark):
+    from vitalframe.operators.clean import filter_ranges
+    from vitalframe.operators.score import LinearRiskModel
+    rows = [(1, 30000, 1, 170, 70.0, 120, 80, 1, 1, 0, 0, 1, 0)]
+    df = raw_frame(spark, rows).withColumn("age_years", F.lit(50).cast("long"))
+    assert filter_ranges(df).count() == 1
+    assert filter_ranges(df, extra_rules=("age_days",)).count() == 0
+    m = LinearRiskModel(0.0, {"ap_hi": 0.0}, threshold=0.4)
+    assert df.select(m.prediction()).first()[0] == 1   # p = 0.5 > 0.4
+
+
+def test_tuned_estimator_uses_best_params():
+    from vitalframe.operators import models as ml
+    est = ml.tuned_estimator("Random_Forest", {"n_estimators": 7, "max_depth": 40, "min_samples_leaf": 2})
+    assert est.getNumTrees() == 7 and est.getMaxDepth() == 30 and est.getMinInstancesPerNode() == 2

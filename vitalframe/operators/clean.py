@@ -145,10 +145,29 @@ def rejection_report(raw: DataFrame) -> DataFrame:
     charged to the first rule it fails. Per-rule rows appear only when the
     count is positive, as in the reference report.
     """
+    return report_from_tagged(tag_distinct_rows(raw))
+
+
+def tag_distinct_rows(raw: DataFrame) -> DataFrame:
+    """Distinct raw rows + ``age_years`` + ``_copies`` + first failing rule ``_reason``.
+
+    One all-columns hash aggregate (partial aggregation map-side). Rows with a
+    null ``_reason`` are exactly the cleaned table.
+    """
     distinct_rows = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_copies"))
     with_age = distinct_rows.withColumn("age_years", fx.age_years("age"))
     cols = raw.columns + ["age_years"]
-    tagged = with_age.select(F.col("_copies"), rejection_reason(cols).alias("_reason"))
+    return with_age.withColumn("_reason", rejection_reason(cols))
+
+
+def cleaned_from_tagged(tagged: DataFrame) -> DataFrame:
+    """C9 from tagged distinct rows: survivors, original columns + age_years, cast."""
+    keep = [c for c in tagged.columns if c not in ("_copies", "_reason")]
+    return tagged.where(F.col("_reason").isNull()).select(*keep).transform(cast_types)
+
+
+def report_from_tagged(tagged: DataFrame) -> DataFrame:
+    """C8 report rows from tagged distinct rows."""
     per_reason = tagged.groupBy("_reason").agg(
         F.sum("_copies").alias("_rows"), F.count(F.lit(1)).alias("_distinct"))
     # per_reason has at most (number of rules + 1) rows: fold it into one row

@@ -33,10 +33,14 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def range_bounds(df: DataFrame, order_col: str, num_buckets: int,
-                 accuracy: int = 10000) -> list[float]:
-    """Approximate equi-depth boundaries of ``order_col`` (sorted, de-duplicated)."""
+                 accuracy: int | None = None) -> list[float]:
+    """Approximate equi-depth boundaries of ``order_col`` (sorted, de-duplicated).
+
+    The sketch's rank error (1 / accuracy) is kept well below one bucket.
+    """
     if num_buckets <= 1:
         return []
+    accuracy = accuracy or max(10000, 20 * num_buckets)
     probs = [i / num_buckets for i in range(1, num_buckets)]
     row = df.agg(
         F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("b")
@@ -125,8 +129,9 @@ def quantiles_from_counts(counts: DataFrame, group_col: str, value_col: str,
     names = out_names or [f"q{int(round(p * 100))}" for p in probs]
     pre = exclusive_prefix_sums(counts, [group_col], [value_col], ["_cnt"], num_buckets,
                                 materialize=materialize)
+    # One row per group (columns / metrics: a handful), so broadcasting is bounded.
     n = pre.groupBy(group_col).agg(F.sum("_cnt").alias("_n"))
-    x = pre.join(n, on=group_col)
+    x = pre.join(F.broadcast(n), on=group_col)
     aggs = []
     for p, name in zip(probs, names):
         k = (F.col("_n") - 1) * F.lit(float(p))

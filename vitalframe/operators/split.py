@@ -99,7 +99,10 @@ def train_val_test_split_exact(df: DataFrame, id_col: str = "id", seed: int = RA
     ranked = _rank_in_label(df, id_col, seed, label_col)
     n = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
     val_ratio = validation_size / (1 - test_size)
-    x = ranked.join(n, on=label_col)
+    # One row per label value (the label domain is validated as {0, 1}), so the
+    # broadcast is bounded; a shuffle join on the label would put each class
+    # into a single task.
+    x = ranked.join(F.broadcast(n), on=label_col)
     n_test = F.rint(F.col("_n") * F.lit(test_size))
     n_val = F.rint((F.col("_n") - n_test) * F.lit(val_ratio))
     return x.withColumn(

@@ -35,3 +35,73 @@ def bp_category_summary(df: DataFrame) -> DataFrame:
         r6(F.avg(F.col("cardio").cast("double"))).alias("cardio_rate"),
         r6(F.avg("age_years")).alias("mean_age"),
     )
+
+
+# ------------------------------------------------------------------ staged run
+
+def clean_with_report(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """C8 + C9 from one de-duplicating aggregate, written once to the checkpoint folder."""
+    from vitalframe.operators.clean import cleaned_from_tagged, report_from_tagged, tag_distinct_rows
+    from vitalframe.session import checkpoint_root
+    checkpoint_root(raw.sparkSession)
+    tagged = tag_distinct_rows(raw).checkpoint(eager=True)
+    return cleaned_from_tagged(tagged), report_from_tagged(tagged)
+
+
+def run_batch_pipeline(spark: SparkSession, sf_dir: str, out_root: str,
+                       model_names: list[str] | None = None,
+                       model_params: dict[str, dict] | None = None) -> dict:
+    """The four reference stages (ingest, clean, features, train) as Spark jobs.
+
+    Each stage writes its output under ``out_root`` (a shared folder) and the
+    next stage reads it back, so a failed stage restarts from the last
+    written table rather than from the source. Returns paths and the chosen
+    model.
+    """
+    import os
+
+    from vitalframe.operators import metrics as ev
+    from vitalframe.operators import models as ml
+    from vitalframe.operators import profile as prof
+    from vitalframe.operators.split import train_val_test_split
+    from vitalframe.schema import MODEL_FEATURES
+    from vitalframe.sources import io as sio
+
+    p = {k: os.path.join(out_root, k) for k in (
+        "raw", "profile", "quality", "clean", "cleaning_report", "features", "splits",
+        "feature_metadata", "training_summary", "test_metrics", "runs", "best_params", "model")}
+
+    # Stage 1: ingest (raw table as ';' CSV, profile and quality reports).
+    sio.write_delimited(raw_patients(spark, sf_dir), p["raw"], sep=";")
+    raw = sio.read_delimited(spark, p["raw"], sep=";")
+    prof.dataset_info(raw).write.mode("overwrite").json(p["profile"])
+    prof.quality_report(raw).write.mode("overwrite").json(p["quality"])
+
+    # Stage 2: clean (one de-duplicating pass feeds the table and the report).
+    cleaned, report = clean_with_report(raw)
+    cleaned.write.mode("overwrite").parquet(p["clean"])
+    report.write.mode("overwrite").json(p["cleaning_report"])
+
+    # Stage 3: features.
+    spark.read.parquet(p["clean"]).transform(add_features).write.mode("overwrite").parquet(p["features"])
+
+    # Stage 4: split, train, select, evaluate, save.
+    featured_df = spark.read.parquet(p["features"])
+    sio.write_splits(train_val_test_split(featured_df).select(
+        "id", *MODEL_FEATURES, "cardio", "split"), p["splits"], ["id"] + MODEL_FEATURES)
+    sio.write_feature_metadata(spark, MODEL_FEATURES, p["feature_metadata"])
+    splits_df = spark.read.parquet(p["splits"])
+    bundles, metrics = ml.train_and_evaluate(splits_df, model_names, model_params)
+    summary = ml.training_summary(metrics)
+    summary.write.mode("overwrite").json(p["training_summary"])
+    best = ml.select_best(summary)
+    bundle = bundles[best]
+    test = sio.read_split(spark, p["splits"], "test")
+    test_metrics = ev.basic_metrics(bundle.score(test, keep=("id",)))
+    test_metrics.write.mode("overwrite").json(p["test_metrics"])
+    m = test_metrics.first().asDict()
+    ml.log_runs(ml.runs_rows(spark, os.path.basename(out_root), best, bundle.params, m, "test"), p["runs"])
+    sio.write_json_record(ml.best_params_record(spark, best, {**ml.MODEL_CONFIG[best], **bundle.params},
+                                                None, m), p["best_params"])
+    bundle.save(p["model"])
+    return {"paths": p, "best_model": best, "test_metrics": m}
