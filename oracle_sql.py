@@ -660,12 +660,18 @@ def _assessment_sql(v1=False):
     perc = (f"CASE WHEN age < 40 THEN least(CAST(95 AS DOUBLE), {base} + 15) WHEN age < 50 THEN least(CAST(95 AS DOUBLE), {base} + 10) "
             f"WHEN age < 60 THEN {base} + 5 ELSE greatest(CAST(50 AS DOUBLE), {base} - 5) END")
     ipct = "CAST(floor(probability * 100) AS INTEGER)"
+    shown = "CAST(" + ipct + " AS VARCHAR)"
+    label_hi = "'Elevated Cardiovascular Risk Identified'"
+    if v1:
+        ipct = "(probability * 100)"
+        shown = "printf('%.1f', probability * 100)"
+        label_hi = "'Elevated Risk Detected'"
     return [
         "a0 AS (SELECT *, weight / ((height / 100) * (height / 100)) AS bmi_raw FROM resp WHERE status = 'scored')",
         f"a1 AS (SELECT *, CAST(floor(least(CAST(99 AS DOUBLE), greatest(CAST(1 AS DOUBLE), {perc}))) AS INTEGER) AS age_percentile FROM a0)",
         f"""asm AS (SELECT request_id, {R6('probability')} AS probability, prediction, risk_level,
-   CASE WHEN prediction = 1 THEN 'Elevated Cardiovascular Risk Identified' ELSE 'Lower Risk Profile' END AS assessment,
-   CAST({ipct} AS VARCHAR) || '% ' || CASE WHEN {ipct} >= 70 THEN '(Significantly Elevated)'
+   CASE WHEN prediction = 1 THEN {label_hi} ELSE 'Lower Risk Profile' END AS assessment,
+   {shown} || '% ' || CASE WHEN {ipct} >= 70 THEN '(Significantly Elevated)'
      WHEN {ipct} >= 50 THEN '(Moderately Elevated)' ELSE '(Within Expected Range)' END AS risk_index,
    {_context(v1)} AS risk_context, age_percentile, {cmp_} AS age_comparison,
    {_contributors(v1)} AS contributors, {_recommendations(v1)} AS action_plan,

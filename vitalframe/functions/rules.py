@@ -404,15 +404,21 @@ def risk_context(level="risk_level", variant: str = "current") -> Column:
     return F.struct(pick(0).alias("meaning"), pick(1).alias("action"), pick(2).alias("note"))
 
 
-def assessment_label(pred="prediction") -> Column:
-    """K16a."""
-    return F.when(col(pred) == 1, "Elevated Cardiovascular Risk Identified").otherwise("Lower Risk Profile")
-
-
-def risk_index_text(p="probability") -> Column:
-    """int(p * 100) with its band."""
-    pct = (col(p) * 100).cast("int")
-    return F.concat(pct.cast("string"), F.lit("% "),
+def assessment_label(pred="prediction", variant: str = "current") -> Column:
+    """Class -> text (the older form says 'Detected')."""
+    hi = "Elevated Cardiovascular Risk Identified" if variant == "current" else "Elevated Risk Detected"
+    return F.when(col(pred) == 1, hi).otherwise("Lower Risk Profile")
+
+
+def risk_index_text(p="probability", variant: str = "current") -> Column:
+    """int(p * 100) with its band; the older form shows p * 100 to one decimal."""
+    if variant == "current":
+        pct = (col(p) * 100).cast("int")
+        shown = pct.cast("string")
+    else:
+        pct = col(p) * 100
+        shown = F.format_string("%.1f", pct)
+    return F.concat(shown, F.lit("% "),
                     F.when(pct >= 70, "(Significantly Elevated)").when(pct >= 50, "(Moderately Elevated)")
                     .otherwise("(Within Expected Range)"))
 

@@ -191,8 +191,8 @@ def assessment(responses: DataFrame, variant: str = "current") -> DataFrame:
         cmp_ = rules.age_comparison_v1("age", "age_percentile")
     return r.select(
         "request_id", "probability", "prediction", "risk_level",
-        rules.assessment_label().alias("assessment"),
-        rules.risk_index_text().alias("risk_index"),
+        rules.assessment_label(variant=variant).alias("assessment"),
+        rules.risk_index_text(variant=variant).alias("risk_index"),
         rules.risk_context("risk_level", variant).alias("risk_context"),
         "age_percentile", cmp_.alias("age_comparison"),
         contrib.alias("contributors"), recs.alias("action_plan"),
