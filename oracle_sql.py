@@ -131,6 +131,7 @@ FROM featured GROUP BY bp_category"""
     q.update(eval_queries())
     q.update(scoring_queries())
     q.update(option_queries())
+    q.update(cleaning_step_queries())
     return q
 
 
@@ -827,3 +828,18 @@ SELECT id, CAST(CASE WHEN gender = 2 THEN 2 ELSE 1 END AS BIGINT) AS gender,
     q["S6_C11_json_requests"] = with_(*rq) + "SELECT request_id, rejection FROM rq"
     q["K20_streaming_scoring"] = scoring_queries()["K1_score_requests"]
     return q
+
+
+def cleaning_step_queries() -> dict[str, str]:
+    base = with_(PATIENTS)
+    cat = " AND ".join(_cat_ok(c) for c in CAT)
+    rng = " AND ".join(_range_ok(c, lo, hi) for c, lo, hi, _ in RANGES)
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in RAW_COLS)
+    return {
+        "C1_remove_duplicates": base + "SELECT DISTINCT * FROM patients",
+        "C2_age_in_years": base + f"SELECT id, age, {AGE_YEARS} AS age_years FROM patients",
+        "C3_categorical_filter": base + f"SELECT * FROM patients WHERE {cat}",
+        "C4_range_filter": base + f"SELECT * FROM (SELECT *, {AGE_YEARS} AS age_years FROM patients) WHERE {rng}",
+        "C5_bp_anomaly_filter": base + "SELECT * FROM patients WHERE coalesce(ap_lo < ap_hi, false)",
+        "C6_drop_missing": base + f"SELECT * FROM patients WHERE {notnull}",
+    }

@@ -51,18 +51,60 @@ def _metric_cols(tn: Column, fp: Column, fn: Column, tp: Column) -> dict[str, Co
 
 def basic_metrics(scored: DataFrame, group_cols: list[str] | None = None,
                   with_auc: bool = True, constant_score_auc: float | None = 0.0) -> DataFrame:
-    """E1 + E2 + E4: accuracy, precision, recall, f1, roc_auc, specificity per group."""
+    """E1 + E2 + E4: accuracy, precision, recall, f1, roc_auc, specificity per group.
+
+    With the AUC, everything comes from one checkpointed per-score summary,
+    so the scored rows (and their upstream plan) are computed once.
+    """
     g = group_cols or []
-    cc = confusion_counts(scored, g)
+    if with_auc:
+        summary = materialize(score_summary(scored, g))
+        cc = counts_from_summary(summary, g)
+    else:
+        cc = confusion_counts(scored, g)
     m = _metric_cols(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"))
     out = cc.select(*g, *[r6(v).alias(k) for k, v in m.items()],
                     r6(_ratio(F.col("tn"), F.col("tn") + F.col("fp"))).alias("specificity"))
     if with_auc:
-        auc = roc_auc(scored, g, constant_score_auc=constant_score_auc)
+        auc = auc_from_summary(summary, g, constant_score_auc=constant_score_auc)
         out = merge_rows([out, auc], g)
     return out
 
 
+def score_summary(scored: DataFrame, group_cols: list[str] | None = None, label: str = "label",
+                  score: str = "probability", pred: str = "prediction") -> DataFrame:
+    """(groups, score, pos, neg, tp, fp): one row per distinct score per group.
+
+    A map-side partially aggregated group-by: a score shared by a third of all
+    rows is one row. Every metric below is a function of the score, so this
+    reduced table is all the evaluation needs.
+    """
+    g = group_cols or []
+    y = F.col(label)
+    has_pred = pred in scored.columns
+    pr = F.col(pred) if has_pred else F.lit(None)
+    return scored.groupBy(*g, F.col(score).alias("score")).agg(
+        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"),
+        F.count_if((y == 1) & (pr == 1)).alias("tp"), F.count_if((y == 0) & (pr == 1)).alias("fp"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a reduced table once to the checkpoint folder (lineage cut)."""
+    from vitalframe.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def counts_from_summary(summary: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+    """tn, fp, fn, tp, n per group from the per-score summary."""
+    g = group_cols or []
+    a = summary.groupBy(*g).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
+                                F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    return a.select(*g, (F.col("_n") - F.col("fp")).alias("tn"), "fp",
+                    (F.col("_p") - F.col("tp")).alias("fn"), "tp",
+                    (F.col("_p") + F.col("_n")).alias("n"))
+
+
 def merge_rows(frames: list[DataFrame], group_cols: list[str]) -> DataFrame:
     """Combine per-group result rows that carry different columns, without a join.
 
@@ -92,10 +134,17 @@ def roc_auc(scored: DataFrame, group_cols: list[str] | None = None, label: str =
     the training summary; pass 0.5 for the plain statistic).
     """
     g = group_cols or []
-    per = scored.groupBy(*g, score).agg(
-        F.count_if(F.col(label) == 1).alias("pos"),
-        F.count_if(F.col(label) == 0).alias("neg"))
-    pre = exclusive_prefix_sums(per, g, [score], ["neg"], num_buckets, materialize=True)
+    summary = materialize(score_summary(scored, g, label, score))
+    return auc_from_summary(summary, g, constant_score_auc, num_buckets)
+
+
+def auc_from_summary(summary: DataFrame, group_cols: list[str] | None = None,
+                     constant_score_auc: float | None = 0.0,
+                     num_buckets: int | None = None) -> DataFrame:
+    """E2 from a (materialised) per-score summary."""
+    g = group_cols or []
+    per = summary.select(*g, "score", "pos", "neg")
+    pre = exclusive_prefix_sums(per, g, ["score"], ["neg"], num_buckets)
     agg = pre.groupBy(*g).agg(
         F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("_u"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
@@ -184,23 +233,38 @@ def calibration_error(scored: DataFrame, group_cols: list[str] | None = None,
         r6(F.avg(F.abs(F.col("observed_rate") - F.col("mean_predicted")))).alias("calibration_error"))
 
 
-def reliability_metrics(scored: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
-    """Calibration error, high-confidence accuracy and share, mean / std of p."""
+def reliability_metrics(scored: DataFrame, group_cols: list[str] | None = None,
+                        summary: DataFrame | None = None) -> DataFrame:
+    """Calibration error, high-confidence accuracy and share, mean / std of p.
+
+    Computed from the per-score summary (materialised once): every quantity
+    is a function of the score weighted by its row count. The population std
+    uses the moments of the score, which lies in [0, 1].
+    """
     g = group_cols or []
-    p, y = F.col("probability"), F.col("label")
-    high = (p > 0.8) | (p < 0.2)
-    hit = high & ((p > 0.5).cast("int") == y)
-    base = scored.groupBy(*g).agg(
-        F.count_if(high).alias("_high"), F.count_if(hit).alias("_hit"),
-        F.count(F.lit(1)).alias("_n"),
-        F.avg(p).alias("_mean"), F.stddev_pop(p).alias("_std"))
+    sm = summary if summary is not None else materialize(score_summary(scored, g))
+    sc_, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
+    c = pos + neg
+    high = (sc_ > 0.8) | (sc_ < 0.2)
+    base = sm.groupBy(*g).agg(
+        F.sum(F.when(high, c).otherwise(0)).alias("_high"),
+        F.sum(F.when(high, F.when(sc_ > 0.5, pos).otherwise(neg)).otherwise(0)).alias("_hit"),
+        F.sum(c).alias("_n"), F.sum(sc_ * c).alias("_s1"), F.sum(sc_ * sc_ * c).alias("_s2"))
+    mean = F.col("_s1") / F.col("_n")
+    var = F.greatest(F.col("_s2") / F.col("_n") - mean * mean, F.lit(0.0))
     rel = base.select(
         *g,
         r6(_ratio(F.col("_hit"), F.col("_high"))).alias("high_confidence_accuracy"),
         r6(_ratio(F.col("_high") * 100, F.col("_n"))).alias("high_confidence_percentage"),
-        r6(F.col("_mean")).alias("mean_predicted_probability"),
-        r6(F.col("_std")).alias("std_predicted_probability"))
-    ce = calibration_error(scored, g)
+        r6(mean).alias("mean_predicted_probability"),
+        r6(F.sqrt(var)).alias("std_predicted_probability"))
+    step = 1.0 / CALIBRATION_BINS
+    b = sum((sc_ > F.lit(i * step)).cast("int") for i in range(1, CALIBRATION_BINS))
+    bins = sm.groupBy(*g, b.alias("bin")).agg(
+        (F.sum(sc_ * c) / F.sum(c)).alias("mean_predicted"),
+        (F.sum(pos) / F.sum(c)).alias("observed_rate"))
+    ce = bins.groupBy(*g).agg(
+        r6(F.avg(F.abs(F.col("observed_rate") - F.col("mean_predicted")))).alias("calibration_error"))
     return merge_rows([rel, ce], g)
 
 
@@ -231,9 +295,14 @@ def threshold_sweep(scored: DataFrame, group_cols: list[str] | None = None,
 def evaluation_bundle(scored: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
     """Every scalar metric as long-form (metric, value) rows per group."""
     g = group_cols or []
-    basic = basic_metrics(scored, g, constant_score_auc=None)
-    rel = reliability_metrics(scored, g)
-    both = merge_rows([basic, rel], g)
+    summary = materialize(score_summary(scored, g))
+    cc = counts_from_summary(summary, g)
+    m = _metric_cols(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"))
+    basic = cc.select(*g, *[r6(v).alias(k) for k, v in m.items()],
+                      r6(_ratio(F.col("tn"), F.col("tn") + F.col("fp"))).alias("specificity"))
+    auc = auc_from_summary(summary, g, constant_score_auc=None)
+    rel = reliability_metrics(scored, g, summary=summary)
+    both = merge_rows([basic, auc, rel], g)
     names = ["accuracy", "precision", "recall", "f1_score", "roc_auc", "specificity",
              "calibration_error", "high_confidence_accuracy", "high_confidence_percentage",
              "mean_predicted_probability", "std_predicted_probability"]

@@ -488,3 +488,34 @@ def q_s8(spark, sf):
     ml.log_runs(ml.runs_rows(spark, "run-1", b.name, b.params, m, "test"), runs)
     ml.log_runs(ml.runs_rows(spark, "run-2", b.name, b.params, m, "test"), runs)
     return spark.read.parquet(runs).drop("logged_at")
+
+
+# ------------------------------------------------------------------ cleaning steps C1 - C6
+@register("C1_remove_duplicates")
+def q_c1(spark, sf):
+    return cln.remove_duplicates(batch.raw_patients(spark, sf))
+
+
+@register("C2_age_in_years")
+def q_c2(spark, sf):
+    return cln.convert_age_to_years(batch.raw_patients(spark, sf)).select("id", "age", "age_years")
+
+
+@register("C3_categorical_filter")
+def q_c3(spark, sf):
+    return cln.filter_categorical(batch.raw_patients(spark, sf))
+
+
+@register("C4_range_filter")
+def q_c4(spark, sf):
+    return cln.filter_ranges(cln.convert_age_to_years(batch.raw_patients(spark, sf)))
+
+
+@register("C5_bp_anomaly_filter")
+def q_c5(spark, sf):
+    return cln.filter_bp_anomalies(batch.raw_patients(spark, sf))
+
+
+@register("C6_drop_missing")
+def q_c6(spark, sf):
+    return cln.drop_missing(batch.raw_patients(spark, sf))
