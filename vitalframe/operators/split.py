@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe.operators.ordered import exclusive_prefix_sums
-from vitalframe.schema import CV_FOLDS, RANDOM_STATE, TEST_SIZE, VALIDATION_SIZE
+from vitalframe.schema import CV_FOLDS, RANDOM_STATE, RAW_COLUMNS, TEST_SIZE, VALIDATION_SIZE
 
 TWO_32 = 4294967296.0
 
@@ -75,12 +75,15 @@ def _rank_in_label(df: DataFrame, id_col: str, seed: int, label_col: str) -> Dat
     """0-based rank of each row inside its label, ordered by the id hash.
 
     The order key is ``hash_key(id) + f`` where ``f`` in [0, 1) comes from 20
-    bits of a hash of the whole row: still ordered by the id hash first, but
+    bits of a hash of the row's raw columns: still ordered by the id hash first, but
     rows of one hot id get distinct keys, so range buckets can split them
-    (32 + 20 bits stay exact in a double). The full row hash breaks any
-    remaining tie, so ranks are identical when a task is recomputed.
+    (32 + 20 bits stay exact in a double). The full 64-bit row hash breaks
+    any remaining tie, so ranks are identical when a task is recomputed.
     """
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    # Derived columns are functions of the raw ones, so hashing the raw
+    # columns is as discriminating and keeps the generated code small.
+    raw = [c for c in RAW_COLUMNS if c in df.columns] or df.columns
+    row_hash = F.xxhash64(*[F.col(c) for c in raw])
     keyed = df.withColumns({
         "_rh": row_hash,
         "_hk": hash_key(id_col, seed).cast("double")
