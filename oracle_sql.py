@@ -132,6 +132,12 @@ FROM featured GROUP BY bp_category"""
     q.update(scoring_queries())
     q.update(option_queries())
     q.update(cleaning_step_queries())
+    q["V12_string_statistics"] = with_(PATIENTS, *_requests_ctes()[:1]) + """
+SELECT 'gender' AS "column", CAST(COUNT(gender) AS BIGINT) AS "count",
+ CAST(COUNT(DISTINCT gender) AS BIGINT) AS "unique",
+ (SELECT gender FROM req WHERE gender IS NOT NULL GROUP BY gender ORDER BY COUNT(*) DESC, gender LIMIT 1) AS top,
+ (SELECT CAST(COUNT(*) AS BIGINT) FROM req WHERE gender IS NOT NULL GROUP BY gender ORDER BY COUNT(*) DESC LIMIT 1) AS freq,
+ CAST(COUNT(*) - COUNT(gender) AS BIGINT) AS missing_count FROM req"""
     return q
 
 

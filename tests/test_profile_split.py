@@ -100,3 +100,18 @@ def test_tuned_estimator_uses_best_params():
     from vitalframe.operators import models as ml
     est = ml.tuned_estimator("Random_Forest", {"n_estimators": 7, "max_depth": 40, "min_samples_leaf": 2})
     assert est.getNumTrees() == 7 and est.getMaxDepth() == 30 and est.getMinInstancesPerNode() == 2
+
+
+def test_string_statistics_top_ties_and_nulls(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), ("c",), (None,)], "g string")
+    r = P.string_statistics(df).first()
+    assert (r["count"], r["unique"], r["top"], r["freq"], r["missing_count"]) == (5, 3, "a", 2, 1)
+
+
+def test_improvement_against_previous_runs(spark):
+    from vitalframe.operators import models as ml
+    cur = ml.runs_rows(spark, "new", "XGBoost", {}, {"roc_auc": 0.82}, "test")
+    old = ml.runs_rows(spark, "old", "XGBoost", {}, {"roc_auc": 0.80}, "test")
+    r = ml.improvement(cur, previous_runs=old).first()
+    assert r.previous_auc == 0.80 and r.improvement_pct == pytest.approx(2.5, abs=1e-6)
+    assert ml.improvement(cur).first().previous_auc == ml.PREVIOUS_MODEL_AUC

@@ -402,11 +402,27 @@ def feature_importance(bundle: ModelBundle) -> DataFrame | None:
                                  "feature string, importance double").orderBy(F.desc("importance"))
 
 
-def improvement(runs: DataFrame, previous_auc: float = PREVIOUS_MODEL_AUC) -> DataFrame:
-    """(auc - previous) / previous * 100 for each run's test AUC."""
-    return runs.where(F.col("metric") == "roc_auc").select(
-        "run_id", "model", F.col("value").alias("roc_auc"),
-        r6((F.col("value") - previous_auc) / previous_auc * 100).alias("improvement_pct"))
+def improvement(runs: DataFrame, previous_auc: float = PREVIOUS_MODEL_AUC,
+                previous_runs: DataFrame | None = None) -> DataFrame:
+    """(auc - previous) / previous * 100 for each run's test AUC.
+
+    The previous AUC is the stored constant, or, with ``previous_runs``, the
+    best earlier test AUC of the same model (an equi-join on the model name;
+    the previous side has one row per model).
+    """
+    cur = runs.where(F.col("metric") == "roc_auc").select(
+        "run_id", "model", F.col("value").alias("roc_auc"))
+    if previous_runs is None:
+        prev = F.lit(float(previous_auc))
+        out = cur.withColumn("previous_auc", prev)
+    else:
+        best_prev = previous_runs.where(F.col("metric") == "roc_auc").groupBy("model").agg(
+            F.max("value").alias("previous_auc"))
+        out = cur.join(best_prev, "model", "left")
+    return out.select(
+        "run_id", "model", "roc_auc", "previous_auc",
+        r6((F.col("roc_auc") - F.col("previous_auc")) / F.col("previous_auc") * 100)
+        .alias("improvement_pct"))
 
 
 def runs_rows(spark: SparkSession, run_id: str, model: str, params: dict,

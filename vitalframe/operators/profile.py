@@ -339,3 +339,30 @@ def cleaned_expectations(df: DataFrame) -> DataFrame:
         F.col("duplicates").cast("bigint").alias("violations"),
         (F.col("duplicates") == 0).alias("passed"))
     return checks.unionByName(dups)
+
+
+def string_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """V12 for text columns: count, unique, top (most frequent value), freq and
+    missing count. Ties for ``top`` go to the smallest value.
+
+    Built from one count per distinct (column, value), pre-aggregated
+    map-side; ``min_by`` over the key (-count, value) picks the top value.
+    """
+    cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols
+    ])).alias("kv")).select("kv.*")
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_cnt"))
+    present = counts.where(F.col("value").isNotNull())
+    stats = present.groupBy("column").agg(
+        F.sum("_cnt").cast("bigint").alias("count"),
+        F.count(F.lit(1)).cast("bigint").alias("unique"),
+        F.min_by("value", F.struct(F.negative(F.col("_cnt")), F.col("value"))).alias("top"),
+        F.max("_cnt").cast("bigint").alias("freq"))
+    missing = counts.groupBy("column").agg(
+        F.sum(F.when(F.col("value").isNull(), F.col("_cnt")).otherwise(0)).cast("bigint")
+        .alias("missing_count"))
+    return missing.join(stats, "column", "left").select(
+        "column", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"),
+        F.coalesce("unique", F.lit(0).cast("bigint")).alias("unique"), "top", "freq",
+        "missing_count")

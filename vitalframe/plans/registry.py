@@ -519,3 +519,8 @@ def q_c5(spark, sf):
 @register("C6_drop_missing")
 def q_c6(spark, sf):
     return cln.drop_missing(batch.raw_patients(spark, sf))
+
+
+@register("V12_string_statistics")
+def q_v12s(spark, sf):
+    return prof.string_statistics(requests(spark, sf))
