@@ -259,7 +259,10 @@ def cross_validate(df: DataFrame, names: list[str] | None = None, k: int = 5,
     unioned and evaluated in one grouped aggregation.
     """
     names = names or list(MODEL_CONFIG)
-    folded = reliable_checkpoint(kfold(df, k=k, exact=exact_folds, seed=seed))
+    # A caller that already has a checkpointed ``fold`` column (e.g. a tuning
+    # loop) passes it in; otherwise the folds are built and written once here.
+    folded = df if "fold" in df.columns else reliable_checkpoint(
+        kfold(df, k=k, exact=exact_folds, seed=seed))
     scored = None
     try:
         for name in names:
@@ -275,7 +278,8 @@ def cross_validate(df: DataFrame, names: list[str] | None = None, k: int = 5,
         long = m.select("model", "fold", F.explode(arr).alias("m")).select("model", "fold", "m.*")
         return long.persist(StorageLevel.MEMORY_AND_DISK)
     finally:
-        folded.unpersist(blocking=False)
+        if folded is not df:
+            folded.unpersist(blocking=False)
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
@@ -316,7 +320,7 @@ def _grid_maps(est, grid: dict[str, list]) -> list:
 def grid_search(train: DataFrame, grid: dict[str, list] | None = None, folds: int = 3,
                 features: list[str] | None = None, parallelism: int = 4,
                 seed: int = RANDOM_STATE):
-    """Grid search over the boosting model, ``folds``-fold, exact ROC-AUC.
+    """Grid search over the boosting model, stratified ``folds``-fold, exact ROC-AUC.
 
     Returns (best_params, best_cv_score, table of (params_json, cv_auc)).
     The whole grid is one ``CrossValidator`` run with ``parallelism`` fits
@@ -324,13 +328,17 @@ def grid_search(train: DataFrame, grid: dict[str, list] | None = None, folds: in
     """
     feats = features or [c for c in MODEL_FEATURES if c in train.columns]
     scaler = fit_standard_scaler(train, feats)
-    data = assemble(scaler.transform(train, feats), feats).persist(StorageLevel.MEMORY_AND_DISK)
+    # Stratified folds (exact per-label counts) handed to CrossValidator via foldCol.
+    folded = kfold(train, k=folds, exact=True, seed=seed)
+    data = assemble(scaler.transform(folded, feats), feats, keep=("fold",)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    data.count()  # fill the cache once before the parallel fits start
     try:
         est = GBTClassifier(featuresCol="features", labelCol="label", seed=seed)
         maps = _grid_maps(est, grid or RETRAIN_GRID)
         cv = CrossValidator(estimator=est, estimatorParamMaps=maps,
                             evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0),
-                            numFolds=folds, parallelism=parallelism, seed=seed)
+                            foldCol="fold", parallelism=parallelism, seed=seed)
         cvm = cv.fit(data)
     finally:
         data.unpersist()
@@ -369,11 +377,13 @@ def tune(df: DataFrame, name: str, n_trials: int = 50, k: int = 3,
     """Random search; each trial is a k-fold CV (mean ROC-AUC); a failed
     trial scores 0.0. Returns (trial, params_json, score) ordered best first."""
     trials = sample_params(name, n_trials, seed)
+    folded = reliable_checkpoint(kfold(df, k=k, exact=True, seed=seed))  # shared by all trials
     rows = []
     for i, p in enumerate(trials):
         fixed = {kk: vv for kk, vv in p.items() if kk != "solver"}
         try:
-            fs = cross_validate(df, [name], k=k, params={name: fixed}, features=features, seed=seed)
+            fs = cross_validate(folded, [name], k=k, params={name: fixed}, features=features,
+                                seed=seed)
             score = fs.where("metric = 'roc_auc'").agg(F.avg("value")).first()[0]
             fs.unpersist()
             score = float(score) if score is not None else 0.0
