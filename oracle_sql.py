@@ -132,6 +132,7 @@ FROM featured GROUP BY bp_category"""
     q.update(scoring_queries())
     q.update(option_queries())
     q.update(cleaning_step_queries())
+    q.update(label_table_queries())
     q["V12_string_statistics"] = with_(PATIENTS, *_requests_ctes()[:1]) + """
 SELECT 'gender' AS "column", CAST(COUNT(gender) AS BIGINT) AS "count",
  CAST(COUNT(DISTINCT gender) AS BIGINT) AS "unique",
@@ -849,3 +850,22 @@ def cleaning_step_queries() -> dict[str, str]:
         "C5_bp_anomaly_filter": base + "SELECT * FROM patients WHERE coalesce(ap_lo < ap_hi, false)",
         "C6_drop_missing": base + f"SELECT * FROM patients WHERE {notnull}",
     }
+
+
+def label_table_queries() -> dict[str, str]:
+    cols = ["doc_id", "quality", "toxic"]
+    dist = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS \"column\", CAST({c} AS BIGINT) AS value, COUNT(*) AS \"count\" "
+        f"FROM labels WHERE {c} IS NOT NULL GROUP BY {c}" for c in ["quality", "toxic"])
+    vals = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM labels" for c in ["quality", "toxic"])
+    checks = f"""WITH v AS ({vals}),
+cv AS (SELECT "column", value, coalesce(value IN (0, 1), false) AS is_valid FROM v GROUP BY ALL)
+SELECT "column", COUNT(*) FILTER (WHERE value IS NOT NULL) AS n_unique,
+ COUNT(*) FILTER (WHERE NOT is_valid) AS n_invalid, bool_or(value IS NULL) AS has_null,
+ COUNT(*) FILTER (WHERE NOT is_valid) = 0 AS passed FROM cv GROUP BY "column\""""
+    return {
+        "V14_labels_value_distributions": dist,
+        "V10_labels_categorical_checks": checks,
+        "V12_labels_column_statistics": _col_stats("labels", cols),
+    }

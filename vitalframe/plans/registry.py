@@ -524,3 +524,27 @@ def q_c6(spark, sf):
 @register("V12_string_statistics")
 def q_v12s(spark, sf):
     return prof.string_statistics(requests(spark, sf))
+
+
+# ------------------------------------------------------------------ second label table
+LABEL_DOMAINS = {"quality": [0, 1], "toxic": [0, 1]}
+
+
+def label_table(spark, sf):
+    from vitalframe.sources.patients import read_table
+    return read_table(spark, sf, "labels")
+
+
+@register("V14_labels_value_distributions")
+def q_v14l(spark, sf):
+    return prof.value_distributions(label_table(spark, sf), ["quality", "toxic"])
+
+
+@register("V10_labels_categorical_checks")
+def q_v10l(spark, sf):
+    return prof.categorical_checks(label_table(spark, sf), LABEL_DOMAINS)
+
+
+@register("V12_labels_column_statistics")
+def q_v12l(spark, sf):
+    return prof.column_statistics(label_table(spark, sf))
