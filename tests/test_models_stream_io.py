@@ -99,7 +99,7 @@ def test_batch_pipeline_end_to_end(spark):
     out = batch.run_batch_pipeline(
         spark, "/root/testdata/sf0.001", scratch_dir(spark, "pipeline-test"),
         model_names=["Logistic_Regression", "Gradient_Boosting"],
-        model_params={"Gradient_Boosting": {"n_estimators": 5, "max_depth": 3}})
+        model_params={"Gradient_Boosting": {"n_estimators": 5, "max_depth": 3}}, raw_format="csv")
     p = out["paths"]
     assert out["best_model"] in ("Logistic_Regression", "Gradient_Boosting")
     cleaned = spark.read.parquet(p["clean"])

@@ -50,13 +50,16 @@ def clean_with_report(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def run_batch_pipeline(spark: SparkSession, sf_dir: str, out_root: str,
                        model_names: list[str] | None = None,
-                       model_params: dict[str, dict] | None = None) -> dict:
+                       model_params: dict[str, dict] | None = None,
+                       raw_format: str = "parquet") -> dict:
     """The four reference stages (ingest, clean, features, train) as Spark jobs.
 
     Each stage writes its output under ``out_root`` (a shared folder) and the
     next stage reads it back, so a failed stage restarts from the last
-    written table rather than from the source. Returns paths and the chosen
-    model.
+    written table rather than from the source. Stage tables are parquet
+    (typed, column-pruned reads); ``raw_format="csv"`` keeps the raw table as
+    a ';' delimited file instead, like the reference's raw input. Returns
+    paths and the chosen model.
     """
     import os
 
@@ -71,9 +74,13 @@ def run_batch_pipeline(spark: SparkSession, sf_dir: str, out_root: str,
         "raw", "profile", "quality", "clean", "cleaning_report", "features", "splits",
         "feature_metadata", "training_summary", "test_metrics", "runs", "best_params", "model")}
 
-    # Stage 1: ingest (raw table as ';' CSV, profile and quality reports).
-    sio.write_delimited(raw_patients(spark, sf_dir), p["raw"], sep=";")
-    raw = sio.read_delimited(spark, p["raw"], sep=";")
+    # Stage 1: ingest (raw table, profile and quality reports).
+    if raw_format == "csv":
+        sio.write_delimited(raw_patients(spark, sf_dir), p["raw"], sep=";")
+        raw = sio.read_delimited(spark, p["raw"], sep=";")
+    else:
+        raw_patients(spark, sf_dir).write.mode("overwrite").parquet(p["raw"])
+        raw = spark.read.parquet(p["raw"])
     prof.dataset_info(raw).write.mode("overwrite").json(p["profile"])
     prof.quality_report(raw).write.mode("overwrite").json(p["quality"])
 
