@@ -135,6 +135,79 @@ REC1_MED_FILLER = "Focus on maintaining a balanced diet rich in vegetables and l
 
 SEVERITY_RANK = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
 
+# Risk contributors of the assessment form, one entry per rule in the form's
+# order: (severity, factor, description, modifiability); "{}" is filled with
+# the age, the BP stage or the truncated BMI.
+CONTRIBUTORS = {
+    "age": ("MEDIUM", "Age", "{} years", "Non-modifiable"),
+    "bp_stage_2_plus": ("HIGH", "Blood Pressure", "High blood pressure (Stage {})", "Treatable"),
+    "bp_stage_1": ("MEDIUM", "Blood Pressure", "High blood pressure (Stage 1)", "Treatable"),
+    "cholesterol_3": ("HIGH", "Cholesterol", "Very high levels", "Modifiable"),
+    "cholesterol_2": ("MEDIUM", "Cholesterol", "Above normal", "Modifiable"),
+    "bmi_obese": ("HIGH", "BMI", "Obese ({})", "Modifiable"),
+    "bmi_overweight": ("MEDIUM", "BMI", "Overweight ({})", "Modifiable"),
+    "glucose_3": ("HIGH", "Glucose", "Very high levels", "Modifiable"),
+    "glucose_2": ("MEDIUM", "Glucose", "Above normal", "Modifiable"),
+    "smoking": ("HIGH", "Smoking", "Active smoker", "Modifiable - Very High Impact"),
+    "alcohol": ("MEDIUM", "Alcohol", "Regular consumption", "Modifiable"),
+    "inactive": ("LOW", "Physical Activity", "Sedentary lifestyle", "Modifiable"),
+}
+
+# Older form variant: (severity, factor, description); "{}" is the BP stage or
+# the BMI with one decimal.
+CONTRIBUTORS_V1 = {
+    "bp_stage_2_plus": ("HIGH", "Blood Pressure", "Stage {} Hypertension"),
+    "bp_stage_1": ("MEDIUM", "Blood Pressure", "Elevated blood pressure"),
+    "cholesterol_3": ("HIGH", "Cholesterol", "Very high cholesterol levels"),
+    "cholesterol_2": ("MEDIUM", "Cholesterol", "Above normal cholesterol"),
+    "bmi_obese": ("HIGH", "BMI", "Obese (BMI: {})"),
+    "bmi_overweight": ("MEDIUM", "BMI", "Overweight (BMI: {})"),
+    "glucose_3": ("HIGH", "Glucose", "Very high glucose levels"),
+    "glucose_2": ("MEDIUM", "Glucose", "Above normal glucose"),
+    "smoking": ("HIGH", "Smoking", "Active smoker"),
+    "alcohol": ("MEDIUM", "Alcohol", "Regular alcohol consumption"),
+    "inactive": ("LOW", "Physical Activity", "Sedentary lifestyle"),
+}
+
+# Sentences; "{}" is filled with a number.
+MESSAGES = {
+    "interpretation_low": "The model indicates LOW likelihood of cardiovascular disease (Risk Score: {}%). Maintain healthy habits.",
+    "interpretation_high": "The model indicates HIGH likelihood of cardiovascular disease (Risk Score: {}%). Medical consultation recommended.",
+    "summary": "Estimated risk: {}% ",
+    "weight_target": "Target: -{} kg in 3 months",
+    "weight_target_v1": "Target weight reduction of {} kg through diet and exercise",
+    "age_higher": "Your risk profile is higher than approximately {}%",
+    "age_lower": "Your risk profile is lower than approximately {}%",
+    "age_band": " of individuals in the {} to {} age range.",
+    "age_higher_v1": "Your estimated risk is higher than approximately {}%",
+    "age_lower_v1": "Your estimated risk is lower than approximately {}%",
+    "age_band_v1": " of individuals in your age group ({} to {} years).",
+    "assessment_high": "Elevated Cardiovascular Risk Identified",
+    "assessment_high_v1": "Elevated Risk Detected",
+    "assessment_low": "Lower Risk Profile",
+    "index_significant": "(Significantly Elevated)",
+    "index_moderate": "(Moderately Elevated)",
+    "index_expected": "(Within Expected Range)",
+}
+
+# Scoring-service texts for the hypotension gate.
+GATE_TEXT = {
+    "warning": "Hypotension (<90/60). Model not trained for low BP.",
+    "risk_level": "Not Applicable",
+    "summary": "BP too low for reliable prediction.",
+}
+
+
+def fill(template: str, *values: Column) -> Column:
+    """Render a fixed template: each "{}" becomes the next value as text."""
+    parts = template.split("{}")
+    if len(parts) - 1 != len(values):
+        raise ValueError(f"template {template!r} takes {len(parts) - 1} values")
+    out = [F.lit(parts[0])]
+    for v, tail in zip(values, parts[1:]):
+        out += [v.cast("string"), F.lit(tail)]
+    return F.concat(*out)
+
 
 # ------------------------------------------------------------------ K2 - K7
 
@@ -160,13 +233,8 @@ def pct1(p="probability") -> Column:
 
 def interpretation(pred="prediction", p="probability") -> Column:
     """K4: sentence by predicted class with the percent to one decimal."""
-    return F.when(
-        col(pred) == 0,
-        F.concat(F.lit("The model indicates LOW likelihood of cardiovascular disease (Risk Score: "),
-                 pct1(p), F.lit("%). Maintain healthy habits.")),
-    ).otherwise(
-        F.concat(F.lit("The model indicates HIGH likelihood of cardiovascular disease (Risk Score: "),
-                 pct1(p), F.lit("%). Medical consultation recommended.")))
+    return F.when(col(pred) == 0, fill(MESSAGES["interpretation_low"], pct1(p))) \
+        .otherwise(fill(MESSAGES["interpretation_high"], pct1(p)))
 
 
 def prediction_report(pred="prediction", p="probability") -> Column:
@@ -232,7 +300,8 @@ def advice_list(bmi="bmi", bp="bp_category", chol="cholesterol", gluc="gluc", sm
 
 
 def advice_summary(p="probability") -> Column:
-    return F.concat(F.lit("Estimated risk: "), pct1(p), F.lit("% ("), risk_level(p), F.lit(")."))
+    """'Estimated risk: <pct>% (<level>).'"""
+    return F.concat(fill(MESSAGES["summary"], pct1(p)), F.lit("("), risk_level(p), F.lit(")."))
 
 
 # ------------------------------------------------------------------ K9 / K10
@@ -251,25 +320,27 @@ def _sorted_without_keys(items: list[Column], keep: list[str]) -> Column:
     return F.transform(arr, lambda x: F.struct(*[x[k].alias(k) for k in keep]))
 
 
+def _contrib_from(table: dict, key: str, pos: int, *values: Column, with_mod: bool = True) -> Column:
+    entry = table[key]
+    sev, factor, desc = entry[0], entry[1], entry[2]
+    text = fill(desc, *values) if values else F.lit(desc)
+    return _contrib(pos, sev, factor, text, entry[3] if with_mod else None)
+
+
 def risk_contributors(bmi="bmi_raw", bp="bp_category", chol="cholesterol", gluc="gluc",
                       smoke="smoke", alco="alco", active="active", age="age") -> Column:
     """K9: ranked (severity, factor, description, modifiability); HIGH, MEDIUM, LOW, stable."""
     bpc, b = col(bp), col(bmi)
-    L = F.lit
+    c = lambda key, pos, *v: _contrib_from(CONTRIBUTORS, key, pos, *v)
     items = [
-        F.when(col(age) >= 55, _contrib(0, "MEDIUM", "Age", F.concat(col(age).cast("string"), L(" years")), "Non-modifiable")),
-        F.when(bpc >= 3, _contrib(1, "HIGH", "Blood Pressure",
-                                  F.concat(L("High blood pressure (Stage "), (bpc - 1).cast("string"), L(")")), "Treatable"))
-        .when(bpc == 2, _contrib(1, "MEDIUM", "Blood Pressure", L("High blood pressure (Stage 1)"), "Treatable")),
-        F.when(col(chol) == 3, _contrib(2, "HIGH", "Cholesterol", L("Very high levels"), "Modifiable"))
-        .when(col(chol) == 2, _contrib(2, "MEDIUM", "Cholesterol", L("Above normal"), "Modifiable")),
-        F.when(b >= 30, _contrib(3, "HIGH", "BMI", F.concat(L("Obese ("), b.cast("int").cast("string"), L(")")), "Modifiable"))
-        .when(b >= 25, _contrib(3, "MEDIUM", "BMI", F.concat(L("Overweight ("), b.cast("int").cast("string"), L(")")), "Modifiable")),
-        F.when(col(gluc) == 3, _contrib(4, "HIGH", "Glucose", L("Very high levels"), "Modifiable"))
-        .when(col(gluc) == 2, _contrib(4, "MEDIUM", "Glucose", L("Above normal"), "Modifiable")),
-        F.when(col(smoke) == 1, _contrib(5, "HIGH", "Smoking", L("Active smoker"), "Modifiable - Very High Impact")),
-        F.when(col(alco) == 1, _contrib(6, "MEDIUM", "Alcohol", L("Regular consumption"), "Modifiable")),
-        F.when(col(active) == 0, _contrib(7, "LOW", "Physical Activity", L("Sedentary lifestyle"), "Modifiable")),
+        F.when(col(age) >= 55, c("age", 0, col(age))),
+        F.when(bpc >= 3, c("bp_stage_2_plus", 1, bpc - 1)).when(bpc == 2, c("bp_stage_1", 1)),
+        F.when(col(chol) == 3, c("cholesterol_3", 2)).when(col(chol) == 2, c("cholesterol_2", 2)),
+        F.when(b >= 30, c("bmi_obese", 3, b.cast("int"))).when(b >= 25, c("bmi_overweight", 3, b.cast("int"))),
+        F.when(col(gluc) == 3, c("glucose_3", 4)).when(col(gluc) == 2, c("glucose_2", 4)),
+        F.when(col(smoke) == 1, c("smoking", 5)),
+        F.when(col(alco) == 1, c("alcohol", 6)),
+        F.when(col(active) == 0, c("inactive", 7)),
     ]
     return _sorted_without_keys(items, ["severity", "factor", "description", "modifiability"])
 
@@ -278,21 +349,16 @@ def risk_contributors_v1(bmi="bmi_raw", bp="bp_category", chol="cholesterol", gl
                          smoke="smoke", alco="alco", active="active") -> Column:
     """Older variant: no age rule, 3 fields, BMI shown with one decimal."""
     bpc, b = col(bp), col(bmi)
-    L = F.lit
     bmi1 = F.format_string("%.1f", b)
+    c = lambda key, pos, *v: _contrib_from(CONTRIBUTORS_V1, key, pos, *v, with_mod=False)
     items = [
-        F.when(bpc >= 3, _contrib(1, "HIGH", "Blood Pressure",
-                                  F.concat(L("Stage "), (bpc - 1).cast("string"), L(" Hypertension")), None))
-        .when(bpc == 2, _contrib(1, "MEDIUM", "Blood Pressure", L("Elevated blood pressure"), None)),
-        F.when(col(chol) == 3, _contrib(2, "HIGH", "Cholesterol", L("Very high cholesterol levels"), None))
-        .when(col(chol) == 2, _contrib(2, "MEDIUM", "Cholesterol", L("Above normal cholesterol"), None)),
-        F.when(b >= 30, _contrib(3, "HIGH", "BMI", F.concat(L("Obese (BMI: "), bmi1, L(")")), None))
-        .when(b >= 25, _contrib(3, "MEDIUM", "BMI", F.concat(L("Overweight (BMI: "), bmi1, L(")")), None)),
-        F.when(col(gluc) == 3, _contrib(4, "HIGH", "Glucose", L("Very high glucose levels"), None))
-        .when(col(gluc) == 2, _contrib(4, "MEDIUM", "Glucose", L("Above normal glucose"), None)),
-        F.when(col(smoke) == 1, _contrib(5, "HIGH", "Smoking", L("Active smoker"), None)),
-        F.when(col(alco) == 1, _contrib(6, "MEDIUM", "Alcohol", L("Regular alcohol consumption"), None)),
-        F.when(col(active) == 0, _contrib(7, "LOW", "Physical Activity", L("Sedentary lifestyle"), None)),
+        F.when(bpc >= 3, c("bp_stage_2_plus", 1, bpc - 1)).when(bpc == 2, c("bp_stage_1", 1)),
+        F.when(col(chol) == 3, c("cholesterol_3", 2)).when(col(chol) == 2, c("cholesterol_2", 2)),
+        F.when(b >= 30, c("bmi_obese", 3, bmi1)).when(b >= 25, c("bmi_overweight", 3, bmi1)),
+        F.when(col(gluc) == 3, c("glucose_3", 4)).when(col(gluc) == 2, c("glucose_2", 4)),
+        F.when(col(smoke) == 1, c("smoking", 5)),
+        F.when(col(alco) == 1, c("alcohol", 6)),
+        F.when(col(active) == 0, c("inactive", 7)),
     ]
     return _sorted_without_keys(items, ["severity", "factor", "description"])
 
@@ -315,7 +381,7 @@ def recommendations(bmi="bmi_raw", bp="bp_category", chol="cholesterol", gluc="g
     bpc, b = col(bp), col(bmi)
     loss = F.greatest(F.lit(3), ((b - 24) * 1.5).cast("int"))
     weight = F.struct(F.lit(REC_MED_WEIGHT).alias("text"),
-                      F.concat(F.lit("Target: -"), loss.cast("string"), F.lit(" kg in 3 months")).alias("target"))
+                      fill(MESSAGES["weight_target"], loss).alias("target"))
     high = _with_filler([
         F.when(bpc >= 3, _rec(REC_HIGH_BP)),
         F.when(col(chol) == 3, _rec(REC_HIGH_CHOL)),
@@ -344,8 +410,7 @@ def recommendations_v1(bmi="bmi_raw", bp="bp_category", chol="cholesterol", gluc
                          F.when(col(smoke) == 1, L(REC1_HIGH_SMOKE))], L(REC1_HIGH_FILLER))
     medium = _with_filler([
         F.when(bpc == 2, L(REC1_MED_BP)),
-        F.when(b >= 25, F.concat(L("Target weight reduction of "), loss.cast("string"),
-                                 L(" kg through diet and exercise"))),
+        F.when(b >= 25, fill(MESSAGES["weight_target_v1"], loss)),
         F.when(col(chol) == 2, L(REC1_MED_CHOL)),
         F.when(col(gluc) >= 2, L(REC1_MED_GLUC)),
         F.when(col(alco) == 1, L(REC1_MED_ALCO)),
@@ -370,22 +435,17 @@ def age_percentile(age="age", p="probability") -> Column:
 def age_comparison(age="age", pct="age_percentile") -> Column:
     """Sentence comparing with the age band age +/- 5."""
     a, q = col(age), col(pct)
-    band = F.concat(F.lit(" of individuals in the "), (a - 5).cast("string"), F.lit(" to "),
-                    (a + 5).cast("string"), F.lit(" age range."))
-    return F.when(q >= 50, F.concat(F.lit("Your risk profile is higher than approximately "),
-                                    q.cast("string"), F.lit("%"), band)
-                  ).otherwise(F.concat(F.lit("Your risk profile is lower than approximately "),
-                                       (100 - q).cast("string"), F.lit("%"), band))
+    band = fill(MESSAGES["age_band"], a - 5, a + 5)
+    return F.when(q >= 50, F.concat(fill(MESSAGES["age_higher"], q), band)) \
+        .otherwise(F.concat(fill(MESSAGES["age_lower"], 100 - q), band))
 
 
 def age_comparison_v1(age="age", pct="age_percentile") -> Column:
     """K14 older variant: three tiers (>= 75 warning tier shares the sentence)."""
     a, q = col(age), col(pct)
-    band = F.concat(F.lit(" of individuals in your age group ("), (a - 5).cast("string"), F.lit(" to "),
-                    (a + 5).cast("string"), F.lit(" years)."))
-    hi = F.concat(F.lit("Your estimated risk is higher than approximately "), q.cast("string"), F.lit("%"), band)
-    lo = F.concat(F.lit("Your estimated risk is lower than approximately "), (100 - q).cast("string"),
-                  F.lit("%"), band)
+    band = fill(MESSAGES["age_band_v1"], a - 5, a + 5)
+    hi = F.concat(fill(MESSAGES["age_higher_v1"], q), band)
+    lo = F.concat(fill(MESSAGES["age_lower_v1"], 100 - q), band)
     tier = F.when(q >= 75, "warning").when(q >= 50, "info").otherwise("success")
     return F.struct(tier.alias("tier"), F.when(q >= 50, hi).otherwise(lo).alias("text"))
 
@@ -406,8 +466,8 @@ def risk_context(level="risk_level", variant: str = "current") -> Column:
 
 def assessment_label(pred="prediction", variant: str = "current") -> Column:
     """Class -> text (the older form says 'Detected')."""
-    hi = "Elevated Cardiovascular Risk Identified" if variant == "current" else "Elevated Risk Detected"
-    return F.when(col(pred) == 1, hi).otherwise("Lower Risk Profile")
+    hi = MESSAGES["assessment_high"] if variant == "current" else MESSAGES["assessment_high_v1"]
+    return F.when(col(pred) == 1, F.lit(hi)).otherwise(F.lit(MESSAGES["assessment_low"]))
 
 
 def risk_index_text(p="probability", variant: str = "current") -> Column:
@@ -419,8 +479,9 @@ def risk_index_text(p="probability", variant: str = "current") -> Column:
         pct = col(p) * 100
         shown = F.format_string("%.1f", pct)
     return F.concat(shown, F.lit("% "),
-                    F.when(pct >= 70, "(Significantly Elevated)").when(pct >= 50, "(Moderately Elevated)")
-                    .otherwise("(Within Expected Range)"))
+                    F.when(pct >= 70, F.lit(MESSAGES["index_significant"]))
+                    .when(pct >= 50, F.lit(MESSAGES["index_moderate"]))
+                    .otherwise(F.lit(MESSAGES["index_expected"])))
 
 
 # ------------------------------------------------------------------ K19

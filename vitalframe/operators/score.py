@@ -150,12 +150,11 @@ def score_requests(requests: DataFrame, model: LinearRiskModel = DEFAULT_RISK_MO
     hh = rules.heart_health_score()
     return x.select(
         "request_id", "status", "rejection",
-        F.when(gated, F.lit("Hypotension (<90/60). Model not trained for low BP.")).alias("warning"),
+        F.when(gated, F.lit(rules.GATE_TEXT["warning"])).alias("warning"),
         F.when(ok, model.prediction(F.col("probability"))).alias("prediction"),
         F.col("probability"),
-        F.when(ok, rules.risk_level()).when(gated, F.lit("Not Applicable")).alias("risk_level"),
-        F.when(ok, rules.advice_summary()).when(gated, F.lit("BP too low for reliable prediction."))
-        .alias("summary"),
+        F.when(ok, rules.risk_level()).when(gated, F.lit(rules.GATE_TEXT["risk_level"])).alias("risk_level"),
+        F.when(ok, rules.advice_summary()).when(gated, F.lit(rules.GATE_TEXT["summary"])).alias("summary"),
         F.when(ok, F.struct(hh.alias("score"), rules.heart_health_status(hh).alias("status")))
         .alias("heart_health"),
         F.when(ok, rules.bp_text()).alias("bp_interpretation"),
