@@ -110,3 +110,11 @@ def test_batch_pipeline_end_to_end(spark):
     loaded = ml.ModelBundle.load(p["model"])
     assert loaded.name == out["best_model"]
     assert 0.0 <= out["test_metrics"]["roc_auc"] <= 1.0
+
+
+def test_importance_rows_for_runs_table(spark, splits):
+    b = ml.fit_bundle("Gradient_Boosting", splits.where(F.col("split") == "train"),
+                      params={"n_estimators": 3, "max_depth": 2})
+    rows = ml.importance_rows("r1", b).collect()
+    assert len(rows) == len(b.features) and all(r.metric.startswith("importance:") for r in rows)
+    assert b.scaler.n_rows == splits.where(F.col("split") == "train").count()

@@ -189,10 +189,9 @@ def fit_bundle(name: str, train: DataFrame, features: list[str] | None = None,
         raise ValueError("No valid feature columns found")
     base = train.select(*feats, "cardio").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        scaler = fit_standard_scaler(base, feats)
+        scaler = fit_standard_scaler(base, feats)  # also counts the rows (regParam needs n)
         data = assemble(scaler.transform(base, feats), feats)
-        n = base.count()
-        model = build_estimator(name, params, n_train=n).fit(data)
+        model = build_estimator(name, params, n_train=scaler.n_rows).fit(data)
     finally:
         base.unpersist()
     return ModelBundle(name, feats, scaler, model, dict(params or {}))
@@ -445,6 +444,19 @@ def runs_rows(spark: SparkSession, run_id: str, model: str, params: dict,
     ).withColumn("logged_at", F.current_timestamp())
 
 
+def importance_rows(run_id: str, bundle: "ModelBundle", stage: str = "train") -> DataFrame | None:
+    """Feature importances as runs-table rows (metric = 'importance:<feature>')."""
+    imp = feature_importance(bundle)
+    if imp is None:
+        return None
+    return imp.select(
+        F.lit(run_id).alias("run_id"), F.lit(bundle.name).alias("model"), F.lit(stage).alias("stage"),
+        F.lit(json.dumps(bundle.params, sort_keys=True)).alias("params"),
+        F.concat(F.lit("importance:"), F.col("feature")).alias("metric"),
+        F.col("importance").alias("value"),
+    ).withColumn("logged_at", F.current_timestamp())
+
+
 def log_runs(rows: DataFrame, path: str) -> None:
     """Append to the runs table (parquet)."""
     rows.write.mode("append").parquet(path)

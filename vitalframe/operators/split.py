@@ -123,6 +123,7 @@ class ScalerModel:
     method: str
     center: dict[str, float] = field(default_factory=dict)
     scale: dict[str, float] = field(default_factory=dict)
+    n_rows: int | None = None  # rows seen by the fit (from the same aggregate)
 
     def transform(self, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         cols = columns or list(self.center)
@@ -145,12 +146,12 @@ def fit_standard_scaler(df: DataFrame, columns: list[str]) -> ScalerModel:
     The fitted statistics are two numbers per column, so collecting the
     one-row result is bounded by the column count, never by the data.
     """
-    row = df.agg(*[x for c in columns for x in (
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[x for c in columns for x in (
         F.avg(F.col(c).cast("double")).alias(f"m__{c}"),
         F.stddev_pop(F.col(c).cast("double")).alias(f"s__{c}"))]).first()
     center = {c: float(row[f"m__{c}"]) for c in columns}
     scale = {c: (float(row[f"s__{c}"]) if row[f"s__{c}"] else 1.0) for c in columns}
-    return ScalerModel("standard", center, scale)
+    return ScalerModel("standard", center, scale, int(row["_n"]))
 
 
 def fit_minmax_scaler(df: DataFrame, columns: list[str]) -> ScalerModel:

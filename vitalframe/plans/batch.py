@@ -107,7 +107,11 @@ def run_batch_pipeline(spark: SparkSession, sf_dir: str, out_root: str,
     test_metrics = ev.basic_metrics(bundle.score(test, keep=("id",)))
     test_metrics.write.mode("overwrite").json(p["test_metrics"])
     m = test_metrics.first().asDict()
-    ml.log_runs(ml.runs_rows(spark, os.path.basename(out_root), best, bundle.params, m, "test"), p["runs"])
+    run_id = os.path.basename(out_root)
+    ml.log_runs(ml.runs_rows(spark, run_id, best, bundle.params, m, "test"), p["runs"])
+    imp = ml.importance_rows(run_id, bundle)
+    if imp is not None:
+        ml.log_runs(imp, p["runs"])
     sio.write_json_record(ml.best_params_record(spark, best, {**ml.MODEL_CONFIG[best], **bundle.params},
                                                 None, m), p["best_params"])
     bundle.save(p["model"])
