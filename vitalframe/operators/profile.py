@@ -202,50 +202,48 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None,
                       num_buckets: int | None = None) -> DataFrame:
     """describe() per numeric column plus missing and unique counts.
 
-    count, mean, std (sample), min, max and missing come from one wide
-    ``agg``; the exact 25/50/75% quantiles (linear interpolation) and the
-    unique count come from per-(column, value) counts with distributed
-    prefix sums.
+    One pass over the input builds the count per distinct (column, value),
+    nulls included, written once to the checkpoint folder. Everything else
+    reads that reduced table: count, missing, unique, min, max and the mean
+    from weighted sums; the sample std from a second weighted pass around the
+    per-column mean (numerically two-pass); the exact 25/50/75% quantiles
+    (linear interpolation) from distributed prefix sums.
     """
     cols = columns or [f.name for f in df.schema.fields
                        if isinstance(f.dataType, T.NumericType)]
-    wide = df.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[x for c in cols for x in (
-            F.count(c).alias(f"cnt__{c}"),
-            F.avg(F.col(c).cast("double")).alias(f"mean__{c}"),
-            F.stddev_samp(F.col(c).cast("double")).alias(f"std__{c}"),
-            F.min(F.col(c).cast("double")).alias(f"min__{c}"),
-            F.max(F.col(c).cast("double")).alias(f"max__{c}"))],
-    )
-    basic = wide.select("_n", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"cnt__{c}").alias("count"),
-                 F.col(f"mean__{c}").alias("mean"), F.col(f"std__{c}").alias("std"),
-                 F.col(f"min__{c}").alias("min"), F.col(f"max__{c}").alias("max"))
-        for c in cols])).alias("s")).select("_n", "s.*")
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
         for c in cols])).alias("kv")).select("kv.*")
-    # One count per distinct (column, value), written once: it feeds both the
-    # quantiles and the unique counts.
     checkpoint_root(df.sparkSession)
-    counts = (long.where(F.col("value").isNotNull()).groupBy("column", "value")
-              .agg(F.count(F.lit(1)).alias("_cnt"))).checkpoint(eager=True)
-    quants = quantiles_from_counts(counts, "column", "value", [0.25, 0.5, 0.75], num_buckets,
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_cnt")) \
+        .checkpoint(eager=True)
+    present = counts.where(F.col("value").isNotNull())
+    v, c = F.col("value"), F.col("_cnt")
+    first = counts.groupBy("column").agg(
+        F.sum(c).alias("_n"),
+        F.sum(F.when(v.isNotNull(), c).otherwise(0)).alias("count"),
+        F.count_if(v.isNotNull()).alias("unique_count"),
+        (F.sum(F.when(v.isNotNull(), v * c)) / F.sum(F.when(v.isNotNull(), c))).alias("mean"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    # One row per column: a bounded broadcast.
+    means = F.broadcast(first.select("column", F.col("mean").alias("_mean")))
+    second = present.join(means, "column").groupBy("column").agg(
+        F.sum(c * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_ss"))
+    quants = quantiles_from_counts(present, "column", "value", [0.25, 0.5, 0.75], num_buckets,
                                    ["p25", "p50", "p75"], materialize=False)
-    uniq = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
-    out = basic.join(quants, "column", "left").join(uniq, "column", "left")
+    out = first.join(second, "column", "left").join(quants, "column", "left")
+    std = F.sqrt(F.try_divide(F.col("_ss"), F.col("count") - 1))
     return out.select(
         "column",
         F.col("count").cast("bigint").alias("count"),
-        r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"),
+        r6(F.col("mean")).alias("mean"), r6(std).alias("std"),
         r6(F.col("min")).alias("min"), r6(F.col("p25")).alias("p25"),
         r6(F.col("p50")).alias("p50"), r6(F.col("p75")).alias("p75"),
         r6(F.col("max")).alias("max"),
         (F.col("_n") - F.col("count")).cast("bigint").alias("missing_count"),
         half_even(F.try_divide((F.col("_n") - F.col("count")) * 100.0, F.col("_n")), 2)
         .alias("missing_percent"),
-        F.coalesce(F.col("unique_count"), F.lit(0)).cast("bigint").alias("unique_count"),
+        F.col("unique_count").cast("bigint").alias("unique_count"),
     )
 
 
