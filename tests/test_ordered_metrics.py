@@ -96,3 +96,59 @@ def test_threshold_sweep_and_report(spark):
 def test_zero_division_gives_zero(spark):
     m = ev.basic_metrics(_scored(spark, [0, 0, 1], [0.1, 0.2, 0.3])).first()
     assert m.precision == 0.0 and m.recall == 0.0 and m.f1_score == 0.0
+
+
+# ------------------------------------------------------------ hot keys (a third of all rows)
+
+def test_auc_with_hot_score_matches_pairwise(spark):
+    rng = np.random.default_rng(11)
+    n = 600
+    y = rng.integers(0, 2, n).tolist()
+    p = rng.random(n)
+    p[: n // 3] = 0.5  # one score shared by a third of the rows
+    p = p.tolist()
+    got = ev.roc_auc(_scored(spark, y, p), num_buckets=6, constant_score_auc=None).first()[0]
+    assert got == pytest.approx(round(_brute_auc(y, p), 6), abs=1e-6)
+
+
+def test_exact_quantiles_with_hot_value(spark):
+    rng = np.random.default_rng(12)
+    arr = rng.normal(size=900)
+    arr[::3] = 1.25  # a third of the values are one value
+    df = spark.createDataFrame([("x", float(v)) for v in arr], "column string, value double")
+    got = exact_quantiles(df, "column", "value", [0.1, 0.5, 0.9], num_buckets=6).first()
+    for q, name in [(0.1, "q10"), (0.5, "q50"), (0.9, "q90")]:
+        assert got[name] == pytest.approx(np.quantile(arr, q), rel=1e-12, abs=1e-12)
+
+
+def test_prefix_sums_hot_group_spans_buckets(spark):
+    rng = np.random.default_rng(13)
+    n = 900
+    g = np.where(np.arange(n) < 2 * n // 3, 0, rng.integers(1, 4, n))  # group 0 holds 2/3
+    pdf = pd.DataFrame({"g": g, "k": rng.random(n), "v": rng.integers(0, 10, n)})
+    df = spark.createDataFrame(pdf)
+    got = exclusive_prefix_sums(df, ["g"], ["k"], ["v"], num_buckets=8).toPandas()
+    want = pdf.sort_values(["g", "k"]).copy()
+    want["before_v"] = want.groupby("g")["v"].cumsum() - want["v"]
+    m = got.merge(want, on=["g", "k", "v"], suffixes=("", "_w"))
+    assert len(m) == n and (m["before_v"] == m["before_v_w"]).all()
+    # The hot group's window work is cut into several range buckets.
+    from vitalframe.operators.ordered import range_bounds, with_bucket
+    b = with_bucket(df, "k", range_bounds(df, "k", 8))
+    assert b.where("g = 0").select("_bucket").distinct().count() > 1
+
+
+def test_exact_rank_and_folds_with_hot_id(spark):
+    from vitalframe.operators.split import _rank_in_label, kfold
+    rng = np.random.default_rng(14)
+    n = 600
+    ids = np.where(np.arange(n) < n // 3, 7, np.arange(n))  # one id on a third of the rows
+    pdf = pd.DataFrame({"id": ids, "cardio": rng.integers(0, 2, n), "v": np.arange(n)})
+    df = spark.createDataFrame(pdf)
+    ranked = _rank_in_label(df, "id", 42, "cardio").toPandas()
+    for lab, grp in ranked.groupby("cardio"):
+        assert sorted(grp["_rank"]) == list(range(len(grp)))  # a permutation: no rank ties
+    per = kfold(df, k=5, exact=True).groupBy("cardio", "fold").count().collect()
+    for lab in (0, 1):
+        sizes = [r["count"] for r in per if r.cardio == lab]
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
