@@ -121,6 +121,30 @@ def build_estimator(name: str, params: dict | None = None, n_train: int | None =
 
 # ------------------------------------------------------------------ data prep
 
+# Target size of one partition of an optimiser's cached input (feature values
+# and label as doubles); the same figure as AQE's default advisory size.
+FIT_PARTITION_BYTES = 64 << 20
+
+
+def fit_partitions(df: DataFrame, n_rows: int | None, n_features: int) -> int:
+    """Partition count for an iterative fit's input, sized to the data.
+
+    A cached plan keeps its shuffle's partition count (AQE does not coalesce
+    cached plans by default) and every optimiser iteration runs one task per
+    partition, so tiny partitions turn each iteration into scheduling
+    overhead. ``coalesce`` to this count (no shuffle; it never raises the
+    count) keeps tasks near ``FIT_PARTITION_BYTES`` but at least one per
+    core, so tree building still uses every core; on large data the count
+    exceeds the present one and nothing changes.
+    """
+    size = max(int(n_rows or 0), 1) * 8 * (n_features + 1)
+    try:
+        cores = int(df.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
+        cores = 1
+    return max(1, cores, math.ceil(size / FIT_PARTITION_BYTES))
+
+
 def assemble(df: DataFrame, features: list[str], label: str = "cardio",
              keep: tuple[str, ...] = ()) -> DataFrame:
     """Scaled feature columns -> one vector column; label as double."""
@@ -190,7 +214,8 @@ def fit_bundle(name: str, train: DataFrame, features: list[str] | None = None,
     base = train.select(*feats, "cardio").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         scaler = fit_standard_scaler(base, feats)  # also counts the rows (regParam needs n)
-        data = assemble(scaler.transform(base, feats), feats)
+        sized = base.coalesce(fit_partitions(base, scaler.n_rows, len(feats)))
+        data = assemble(scaler.transform(sized, feats), feats)
         model = build_estimator(name, params, n_train=scaler.n_rows).fit(data)
     finally:
         base.unpersist()
@@ -330,6 +355,7 @@ def grid_search(train: DataFrame, grid: dict[str, list] | None = None, folds: in
     # Stratified folds (exact per-label counts) handed to CrossValidator via foldCol.
     folded = kfold(train, k=folds, exact=True, seed=seed)
     data = assemble(scaler.transform(folded, feats), feats, keep=("fold",)) \
+        .coalesce(fit_partitions(train, scaler.n_rows, len(feats))) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     data.count()  # fill the cache once before the parallel fits start
     try:
