@@ -118,3 +118,11 @@ def test_importance_rows_for_runs_table(spark, splits):
     rows = ml.importance_rows("r1", b).collect()
     assert len(rows) == len(b.features) and all(r.metric.startswith("importance:") for r in rows)
     assert b.scaler.n_rows == splits.where(F.col("split") == "train").count()
+
+
+def test_fit_partitions_sized_to_data(spark):
+    df = spark.range(10)
+    cores = spark.sparkContext.defaultParallelism
+    assert ml.fit_partitions(df, 5000, 20) == max(1, cores)  # small: one per core
+    # 1e9 rows x (20 features + label) doubles = 168 GB -> 64 MB partitions.
+    assert ml.fit_partitions(df, 10**9, 20) == -(-(10**9 * 8 * 21) // (64 << 20))
