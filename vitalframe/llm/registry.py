@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .kd_sharding import op10_kd_sharding
+from .mixing import op4_mixing
 
 QUERIES = {
+    "op4_mixing": op4_mixing,
     "op10_kd_sharding": op10_kd_sharding,
 }
 
