@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .bpe_tree import op5_bpe_tree
 from .kd_sharding import op10_kd_sharding
+from .language_id import op3_language_id
 from .mixing import op4_mixing
 from .token_files import op6_token_files
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
     "op5_bpe_tree": op5_bpe_tree,
     "op6_token_files": op6_token_files,
