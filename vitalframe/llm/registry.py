@@ -7,8 +7,10 @@ from .kd_sharding import op10_kd_sharding
 from .language_id import op3_language_id
 from .mixing import op4_mixing
 from .token_files import op6_token_files
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
     "op5_bpe_tree": op5_bpe_tree,
