@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_tree import op5_bpe_tree
+from .fingerprints import op7_fingerprints
 from .kd_sharding import op10_kd_sharding
 from .language_id import op3_language_id
 from .mixing import op4_mixing
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_bpe_tree": op5_bpe_tree,
     "op6_token_files": op6_token_files,
+    "op7_fingerprints": op7_fingerprints,
     "op10_kd_sharding": op10_kd_sharding,
 }
 
