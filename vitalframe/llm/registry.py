@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_tree import op5_bpe_tree
+from .embedding_dedup import op9_embedding_dedup
 from .fingerprints import op7_fingerprints
 from .kd_sharding import op10_kd_sharding
 from .language_id import op3_language_id
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_bpe_tree": op5_bpe_tree,
     "op6_token_files": op6_token_files,
     "op7_fingerprints": op7_fingerprints,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_kd_sharding": op10_kd_sharding,
 }
 
