@@ -6,6 +6,10 @@ its own, so extra or clashing columns of the caller never reach a plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +51,28 @@ def bounded(df: DataFrame, most: int, what: str) -> list:
     if len(rows) > most:
         raise ValueError(f"{what}: more than {most} rows")
     return rows
+
+
+#: Bits of a filter; its size does not follow the data (it lets more through when it fills up).
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(ids: DataFrame) -> Callable[[Column], Column]:
+    """A Bloom filter of the one column of ``ids``: a predicate that is true for all of them and for few others.
+
+    Rows that it rejects need not be shuffled to a join with ``ids``.
+    """
+    bits = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(FILTER_BITS)).cast("int") for k in (1, 2)]
+    set_bits = ids.select(F.explode(F.array(*bits(F.col(ids.columns[0])))).alias("bit"))
+    words = set_bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pmod(bit, 32))")).alias("bits"))
+    got = words.toArrow()  # at most FILTER_BITS / 32 rows
+    table = np.zeros(FILTER_BITS // 32, np.uint32)
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    def hit(a: pd.Series, b: pd.Series) -> pd.Series:
+        t = shared.value
+        return pd.Series(np.logical_and.reduce([(t[x >> 5] >> (x & 31).astype(np.uint32)) & 1 for x in (a.to_numpy(), b.to_numpy())]).astype(bool))
+
+    test = F.pandas_udf(hit, "boolean")
+    return lambda c: test(*bits(c))

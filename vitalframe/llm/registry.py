@@ -8,10 +8,12 @@ from .fingerprints import op7_fingerprints
 from .kd_sharding import op10_kd_sharding
 from .language_id import op3_language_id
 from .mixing import op4_mixing
+from .near_dedup import op1_minhash_dedup
 from .token_files import op6_token_files
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
