@@ -27,6 +27,7 @@ from array import array
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -201,3 +202,18 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded."""
     docs = read_table(spark, sf_dir, "documents")
     return digest(encode(docs, F.col("doc_id"), F.col("text")))
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ids as bytes -> number and list of ids."""
+    for batch in batches:
+        raw = batch.column(1).to_pylist()
+        at = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum([len(r) // 4 for r in raw], out=at[1:])
+        ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+        yield pa.record_batch([batch.column(0), pa.array(np.diff(at).astype(np.int64)), ids], names=["doc_id", "n_tokens", "ids"])
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: (doc_id, n_tokens, ids) of every document."""
+    return encode(docs, F.col("doc_id"), F.col("text")).select("doc_id", "ids").mapInArrow(_lists, "doc_id long, n_tokens long, ids array<int>")

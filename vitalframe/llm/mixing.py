@@ -174,3 +174,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     taken, sizes, target = mix(docs, F.col("doc_id"), F.col("size"), F.array("source"), share(), extra=("source",))
     return one_source(taken, sizes, target).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every document as often as the mix takes it (a document taken twice is two rows).
+
+    Weights, total and cap are those of the query, over the stage's own words.
+    Rows equal in doc_id, source and size share what the mix takes of them.
+    """
+    key = F.to_json(F.struct("doc_id", "source", word_count(F.col("text")).alias("size")))
+    taken, _, _ = mix(docs, F.col("doc_id"), word_count(F.col("text")), F.array("source"), share(), extra=("source",))
+    alike = taken.groupBy(F.to_json(F.struct("doc_id", "source", "size")).alias("_key")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_n")).where("_sum > 0")
+    joined = docs.withColumn("_key", key).join(alike, "_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
+    copies = F.floor(F.col("_sum") / F.col("_n")) + F.when(nth <= F.col("_sum") % F.col("_n"), 1).otherwise(0)
+    return joined.withColumn("_copies", copies.cast("int")).where("_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

@@ -9,6 +9,7 @@ from .kd_sharding import op10_kd_sharding
 from .language_id import op3_language_id
 from .mixing import op4_mixing
 from .near_dedup import op1_minhash_dedup
+from .pii_surrogates import op8_pii_surrogates
 from .token_files import op6_token_files
 from .toxicity import op2_toxicity
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_bpe_tree": op5_bpe_tree,
     "op6_token_files": op6_token_files,
     "op7_fingerprints": op7_fingerprints,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_kd_sharding": op10_kd_sharding,
 }

@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keep, read_table
 
@@ -58,7 +60,10 @@ MEMORY = 400_000
 CHUNK = 1 << 20
 
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]{1,3}){3,}\S(?!\S)")
+_DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"(.)\1\1")
+#: Marks around a token that stand for no letter.
+_EDGE = ".,;:?\"'`)]}>«»…“”[{<*&#%_-"
 _DOUBLES = re.compile(r"([^\W\d_])\1")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -76,18 +81,29 @@ def symbol(c: str) -> int:
     return at + 2 if at >= 0 else int(c.isalpha())
 
 
+def _add_trigrams(total: np.ndarray, table: np.ndarray, tokens: Counter) -> None:
+    """Count the trigrams of distinct tokens, each as often as it occurred."""
+    if not tokens:
+        return
+    code = np.frombuffer((" " + " ".join(tokens) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    s = np.where(code < 1 << 16, table[np.minimum(code, (1 << 16) - 1)], 1).astype(np.int64)
+    times = np.repeat(np.fromiter(tokens.values(), np.float64, len(tokens)), np.fromiter((len(t) + 1 for t in tokens), np.int64, len(tokens)))
+    c, b = s[1:], s[:-1]
+    a = np.where(b == 0, 0, np.concatenate([[0], b[:-1]]))
+    here = (b != 0) | (c != 0)
+    total += np.bincount((a[here] * SYMBOLS + b[here]) * SYMBOLS + c[here], weights=times[here], minlength=SYMBOLS**3).astype(np.int64)
+
+
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """texts -> (cell, n) of all trigrams within words and their edges."""
-    table, total = symbol_table(), np.zeros(SYMBOLS**3, dtype=np.int64)
+    table, total, tokens = symbol_table(), np.zeros(SYMBOLS**3, dtype=np.int64), Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            for at in range(0, len(text), CHUNK):
-                code = np.frombuffer((" " + text[at : at + CHUNK].lower() + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                s = np.where(code < 1 << 16, table[np.minimum(code, (1 << 16) - 1)], 1).astype(np.int64)
-                c, b = s[1:], s[:-1]
-                a = np.where(b == 0, 0, np.concatenate([[0], b[:-1]]))
-                here = (b != 0) | (c != 0)
-                total += np.bincount((a[here] * SYMBOLS + b[here]) * SYMBOLS + c[here], minlength=SYMBOLS**3)
+            tokens.update(text.lower().split())
+            if len(tokens) > MEMORY:
+                _add_trigrams(total, table, tokens)
+                tokens.clear()
+    _add_trigrams(total, table, tokens)
     cells = np.flatnonzero(total)
     yield pa.record_batch([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
 
@@ -152,18 +168,25 @@ class Restorer(dict):
         super().__init__()
         self.model = model
 
-    def __missing__(self, token: str) -> tuple:
-        if disguised(token):
-            words = tuple(self.model.decode(token).split())
-        else:
-            words = tuple(_WORD.findall(token))
+    def restored(self, token: str) -> tuple:
+        core = token.strip(_EDGE)
+        if core.isalpha() and not _DOUBLE.search(core):
+            return (core,)
+        return tuple(self.model.decode(token).split() if disguised(token) else _WORD.findall(token))
+
+    def __missing__(self, token: str):
         if len(self) >= MEMORY:
             self.clear()
-        self[token] = words
+        got = self[token] = self.made_of(self.restored(token))
+        return got
+
+    @staticmethod
+    def made_of(words: tuple):
+        """What is remembered of a token's restored words."""
         return words
 
-    def words(self, text: str) -> Iterator[tuple]:
-        """The restored words of each token of a text, in order."""
+    def tokens(self, text: str) -> Iterator[tuple[list, str | None]]:
+        """The text's tokens in order, in lists, each list followed by a stretch of spaced-out letters or None."""
         text = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower()
         at = 0
         while at < len(text):
@@ -174,12 +197,35 @@ class Restorer(dict):
             part, done = text[at:end], 0
             for m in _SPACED.finditer(part):
                 if sum(c.isalpha() for c in m.group()) >= 3:
-                    yield from map(self.__getitem__, part[done : m.start()].split())
-                    yield tuple(self.model.decode(re.sub(r"\s+", " ", m.group())).split())
+                    yield part[done : m.start()].split(), " ".join(m.group().split())
                     done = m.end()
-            yield from map(self.__getitem__, part[done:].split())
+            yield part[done:].split(), None
             at = end
 
+    def words(self, text: str) -> Iterator[tuple]:
+        """What is remembered of each token of a text, in order."""
+        for tokens, spaced in self.tokens(text):
+            yield from map(self.__getitem__, tokens)
+            if spaced is not None:
+                yield self.made_of(tuple(self.model.decode(spaced).split()))
+
+
+class CellRestorer(Restorer):
+    """token -> hashed cells of its restored words and their first letters."""
+
+    @staticmethod
+    def made_of(words: tuple) -> tuple:
+        return tuple({crc32(w.encode()) % CELLS for w in words} | {CELLS + crc32(w[:PREFIX].encode()) % CELLS for w in words if len(w) > PREFIX})
+
+    def cells(self, text: str) -> list[int]:
+        """The distinct cells of a text."""
+        found: set = set()
+        for tokens, spaced in self.tokens(text):
+            found.update(*map(self.__getitem__, set(tokens)))
+            if spaced is not None:
+                found.update(self.made_of(tuple(self.model.decode(spaced).split())))
+        return sorted(found)
+
 
 def learn_characters(df: DataFrame, text: Column) -> CharModel:
     """Count the language model over every text of ``df``."""
@@ -198,14 +244,10 @@ def restore(df: DataFrame, text: str, model: CharModel, out: str = "restored") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shared.value)
         for batch in batches:
-            texts = [None if t is None else " ".join(w for ws in restorer.words(t) for w in ws) for t in batch.column(at).to_pylist()]
+            texts = [None if t is None else " ".join(w for words in restorer.words(t) for w in words) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(run, rows.schema.add(out, "string"))
-
-
-def _word_cells(words: tuple) -> tuple:
-    return tuple({crc32(w.encode()) % CELLS for w in words} | {CELLS + crc32(w[:PREFIX].encode()) % CELLS for w in words if len(w) > PREFIX})
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def features(df: DataFrame, doc_id: Column, text: Column, model: CharModel) -> DataFrame:
@@ -213,21 +255,12 @@ def features(df: DataFrame, doc_id: Column, text: Column, model: CharModel) -> D
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
-        cells: dict = {}
-        for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                if len(cells) > MEMORY:
-                    cells = {}
-                found: set = set()
-                for words in set(restorer.words(t or "")):
-                    own = cells.get(words)
-                    if own is None:
-                        own = cells[words] = _word_cells(words)
-                    found.update(own)
-                out.append(sorted(found))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "cells"])
+        restorer = CellRestorer(shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                out = [restorer.cells(t or "") for t in batch.column(1).to_pylist()]
+                yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "cells"])
 
     return df.select(doc_id.alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, cells array<int>")
 
