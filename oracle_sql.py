@@ -331,6 +331,20 @@ ex2 AS (SELECT *, CASE WHEN rk < n_test THEN 'test'
     std_stats = ", ".join(
         f"AVG(CAST({c} AS DOUBLE)) AS m_{c}, coalesce(nullif(STDDEV_POP(CAST({c} AS DOUBLE)), 0), 1) AS s_{c}"
         for c in FEATS20)
+    q["P1_split_rows"] = with_(PATIENTS, CLEAN, FEATURED, SPLIT_CTE) + "SELECT id, split FROM splitted"
+    q["P1_exact_split_rows"] = with_(PATIENTS, CLEAN, FEATURED, ranked) + "SELECT id, split FROM ex2"
+    q["P2_train_test_rows"] = q["P2_train_test_counts"].replace(_cnt("tt", "split", "cardio"), "SELECT id, split FROM tt")
+    q["P3_kfold_rows"] = q["P3_kfold_counts"].replace(_cnt("kf", "fold", "cardio"), "SELECT id, fold FROM kf")
+    q["P3_kfold_exact_rows"] = q["P3_kfold_exact_counts"].replace(_cnt("kf", "fold", "cardio"), "SELECT id, fold FROM kf")
+    holes = "holes AS (SELECT CASE WHEN id % 5 <> 0 THEN cardio END AS cardio FROM patients)"
+    # which rows go where depends on ties; the counts per label do not
+    q["P1_exact_split_null_keys"] = with_(PATIENTS, holes, f"""n AS (SELECT cardio, COUNT(*) AS n FROM holes GROUP BY cardio),
+t AS (SELECT *, CAST(round_even(n * {D(TEST_SIZE)}, 0) AS BIGINT) AS n_test FROM n),
+v AS (SELECT *, CAST(round_even((n - n_test) * {D(VAL_RATIO)}, 0) AS BIGINT) AS n_val FROM t)""") + """
+SELECT 'test' AS split, cardio, n_test AS "rows" FROM v UNION ALL SELECT 'validation', cardio, n_val FROM v
+UNION ALL SELECT 'train', cardio, n - n_test - n_val FROM v"""
+    q["P3_kfold_exact_null_keys"] = with_(PATIENTS, holes, "n AS (SELECT cardio, ROW_NUMBER() OVER (PARTITION BY cardio) - 1 AS rk FROM holes)") + \
+        "SELECT CAST(rk % 5 AS INTEGER) AS fold, cardio, COUNT(*) AS \"rows\" FROM n GROUP BY ALL"
     q["P4_standard_scaling"] = with_(PATIENTS, CLEAN, FEATURED, SPLIT_CTE,
                                      f"st AS (SELECT {std_stats} FROM splitted WHERE split = 'train')") + \
         "SELECT id, " + ", ".join(f"{R6(f'(CAST({c} AS DOUBLE) - m_{c}) / s_{c}')} AS {c}" for c in FEATS20) + \

@@ -1,9 +1,9 @@
 """Distributed ordered statistics: prefix sums, exact quantiles.
 
 A cumulative window with no ``partitionBy`` runs in one task. Here the order
-key is cut into ``num_buckets`` contiguous ranges (boundaries from
-``percentile_approx``: a sketch merged map-side, and a driver collect of at
-most ``num_buckets - 1`` numbers). Then
+key is cut into ``num_buckets`` contiguous ranges (boundaries from a range
+partitioner over the key; a driver collect of at most ``num_buckets`` numbers).
+Then
 
 * inside each (group, bucket) a running window gives the local prefix;
 * bucket totals (groups x buckets rows) get their own running window;
@@ -18,6 +18,8 @@ third of all rows) is one row here.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -32,22 +34,17 @@ def default_buckets(df: DataFrame) -> int:
     return max(8, 2 * n)
 
 
-def range_bounds(df: DataFrame, order_col: str, num_buckets: int,
-                 accuracy: int | None = None) -> list[float]:
-    """Approximate equi-depth boundaries of ``order_col`` (sorted, de-duplicated).
+def range_bounds(df: DataFrame, order_col: str, num_buckets: int) -> list[float]:
+    """Equi-depth boundaries of ``order_col`` (sorted, de-duplicated).
 
-    The sketch's rank error (1 / accuracy) is kept well below one bucket.
+    They are the first keys of a range partitioner's partitions, so no task
+    gathers a sketch of everything; the driver gets one number a bucket.
     """
     if num_buckets <= 1:
         return []
-    accuracy = accuracy or max(10000, 20 * num_buckets)
-    probs = [i / num_buckets for i in range(1, num_buckets)]
-    row = df.agg(
-        F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("b")
-    ).first()
-    vals = row["b"] if row is not None and row["b"] is not None else []
-    return sorted({float(v) for v in vals if v is not None and not math.isnan(v)
-                   and not math.isinf(v)})
+    key = df.select(F.col(order_col).cast("double").alias("k")).where("k is not null and not isnan(k)")
+    firsts = key.repartitionByRange(num_buckets, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
+    return sorted({r.k for r in firsts.collect() if not math.isinf(r.k)})[1:]
 
 
 def with_bucket(df: DataFrame, order_col: str, bounds: list[float],
@@ -55,10 +52,12 @@ def with_bucket(df: DataFrame, order_col: str, bounds: list[float],
     """Bucket id from the boundaries (JVM-side binary search)."""
     if not bounds:
         return df.withColumn(out, F.lit(0.0))
+    # nulls sort first in a window and get the bucket before all others
     tmp = f"{out}_key"
     splits = [-math.inf] + bounds + [math.inf]
     bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return bz.transform(df.withColumn(tmp, F.col(order_col).cast("double"))).drop(tmp)
+    found = bz.transform(df.withColumn(tmp, F.col(order_col).cast("double"))).drop(tmp)
+    return found.withColumn(out, F.when(F.col(order_col).isNull(), F.lit(-1.0)).otherwise(F.col(out)))
 
 
 def exclusive_prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list[str],
@@ -67,7 +66,8 @@ def exclusive_prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list
     """Add ``before_<c>``: sum of ``c`` over earlier rows of the same group.
 
     Rows are ordered by ``order_cols`` (the first one is numeric and picks the
-    bucket; later ones break ties). Null order keys are not allowed.
+    bucket; later ones break ties). Null groups are groups of their own; rows with
+    a null order key come first in their group.
 
     The boundaries and the windows are two passes over ``df``. For a reduced
     input (per-score or per-value counts) pass ``materialize=True``: it is
@@ -97,8 +97,10 @@ def exclusive_prefix_sums(df: DataFrame, group_cols: list[str], order_cols: list
         *[F.coalesce(F.sum(f"_tot_{c}").over(off_w), F.lit(0)).alias(f"_off_{c}")
           for c in sum_cols])
 
-    joined = local.join(offsets, on=parts, how="inner")
-    return joined.select(
+    # null-safe, so that no row is lost
+    right = offsets.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(parts)], *[f"_off_{c}" for c in sum_cols])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(parts)])
+    return local.join(right, same).select(
         *df.columns,
         *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{prefix}{c}") for c in sum_cols],
     )
@@ -129,9 +131,9 @@ def quantiles_from_counts(counts: DataFrame, group_col: str, value_col: str,
     names = out_names or [f"q{int(round(p * 100))}" for p in probs]
     pre = exclusive_prefix_sums(counts, [group_col], [value_col], ["_cnt"], num_buckets,
                                 materialize=materialize)
-    # One row per group (columns / metrics: a handful), so broadcasting is bounded.
+    # One row per group; the join strategy follows its actual size.
     n = pre.groupBy(group_col).agg(F.sum("_cnt").alias("_n"))
-    x = pre.join(F.broadcast(n), on=group_col)
+    x = pre.join(n, on=group_col)
     aggs = []
     for p, name in zip(probs, names):
         k = (F.col("_n") - 1) * F.lit(float(p))

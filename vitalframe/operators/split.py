@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe.operators.ordered import exclusive_prefix_sums
-from vitalframe.schema import CV_FOLDS, RANDOM_STATE, RAW_COLUMNS, TEST_SIZE, VALIDATION_SIZE
+from vitalframe.schema import CV_FOLDS, RANDOM_STATE, TEST_SIZE, VALIDATION_SIZE
 
 TWO_32 = 4294967296.0
 
 
 def hash_key(id_col: str = "id", seed: int = RANDOM_STATE) -> Column:
-    """32-bit integer from the md5 of ``id|seed``."""
-    txt = F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}"))
+    """32-bit integer from the md5 of ``id|seed``; a null id counts as an empty one."""
+    txt = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"|{seed}"))
     return F.conv(F.substring(F.md5(txt), 1, 8), 16, 10).cast("bigint")
 
 
@@ -72,25 +72,23 @@ def kfold(df: DataFrame, k: int = CV_FOLDS, id_col: str = "id", seed: int = RAND
 
 
 def _rank_in_label(df: DataFrame, id_col: str, seed: int, label_col: str) -> DataFrame:
-    """0-based rank of each row inside its label, ordered by the id hash.
-
-    The order key is ``hash_key(id) + f`` where ``f`` in [0, 1) comes from 20
-    bits of a hash of the row's raw columns: still ordered by the id hash first, but
-    rows of one hot id get distinct keys, so range buckets can split them
-    (32 + 20 bits stay exact in a double). The full 64-bit row hash breaks
-    any remaining tie, so ranks are identical when a task is recomputed.
+    """0-based rank of each row inside its label (null is a label), ordered by the id hash.
+
+    The order key is ``hash_key(id) + f`` where ``f`` in [0, 1) is 20 bits of a
+    hash of the row's number: ordered by the id hash first, but rows of one hot
+    id, equal rows included, get distinct keys, so range buckets can split
+    them (32 + 20 bits stay exact in a double). The keyed rows are written once,
+    so the numbers and the ranks survive a recomputed task, and the upstream
+    plan runs once.
     """
-    # Derived columns are functions of the raw ones, so hashing the raw
-    # columns is as discriminating and keeps the generated code small.
-    raw = [c for c in RAW_COLUMNS if c in df.columns] or df.columns
-    row_hash = F.xxhash64(*[F.col(c) for c in raw])
+    number = F.monotonically_increasing_id()
     keyed = df.withColumns({
-        "_rh": row_hash,
+        "_rh": number,
         "_hk": hash_key(id_col, seed).cast("double")
-        + F.pmod(row_hash, F.lit(1 << 20)).cast("double") / float(1 << 20),
+        + F.pmod(F.xxhash64(number), F.lit(1 << 20)).cast("double") / float(1 << 20),
         "_one": F.lit(1),
     })
-    pre = exclusive_prefix_sums(keyed, [label_col], ["_hk", id_col, "_rh"], ["_one"])
+    pre = exclusive_prefix_sums(keyed, [label_col], ["_hk", id_col, "_rh"], ["_one"], materialize=True)
     return pre.withColumnRenamed("before__one", "_rank").drop("_hk", "_rh")
 
 
@@ -100,12 +98,10 @@ def train_val_test_split_exact(df: DataFrame, id_col: str = "id", seed: int = RA
     """P1 exact-count mode: per label, the first round(n * test) hash-ranked rows
     are test, the next round((n - n_test) * val_ratio) are validation."""
     ranked = _rank_in_label(df, id_col, seed, label_col)
-    n = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
+    # ranks are gapless: the last one tells the label's size
+    n = ranked.groupBy(F.col(label_col).alias("_label")).agg((F.max("_rank") + 1).alias("_n"))
     val_ratio = validation_size / (1 - test_size)
-    # One row per label value (the label domain is validated as {0, 1}), so the
-    # broadcast is bounded; a shuffle join on the label would put each class
-    # into a single task.
-    x = ranked.join(F.broadcast(n), on=label_col)
+    x = ranked.join(n, F.col(label_col).eqNullSafe(F.col("_label"))).drop("_label")
     n_test = F.rint(F.col("_n") * F.lit(test_size))
     n_val = F.rint((F.col("_n") - n_test) * F.lit(val_ratio))
     return x.withColumn(
@@ -162,10 +158,3 @@ def fit_minmax_scaler(df: DataFrame, columns: list[str]) -> ScalerModel:
     center = {c: float(row[f"lo__{c}"]) for c in columns}
     scale = {c: (float(row[f"hi__{c}"] - row[f"lo__{c}"]) or 1.0) for c in columns}
     return ScalerModel("minmax", center, scale)
-
-
-def standard_scale_expr(df_stats: DataFrame, columns: list[str]) -> DataFrame:
-    """Scaling statistics as a one-row DataFrame (for inspection and reports)."""
-    return df_stats.agg(*[x for c in columns for x in (
-        F.avg(F.col(c).cast("double")).alias(f"mean_{c}"),
-        F.stddev_pop(F.col(c).cast("double")).alias(f"std_{c}"))])

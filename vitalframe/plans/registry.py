@@ -155,6 +155,47 @@ def q_p3x(spark, sf):
     return _counts(sp.kfold(batch.featured(spark, sf), exact=True), "fold", "cardio")
 
 
+def _with_holes(spark, sf):
+    """Raw patients with every 7th id and every 5th label null: null keys must keep their rows."""
+    raw = batch.raw_patients(spark, sf)
+    return raw.withColumns({"cardio": F.when(F.col("id") % 5 != 0, F.col("cardio")), "id": F.when(F.col("id") % 7 != 0, F.col("id"))})
+
+
+@register("P1_split_rows")
+def q_p1r(spark, sf):
+    return sp.train_val_test_split(batch.featured(spark, sf)).select("id", "split")
+
+
+@register("P1_exact_split_rows")
+def q_p1xr(spark, sf):
+    return sp.train_val_test_split_exact(batch.featured(spark, sf)).select("id", "split")
+
+
+@register("P2_train_test_rows")
+def q_p2r(spark, sf):
+    return sp.train_test_split(batch.featured(spark, sf)).select("id", "split")
+
+
+@register("P3_kfold_rows")
+def q_p3r(spark, sf):
+    return sp.kfold(batch.featured(spark, sf)).select("id", "fold")
+
+
+@register("P3_kfold_exact_rows")
+def q_p3xr(spark, sf):
+    return sp.kfold(batch.featured(spark, sf), exact=True).select("id", "fold")
+
+
+@register("P1_exact_split_null_keys")
+def q_p1n(spark, sf):
+    return _counts(sp.train_val_test_split_exact(_with_holes(spark, sf)), "split", "cardio")
+
+
+@register("P3_kfold_exact_null_keys")
+def q_p3n(spark, sf):
+    return _counts(sp.kfold(_with_holes(spark, sf), exact=True), "fold", "cardio")
+
+
 def _scaled(spark, sf, fit):
     s = sp.train_val_test_split(batch.featured(spark, sf))
     model = fit(s.where(F.col("split") == "train"), MODEL_FEATURES)

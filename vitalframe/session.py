@@ -38,6 +38,10 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # The JVM never compiles a generated method above 8,000 bytes of bytecode:
+        # let such stages fall back to smaller methods that it does compile.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -45,7 +49,11 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only if unset."""
+    """Return the session's checkpoint folder; a private temp folder only in local mode.
+
+    Outside local mode other nodes could not read a driver's folder, so a
+    cluster without ``spark.checkpoint.dir`` is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -54,6 +62,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     # Unset: local run or test. A private temp folder is fine here only.
     local = tempfile.mkdtemp(prefix="vitalframe-ckpt-")
     sc.setCheckpointDir(local)
@@ -61,6 +71,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint root for stage outputs."""
-    root = checkpoint_root(spark)
-    return os.path.join(root, "vitalframe", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique folder under the shared checkpoint root for stage outputs.
+
+    It is removed when the application ends.
+    """
+    path = os.path.join(checkpoint_root(spark), "vitalframe", f"{name}-{uuid.uuid4().hex[:12]}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target)  # a path must exist to be marked
+    fs.deleteOnExit(target)
+    return path
