@@ -168,7 +168,9 @@ def _col_stats(src, cols):
  {R6(f'quantile_cont({x}, 0.75)')} AS p75, {R6(f'MAX({x})')} AS "max",
  CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS missing_count,
  {R(f'CAST(COUNT(*) - COUNT({c}) AS DOUBLE) * 100 / COUNT(*)', 2)} AS missing_percent,
- CAST(COUNT(DISTINCT {c}) AS BIGINT) AS unique_count FROM {src}""")
+ CAST(COUNT(DISTINCT {c}) AS BIGINT) AS unique_count,
+ {'CAST(NULL AS BIGINT)' if c == 'weight' else f'CAST(MIN({c}) AS BIGINT)'} AS min_whole,
+ {'CAST(NULL AS BIGINT)' if c == 'weight' else f'CAST(MAX({c}) AS BIGINT)'} AS max_whole FROM {src}""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -191,7 +193,7 @@ catchecks AS (SELECT "column", COUNT(*) FILTER (WHERE value IS NOT NULL) AS n_un
 def _missing_cte(src, cols):
     parts = [f"""SELECT '{c}' AS "column", {i} AS position,
  CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS missing_count,
- {R6(f'CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) * 100 / COUNT(*)')} AS missing_percentage
+ CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) * 100 / COUNT(*) AS missing_percentage
  FROM {src}""" for i, c in enumerate(cols)]
     return "missing AS (" + "\nUNION ALL\n".join(parts) + ")"
 
@@ -203,7 +205,7 @@ def profile_queries() -> dict[str, str]:
 SELECT CAST(SUM(c) AS BIGINT) AS n_rows, 13 AS n_columns,
  [{', '.join(repr(c) for c in RAW_COLS)}] AS "columns", '{DTYPES_RAW}' AS dtypes,
  CAST(SUM(c - 1) AS BIGINT) AS duplicates, {dup_pct} AS duplicate_percentage FROM g"""
-    q["V2_missing_values"] = with_(PATIENTS, _missing_cte("patients", RAW_COLS)) + "SELECT * FROM missing"
+    q["V2_missing_values"] = with_(PATIENTS, _missing_cte("patients", RAW_COLS)) + f'SELECT * REPLACE ({R6("missing_percentage")} AS missing_percentage) FROM missing'
     q["V3_duplicates"] = with_(PATIENTS, _dups_cte("patients")) + f"""
 SELECT CAST(SUM(c - 1) AS BIGINT) AS duplicates, CAST(SUM(c) AS BIGINT) AS "rows",
  {dup_pct} AS duplicate_percentage FROM g"""
@@ -219,10 +221,10 @@ SELECT CAST(SUM(c - 1) AS BIGINT) AS duplicates, CAST(SUM(c) AS BIGINT) AS "rows
     q["V8_V11_quality_report"] = with_(
         PATIENTS, _cat_values_cte(), _missing_cte("patients", RAW_COLS), _dups_cte("patients"),
         f"""checks AS (
- SELECT 'missing_values' AS "check", CAST(NULL AS VARCHAR) AS "column", MAX(missing_percentage) AS value,
+ SELECT 'missing_values' AS "check", CAST(NULL AS VARCHAR) AS "column", {R6('MAX(missing_percentage)')} AS value,
    MAX(missing_percentage) < 5 AS passed FROM missing
  UNION ALL
- SELECT 'duplicates', NULL, {dup_pct}, {dup_pct} < 1 FROM g
+ SELECT 'duplicates', NULL, {dup_pct}, CAST(SUM(c - 1) AS DOUBLE) * 100 / SUM(c) < 1 FROM g
  UNION ALL
  SELECT 'categorical', "column", CAST(n_invalid AS DOUBLE), n_invalid = 0 FROM catchecks)""") + f"""
 SELECT * FROM checks UNION ALL
@@ -233,15 +235,15 @@ SELECT 'quality_score', NULL, {R('SUM(CAST(passed AS INTEGER)) / 9 * 100', 2)},
         f"SELECT '{c}' AS \"column\", CAST({c} AS BIGINT) AS value, COUNT(*) AS \"count\" "
         f"FROM clean WHERE {c} IS NOT NULL GROUP BY {c}" for c in DIST_COLS)
     least_nn = "LEAST(" + ", ".join(f"COUNT({c})" for c in RAW_COLS) + ")"
-    least_d = "LEAST(" + ", ".join(f"COUNT(DISTINCT {c})" for c in RAW_COLS) + ")"
+    const = " + ".join(f"CAST(coalesce(MIN({c}) = MAX({c}), true) AS INTEGER)" for c in RAW_COLS)
     least_cat = "LEAST(" + ", ".join(f"COUNT(DISTINCT {c})" for c in CAT) + ")"
     q["V15_raw_expectations"] = with_(PATIENTS, f"""w AS (SELECT COUNT(*) AS n, {least_nn} AS nn,
- {least_d} AS d, {least_cat} AS dc FROM patients)""") + """
+ {const} AS d, {least_cat} AS dc FROM patients)""") + """
 SELECT 'row_count_gt_min' AS expectation, CAST(n AS DOUBLE) AS observed, n > 1000 AS passed FROM w
 UNION ALL SELECT 'column_count', CAST(13 AS DOUBLE), true FROM w
 UNION ALL SELECT 'expected_names_present', CAST(0 AS DOUBLE), true FROM w
 UNION ALL SELECT 'no_empty_column', CAST(nn AS DOUBLE), nn > 0 FROM w
-UNION ALL SELECT 'more_than_one_distinct_per_column', CAST(d AS DOUBLE), d > 1 FROM w
+UNION ALL SELECT 'more_than_one_distinct_per_column', CAST(d AS DOUBLE), d = 0 FROM w
 UNION ALL SELECT 'min_unique_categorical', CAST(dc AS DOUBLE), dc >= 2 FROM w"""
     any_null = " OR ".join(f"{c} IS NULL" for c in CLEAN_COLS)
     items = [("no_nulls", f"COUNT(*) FILTER (WHERE {any_null})"),

@@ -10,10 +10,9 @@ and uses distributed prefix sums over distinct scores.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalframe.functions.rounding import r6
 from vitalframe.operators.ordered import exclusive_prefix_sums
 
 THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7]
@@ -63,8 +62,8 @@ def basic_metrics(scored: DataFrame, group_cols: list[str] | None = None,
     else:
         cc = confusion_counts(scored, g)
     m = _metric_cols(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"))
-    out = cc.select(*g, *[r6(v).alias(k) for k, v in m.items()],
-                    r6(_ratio(F.col("tn"), F.col("tn") + F.col("fp"))).alias("specificity"))
+    out = cc.select(*g, *[v.alias(k) for k, v in m.items()],
+                    (_ratio(F.col("tn"), F.col("tn") + F.col("fp"))).alias("specificity"))
     if with_auc:
         auc = auc_from_summary(summary, g, constant_score_auc=constant_score_auc)
         out = merge_rows([out, auc], g)
@@ -153,7 +152,7 @@ def auc_from_summary(summary: DataFrame, group_cols: list[str] | None = None,
     if constant_score_auc is not None:
         auc = F.when(F.col("_distinct") <= 1, F.lit(float(constant_score_auc))).otherwise(auc)
     auc = F.when((F.col("_p") == 0) | (F.col("_n") == 0), F.lit(None).cast("double")).otherwise(auc)
-    return agg.select(*g, r6(auc).alias("roc_auc"))
+    return agg.select(*g, auc.alias("roc_auc"))
 
 
 def confusion_matrix(scored: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
@@ -172,7 +171,7 @@ def specificity(scored: DataFrame, group_cols: list[str] | None = None) -> DataF
     """TN / (TN + FP)."""
     g = group_cols or []
     cc = confusion_counts(scored, g)
-    return cc.select(*g, r6(_ratio(F.col("tn"), F.col("tn") + F.col("fp"))).alias("specificity"))
+    return cc.select(*g, (_ratio(F.col("tn"), F.col("tn") + F.col("fp"))).alias("specificity"))
 
 
 def classification_report(scored: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
@@ -189,8 +188,8 @@ def classification_report(scored: DataFrame, group_cols: list[str] | None = None
     s0, s1 = tn + fp, tp + fn
 
     def row(name, p, r, f, s):
-        return F.struct(F.lit(name).alias("class"), r6(p).alias("precision"),
-                        r6(r).alias("recall"), r6(f).alias("f1_score"),
+        return F.struct(F.lit(name).alias("class"), p.alias("precision"),
+                        r.alias("recall"), f.alias("f1_score"),
                         s.cast("bigint").alias("support"))
 
     nd = n.cast("double")
@@ -230,19 +229,21 @@ def calibration_error(scored: DataFrame, group_cols: list[str] | None = None,
     g = group_cols or []
     bins = calibration_bins(scored, g, n_bins)
     return bins.groupBy(*g).agg(
-        r6(F.avg(F.abs(F.col("observed_rate") - F.col("mean_predicted")))).alias("calibration_error"))
+        F.avg(F.abs(F.col("observed_rate") - F.col("mean_predicted"))).alias("calibration_error"))
 
 
 def reliability_metrics(scored: DataFrame, group_cols: list[str] | None = None,
                         summary: DataFrame | None = None) -> DataFrame:
     """Calibration error, high-confidence accuracy and share, mean / std of p.
 
-    Computed from the per-score summary (materialised once): every quantity
-    is a function of the score weighted by its row count. The population std
-    uses the moments of the score, which lies in [0, 1].
+    One aggregate of the rows into bins gives it all. With a per-score summary
+    at hand, that is used instead: every quantity is a function of the score
+    weighted by its row count.
     """
     g = group_cols or []
-    sm = summary if summary is not None else materialize(score_summary(scored, g))
+    if summary is None:
+        return _reliability_by_bins(scored, g)
+    sm = summary
     sc_, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
     c = pos + neg
     high = (sc_ > 0.8) | (sc_ < 0.2)
@@ -254,20 +255,41 @@ def reliability_metrics(scored: DataFrame, group_cols: list[str] | None = None,
     var = F.greatest(F.col("_s2") / F.col("_n") - mean * mean, F.lit(0.0))
     rel = base.select(
         *g,
-        r6(_ratio(F.col("_hit"), F.col("_high"))).alias("high_confidence_accuracy"),
-        r6(_ratio(F.col("_high") * 100, F.col("_n"))).alias("high_confidence_percentage"),
-        r6(mean).alias("mean_predicted_probability"),
-        r6(F.sqrt(var)).alias("std_predicted_probability"))
+        _ratio(F.col("_hit"), F.col("_high")).alias("high_confidence_accuracy"),
+        (_ratio(F.col("_high") * 100, F.col("_n"))).alias("high_confidence_percentage"),
+        mean.alias("mean_predicted_probability"),
+        F.sqrt(var).alias("std_predicted_probability"))
     step = 1.0 / CALIBRATION_BINS
     b = sum((sc_ > F.lit(i * step)).cast("int") for i in range(1, CALIBRATION_BINS))
     bins = sm.groupBy(*g, b.alias("bin")).agg(
         (F.sum(sc_ * c) / F.sum(c)).alias("mean_predicted"),
         (F.sum(pos) / F.sum(c)).alias("observed_rate"))
     ce = bins.groupBy(*g).agg(
-        r6(F.avg(F.abs(F.col("observed_rate") - F.col("mean_predicted")))).alias("calibration_error"))
+        F.avg(F.abs(F.col("observed_rate") - F.col("mean_predicted"))).alias("calibration_error"))
     return merge_rows([rel, ce], g)
 
 
+def _reliability_by_bins(scored: DataFrame, g: list[str]) -> DataFrame:
+    """E6-E8 from one map-side aggregate per bin; the std adds variances within and between bins."""
+    p, y = F.col("probability"), F.col("label")
+    high = (p > 0.8) | (p < 0.2)
+    b = sum((p > F.lit(i / CALIBRATION_BINS)).cast("int") for i in range(1, CALIBRATION_BINS))
+    bins = scored.groupBy(*g, b.alias("bin")).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(p).alias("_mean"), F.var_pop(p).alias("_var"),
+        F.avg(y.cast("double")).alias("_rate"), F.count_if(high).alias("_high"),
+        F.count_if(high & (y == (p > 0.5).cast("int"))).alias("_hit"))
+    # CALIBRATION_BINS rows a group at most
+    w = Window.partitionBy(*g)
+    bins = bins.withColumn("_all", F.sum(F.col("_n") * F.col("_mean")).over(w) / F.sum("_n").over(w))
+    away = F.col("_mean") - F.col("_all")
+    return bins.groupBy(*g).agg(
+        _ratio(F.sum("_hit"), F.sum("_high")).alias("high_confidence_accuracy"),
+        _ratio(F.sum("_high") * 100, F.sum("_n")).alias("high_confidence_percentage"),
+        F.max("_all").alias("mean_predicted_probability"),
+        F.sqrt(F.sum(F.col("_n") * (F.col("_var") + away * away)) / F.sum("_n")).alias("std_predicted_probability"),
+        F.avg(F.abs(F.col("_rate") - F.col("_mean"))).alias("calibration_error"))
+
+
 def threshold_sweep(scored: DataFrame, group_cols: list[str] | None = None,
                     thresholds: list[float] | None = None) -> DataFrame:
     """Accuracy / precision / recall / f1 when class = (p >= t), for each t.
@@ -288,7 +310,7 @@ def threshold_sweep(scored: DataFrame, group_cols: list[str] | None = None,
     for i, t in enumerate(ts):
         m = _metric_cols(F.col(f"tn{i}"), F.col(f"fp{i}"), F.col(f"fn{i}"), F.col(f"tp{i}"))
         structs.append(F.struct(F.lit(float(t)).alias("threshold"),
-                                *[r6(v).alias(k) for k, v in m.items()]))
+                                *[v.alias(k) for k, v in m.items()]))
     return wide.select(*g, F.explode(F.array(*structs)).alias("r")).select(*g, "r.*")
 
 
@@ -298,8 +320,8 @@ def evaluation_bundle(scored: DataFrame, group_cols: list[str] | None = None) ->
     summary = materialize(score_summary(scored, g))
     cc = counts_from_summary(summary, g)
     m = _metric_cols(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"))
-    basic = cc.select(*g, *[r6(v).alias(k) for k, v in m.items()],
-                      r6(_ratio(F.col("tn"), F.col("tn") + F.col("fp"))).alias("specificity"))
+    basic = cc.select(*g, *[v.alias(k) for k, v in m.items()],
+                      (_ratio(F.col("tn"), F.col("tn") + F.col("fp"))).alias("specificity"))
     auc = auc_from_summary(summary, g, constant_score_auc=None)
     rel = reliability_metrics(scored, g, summary=summary)
     both = merge_rows([basic, auc, rel], g)

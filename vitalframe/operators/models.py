@@ -32,7 +32,6 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.functions.rounding import r6
 from vitalframe.operators import metrics as ev
 from vitalframe.operators.split import ScalerModel, fit_standard_scaler, kfold
 from vitalframe.schema import CLASSIFICATION_THRESHOLD, MODEL_FEATURES, RANDOM_STATE
@@ -319,7 +318,7 @@ def cv_summary(fold_scores: DataFrame) -> DataFrame:
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.array_sort(F.collect_list(F.struct("fold", "value"))).alias("_s"))
     return g.select(
-        "model", "metric", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"),
+        "model", "metric", F.col("mean").alias("mean"), F.col("std").alias("std"),
         F.transform("_s", lambda x: x["value"]).alias("scores"),
         F.format_string("%.4f +/- %.4f", F.col("mean"), F.col("std") * 1.96).alias("ci_95"))
 
@@ -456,7 +455,7 @@ def improvement(runs: DataFrame, previous_auc: float = PREVIOUS_MODEL_AUC,
         out = cur.join(best_prev, "model", "left")
     return out.select(
         "run_id", "model", "roc_auc", "previous_auc",
-        r6((F.col("roc_auc") - F.col("previous_auc")) / F.col("previous_auc") * 100)
+        ((F.col("roc_auc") - F.col("previous_auc")) / F.col("previous_auc") * 100)
         .alias("improvement_pct"))
 
 

@@ -9,11 +9,11 @@ read the DataFrame's schema and launch no job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalframe.functions.rounding import half_even, r6
+from vitalframe.functions.rounding import half_even
 from vitalframe.operators.ordered import quantiles_from_counts
 from vitalframe.session import checkpoint_root
 from vitalframe.schema import (
@@ -34,8 +34,15 @@ def _dtype_name(dt: T.DataType) -> str:
     return dt.simpleString()
 
 
+def present(df: DataFrame, column: str) -> Column:
+    """The column with NaN as null: in a floating column NaN is a missing value."""
+    kind = df.schema[column].dataType
+    floating = isinstance(kind, (T.DoubleType, T.FloatType))
+    return F.when(~F.isnan(F.col(column)), F.col(column)) if floating else F.col(column)
+
+
 def _missing_aggs(df: DataFrame) -> list:
-    return [F.count_if(F.col(c).isNull()).alias(f"m__{c}") for c in df.columns]
+    return [F.count_if(present(df, c).isNull()).alias(f"m__{c}") for c in df.columns]
 
 
 def _duplicates(df: DataFrame):
@@ -64,7 +71,7 @@ def dataset_info(df: DataFrame) -> DataFrame:
         names.alias("columns"),
         dtypes.alias("dtypes"),
         F.col("duplicates"),
-        r6(F.try_divide(F.col("duplicates") * 100.0, F.col("rows"))).alias("duplicate_percentage"),
+        F.try_divide(F.col("duplicates") * 100.0, F.col("rows")).alias("duplicate_percentage"),
     )
 
 
@@ -79,7 +86,7 @@ def missing_values(df: DataFrame) -> DataFrame:
         F.col("m.column").alias("column"),
         F.col("m.position").alias("position"),
         F.col("m.missing_count").cast("bigint").alias("missing_count"),
-        r6(F.try_divide(F.col("m.missing_count") * 100.0, F.col("_n"))).alias("missing_percentage"),
+        F.try_divide(F.col("m.missing_count") * 100.0, F.col("_n")).alias("missing_percentage"),
     )
 
 
@@ -87,7 +94,7 @@ def duplicate_stats(df: DataFrame) -> DataFrame:
     """V3: duplicate count and percent (first copy kept)."""
     return _duplicates(df).select(
         "duplicates", "rows",
-        r6(F.try_divide(F.col("duplicates") * 100.0, F.col("rows"))).alias("duplicate_percentage"),
+        F.try_divide(F.col("duplicates") * 100.0, F.col("rows")).alias("duplicate_percentage"),
     )
 
 
@@ -109,7 +116,7 @@ def schema_errors(df: DataFrame, expected: list[str] | None = None) -> DataFrame
         if f.name in expected and f.name != "id" and not isinstance(f.dataType, T.NumericType):
             rows.append(("non_numeric", f.name, f"Column {f.name} must be numeric"))
     static = spark.createDataFrame(rows, "check string, column string, message string")
-    nonnull = df.agg(*[F.count(F.col(c)).alias(f"n__{c}") for c in df.columns])
+    nonnull = df.agg(*[F.count(present(df, c)).alias(f"n__{c}") for c in df.columns])
     empty = nonnull.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"n__{c}").alias("n")) for c in df.columns
     ])).alias("e")).where(F.col("e.n") == 0).select(
@@ -136,7 +143,7 @@ def categorical_values(df: DataFrame, domains: dict | None = None) -> DataFrame:
     domains = CATEGORICAL_DOMAINS if domains is None else domains
     cols = [c for c in domains if c in df.columns]
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+        F.struct(F.lit(c).alias("column"), present(df, c).cast("double").alias("value"))
         for c in cols])).alias("kv")).select("kv.*")
     valid = None
     for c in cols:
@@ -207,43 +214,49 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None,
     reads that reduced table: count, missing, unique, min, max and the mean
     from weighted sums; the sample std from a second weighted pass around the
     per-column mean (numerically two-pass); the exact 25/50/75% quantiles
-    (linear interpolation) from distributed prefix sums.
+    (linear interpolation) from distributed prefix sums. Values of integer
+    columns are told apart, counted and compared as integers: ``unique_count``,
+    ``min_whole`` and ``max_whole`` (null for other columns) are exact beyond 2 ** 53.
     """
     cols = columns or [f.name for f in df.schema.fields
                        if isinstance(f.dataType, T.NumericType)]
+    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+        F.struct(F.lit(c).alias("column"), present(df, c).cast("double").alias("value"),
+                 (F.col(c) if c in whole else F.lit(None)).cast("bigint").alias("whole"))
         for c in cols])).alias("kv")).select("kv.*")
     checkpoint_root(df.sparkSession)
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_cnt")) \
+    counts = long.groupBy("column", "value", "whole").agg(F.count(F.lit(1)).alias("_cnt")) \
         .checkpoint(eager=True)
-    present = counts.where(F.col("value").isNotNull())
+    present_ = counts.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.sum("_cnt").alias("_cnt"))
     v, c = F.col("value"), F.col("_cnt")
     first = counts.groupBy("column").agg(
         F.sum(c).alias("_n"),
         F.sum(F.when(v.isNotNull(), c).otherwise(0)).alias("count"),
         F.count_if(v.isNotNull()).alias("unique_count"),
         (F.sum(F.when(v.isNotNull(), v * c)) / F.sum(F.when(v.isNotNull(), c))).alias("mean"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
+        F.min(v).alias("min"), F.max(v).alias("max"),
+        F.min("whole").alias("min_whole"), F.max("whole").alias("max_whole"))
     # One row per column: a bounded broadcast.
     means = F.broadcast(first.select("column", F.col("mean").alias("_mean")))
-    second = present.join(means, "column").groupBy("column").agg(
+    second = present_.join(means, "column").groupBy("column").agg(
         F.sum(c * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_ss"))
-    quants = quantiles_from_counts(present, "column", "value", [0.25, 0.5, 0.75], num_buckets,
+    quants = quantiles_from_counts(present_, "column", "value", [0.25, 0.5, 0.75], num_buckets,
                                    ["p25", "p50", "p75"], materialize=False)
     out = first.join(second, "column", "left").join(quants, "column", "left")
     std = F.sqrt(F.try_divide(F.col("_ss"), F.col("count") - 1))
     return out.select(
         "column",
         F.col("count").cast("bigint").alias("count"),
-        r6(F.col("mean")).alias("mean"), r6(std).alias("std"),
-        r6(F.col("min")).alias("min"), r6(F.col("p25")).alias("p25"),
-        r6(F.col("p50")).alias("p50"), r6(F.col("p75")).alias("p75"),
-        r6(F.col("max")).alias("max"),
+        F.col("mean").alias("mean"), std.alias("std"),
+        F.col("min").alias("min"), F.col("p25").alias("p25"),
+        F.col("p50").alias("p50"), F.col("p75").alias("p75"),
+        F.col("max").alias("max"),
         (F.col("_n") - F.col("count")).cast("bigint").alias("missing_count"),
         half_even(F.try_divide((F.col("_n") - F.col("count")) * 100.0, F.col("_n")), 2)
         .alias("missing_percent"),
         F.col("unique_count").cast("bigint").alias("unique_count"),
+        "min_whole", "max_whole",
     )
 
 
@@ -254,7 +267,7 @@ def value_distributions(df: DataFrame, columns: list[str] | None = None) -> Data
     """(column, value, count) per column, nulls excluded, most frequent first."""
     cols = [c for c in (columns or DISTRIBUTION_COLUMNS) if c in df.columns]
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("bigint").alias("value"))
+        F.struct(F.lit(c).alias("column"), present(df, c).cast("bigint").alias("value"))
         for c in cols])).alias("kv")).select("kv.*").where(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")) \
         .orderBy("column", F.desc("count"), "value")
@@ -266,19 +279,19 @@ def raw_expectations(df: DataFrame, expected: list[str] | None = None,
                      min_rows: int = 1000) -> DataFrame:
     """>min_rows rows, 13 columns, expected names, no empty column, >1 distinct per column.
 
+    The distinct rule reports how many columns have a single value or none.
     D4 (at least ``MIN_UNIQUE_CATEGORICAL`` distinct values per categorical)
-    is folded in as one more expectation.
+    is one more expectation.
     """
     expected = RAW_COLUMNS if expected is None else expected
     cols = df.columns
-    distinct_aggs = [F.count_distinct(F.col(c)).alias(f"d__{c}") for c in cols]
+    # a column has more than one value if its least and greatest differ
     wide = df.agg(F.count(F.lit(1)).alias("_n"),
-                  *[F.count(F.col(c)).alias(f"n__{c}") for c in cols], *distinct_aggs)
+                  *[F.count(present(df, c)).alias(f"n__{c}") for c in cols],
+                  *[F.coalesce((F.min(present(df, c)) == F.max(present(df, c))), F.lit(True)).cast("int").alias(f"d__{c}") for c in cols])
     min_nonnull = F.least(*[F.col(f"n__{c}") for c in cols]) if len(cols) > 1 else F.col(f"n__{cols[0]}")
-    min_distinct = F.least(*[F.col(f"d__{c}") for c in cols]) if len(cols) > 1 else F.col(f"d__{cols[0]}")
+    constant = sum((F.col(f"d__{c}") for c in cols), F.lit(0))
     cat = [c for c in CATEGORICAL_DOMAINS if c in cols]
-    min_cat = (F.least(*[F.col(f"d__{c}") for c in cat]) if len(cat) > 1
-               else (F.col(f"d__{cat[0]}") if cat else F.lit(None)))
     missing_names = sorted(set(expected) - set(cols))
     rows = F.array(
         F.struct(F.lit("row_count_gt_min").alias("expectation"),
@@ -294,19 +307,24 @@ def raw_expectations(df: DataFrame, expected: list[str] | None = None,
                  min_nonnull.cast("double").alias("observed"),
                  (min_nonnull > 0).alias("passed")),
         F.struct(F.lit("more_than_one_distinct_per_column").alias("expectation"),
-                 min_distinct.cast("double").alias("observed"),
-                 (min_distinct > 1).alias("passed")),
-        F.struct(F.lit("min_unique_categorical").alias("expectation"),
-                 min_cat.cast("double").alias("observed"),
-                 (min_cat >= MIN_UNIQUE_CATEGORICAL).alias("passed")),
+                 constant.cast("double").alias("observed"),
+                 (constant == 0).alias("passed")),
     )
-    return wide.select(F.explode(rows).alias("e")).select("e.*")
+    out = wide.select(F.explode(rows).alias("e")).select("e.*")
+    if not cat:
+        return out
+    # distinct values of the categoricals from their value counts; one without any value counts as 0
+    least = categorical_values(df, {c: [] for c in cat}).where("value is not null").groupBy("column").agg(
+        F.count(F.lit(1)).alias("_d")).agg(F.when(F.count(F.lit(1)) == len(cat), F.min("_d")).otherwise(0).alias("_d"))
+    return out.unionByName(least.select(
+        F.lit("min_unique_categorical").alias("expectation"), F.col("_d").cast("double").alias("observed"),
+        (F.col("_d") >= MIN_UNIQUE_CATEGORICAL).alias("passed")))
 
 
 def cleaned_expectations(df: DataFrame) -> DataFrame:
     """No null, no duplicate, columns, ranges, ap_hi > ap_lo, domains, age 30..80."""
     cols = df.columns
-    any_null = F.count_if(F.greatest(*[F.col(c).isNull() for c in cols]))
+    any_null = F.count_if(F.greatest(*[present(df, c).isNull() for c in cols]))
     range_bad = {c: F.count_if(~F.coalesce(F.col(c).between(*VALID_RANGES[c]), F.lit(False)))
                  for c in ("height", "weight", "ap_hi", "ap_lo") if c in cols}
     dom_bad = {c: F.count_if(~F.coalesce(F.col(c).isin(*v), F.lit(False)))

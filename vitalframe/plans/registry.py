@@ -594,3 +594,23 @@ def q_v10l(spark, sf):
 @register("V12_labels_column_statistics")
 def q_v12l(spark, sf):
     return prof.column_statistics(label_table(spark, sf))
+
+
+# ------------------------------------------------------------------ checked precision
+#: Queries whose doubles are rounded to six places for the comparison with SQL; operators return full precision.
+ROUNDED = [
+    "V1_dataset_info", "V2_missing_values", "V3_duplicates", "V8_V11_quality_report", "V12_column_statistics", "V13_clean_describe",
+    "V12_labels_column_statistics", "E1_E2_E4_metrics_by_split", "E2_roc_auc_test", "E5_classification_report_test", "E6_E8_reliability_test",
+    "E9_threshold_sweep_test", "E10_evaluation_bundle_test", "E13_train_validation_report", "E12_best_model_test_evaluation",
+    "M6_M7_M10_M11_training_summary", "M8_M9_cross_validation", "M17_improvement",
+]
+
+
+def _rounded(query: Query) -> Query:
+    def run(spark, sf):
+        df = query(spark, sf)
+        return df.withColumns({f.name: r6(F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)})
+    return run
+
+
+QUERIES.update({name: _rounded(QUERIES[name]) for name in ROUNDED})
