@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, read_table
+from .common import keep, maybe_in, read_table
 
 #: Symbol 0 is a word's edge, 1 any other letter, then these.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -120,6 +120,10 @@ class CharModel:
 
     def decode(self, noisy: str) -> str:
         """The likeliest restored text (words parted by a space) of a noisy string."""
+        return self.best(noisy)[1].strip()
+
+    def best(self, noisy: str) -> tuple[float, str]:
+        """Cost and text of the lattice's best path."""
         cost = self.cost
         # state (a, b) -> (cost, text so far)
         best = {(0, 0): (0.0, "")}
@@ -149,7 +153,7 @@ class CharModel:
                     if key not in nxt or total < nxt[key][0]:
                         nxt[key] = (total, grown)
             best = nxt
-        return min((s + (float(cost[a, b, 0]) if b else 0.0), t) for (a, b), (s, t) in best.items())[1].strip()
+        return min((s + (float(cost[a, b, 0]) if b else 0.0), t) for (a, b), (s, t) in best.items())
 
 
 def disguised(token: str) -> bool:
@@ -322,7 +326,9 @@ class Weights:
 def learn(found: DataFrame, labels: DataFrame) -> Weights:
     """Weights from (doc_id, cells) and (doc_id, toxic) rows."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").distinct()
-    train = keep(found.join(known, "doc_id").select("doc_id", "cells", "toxic"), "toxic-train")
+    # only rows that a filter of fixed size lets through are shuffled; a merge join at every size
+    train = found.where(maybe_in(known.select("doc_id"))(F.col("doc_id"))).join(known.hint("merge"), "doc_id")
+    train = keep(train.select("doc_id", "cells", "toxic", F.xxhash64("doc_id").alias("h")), "toxic-train")
     counts = train.select("cells", "toxic").mapInArrow(_cell_counts, "cell int, toxic long, other long").groupBy("cell").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow()
     dense = np.zeros((2, 2 * CELLS + 1), dtype=np.int32)
     at = counts.column("cell").to_numpy()
@@ -339,7 +345,8 @@ def learn(found: DataFrame, labels: DataFrame) -> Weights:
             yield pa.record_batch([batch.column(0), pa.array(x, pa.list_(pa.float64())), pa.array(labels_, pa.int32())], names=["doc_id", "x", "y"])
 
     # by hash of the id, so the choice does not depend on the table's order
-    sample = train.select("doc_id", "cells", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_ROWS)
+    last = train.select("h").orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]
+    sample = train.where(F.col("h") <= F.lit(last)).select("doc_id", "cells", "toxic")
     rows = sample.mapInArrow(run, "doc_id long, x array<double>, y int").orderBy("doc_id", "y").toArrow()
     weights.fit(np.array(rows.column("x").to_pylist()), rows.column("y").to_numpy().astype(float))
     return weights
