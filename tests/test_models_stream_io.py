@@ -120,9 +120,59 @@ def test_importance_rows_for_runs_table(spark, splits):
     assert b.scaler.n_rows == splits.where(F.col("split") == "train").count()
 
 
-def test_fit_partitions_sized_to_data(spark):
-    df = spark.range(10)
-    cores = spark.sparkContext.defaultParallelism
-    assert ml.fit_partitions(df, 5000, 20) == max(1, cores)  # small: one per core
-    # 1e9 rows x (20 features + label) doubles = 168 GB -> 64 MB partitions.
-    assert ml.fit_partitions(df, 10**9, 20) == -(-(10**9 * 8 * 21) // (64 << 20))
+def test_fit_input_does_not_follow_the_cluster(splits):
+    train = splits.where(F.col("split") == "train")
+    feats = ["age_years", "weight", "ap_hi"]
+    a = ml.fit_input(train, feats)
+    b = ml.fit_input(train.repartition(3), feats)
+    assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == ml.FIT_PARTITIONS
+    assert a.rdd.glom().map(lambda x: [tuple(r) for r in x]).collect() == b.rdd.glom().map(lambda x: [tuple(r) for r in x]).collect()
+
+
+def test_unsupported_parameters_raise():
+    with pytest.raises(ValueError, match="30"):
+        ml.build_estimator("Random_Forest", {"max_depth": 31})
+    with pytest.raises(ValueError, match="no parameter"):
+        ml.build_estimator("XGBoost", {"gamma": 1})
+    assert ml.build_estimator("XGBoost", {"min_child_weight": 7}).getMinInstancesPerNode() == 7
+    assert ml.build_estimator("Random_Forest", {"min_samples_split": 20, "min_samples_leaf": 2}).getMinInstancesPerNode() == 10
+
+
+def test_failed_trials_rank_last(spark, splits, monkeypatch):
+    train = splits.where(F.col("split") == "train")
+    monkeypatch.setattr(ml, "sample_params", lambda name, n, seed=0: [{"C": 1.0}, {"C": 0.0001, "nonsense": 1}])
+    for direction in ("maximize", "minimize"):
+        rows = ml.tune(train, "Logistic_Regression", 2, k=2, direction=direction, fit_rows=300).collect()
+        assert [r.trial for r in rows] == [0, 1] and rows[0].error is None and "nonsense" in rows[1].error
+    monkeypatch.setattr(ml, "cross_validate", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ml.tune(train, "Logistic_Regression", 1, k=2)
+
+
+def test_retrain_and_evaluate_plans(spark):
+    table = batch.featured(spark, "/root/testdata/sf0.001").withColumn("cardio", F.col("cardio"))
+    out = batch.retrain(spark, table, scratch_dir(spark, "retrain-test"), ["Logistic_Regression"], grid={"n_estimators": [2, 4], "max_depth": [2]},
+                        baseline_folds=2, grid_folds=2, fit_rows=400)
+    rows = spark.read.json(out["paths"]["grid"]).collect()
+    assert len(rows) == 2 and out["cv_score"] == max(r.cv_auc for r in rows)
+    record = spark.read.json(out["paths"]["best_params"]).first()
+    assert record.cv_score == out["cv_score"] and 0 <= out["test_metrics"]["roc_auc"] <= 1
+    got = {r.metric: r.value for r in batch.evaluate_saved(spark, out["paths"]["model"], out["paths"]["splits"], scratch_dir(spark, "evaluate-test")).collect()}
+    assert got["roc_auc"] == pytest.approx(out["test_metrics"]["roc_auc"])
+    summary = ml.cv_summary(ml.cross_validate(table, ["Logistic_Regression"], k=2)).collect()
+    assert all(r.is_best for r in summary)
+
+
+def test_runs_are_not_doubled(spark):
+    path = scratch_dir(spark, "runs-test")
+    rows = ml.runs_rows(spark, "r1", "m", {}, {"roc_auc": 0.5}, "test")
+    ml.log_runs(rows, path)
+    ml.log_runs(rows, path)
+    ml.log_runs(ml.runs_rows(spark, "r2", "m", {}, {"roc_auc": 0.6}, "test"), path)
+    assert sorted(r.run_id for r in spark.read.parquet(path).collect()) == ["r1", "r2"]
+
+
+def test_scoring_without_the_features_raises(splits):
+    b = ml.fit_bundle("Logistic_Regression", splits.where(F.col("split") == "train"))
+    with pytest.raises(ValueError, match="weight"):
+        b.score(splits.drop("weight"))

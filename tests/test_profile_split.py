@@ -98,8 +98,8 @@ def test_optional_range_rules_and_threshold(spark):
 
 def test_tuned_estimator_uses_best_params():
     from vitalframe.operators import models as ml
-    est = ml.tuned_estimator("Random_Forest", {"n_estimators": 7, "max_depth": 40, "min_samples_leaf": 2})
-    assert est.getNumTrees() == 7 and est.getMaxDepth() == 30 and est.getMinInstancesPerNode() == 2
+    est = ml.tuned_estimator("Random_Forest", {"n_estimators": 7, "max_depth": 25, "min_samples_leaf": 2, "min_samples_split": 4})
+    assert est.getNumTrees() == 7 and est.getMaxDepth() == 25 and est.getMinInstancesPerNode() == 2
 
 
 def test_string_statistics_top_ties_and_nulls(spark):
@@ -115,3 +115,46 @@ def test_improvement_against_previous_runs(spark):
     r = ml.improvement(cur, previous_runs=old).first()
     assert r.previous_auc == 0.80 and r.improvement_pct == pytest.approx(2.5, abs=1e-6)
     assert ml.improvement(cur).first().previous_auc == ml.PREVIOUS_MODEL_AUC
+
+
+def test_nan_is_missing_and_integers_are_exact(spark):
+    from vitalframe.operators import profile as P
+    df = spark.createDataFrame([(1.0, 1234567890123457), (float("nan"), 1234567890123458), (3.0, 1234567890123459)], "weight double, id long")
+    assert {r.column: r.missing_count for r in P.missing_values(df).collect()} == {"weight": 1, "id": 0}
+    stats = {r.column: r for r in P.column_statistics(df).collect()}
+    w, i = stats["weight"], stats["id"]
+    assert (w["count"], w["mean"], w["missing_count"], w["max"]) == (2, 2.0, 1, 3.0)
+    assert (i.unique_count, i.min_whole, i.max_whole) == (3, 1234567890123457, 1234567890123459)
+    big = spark.range(2**53, 2**53 + 100).select(F.col("id"))
+    assert P.column_statistics(big).first().unique_count == 100
+    tiny = spark.createDataFrame([(1e-8,), (1.0,)], "x double")
+    assert P.column_statistics(tiny).first()["min"] == 1e-8
+
+
+def test_quality_limits_compare_full_precision(spark):
+    from vitalframe.operators import profile as P
+    # 4.99999996 % missing: below 5, though it rounds to 5.000000
+    n, gone = 25_000_000, 1_249_999
+    df = spark.range(n).select(F.when(F.col("id") >= gone, 1.0).alias("x"))
+    rows = {r.check: r for r in P.quality_report(df, {"x": [1]}).collect()}
+    assert rows["missing_values"].passed and rows["missing_values"].value < 5
+
+
+def test_schema_errors_name_every_kind(spark):
+    from vitalframe.operators import profile as P
+    rows = [(1, 1, 1, 170, None, "x", 80, 1, 1, 0, 0, 1)]
+    df = spark.createDataFrame(rows, "id long, age long, gender long, height long, weight double, ap_hi string, ap_lo long, cholesterol long, gluc long, smoke long, alco long, active long")
+    got = sorted((r.check, r.column) for r in P.schema_errors(df).collect())
+    assert got == [("empty_column", "weight"), ("missing_column", "cardio"), ("non_numeric", "ap_hi")]
+    assert tuple(P.schema_verdict(df).first()) == (False, 3)
+
+
+def test_exact_splits_keep_rows_with_null_keys_and_split_copies(spark):
+    rows = [(None if i % 5 == 0 else i, None if i % 4 == 0 else i % 2) for i in range(100)] + [(7, 1)] * 60
+    df = spark.createDataFrame(rows, "id long, cardio long")
+    assert S.train_val_test_split_exact(df).count() == S.kfold(df, exact=True).count() == 160
+    per = {(r.cardio, r.fold): r["count"] for r in S.kfold(df, k=4, exact=True).groupBy("cardio", "fold").count().collect()}
+    for label in (None, 0, 1):
+        sizes = [per[label, f] for f in range(4)]
+        assert max(sizes) - min(sizes) <= 1
+    assert S.kfold(df).where("fold is null").count() == 0

@@ -344,11 +344,13 @@ def feature_consistency(saved: list[str], present: list[str]) -> dict[str, list[
 
 
 def check_feature_consistency(saved: list[str], present: list[str]) -> None:
+    """E11 as a guard: raise and name every feature that one list has and the other lacks."""
     diff = feature_consistency(saved, present)
-    if diff["missing"] or diff["extra"]:
-        msg = "Feature mismatch detected!\n"
-        if diff["missing"]:
-            msg += f"Missing features: {set(diff['missing'])}\n"
-        if diff["extra"]:
-            msg += f"Extra features: {set(diff['extra'])}\n"
-        raise ValueError(msg)
+    wrong = [f"{kind} {', '.join(sorted(names))}" for kind, names in diff.items() if names]
+    if wrong:
+        raise ValueError("the model's features do not fit the table: " + "; ".join(wrong))
+
+
+def require_features(columns: list[str], features: list[str]) -> None:
+    """E11 for scoring: a table may have further columns, but must have the model's features."""
+    check_feature_consistency(features, [c for c in columns if c in set(features)])

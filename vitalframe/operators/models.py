@@ -13,11 +13,13 @@ that fold's own training rows (no leakage from the held-out fold).
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import os
 import random
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
@@ -27,13 +29,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitalframe.operators import metrics as ev
-from vitalframe.operators.split import ScalerModel, fit_standard_scaler, kfold
+from vitalframe.operators.split import ScalerModel, fit_standard_scaler, hash_unit, kfold
 from vitalframe.schema import CLASSIFICATION_THRESHOLD, MODEL_FEATURES, RANDOM_STATE
 
 # --------------------------------------------------------------------------
@@ -86,14 +88,22 @@ def build_estimator(name: str, params: dict | None = None, n_train: int | None =
 
     * Logistic_Regression: L2 with sklearn's C mapped to regParam = 1 / (C * n),
       tol 1e-4 (the lbfgs default of the reference's library).
-    * Random_Forest: numTrees, maxDepth, minInstancesPerNode = min_samples_leaf
-      (min_samples_split has no Spark counterpart).
+    * Random_Forest: numTrees, maxDepth, minInstancesPerNode (see below).
     * Gradient_Boosting / XGBoost: GBTClassifier (log-loss boosting); XGBoost's
-      subsample / colsample_bytree map to subsamplingRate / featureSubsetStrategy,
-      min_child_weight (a hessian sum) has no exact counterpart.
+      subsample / colsample_bytree map to subsamplingRate / featureSubsetStrategy.
+
+    Spark bounds the rows of a child, so all three size limits map to
+    minInstancesPerNode, here and in every search: min_samples_leaf and
+    min_child_weight (a hessian sum, nearest in rows) as they are,
+    min_samples_split as half of it, the largest of those given. A depth that
+    Spark does not support and unknown parameters raise; ``solver`` names an
+    optimiser of the same optimum and is listed by ``without_effect``.
     """
     if name not in MODEL_CONFIG:
-        raise ValueError(f"Unknown model: {name}. Available: {list(MODEL_CONFIG)}")
+        raise ValueError(f"no such model: {name} (known: {', '.join(MODEL_CONFIG)})")
+    unknown = set(params or {}) - set(MODEL_CONFIG[name]) - set(SEARCH_SPACES[name]) - {"tol"}
+    if unknown:
+        raise ValueError(f"{name} has no parameter {sorted(unknown)}")
     p = dict(MODEL_CONFIG[name])
     p.update(params or {})
     common = dict(featuresCol="features", labelCol="label")
@@ -102,46 +112,49 @@ def build_estimator(name: str, params: dict | None = None, n_train: int | None =
         return LogisticRegression(regParam=1.0 / (float(p["C"]) * n), elasticNetParam=0.0,
                                   maxIter=int(p["max_iter"]), tol=float(p.get("tol", 1e-4)),
                                   standardization=False, **common)
-    depth = min(int(p["max_depth"]), MAX_TREE_DEPTH)
+    depth = int(p["max_depth"])
+    if depth > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {depth}: Spark trees reach {MAX_TREE_DEPTH} levels")
+    per_node = max(int(p.get("min_samples_leaf", 1)), int(p.get("min_child_weight", 1)), -(-int(p.get("min_samples_split", 2)) // 2))
     if name == "Random_Forest":
         return RandomForestClassifier(numTrees=int(p["n_estimators"]), maxDepth=depth,
-                                      minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+                                      minInstancesPerNode=per_node,
                                       seed=seed, **common)
     if name == "Gradient_Boosting":
         return GBTClassifier(maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]),
-                             maxDepth=depth, minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+                             maxDepth=depth, minInstancesPerNode=per_node,
                              seed=seed, **common)
     return GBTClassifier(maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]),
-                         maxDepth=depth, subsamplingRate=float(p.get("subsample", 1.0)),
+                         maxDepth=depth, minInstancesPerNode=per_node, subsamplingRate=float(p.get("subsample", 1.0)),
                          featureSubsetStrategy=str(float(p.get("colsample_bytree", 1.0)))
                          if float(p.get("colsample_bytree", 1.0)) < 1.0 else "all",
                          seed=seed, **common)
 
 
+def without_effect(params: dict) -> list[str]:
+    """Parameters of a draw that do not change the fitted model."""
+    return sorted(set(params) & {"solver"})
+
+
 # ------------------------------------------------------------------ data prep
 
-# Target size of one partition of an optimiser's cached input (feature values
-# and label as doubles); the same figure as AQE's default advisory size.
-FIT_PARTITION_BYTES = 64 << 20
+#: Partitions of a fit's input. Forests and boosting draw their samples per
+#: partition, so the count is a setting of the fit (raise it for large tables),
+#: not something that follows the cluster.
+FIT_PARTITIONS = 16
 
 
-def fit_partitions(df: DataFrame, n_rows: int | None, n_features: int) -> int:
-    """Partition count for an iterative fit's input, sized to the data.
+def fit_input(df: DataFrame, features: list[str], label: str = "cardio", partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """Feature and label columns, dealt out and ordered by their values: the same on any cluster."""
+    cols = [*features, label]
+    return df.select(*cols).repartition(partitions, *cols).sortWithinPartitions(*cols)
 
-    A cached plan keeps its shuffle's partition count (AQE does not coalesce
-    cached plans by default) and every optimiser iteration runs one task per
-    partition, so tiny partitions turn each iteration into scheduling
-    overhead. ``coalesce`` to this count (no shuffle; it never raises the
-    count) keeps tasks near ``FIT_PARTITION_BYTES`` but at least one per
-    core, so tree building still uses every core; on large data the count
-    exceeds the present one and nothing changes.
-    """
-    size = max(int(n_rows or 0), 1) * 8 * (n_features + 1)
-    try:
-        cores = int(df.sparkSession.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
-        cores = 1
-    return max(1, cores, math.ceil(size / FIT_PARTITION_BYTES))
+
+def fit_rows_sample(df: DataFrame, fit_rows: int | None, n_rows: int, id_col: str = "id", seed: int = RANDOM_STATE) -> DataFrame:
+    """At most about ``fit_rows`` labelled rows by id hash (the same share of every label); all without a bound."""
+    if fit_rows is None or n_rows <= fit_rows:
+        return df
+    return df.where(hash_unit(id_col, seed + 1) < F.lit(fit_rows / n_rows))
 
 
 def assemble(df: DataFrame, features: list[str], label: str = "cardio",
@@ -164,7 +177,8 @@ class ModelBundle:
 
     def score(self, df: DataFrame, keep: tuple[str, ...] = ("id",),
               threshold: float = CLASSIFICATION_THRESHOLD) -> DataFrame:
-        """(keep..., label?, probability, prediction) for rows with the feature columns."""
+        """(keep..., label?, probability, prediction) for rows with the feature columns (E11 is checked)."""
+        ev.require_features(df.columns, self.features)
         scaled = self.scaler.transform(df, self.features)
         va = VectorAssembler(inputCols=self.features, outputCol="features")
         cols = [c for c in keep if c in df.columns]
@@ -200,7 +214,7 @@ class ModelBundle:
 
 
 def fit_bundle(name: str, train: DataFrame, features: list[str] | None = None,
-               params: dict | None = None) -> ModelBundle:
+               params: dict | None = None, partitions: int = FIT_PARTITIONS) -> ModelBundle:
     """M6 (fit part): scaler on the training rows, then the estimator.
 
     Only the feature and label columns are cached (spillable), so the
@@ -209,12 +223,13 @@ def fit_bundle(name: str, train: DataFrame, features: list[str] | None = None,
     """
     feats = features or [c for c in MODEL_FEATURES if c in train.columns]
     if not feats:
-        raise ValueError("No valid feature columns found")
-    base = train.select(*feats, "cardio").persist(StorageLevel.MEMORY_AND_DISK)
+        raise ValueError("none of the model's features is a column of the training rows")
+    from vitalframe.session import checkpoint_root
+    checkpoint_root(train.sparkSession)  # boosting cuts its lineage there
+    base = fit_input(train, feats, partitions=partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         scaler = fit_standard_scaler(base, feats)  # also counts the rows (regParam needs n)
-        sized = base.coalesce(fit_partitions(base, scaler.n_rows, len(feats)))
-        data = assemble(scaler.transform(sized, feats), feats)
+        data = assemble(scaler.transform(base, feats), feats)
         model = build_estimator(name, params, n_train=scaler.n_rows).fit(data)
     finally:
         base.unpersist()
@@ -240,11 +255,8 @@ def train_and_evaluate(splits: DataFrame, names: list[str] | None = None,
         s = b.score(cached.where(F.col("split").isin("train", "validation")), keep=("id", "split")) \
             .withColumn("model", F.lit(name)).withColumn("model_order", F.lit(order))
         scored = s if scored is None else scored.unionByName(s)
-    # A few rows per (model, split): materialise them, then release the cache.
-    metrics = ev.basic_metrics(scored, ["model", "model_order", "split"]) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    metrics.count()
-    return bundles, metrics
+    # a few rows per (model, split), written once
+    return bundles, reliable_checkpoint(ev.basic_metrics(scored, ["model", "model_order", "split"]))
 
 
 def training_summary(metrics: DataFrame) -> DataFrame:
@@ -265,7 +277,7 @@ def select_best(summary: DataFrame) -> str:
     """Name of the best model (one row collected)."""
     row = summary.where("is_best").select("model").first()
     if row is None:
-        raise ValueError("No model was trained successfully")
+        raise ValueError("the summary names no best model")
     return row[0]
 
 
@@ -313,66 +325,66 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 
 
 def cv_summary(fold_scores: DataFrame) -> DataFrame:
-    """M8 / M9 summary: mean, population std, score list and the 95% text per (model, metric)."""
+    """M8 / M9 summary: mean, population std, score list and the 95% text per (model, metric);
+    ``is_best`` marks each metric's best model by mean (a few rows)."""
     g = fold_scores.groupBy("model", "metric").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.array_sort(F.collect_list(F.struct("fold", "value"))).alias("_s"))
     return g.select(
         "model", "metric", F.col("mean").alias("mean"), F.col("std").alias("std"),
         F.transform("_s", lambda x: x["value"]).alias("scores"),
-        F.format_string("%.4f +/- %.4f", F.col("mean"), F.col("std") * 1.96).alias("ci_95"))
+        F.format_string("%.4f +/- %.4f", F.col("mean"), F.col("std") * 1.96).alias("ci_95"),
+        (F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("mean"), "model")) == 1).alias("is_best"))
 
 
 # ------------------------------------------------------------------ M12 - M15
 
-def _grid_maps(est, grid: dict[str, list]) -> list:
-    """Map reference parameter names onto the GBT estimator's params."""
-    b = ParamGridBuilder()
-    mapping = {"n_estimators": est.maxIter, "max_depth": est.maxDepth,
-               "learning_rate": est.stepSize, "subsample": est.subsamplingRate}
-    for k, vals in grid.items():
-        if k in mapping:
-            b = b.addGrid(mapping[k], list(vals))
-        elif k == "min_child_weight":
-            # No exact Spark counterpart (a hessian sum); the nearest knob is the
-            # minimum number of rows per node.
-            b = b.addGrid(est.minInstancesPerNode, [int(v) for v in vals])
-    return b.build()
+def grid_points(grid: dict[str, list]) -> list[dict]:
+    """Every combination of a grid, in order."""
+    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
 
 def grid_search(train: DataFrame, grid: dict[str, list] | None = None, folds: int = 3,
                 features: list[str] | None = None, parallelism: int = 4,
-                seed: int = RANDOM_STATE):
-    """Grid search over the boosting model, stratified ``folds``-fold, exact ROC-AUC.
-
-    Returns (best_params, best_cv_score, table of (params_json, cv_auc)).
-    The whole grid is one ``CrossValidator`` run with ``parallelism`` fits
-    in flight; the evaluator uses ``numBins=0`` (exact AUC).
+                seed: int = RANDOM_STATE, fit_rows: int | None = None, name: str = "XGBoost",
+                partitions: int = FIT_PARTITIONS):
+    """Grid search, stratified ``folds``-fold, exact ROC-AUC, winner refitted.
+
+    Returns (best params, best CV score, table of (params, cv_auc, fit_rows),
+    bundle of the winner fitted on all training rows). Every fold's scaler is
+    fitted on that fold's own training rows; each assembled fold is written once
+    and shared by all grid points. ``fit_rows`` bounds the labelled rows of the
+    search (not of the refit); None takes all. ``parallelism`` fits run at once.
     """
     feats = features or [c for c in MODEL_FEATURES if c in train.columns]
-    scaler = fit_standard_scaler(train, feats)
-    # Stratified folds (exact per-label counts) handed to CrossValidator via foldCol.
-    folded = kfold(train, k=folds, exact=True, seed=seed)
-    data = assemble(scaler.transform(folded, feats), feats, keep=("fold",)) \
-        .coalesce(fit_partitions(train, scaler.n_rows, len(feats))) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    data.count()  # fill the cache once before the parallel fits start
+    rows_of = fit_rows_sample(train, fit_rows, train.count() if fit_rows else 0, seed=seed)
+    folded = reliable_checkpoint(kfold(rows_of, k=folds, exact=True, seed=seed))
+    parts = []
+    for f in range(folds):
+        scaler = fit_standard_scaler(folded.where(F.col("fold") != f), feats)
+        part = [assemble(scaler.transform(fit_input(folded.where(keep), feats, partitions=partitions), feats), feats)
+                for keep in (F.col("fold") != f, F.col("fold") == f)]
+        parts.append((scaler.n_rows, *[p.persist(StorageLevel.MEMORY_AND_DISK) for p in part]))
+    points = grid_points(grid or RETRAIN_GRID)
+    auc = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
+
+    def score(job: tuple[int, int]) -> float:
+        n, fit_part, held_out = parts[job[1]]
+        return auc.evaluate(build_estimator(name, points[job[0]], n, seed).fit(fit_part).transform(held_out))
+
     try:
-        est = GBTClassifier(featuresCol="features", labelCol="label", seed=seed)
-        maps = _grid_maps(est, grid or RETRAIN_GRID)
-        cv = CrossValidator(estimator=est, estimatorParamMaps=maps,
-                            evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0),
-                            foldCol="fold", parallelism=parallelism, seed=seed)
-        cvm = cv.fit(data)
+        jobs = [(i, f) for i in range(len(points)) for f in range(folds)]
+        with ThreadPool(parallelism) as pool:
+            scores = dict(zip(jobs, pool.map(score, jobs, chunksize=1)))
     finally:
-        data.unpersist()
-    rows = []
-    for pm, metric in zip(maps, cvm.avgMetrics):
-        rows.append((json.dumps({p.name: v for p, v in pm.items()}, sort_keys=True), float(metric)))
-    best_i = max(range(len(rows)), key=lambda i: rows[i][1])
-    spark = train.sparkSession
-    table = spark.createDataFrame(rows, "params string, cv_auc double")
-    return json.loads(rows[best_i][0]), rows[best_i][1], table
+        for _, a, b in parts:
+            a.unpersist()
+            b.unpersist()
+    means = [sum(scores[i, f] for f in range(folds)) / folds for i in range(len(points))]
+    best = max(range(len(points)), key=means.__getitem__)
+    table = train.sparkSession.createDataFrame(
+        [(json.dumps(p, sort_keys=True), m, fit_rows) for p, m in zip(points, means)], "params string, cv_auc double, fit_rows int")
+    return points[best], means[best], table, fit_bundle(name, train, feats, points[best], partitions)
 
 
 def sample_params(name: str, n_trials: int, seed: int = RANDOM_STATE) -> list[dict]:
@@ -395,33 +407,54 @@ def sample_params(name: str, n_trials: int, seed: int = RANDOM_STATE) -> list[di
     return out
 
 
+#: Errors of a fit itself; anything else (a lost executor, a wrong column) is raised.
+FIT_ERRORS = (ValueError, IllegalArgumentException)
+
+
 def tune(df: DataFrame, name: str, n_trials: int = 50, k: int = 3,
          features: list[str] | None = None, seed: int = RANDOM_STATE,
-         direction: str = "maximize") -> DataFrame:
-    """Random search; each trial is a k-fold CV (mean ROC-AUC); a failed
-    trial scores 0.0. Returns (trial, params_json, score) ordered best first."""
+         direction: str = "maximize", fit_rows: int | None = None) -> DataFrame:
+    """Random search; each trial is a k-fold CV (mean ROC-AUC).
+
+    Returns (model, trial, params, score, error, without_effect, fit_rows), best
+    first. A draw that the model cannot be fitted with keeps its error, scores
+    0.0 and ranks last in either direction. ``fit_rows`` bounds the labelled
+    rows; None takes all.
+    """
     trials = sample_params(name, n_trials, seed)
-    folded = reliable_checkpoint(kfold(df, k=k, exact=True, seed=seed))  # shared by all trials
+    rows_of = fit_rows_sample(df, fit_rows, df.count() if fit_rows else 0, seed=seed)
+    folded = reliable_checkpoint(kfold(rows_of, k=k, exact=True, seed=seed))  # shared by all trials
     rows = []
     for i, p in enumerate(trials):
-        fixed = {kk: vv for kk, vv in p.items() if kk != "solver"}
+        score, error = 0.0, None
         try:
-            fs = cross_validate(folded, [name], k=k, params={name: fixed}, features=features,
-                                seed=seed)
-            score = fs.where("metric = 'roc_auc'").agg(F.avg("value")).first()[0]
+            fs = cross_validate(folded, [name], k=k, params={name: p}, features=features, seed=seed)
+            got = fs.where("metric = 'roc_auc'").agg(F.avg("value")).first()[0]
             fs.unpersist()
-            score = float(score) if score is not None else 0.0
-        except Exception:  # noqa: BLE001 - a failed trial scores 0.0, as in the reference
-            score = 0.0
-        rows.append((i, json.dumps(p, sort_keys=True), score))
-    out = df.sparkSession.createDataFrame(rows, "trial int, params string, score double")
-    order = F.desc("score") if direction == "maximize" else F.asc("score")
-    return out.orderBy(order, "trial")
+            score = float(got) if got is not None else 0.0
+        except FIT_ERRORS as e:
+            error = str(e)
+        rows.append((name, i, json.dumps(p, sort_keys=True), score, error, without_effect(p), fit_rows))
+    out = df.sparkSession.createDataFrame(rows, "model string, trial int, params string, score double, error string, without_effect array<string>, fit_rows int")
+    return out.orderBy(F.col("error").isNotNull(), F.desc("score") if direction == "maximize" else F.asc("score"), "trial")
+
+
+def tune_all(df: DataFrame, names: list[str] | None = None, **settings) -> DataFrame:
+    """M14 over several models: all trials, ``is_best`` on the best of all, best first."""
+    names = names or list(MODEL_CONFIG)
+    trials = [tune(df, n, **settings) for n in names]
+    out = trials[0]
+    for t in trials[1:]:
+        out = out.unionByName(t)
+    order = F.desc("score") if settings.get("direction", "maximize") == "maximize" else F.asc("score")
+    # n_trials rows a model
+    rank = F.row_number().over(Window.orderBy(F.col("error").isNotNull(), order, "model", "trial"))
+    return out.withColumn("is_best", (rank == 1) & F.col("error").isNull()).orderBy(F.desc("is_best"), F.col("error").isNotNull(), order, "model", "trial")
 
 
 def tuned_estimator(name: str, best_params: dict, n_train: int | None = None):
     """Estimator from the best parameters plus the fixed ones."""
-    return build_estimator(name, {k: v for k, v in best_params.items() if k != "solver"}, n_train)
+    return build_estimator(name, best_params, n_train)
 
 
 # ------------------------------------------------------------------ M17 / M18 / S8 / S9
@@ -483,8 +516,11 @@ def importance_rows(run_id: str, bundle: "ModelBundle", stage: str = "train") ->
 
 
 def log_runs(rows: DataFrame, path: str) -> None:
-    """Append to the runs table (parquet)."""
-    rows.write.mode("append").parquet(path)
+    """Write the rows of each run to the runs table (parquet, one folder a run and stage).
+
+    A stage that runs again replaces its own rows instead of doubling them.
+    """
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "stage").parquet(path)
 
 
 def best_params_record(spark: SparkSession, model_name: str, params: dict, cv_score: float | None,

@@ -116,3 +116,62 @@ def run_batch_pipeline(spark: SparkSession, sf_dir: str, out_root: str,
                                                 None, m), p["best_params"])
     bundle.save(p["model"])
     return {"paths": p, "best_model": best, "test_metrics": m}
+
+
+def evaluate_saved(spark: SparkSession, model_path: str, splits_path: str, out_root: str) -> DataFrame:
+    """Evaluate a saved model on the saved test split: load, feature check (E11), score, E1-E10, reports.
+
+    Writes the scored rows, the metric bundle, the per-class report and the
+    threshold sweep under ``out_root``; returns the bundle's (metric, value) rows.
+    """
+    import os
+
+    from vitalframe.operators import metrics as ev
+    from vitalframe.operators import models as ml
+    from vitalframe.sources import io as sio
+
+    model = ml.ModelBundle.load(model_path)
+    test = sio.read_split(spark, splits_path, "test")
+    # written once: every report reads the scores, none scores again
+    model.score(test, keep=("id",)).write.mode("overwrite").parquet(os.path.join(out_root, "scored"))
+    scored = spark.read.parquet(os.path.join(out_root, "scored"))
+    for name, report in (("metrics", ev.evaluation_bundle(scored)), ("class_report", ev.classification_report(scored)),
+                         ("threshold_sweep", ev.threshold_sweep(scored)), ("calibration", ev.calibration_bins(scored))):
+        report.write.mode("overwrite").json(os.path.join(out_root, name))
+    return spark.read.schema("metric string, value double").json(os.path.join(out_root, "metrics"))
+
+
+def retrain(spark: SparkSession, table: DataFrame, out_root: str, names: list[str] | None = None,
+            baseline_params: dict[str, dict] | None = None, grid: dict[str, list] | None = None,
+            baseline_folds: int = 5, grid_folds: int = 3, fit_rows: int | None = None, parallelism: int = 4) -> dict:
+    """The retrain path as one plan: 80/20 split, baseline CV of the models, grid
+    search of the boosting model, refitted winner, test metrics, improvement on
+    the previous model, saved model and parameter record with its CV score.
+
+    ``fit_rows`` bounds the labelled rows of the baseline and the grid search
+    (see ``models.fit_rows_sample``); the winner is fitted on all training rows.
+    """
+    import os
+
+    from vitalframe.operators import metrics as ev
+    from vitalframe.operators import models as ml
+    from vitalframe.operators.split import train_test_split
+    from vitalframe.sources import io as sio
+
+    p = {k: os.path.join(out_root, k) for k in ("splits", "baseline", "grid", "test_metrics", "runs", "improvement", "best_params", "model")}
+    train_test_split(table).write.mode("overwrite").partitionBy("split").parquet(p["splits"])
+    splits_df = spark.read.parquet(p["splits"])
+    train, test = (splits_df.where(splits_df["split"] == s).drop("split") for s in ("train", "test"))
+    sample = ml.fit_rows_sample(train, fit_rows, train.count() if fit_rows else 0)
+    ml.cv_summary(ml.cross_validate(sample, names, baseline_folds, baseline_params)).write.mode("overwrite").json(p["baseline"])
+    best, cv_score, points, bundle = ml.grid_search(train, grid, grid_folds, parallelism=parallelism, fit_rows=fit_rows)
+    points.write.mode("overwrite").json(p["grid"])
+    metrics = ev.basic_metrics(bundle.score(test, keep=("id",)))
+    m = metrics.first().asDict()
+    metrics.write.mode("overwrite").json(p["test_metrics"])
+    runs = ml.runs_rows(spark, os.path.basename(out_root), bundle.name, best, m, "retrain")
+    ml.log_runs(runs, p["runs"])
+    ml.improvement(runs).write.mode("overwrite").json(p["improvement"])
+    sio.write_json_record(ml.best_params_record(spark, bundle.name, best, cv_score, m), p["best_params"])
+    bundle.save(p["model"])
+    return {"paths": p, "best_params": best, "cv_score": cv_score, "test_metrics": m}

@@ -75,9 +75,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
     It is removed when the application ends.
     """
-    path = os.path.join(checkpoint_root(spark), "vitalframe", f"{name}-{uuid.uuid4().hex[:12]}")
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # the checkpoint folder is this application's own (Spark adds a unique name)
+    base = os.path.join(checkpoint_root(spark), "vitalframe")
+    target = spark._jvm.org.apache.hadoop.fs.Path(base)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(target)  # a path must exist to be marked
-    fs.deleteOnExit(target)
-    return path
+    if not fs.exists(target):
+        fs.mkdirs(target)  # a path must exist to be marked
+        fs.deleteOnExit(target)
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
