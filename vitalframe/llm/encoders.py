@@ -17,7 +17,7 @@ from array import array
 from functools import lru_cache
 
 #: Remembered pre-tokens of a worker; the older half goes when it is full.
-MEMORY = 600_000
+MEMORY = 1_000_000
 #: Pre-tokens longer than this are not remembered.
 LONGEST = 64
 #: Fixed value: the pattern that the library's ByteLevel step applies.
@@ -56,11 +56,14 @@ class Memory(dict):
         super().__init__()
         self.ask, self.old = model.tokenize, {}
         self.table = byte_characters()
+        self.space = self.table[32]
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = array("I", [t.id for t in self.ask(piece.encode().decode("latin-1").translate(self.table))]).tobytes()
+            # printable ASCII other than the space stands for itself
+            name = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.table)
+            ids = array("I", [t.id for t in self.ask(name)]).tobytes()
         if len(piece) <= LONGEST:
             self[piece] = ids
         return ids

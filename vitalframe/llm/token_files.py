@@ -29,7 +29,7 @@ from .common import keep, read_table
 
 #: ORC writer settings; ids are dense, so a fast codec is enough.
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000",
-               "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "compression": "zstd"}
+               "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "compression": "snappy"}
 SCHEMA = "doc_id long, tie long, n_tokens long, ids array<int>"
 END_ID = 0
 
@@ -42,7 +42,7 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) ->
 
     enc = encoder(find(vocabulary))
     end = int(end_id).to_bytes(4, "little")
-    for batch in batches:
+    for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
         parts = [enc.encode(t or "") + end for t in batch.column(2).to_pylist()]
         counts = np.fromiter((len(p) // 4 for p in parts), dtype=np.int64, count=len(parts))
         offsets = np.zeros(len(parts) + 1, dtype=np.int32)
