@@ -109,7 +109,7 @@ def _before(rows: DataFrame, weight: Column) -> DataFrame:
     rows = rows.withColumn("_w", weight).withColumn("_b", F.floor(F.col("u") * BUCKETS).cast("int"))
     sums = rows.groupBy("pattern", "_b").agg(F.sum("_w").alias("_sum"))
     starts = sums.select("pattern", "_b", (F.sum("_sum").over(Window.partitionBy("pattern").orderBy("_b")) - F.col("_sum")).alias("_start"))
-    ahead = Window.partitionBy("pattern", "_b").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("pattern", "_b").orderBy("u", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("_w").over(ahead), F.lit(0)))
     return rows.join(starts, ["pattern", "_b"]).withColumn("before", F.col("_start") + F.col("_in")).drop("_w", "_b", "_start", "_in")
 
@@ -123,7 +123,7 @@ def mix(df: DataFrame, doc_id: Column, size: Column, sources: Column, targets, s
     """
     spark, n = df.sparkSession, len(PASS_COSTS)
     member = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.struct(s.isNull().alias("n"), F.coalesce(s, F.lit("")).alias("s")))))
-    rows = keep(df.select(doc_id.alias("doc_id"), size.alias("size"), F.to_json(member).alias("pattern"), *extra), "mix-rows")
+    rows = keep(df.select(doc_id.alias("doc_id"), size.alias("size"), F.to_json(member).alias("pattern"), F.monotonically_increasing_id().alias("rid"), *extra), "mix-rows")
     name, words, sizes = {}, {}, {}
     for r in bounded(rows.groupBy("pattern").agg(F.sum("size").alias("w")), MAX_PATTERNS, "membership patterns"):
         name[r.pattern] = p = tuple(None if m["n"] else m["s"] for m in json.loads(r.pattern))
@@ -138,7 +138,7 @@ def mix(df: DataFrame, doc_id: Column, size: Column, sources: Column, targets, s
     ordered = _before(seeded.join(F.broadcast(want), "pattern"), F.col("size"))
     copies = sum((F.when((F.col("size") > 0) & (F.col("before") + F.col("size") <= F.col(f"want{i}")), 1).otherwise(0) for i in range(n)), F.lit(0))
     wanted = sum((F.col(f"want{i}") for i in range(n)), F.lit(0))
-    taken = keep(ordered.select("doc_id", "size", "pattern", "u", copies.alias("copies"), wanted.alias("wanted"), *extra), "mix-taken")
+    taken = keep(ordered.select("doc_id", "size", "pattern", "u", "rid", copies.alias("copies"), wanted.alias("wanted"), *extra), "mix-taken")
     for _ in range(GAP_ROUNDS):
         left = taken.groupBy("pattern").agg((F.max("wanted") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
         open_ = taken.join(F.broadcast(left), "pattern")
@@ -148,14 +148,15 @@ def mix(df: DataFrame, doc_id: Column, size: Column, sources: Column, targets, s
         fits = fits & F.coalesce(F.col("copies") == F.col("lowest"), F.lit(False))
         open_ = _before(open_.join(F.broadcast(lowest), "pattern", "left").withColumn("fits", fits), F.when(F.col("fits"), F.col("size")).otherwise(0))
         more = F.when(F.col("fits") & (F.col("before") + F.col("size") <= F.col("gap")), 1).otherwise(0)
-        taken = keep(open_.select("doc_id", "size", "pattern", "u", (F.col("copies") + more).alias("copies"), "wanted", *extra), "mix-gap")
+        taken = keep(open_.select("doc_id", "size", "pattern", "u", "rid", (F.col("copies") + more).alias("copies"), "wanted", *extra), "mix-gap")
+    # rid, written with the rows, tells equal rows apart
     # what is left is smaller than any open document: take the smallest one where that ends nearer
     again = (F.col("size") > 0) & (F.col("copies") < n)
-    last = taken.groupBy("pattern").agg((F.max("wanted") - F.sum(F.col("size") * F.col("copies"))).alias("gap"), F.min(F.when(again, F.struct("size", "u", "doc_id"))).alias("least"))
+    last = taken.groupBy("pattern").agg((F.max("wanted") - F.sum(F.col("size") * F.col("copies"))).alias("gap"), F.min(F.when(again, F.struct("size", "u", "doc_id", "rid"))).alias("least"))
     last = last.where((F.col("gap") > 0) & (F.col("least.size") < 2 * F.col("gap"))).select("pattern", "least")
-    one = again & F.coalesce(F.struct("size", "u", "doc_id") == F.col("least"), F.lit(False))
+    one = again & F.coalesce(F.col("rid") == F.col("least.rid"), F.lit(False))
     taken = taken.join(F.broadcast(last), "pattern", "left").withColumn("copies", F.col("copies") + F.when(one, 1).otherwise(0))
-    return taken.drop("wanted", "least"), sizes, target
+    return taken.drop("wanted", "least", "rid"), sizes, target
 
 
 def one_source(df: DataFrame, sizes: dict, target: dict) -> DataFrame:
