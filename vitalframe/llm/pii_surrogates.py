@@ -39,17 +39,35 @@ EITHER = ["Dr", "Prof", "Doctor", "Professor", "Доктор"]
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 _ADDRESS = "(?:" + "|".join(MALE + FEMALE + EITHER) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_LABEL = r"""(?i:token|secret|password|passwd|api[_-]?key)"? {0,3}[=:] {0,3}["']"""
+#: Every alternative begins with a class of characters, so most places of a text fail on one test.
 PATTERNS = {
-    "SECRET": r"""(?<=(?i:token|secret|password|passwd|api[_-]?key)"? {0,3}[=:] {0,3}["'])[^"'\s]{6,}(?=["'])|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}""",
-    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "IP": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "SSN": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "IBAN": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "PHONE": r"(?<![\w+(])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+.-])(?:\+?\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]|\.\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
-    "CARD": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
-    "NAME": rf"(?<![\p{{L}}\p{{N}}]){_ADDRESS}\.? {_NAME}(?: {_NAME})?",
+    "SECRET": rf"""(?=[tTsSpPaAg])(?:{_LABEL}[^"'\s]{{6,}}["']|\bAKIA[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,}}|\bsk-[A-Za-z0-9_-]{{20,}})""",
+    "IP": rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "SSN": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "IBAN": r"(?=[A-Z][A-Z]\d)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "PHONE": r"(?=[+(\d])(?:(?<![\w+(])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+.-])(?:\+?\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]|\.\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d))",
+    "CARD": r"(?=\d)(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
+    "NAME": rf"(?=[MSHDFPГгДΚ])(?<![\p{{L}}\p{{N}}]){_ADDRESS}\.? {_NAME}(?: {_NAME})?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Looked for only in texts with an at sign, before the others.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+_OTHERS = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_ALL = f"(?:{EMAIL})|{_OTHERS}"
+PATTERNS["EMAIL"] = EMAIL
+
+
+def pattern_for(text: Column) -> Column:
+    return F.when(F.instr(text, "@") > 0, F.lit(_ALL)).otherwise(F.lit(_OTHERS))
+
+
+def has_entity(text: Column) -> Column:
+    """Whether a text holds an entity; cheap necessary conditions come first."""
+    quoted = (F.instr(text, '"') > 0) | (F.instr(text, "'") > 0)
+    may = ((F.instr(text, "@") > 0) | text.rlike(r"\d[\d ().-]{5,}\d|[A-Z]{2}\d{2}") | text.rlike(r"AKIA|gh[pousr]_|sk-") | (quoted & text.rlike(f"(?=[tTsSpPaA]){_LABEL}"))
+           | text.rlike(rf"(?=[MSHDFPГгДΚ])(?<![\p{{L}}\p{{N}}]){_ADDRESS}\.? \p{{Lu}}"))
+    return F.coalesce(may & F.when(F.instr(text, "@") > 0, text.rlike(_ALL)).otherwise(text.rlike(_OTHERS)), F.lit(False))
+
 
 #: Syllables and endings of made-up names by script.
 SYLLABLES = {"latin": ["ba", "bel", "cor", "da", "del", "fa", "gar", "hol", "jan", "ka", "lor", "ma", "mer", "na", "nor", "pel", "ra", "ros", "sa", "tal", "tor", "va", "ven", "wil", "zan"],
@@ -78,6 +96,9 @@ def atoms_of(entity: Column) -> Column:
     kind = kind_of(entity)
     atom = lambda k, n, p: F.struct(k.cast("string").alias("kind"), n.cast("string").alias("norm"), p.alias("piece"))
     # the last ten digits of a phone number are the same with and without a country code
+    # a labelled secret is its value between what stays
+    label = F.regexp_extract(entity, f"^({_LABEL})", 1)
+    value = F.when(label != "", F.substr(entity, F.length(label) + 1, F.length(entity) - F.length(label) - 1)).otherwise(entity)
     national = F.when(F.length(_digits(entity)) > 10, F.substring(_digits(entity), -10, 10)).otherwise(_digits(entity))
     own = (F.when(kind == "PHONE", national).when(kind.isin("CARD", "SSN"), _digits(entity)).when(kind == "IBAN", F.regexp_replace(entity, " ", ""))
            .when(kind == "EMAIL", F.lower(entity)).otherwise(entity))
@@ -89,7 +110,8 @@ def atoms_of(entity: Column) -> Column:
     given = atom(F.concat(F.lit("GIVEN_"), gender), F.lower(parts[0]), parts[0])
     surname = atom(F.lit("SURNAME"), F.lower(F.element_at(parts, -1)), F.element_at(parts, -1))
     name = F.when(F.size(parts) > 1, F.array(atom(null, null, address), given, atom(null, null, F.lit(" ")), surname)).otherwise(F.array(atom(null, null, address), surname))
-    return F.when(kind == "NAME", name).otherwise(F.array(atom(kind, own, entity)))
+    secret = F.array(atom(null, null, label), atom(F.lit("SECRET"), value, value), atom(null, null, F.when(label != "", F.substr(entity, F.length(entity), F.lit(1))).otherwise("")))
+    return F.when(kind == "NAME", name).when(kind == "SECRET", secret).otherwise(F.array(atom(kind, own, entity)))
 
 
 def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -193,8 +215,9 @@ def _rendered(kind: Column, piece: Column, new: Column) -> Column:
 def replace_entities(df: DataFrame, text: str, key: str) -> DataFrame:
     """``df`` with surrogates in its ``text``; adds ``_n_entities`` and ``_kinds`` (sorted distinct types)."""
     body, md5 = F.col(text), F.md5(F.col(text))
-    found = F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0))
-    has = F.coalesce(body.rlike(PATTERN), F.lit(False))
+    pattern = pattern_for(body)
+    found = F.regexp_extract_all(body, pattern, F.lit(0))
+    has = has_entity(body)
     # one row a distinct text and atom
     some = df.where(has).select(md5.alias("_key"), F.posexplode(found).alias("_at", "_entity"))
     atoms = some.select("_key", "_at", F.posexplode(atoms_of(F.col("_entity"))).alias("_k", "_atom"))
@@ -206,7 +229,7 @@ def replace_entities(df: DataFrame, text: str, key: str) -> DataFrame:
     by_text = filled.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_k", "new", "kind"))).alias("_atoms"), F.collect_set(F.when(is_name, alias)).alias("_names"))
     marked = df.where(has).withColumn("_key", md5).join(by_text, "_key")
     # gaps and matches alternate
-    gaps = F.split(body, PATTERN, -1)
+    gaps = F.split(body, pattern, -1)
     entity = lambda at: F.array_join(F.transform(F.filter("_atoms", lambda a: a["_at"] == at), lambda a: a["new"]), "")
     joined = F.array_join(F.transform(gaps, lambda g, i: F.when(i == 0, g).otherwise(F.concat(entity(i - 1), g))), "")
     # other mentions of the text's names, without a form of address
