@@ -133,6 +133,8 @@ FROM featured GROUP BY bp_category"""
     q.update(option_queries())
     q.update(cleaning_step_queries())
     q.update(label_table_queries())
+    q.update(fixed_model_queries())
+    q.update(single_operator_queries())
     q["V12_string_statistics"] = with_(PATIENTS, *_requests_ctes()[:1]) + """
 SELECT 'gender' AS "column", CAST(COUNT(gender) AS BIGINT) AS "count",
  CAST(COUNT(DISTINCT gender) AS BIGINT) AS "unique",
@@ -885,3 +887,61 @@ SELECT "column", COUNT(*) FILTER (WHERE value IS NOT NULL) AS n_unique,
         "V10_labels_categorical_checks": checks,
         "V12_labels_column_statistics": _col_stats("labels", cols),
     }
+
+
+# ---------------------------------------------------------------- model tables on fixed scores
+
+def fixed_model_queries() -> dict[str, str]:
+    pressure = f"""two AS (SELECT label, probability, prediction, split, 'linear' AS model, 0 AS model_order FROM scored WHERE split <> 'test'
+ UNION ALL SELECT CAST(cardio AS INTEGER), ap_hi / CAST(250 AS DOUBLE), CAST(ap_hi / CAST(250 AS DOUBLE) > 0.5 AS INTEGER), split, 'pressure', 1
+ FROM splitted WHERE split <> 'test'),
+val AS (SELECT * FROM two WHERE split = 'validation')"""
+    q = {}
+    q["M10_M11_summary_of_fixed_models"] = EVAL_BASE.rstrip() + ",\n" + pressure + ",\n" + _auc_cte("val", "model") + f""",
+m AS (SELECT c.model, {_metrics_select()}, a.roc_auc, CASE WHEN c.model = 'linear' THEN 0 ELSE 1 END AS model_order
+ FROM ({_cc('val', 'model')}) c LEFT JOIN auc a ON a.model = c.model)
+SELECT model, accuracy, precision, recall, f1_score, roc_auc,
+ ROW_NUMBER() OVER (ORDER BY coalesce(roc_auc, 0) DESC, model_order) = 1 AS is_best, model_order FROM m"""
+    auc = EVAL_BASE.rstrip() + ",\n" + _auc_cte("test")
+    full = auc.replace(R6("CASE WHEN p = 0 OR nn = 0 THEN NULL ELSE CASE WHEN d <= 1 THEN CAST(0 AS DOUBLE) ELSE u / (p * nn) END END"), "u / (p * nn)")
+    q["M17_improvement_of_fixed_model"] = full + f"""
+SELECT 'run-1' AS run_id, 'linear' AS model, {R6('roc_auc')} AS roc_auc, {D(0.7997)} AS previous_auc,
+ {R6(f'(roc_auc - {D(0.7997)}) / {D(0.7997)} * 100')} AS improvement_pct FROM auc"""
+    metrics = f"""m AS (SELECT {_metrics_select()}, {R6(_ratio('tn', 'tn + fp'))} AS specificity FROM ({_cc('test')}))"""
+    q["S9_run_log_of_fixed_model"] = auc + ",\n" + metrics + "\n" + "\nUNION ALL\n".join(
+        f"SELECT 'run-1' AS run_id, 'test' AS stage, 'linear' AS model, '{n}' AS metric, {n} AS value FROM {t}"
+        for n, t in [("accuracy", "m"), ("precision", "m"), ("recall", "m"), ("f1_score", "m"), ("specificity", "m"), ("roc_auc", "auc")])
+    q["S8_best_params_of_fixed_model"] = auc + ",\n" + metrics + """
+SELECT 'linear' AS model_name, '{"depth": 5}' AS params, roc_auc AS cv_score, accuracy, f1_score FROM m, auc"""
+    q["S7_saved_model_scores_agree"] = with_(PATIENTS, CLEAN, FEATURED, SPLIT_CTE) + \
+        "SELECT id, CAST(cardio AS INTEGER) AS label, true AS agree FROM splitted WHERE split = 'test'"
+    q["K1_fitted_model_routing"] = option_queries()["C11_C12_request_routing"]
+    q["M12_fold_sizes_of_search"] = with_(PATIENTS, CLEAN, FEATURED, f"""kf AS (SELECT *,
+   CAST((ROW_NUMBER() OVER (PARTITION BY cardio ORDER BY {HKEY}, id) - 1) % 3 AS INTEGER) AS fold
+   FROM featured WHERE {HUNIT} >= {D(TEST_SIZE)})""") + _cnt("kf", "fold", "cardio")
+    return q
+
+
+# ---------------------------------------------------------------- operators checked on their own
+
+def single_operator_queries() -> dict[str, str]:
+    q = {}
+    q["C10_model_columns"] = BASE + f"SELECT id, {', '.join(FEATS20)}, cardio FROM featured"
+    ranges = " AND ".join(f"coalesce({c} BETWEEN {lo} AND {hi}, false)" for c, lo, hi, _ in RANGES)
+    q["D5_optional_ranges"] = with_(PATIENTS, f"""b AS (SELECT *, {AGE_YEARS} AS age_years,
+ {R('weight / ((height / CAST(100 AS DOUBLE)) * (height / CAST(100 AS DOUBLE)))', 2)} AS bmi FROM patients)""") + \
+        f"SELECT id, age, bmi FROM b WHERE {ranges} AND age BETWEEN 10950 AND 25550 AND coalesce(bmi BETWEEN 15 AND 50, false)"
+    kept = [c for c in RAW_COLS if c not in ("cardio", "weight", "ap_hi")]
+    errors = """SELECT 'missing_column' AS "check", 'cardio' AS "column", 'Missing column: cardio' AS message
+UNION ALL SELECT 'non_numeric', 'ap_hi', 'Column ap_hi must be numeric'
+UNION ALL SELECT 'empty_column', 'weight', 'Empty column: weight'""" + "".join(
+        f"\nUNION ALL SELECT 'empty_column', '{c}', 'Empty column: {c}' FROM patients HAVING COUNT({c}) = 0" for c in [*kept, "ap_hi"])
+    q["V4_V6_broken_table_errors"] = with_(PATIENTS) + errors
+    q["V7_broken_table_verdict"] = with_(PATIENTS, f"errs AS ({errors})") + "SELECT COUNT(*) = 0 AS is_valid, COUNT(*) AS n_errors FROM errs"
+    nan = f"nan AS (SELECT * REPLACE (CASE WHEN id % 13 <> 0 THEN weight END AS weight) FROM patients)"
+    q["V2_missing_with_nan"] = with_(PATIENTS, nan, _missing_cte("nan", RAW_COLS)) + \
+        f'SELECT * REPLACE ({R6("missing_percentage")} AS missing_percentage) FROM missing'
+    q["V12_large_integers"] = with_(PATIENTS) + """
+SELECT 'id' AS "column", CAST(COUNT(id) AS BIGINT) AS "count", CAST(COUNT(DISTINCT id) AS BIGINT) AS unique_count,
+ CAST(MIN(id) + 9007199254740992 AS BIGINT) AS min_whole, CAST(MAX(id) + 9007199254740992 AS BIGINT) AS max_whole FROM patients"""
+    return q

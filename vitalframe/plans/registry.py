@@ -593,13 +593,124 @@ def q_v12l(spark, sf):
     return prof.column_statistics(label_table(spark, sf))
 
 
+# ------------------------------------------------------------------ model tables on fixed-coefficient scores
+def two_models(spark, sf):
+    """Scores of two fixed models over train and validation, as the fitted ones deliver them."""
+    linear = scored_splits(spark, sf).where(F.col("split") != "test").withColumns({"model": F.lit("linear"), "model_order": F.lit(0)})
+    pressure = linear.select("id", "label", "split").join(batch.featured(spark, sf).select("id", "ap_hi"), "id")
+    p = F.col("ap_hi") / 250.0
+    pressure = pressure.select("id", "label", p.alias("probability"), "split", (p > 0.5).cast("int").alias("prediction"),
+                               F.lit("pressure").alias("model"), F.lit(1).alias("model_order"))
+    return linear.select(*pressure.columns).unionByName(pressure)
+
+
+@register("M10_M11_summary_of_fixed_models")
+def q_m10_fixed(spark, sf):
+    return ml.training_summary(ev.basic_metrics(two_models(spark, sf), ["model", "model_order", "split"]))
+
+
+def fixed_runs(spark, sf):
+    """Runs-table rows (S9) of the fixed model's test metrics."""
+    m = ev.basic_metrics(scored_test(spark, sf)).first().asDict()
+    return ml.runs_rows(spark, "run-1", "linear", {}, m, "test")
+
+
+@register("M17_improvement_of_fixed_model")
+def q_m17_fixed(spark, sf):
+    return ml.improvement(fixed_runs(spark, sf))
+
+
+@register("S9_run_log_of_fixed_model")
+def q_s9_fixed(spark, sf):
+    runs = scratch_dir(spark, "runs")
+    rows = fixed_runs(spark, sf)
+    ml.log_runs(rows, runs)
+    ml.log_runs(rows, runs)  # a retried stage replaces its own rows
+    return spark.read.parquet(runs).select("run_id", "stage", "model", "metric", "value")
+
+
+@register("S8_best_params_of_fixed_model")
+def q_s8_fixed(spark, sf):
+    path = scratch_dir(spark, "best_params")
+    m = ev.basic_metrics(scored_test(spark, sf)).first().asDict()
+    sio.write_json_record(ml.best_params_record(spark, "linear", {"depth": 5}, m["roc_auc"], m), path)
+    record = spark.read.schema("model_name string, params string, cv_score double, test_metrics map<string,double>").json(path)
+    return record.select("model_name", "params", "cv_score", F.col("test_metrics")["accuracy"].alias("accuracy"), F.col("test_metrics")["f1_score"].alias("f1_score"))
+
+
+@register("S7_saved_model_scores_agree")
+def q_s7_agree(spark, sf):
+    s = splits(spark, sf)
+    b = ml.fit_bundle("Logistic_Regression", s.where(F.col("split") == "train"))
+    path = scratch_dir(spark, "model")
+    b.save(path)
+    test = s.where(F.col("split") == "test")
+    again = ml.ModelBundle.load(path).score(test, keep=("id",)).select("id", F.col("probability").alias("p"), F.col("prediction").alias("c"))
+    both = b.score(test, keep=("id",)).join(again, "id")
+    return both.select("id", "label", ((F.col("p") == F.col("probability")) & (F.col("c") == F.col("prediction"))).alias("agree"))
+
+
+@register("K1_fitted_model_routing")
+def q_k1_routing(spark, sf):
+    return _counts(q_k1m(spark, sf), "status", "rejection")
+
+
+@register("M12_fold_sizes_of_search")
+def q_m12_folds(spark, sf):
+    train = sp.train_test_split(batch.featured(spark, sf)).where(F.col("split") == "train")
+    return _counts(sp.kfold(train, k=3, exact=True), "fold", "cardio")
+
+
+# ------------------------------------------------------------------ operators checked on their own
+@register("C10_model_columns")
+def q_c10(spark, sf):
+    from vitalframe.operators.features import select_model_features
+    return select_model_features(batch.featured(spark, sf), keep=("id",))
+
+
+@register("D5_optional_ranges")
+def q_d5(spark, sf):
+    from vitalframe.functions import clinical as fx
+    rows = cln.convert_age_to_years(batch.raw_patients(spark, sf)).withColumn("bmi", fx.bmi())
+    return cln.filter_ranges(rows, extra_rules=("age_days", "bmi")).select("id", "age", "bmi")
+
+
+def broken_table(spark, sf):
+    """Raw patients without a label, with a text column and an empty one."""
+    raw = batch.raw_patients(spark, sf)
+    return raw.drop("cardio").withColumns({"ap_hi": F.col("ap_hi").cast("string"), "weight": F.lit(None).cast("double")})
+
+
+@register("V4_V6_broken_table_errors")
+def q_v4_broken(spark, sf):
+    return prof.schema_errors(broken_table(spark, sf))
+
+
+@register("V7_broken_table_verdict")
+def q_v7_broken(spark, sf):
+    return prof.schema_verdict(broken_table(spark, sf))
+
+
+@register("V2_missing_with_nan")
+def q_v2_nan(spark, sf):
+    raw = batch.raw_patients(spark, sf)
+    return prof.missing_values(raw.withColumn("weight", F.when(F.col("id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("weight"))))
+
+
+@register("V12_large_integers")
+def q_v12_large(spark, sf):
+    big = batch.raw_patients(spark, sf).select((F.col("id") + F.lit(2**53)).alias("id"))
+    return prof.column_statistics(big).select("column", "count", "unique_count", "min_whole", "max_whole")
+
+
 # ------------------------------------------------------------------ checked precision
 #: Queries whose doubles are rounded to six places for the comparison with SQL; operators return full precision.
 ROUNDED = [
     "V1_dataset_info", "V2_missing_values", "V3_duplicates", "V8_V11_quality_report", "V12_column_statistics", "V13_clean_describe",
     "V12_labels_column_statistics", "E1_E2_E4_metrics_by_split", "E2_roc_auc_test", "E5_classification_report_test", "E6_E8_reliability_test",
     "E9_threshold_sweep_test", "E10_evaluation_bundle_test", "E13_train_validation_report", "E12_best_model_test_evaluation",
-    "M6_M7_M10_M11_training_summary", "M8_M9_cross_validation", "M17_improvement",
+    "M6_M7_M10_M11_training_summary", "M8_M9_cross_validation", "M17_improvement", "M10_M11_summary_of_fixed_models",
+    "M17_improvement_of_fixed_model", "S9_run_log_of_fixed_model", "S8_best_params_of_fixed_model", "V2_missing_with_nan",
 ]
 
 
