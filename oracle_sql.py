@@ -9,6 +9,8 @@ before casting doubles to BIGINT.
 
 from __future__ import annotations
 
+import oracle_texts as TX
+
 
 def R(expr: str, d: int) -> str:
     s = 10 ** d
@@ -630,39 +632,37 @@ def _fill(items, filler):
 
 
 def _recommendations(v1=False):
-    import vitalframe.functions.rules as RL
     b = "bmi_raw"
     if not v1:
         loss = f"greatest(3, CAST(floor(({b} - 24) * {D(1.5)}) AS INTEGER))"
-        weight = f"{{'text': {_s(RL.REC_MED_WEIGHT)}, 'target': 'Target: -' || CAST({loss} AS VARCHAR) || ' kg in 3 months'}}"
-        high = _fill([f"CASE WHEN bp_category >= 3 THEN {_rec(RL.REC_HIGH_BP)} END",
-                      f"CASE WHEN cholesterol = 3 THEN {_rec(RL.REC_HIGH_CHOL)} END",
-                      f"CASE WHEN smoke = 1 THEN {_rec(RL.REC_HIGH_SMOKE)} END"], _rec(RL.REC_HIGH_FILLER))
-        med = _fill([f"CASE WHEN bp_category >= 2 THEN {_rec(RL.REC_MED_BP)} END",
+        weight = f"{{'text': {_s(TX.REC_MED_WEIGHT)}, 'target': 'Target: -' || CAST({loss} AS VARCHAR) || ' kg in 3 months'}}"
+        high = _fill([f"CASE WHEN bp_category >= 3 THEN {_rec(TX.REC_HIGH_BP)} END",
+                      f"CASE WHEN cholesterol = 3 THEN {_rec(TX.REC_HIGH_CHOL)} END",
+                      f"CASE WHEN smoke = 1 THEN {_rec(TX.REC_HIGH_SMOKE)} END"], _rec(TX.REC_HIGH_FILLER))
+        med = _fill([f"CASE WHEN bp_category >= 2 THEN {_rec(TX.REC_MED_BP)} END",
                      f"CASE WHEN {b} >= 25 THEN {weight} END",
-                     f"CASE WHEN cholesterol = 2 THEN {_rec(RL.REC_MED_CHOL)} END",
-                     f"CASE WHEN gluc >= 2 THEN {_rec(RL.REC_MED_GLUC)} END",
-                     f"CASE WHEN alco = 1 THEN {_rec(RL.REC_MED_ALCO)} END"], _rec(RL.REC_MED_FILLER))
-        long_ = (f"[CASE WHEN active = 0 THEN {_rec(RL.REC_LONG_INACTIVE)} ELSE {_rec(RL.REC_LONG_ACTIVE)} END, "
-                 f"{_rec(RL.REC_LONG_CHECKUP)}, {_rec(RL.REC_LONG_TRACK)}]")
+                     f"CASE WHEN cholesterol = 2 THEN {_rec(TX.REC_MED_CHOL)} END",
+                     f"CASE WHEN gluc >= 2 THEN {_rec(TX.REC_MED_GLUC)} END",
+                     f"CASE WHEN alco = 1 THEN {_rec(TX.REC_MED_ALCO)} END"], _rec(TX.REC_MED_FILLER))
+        long_ = (f"[CASE WHEN active = 0 THEN {_rec(TX.REC_LONG_INACTIVE)} ELSE {_rec(TX.REC_LONG_ACTIVE)} END, "
+                 f"{_rec(TX.REC_LONG_CHECKUP)}, {_rec(TX.REC_LONG_TRACK)}]")
     else:
         loss = f"greatest(5, CAST(floor(({b} - 24) * 2) AS INTEGER))"
-        high = _fill([f"CASE WHEN bp_category >= 3 THEN {_s(RL.REC1_HIGH_BP)} END",
-                      f"CASE WHEN cholesterol = 3 THEN {_s(RL.REC1_HIGH_CHOL)} END",
-                      f"CASE WHEN smoke = 1 THEN {_s(RL.REC1_HIGH_SMOKE)} END"], _s(RL.REC1_HIGH_FILLER))
-        med = _fill([f"CASE WHEN bp_category = 2 THEN {_s(RL.REC1_MED_BP)} END",
+        high = _fill([f"CASE WHEN bp_category >= 3 THEN {_s(TX.REC1_HIGH_BP)} END",
+                      f"CASE WHEN cholesterol = 3 THEN {_s(TX.REC1_HIGH_CHOL)} END",
+                      f"CASE WHEN smoke = 1 THEN {_s(TX.REC1_HIGH_SMOKE)} END"], _s(TX.REC1_HIGH_FILLER))
+        med = _fill([f"CASE WHEN bp_category = 2 THEN {_s(TX.REC1_MED_BP)} END",
                      f"CASE WHEN {b} >= 25 THEN 'Target weight reduction of ' || CAST({loss} AS VARCHAR) || ' kg through diet and exercise' END",
-                     f"CASE WHEN cholesterol = 2 THEN {_s(RL.REC1_MED_CHOL)} END",
-                     f"CASE WHEN gluc >= 2 THEN {_s(RL.REC1_MED_GLUC)} END",
-                     f"CASE WHEN alco = 1 THEN {_s(RL.REC1_MED_ALCO)} END"], _s(RL.REC1_MED_FILLER))
-        long_ = (f"[CASE WHEN active = 0 THEN {_s(RL.REC1_LONG_INACTIVE)} ELSE {_s(RL.REC1_LONG_ACTIVE)} END, "
-                 f"{_s(RL.REC1_LONG_CHECKUP)}, {_s(RL.REC1_LONG_MONITOR)}]")
+                     f"CASE WHEN cholesterol = 2 THEN {_s(TX.REC1_MED_CHOL)} END",
+                     f"CASE WHEN gluc >= 2 THEN {_s(TX.REC1_MED_GLUC)} END",
+                     f"CASE WHEN alco = 1 THEN {_s(TX.REC1_MED_ALCO)} END"], _s(TX.REC1_MED_FILLER))
+        long_ = (f"[CASE WHEN active = 0 THEN {_s(TX.REC1_LONG_INACTIVE)} ELSE {_s(TX.REC1_LONG_ACTIVE)} END, "
+                 f"{_s(TX.REC1_LONG_CHECKUP)}, {_s(TX.REC1_LONG_MONITOR)}]")
     return f"{{'high': {high}, 'medium': {med}, 'long_term': {long_}}}"
 
 
 def _context(v1=False):
-    import vitalframe.functions.rules as RL
-    t = RL.RISK_CONTEXT_V1 if v1 else RL.RISK_CONTEXT
+    t = TX.RISK_CONTEXT_V1 if v1 else TX.RISK_CONTEXT
 
     def pick(i):
         return ("CASE " + " ".join(f"WHEN risk_level = {_s(k)} THEN {_s(t[k][i])}" for k in ("Very High", "High", "Low"))
@@ -706,8 +706,7 @@ def _assessment_sql(v1=False):
 
 
 def _what_if_sql():
-    import vitalframe.operators.score as SC
-    T = SC.SCENARIO_TEXT
+    T = TX.SCENARIO_TEXT
 
     def txt(i):
         return "CASE scenario " + " ".join(
@@ -796,18 +795,14 @@ FROM asm"""
     return q
 
 
-# Texts shared with the Spark rules (fixed values of the reference service).
-from vitalframe.functions.rules import (  # noqa: E402
-    ADVICE, BP_TEXT, BP_TEXT_DEFAULT as BP_DEFAULT, CHOLESTEROL_TEXT as CHOL_TEXT,
-    CHOLESTEROL_TEXT_DEFAULT as CHOL_DEFAULT, GLUCOSE_TEXT as GLUC_TEXT, GLUCOSE_TEXT_DEFAULT as GLUC_DEFAULT,
-)
+ADVICE, BP_TEXT, BP_DEFAULT = TX.ADVICE, TX.BP_TEXT, TX.BP_TEXT_DEFAULT
+CHOL_TEXT, CHOL_DEFAULT = TX.CHOLESTEROL_TEXT, TX.CHOLESTEROL_TEXT_DEFAULT
+GLUC_TEXT, GLUC_DEFAULT = TX.GLUCOSE_TEXT, TX.GLUCOSE_TEXT_DEFAULT
 
 
 # ---------------------------------------------------------------- options, requests, I/O
 
 def option_queries() -> dict[str, str]:
-    import vitalframe.operators.outliers as OL
-    import vitalframe.operators.clean as CL
     q = {}
     ocols = ["age_years", "height", "weight", "ap_hi", "ap_lo"]
     iqr = ", ".join(
@@ -828,17 +823,17 @@ def option_queries() -> dict[str, str]:
                                   for n, lo, hi in bands) + " END"
     bp = "CASE " + " ".join(
         f"WHEN (ap_hi >= {slo} AND ap_hi < {shi}) OR (ap_lo >= {dlo} AND ap_lo < {dhi}) THEN '{n}'"
-        for n, (slo, shi), (dlo, dhi) in reversed(OL.BP_BANDS)) + " END"
+        for n, (slo, shi), (dlo, dhi) in reversed(TX.BP_BANDS)) + " END"
     q["D7_reference_bands"] = BASE + f"""
 SELECT bmi_who_class, age_band, bp_band, COUNT(*) AS "rows" FROM (
- SELECT {band('bmi', OL.BMI_WHO_BANDS)} AS bmi_who_class, {band('age_years', OL.AGE_BANDS)} AS age_band,
+ SELECT {band('bmi', TX.BMI_WHO_BANDS)} AS bmi_who_class, {band('age_years', TX.AGE_BANDS)} AS age_band,
  {bp} AS bp_band FROM featured) GROUP BY ALL"""
     q["F7_F8_bp_profile_skew"] = with_(PATIENTS, CLEAN) + f"""
 SELECT {BP_TRAIN} AS bp_category_train, {BP_SERVE} AS bp_category_serve, COUNT(*) AS "rows" FROM clean GROUP BY ALL"""
     q["C11_C12_request_routing"] = with_(PATIENTS, *_requests_ctes()) + \
         'SELECT status, rejection, COUNT(*) AS "rows" FROM resp GROUP BY ALL'
-    chol = "CASE cholesterol " + " ".join(f"WHEN {v} THEN {v}" for v in CL.CHOLESTEROL_LABELS.values()) + " END"
-    gl = "CASE gluc " + " ".join(f"WHEN {v} THEN {v}" for v in CL.GLUCOSE_LABELS.values()) + " END"
+    chol = "CASE cholesterol " + " ".join(f"WHEN {v} THEN {v}" for v in TX.CHOLESTEROL_LABELS.values()) + " END"
+    gl = "CASE gluc " + " ".join(f"WHEN {v} THEN {v}" for v in TX.GLUCOSE_LABELS.values()) + " END"
     q["C13_C14_form_codes"] = with_(PATIENTS) + f"""
 SELECT id, CAST(CASE WHEN gender = 2 THEN 2 ELSE 1 END AS BIGINT) AS gender,
  CAST({chol} AS BIGINT) AS cholesterol, CAST({gl} AS BIGINT) AS gluc,
