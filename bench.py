@@ -35,6 +35,10 @@ HEADLINE = [
     "K18_what_if",
     "S10_text_report",
     "E12_best_model_test_evaluation",
+    "P1_exact_split_counts",
+    "P3_kfold_exact_counts",
+    "V15_raw_expectations",
+    "K20_streaming_scoring",
 ]
 
 

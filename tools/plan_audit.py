@@ -1,7 +1,9 @@
 """Print scale hazards found in each registered query's physical plan.
 
 Flags: CartesianProduct / BroadcastNestedLoopJoin, SinglePartition exchanges
-(with the operator right above), Python UDF nodes, and scans' ReadSchema.
+(with the operator right above), Python UDF nodes, scans' ReadSchema and the
+largest generated method (the JVM does not compile one above 8,000 bytes; such
+stages run as smaller methods under spark.sql.codegen.hugeMethodLimit=8000).
 Usage: python tools/plan_audit.py [sf_dir] [name-substring ...]
 """
 
@@ -13,6 +15,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+# queries that fit models or write files while they are built; name them to include them
 SKIP_BUILD = ("M", "E12", "K1_fitted", "S7", "S8", "K20", "S1_", "S2_", "S4_", "S6_", "D1_", "D2_")
 
 
@@ -41,7 +44,9 @@ def main():
                 flags.append("PYTHON: " + ln.strip()[:100])
         scans = set(re.findall(r"ReadSchema: (struct<[^>]*>)", df._jdf.queryExecution().explainString(
             spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))))
-        print(f"== {name}: {len(flags)} flags; scans={sorted(scans)}")
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(df._jdf.queryExecution().executedPlan())
+        largest = max([0, *map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))])
+        print(f"== {name}: {len(flags)} flags; largest method {largest} bytes; scans={sorted(scans)}")
         for f in flags:
             print("   ", f)
     spark.stop()
