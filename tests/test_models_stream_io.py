@@ -176,3 +176,15 @@ def test_scoring_without_the_features_raises(splits):
     b = ml.fit_bundle("Logistic_Regression", splits.where(F.col("split") == "train"))
     with pytest.raises(ValueError, match="weight"):
         b.score(splits.drop("weight"))
+
+
+def test_malformed_request_lines_are_kept_and_rejected(spark, tmp_path):
+    from vitalframe.operators.score import score_requests
+    from vitalframe.sources import io as sio
+    path = tmp_path / "requests"
+    path.mkdir()
+    good = '{"request_id": 1, "age": 50, "gender": "male", "height": 170, "weight": 70, "ap_hi": 120, "ap_lo": 80, "cholesterol": 1, "gluc": 1, "smoke": 0, "alco": 0, "active": 1}'
+    (path / "a.json").write_text(good + "\n{not json\n")
+    requests = sio.read_requests(spark, str(path))
+    assert sorted((r.request_id, r.malformed) for r in requests.collect() if r.malformed) == [(None, "{not json")]
+    assert sorted((r.status, r.rejection) for r in score_requests(requests).collect()) == [("rejected", "malformed"), ("scored", None)]

@@ -203,8 +203,10 @@ def report_from_tagged(tagged: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- requests
 
 def request_violation(columns: list[str] | None = None) -> Column:
-    """C11: first violated bound of a score request, or null when valid."""
+    """C11: first violated bound of a score request, or null when valid; a line that did not parse comes first."""
     whens = []
+    if columns is not None and "malformed" in columns:
+        whens.append(F.when(F.col("malformed").isNotNull(), F.lit("malformed")))
     if columns is None or "gender" in columns:
         whens.append(F.when(F.col("gender").isNull(), F.lit("missing:gender")))
     for c, (lo, hi) in REQUEST_BOUNDS.items():

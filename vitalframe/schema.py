@@ -166,6 +166,10 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("active", T.LongType(), True),
 ])
 
+# Request files: the text of a line that is no request is kept for tracing.
+MALFORMED = "malformed"
+REQUEST_FILE_SCHEMA = T.StructType([*REQUEST_SCHEMA.fields, T.StructField(MALFORMED, T.StringType(), True)])
+
 SCORE_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), True),
     T.StructField("label", T.IntegerType(), True),

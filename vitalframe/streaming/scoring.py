@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from vitalframe.operators.score import DEFAULT_RISK_MODEL, LinearRiskModel, score_requests
-from vitalframe.schema import REQUEST_SCHEMA
+from vitalframe.schema import MALFORMED, REQUEST_FILE_SCHEMA
 
 
 def request_stream(spark: SparkSession, request_dir: str,
                    max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(REQUEST_SCHEMA)
+    """Arriving requests; a line that does not parse keeps its text in ``malformed``."""
+    reader = spark.readStream.schema(REQUEST_FILE_SCHEMA).option("columnNameOfCorruptRecord", MALFORMED)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.json(request_dir)
