@@ -6,8 +6,6 @@ its own, so extra or clashing columns of the caller never reach a plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +19,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch. Rows here are whole documents: the usual 10,000 of them fill memory on both sides of the pipe.
+BATCH_ROWS = 512
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS (a smaller setting stays)."""
+    if not 0 < int(spark.conf.get(_BATCH_SETTING, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a test folder, by a path that only Spark needs to open."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +41,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: an executor lost later costs a re-read, not a re-run.
     """
+    small_batches(df.sparkSession)
     path = scratch_dir(df.sparkSession, name)
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
@@ -57,22 +68,36 @@ def bounded(df: DataFrame, most: int, what: str) -> list:
 FILTER_BITS = 1 << 26
 
 
-def maybe_in(ids: DataFrame) -> Callable[[Column], Column]:
-    """A Bloom filter of the one column of ``ids``: a predicate that is true for all of them and for few others.
+class MaybeIn:
+    """A Bloom filter of ids: true for all of them and for few others."""
 
-    Rows that it rejects need not be shuffled to a join with ``ids``.
-    """
-    bits = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(FILTER_BITS)).cast("int") for k in (1, 2)]
-    set_bits = ids.select(F.explode(F.array(*bits(F.col(ids.columns[0])))).alias("bit"))
+    def __init__(self, shared):
+        self.shared = shared
+
+    @staticmethod
+    def bits(c: Column) -> list[Column]:
+        """The places of an id in the filter, two integer columns."""
+        return [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(FILTER_BITS)).cast("int") for k in (1, 2)]
+
+    def hits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of places are both set; for use inside a task."""
+        table = self.shared.value
+        return np.logical_and.reduce([(table[x >> 5] >> (x & 31).astype(np.uint32)) & 1 for x in (a, b)]).astype(bool)
+
+    def __call__(self, c: Column) -> Column:
+        """The filter as a predicate."""
+
+        def hit(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series(self.hits(a.to_numpy(), b.to_numpy()))
+
+        return F.pandas_udf(hit, "boolean")(*self.bits(c))
+
+
+def maybe_in(ids: DataFrame) -> MaybeIn:
+    """The filter of the one column of ``ids``. Rows that it rejects need not be shuffled to a join with ``ids``."""
+    set_bits = ids.select(F.explode(F.array(*MaybeIn.bits(F.col(ids.columns[0])))).alias("bit"))
     words = set_bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pmod(bit, 32))")).alias("bits"))
     got = words.toArrow()  # at most FILTER_BITS / 32 rows
     table = np.zeros(FILTER_BITS // 32, np.uint32)
     table[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-    shared = ids.sparkSession.sparkContext.broadcast(table)
-
-    def hit(a: pd.Series, b: pd.Series) -> pd.Series:
-        t = shared.value
-        return pd.Series(np.logical_and.reduce([(t[x >> 5] >> (x & 31).astype(np.uint32)) & 1 for x in (a.to_numpy(), b.to_numpy())]).astype(bool))
-
-    test = F.pandas_udf(hit, "boolean")
-    return lambda c: test(*bits(c))
+    return MaybeIn(ids.sparkSession.sparkContext.broadcast(table))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import read_table, small_batches
 
 #: Cells of the trigram table.
 BUCKETS = 1 << 16
@@ -195,6 +195,7 @@ class Model:
 
 def fit(df: DataFrame, text: Column, lang: Column) -> Model:
     """Learn from every row with a text and a language; counts are summed by Spark."""
+    small_batches(df.sparkSession)
     rows = df.select(text.alias("text"), lang.alias("lang")).where("text is not null and lang is not null")
     counts = rows.mapInArrow(_count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     width = BUCKETS + len(SCRIPT_NAMES)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import keep, maybe_in, read_table
+from .common import MaybeIn, keep, maybe_in, read_table
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -112,18 +112,19 @@ def _node_of(shingles: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.md5(shingles.tobytes()).digest()[:8], "little", signed=True) if len(shingles) else None
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """texts -> (node, shingles)."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            sets = [x for x in map(shingle_set, whole.column(0).slice(at, 256).to_pylist()) if len(x)]
-            yield pa.record_batch([pa.array([_node_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
+def _sets(batches: Iterator[pa.RecordBatch], among: MaybeIn) -> Iterator[pa.RecordBatch]:
+    """(place, place, text) -> (node, shingles) of the texts the filter lets through."""
+    for batch in batches:
+        some = batch.filter(pa.array(among.hits(batch.column(0).to_numpy(), batch.column(1).to_numpy())))
+        sets = [x for x in map(shingle_set, some.column(2).to_pylist()) if len(x)]
+        yield pa.record_batch([pa.array([_node_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
 
 
 def _active_sets(docs: DataFrame, nodes: DataFrame, active: DataFrame) -> DataFrame:
     """(node, shingles): the full sets of active nodes (and of a few others), read again from the texts without shuffling them."""
-    hit = maybe_in(nodes.join(active, "node", "left_semi").select("first"))
-    found = docs.where(hit(F.col("doc_id"))).select("text").mapInArrow(_sets, "node long, shingles binary")
+    among = maybe_in(nodes.join(active, "node", "left_semi").select("first"))
+    a, b = among.bits(F.col("doc_id"))
+    found = docs.select(a.alias("a"), b.alias("b"), "text").mapInArrow(partial(_sets, among=among), "node long, shingles binary")
     return keep(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "dedup-sets")
 
 
@@ -258,12 +259,13 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, F.col("doc_id"), F.col("text")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _with_node(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            node = [_node_of(shingle_set(t)) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], names=[*batch.schema.names, "_node"])
+def _with_node(batches: Iterator[pa.RecordBatch], text: int, among: MaybeIn) -> Iterator[pa.RecordBatch]:
+    """Rows followed by two places in the filter -> the rows it lets through, with their node."""
+    for batch in batches:
+        a, b = (batch.column(batch.num_columns - k).to_numpy() for k in (2, 1))
+        some = batch.filter(pa.array(among.hits(a, b)))
+        node = [_node_of(shingle_set(t)) for t in some.column(text).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*some.columns[:-2], pa.array(node, pa.int64())], names=[*some.schema.names[:-2], "_node"])
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -276,12 +278,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = keep(near_duplicates(docs, F.col("doc_id"), F.col("text")).where("node is not null and doc_id is not null").select("doc_id", "node", "component_id"), "dedup-found")
     multi = found.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "node")).alias("best")).where("n > 1").select("component_id", "best")
     touched = keep(found.join(multi, "component_id").select("doc_id", "node", (F.struct("doc_id", "node") == F.col("best")).alias("stays")), "dedup-touched")
-    hit = maybe_in(touched.select("doc_id"))
-    tested = docs.withColumn("_hit", hit(F.col("doc_id")))
-    part = tested.where("_hit").drop("_hit")
-    part = part.mapInArrow(partial(_with_node, text=part.columns.index("text")), T.StructType([*part.schema.fields, T.StructField("_node", T.LongType())]))
+    among = maybe_in(touched.select("doc_id"))
+    a, b = among.bits(F.col("doc_id"))
+    part = docs.select("*", a.alias("_a"), b.alias("_b")).mapInArrow(
+        partial(_with_node, text=docs.columns.index("text"), among=among), T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
     gone = touched.where("not stays").select("doc_id", F.col("node").alias("_node")).distinct()
     part = part.join(gone, ["doc_id", "_node"], "left_anti")
     whole = part.where("_node is null or doc_id is null")
     part = part.where("_node is not null and doc_id is not null").dropDuplicates(["doc_id", "_node"])
-    return tested.where("not _hit").select(*docs.columns).unionByName(whole.unionByName(part).select(*docs.columns))
+    return docs.where(~among(F.col("doc_id"))).unionByName(whole.unionByName(part).select(*docs.columns))
