@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, small_batches
 
 #: Characters of a leaf.
 LEAF = 32_768
@@ -105,13 +105,20 @@ def concatenate(tok, parts: list[Part]) -> Part:
     return parts[0]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in small pieces, so that a worker holds few texts and results at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _whole(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     """Short texts: (doc, ids)."""
     from .encoders import encoder
     from .encoders import vocabulary as find
 
     enc = encoder(find(vocabulary))
-    for batch in batches:
+    for batch in _slices(batches):
         yield pa.record_batch([*batch.columns[:-1], pa.array([enc.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())],
                               names=[*batch.schema.names[:-1], "ids"])
 
@@ -148,6 +155,7 @@ def encode(df: DataFrame, doc_id: Column, text: Column, vocabulary: str = "word_
 
     ``leaf`` only moves work between tasks; any value gives the same ids.
     """
+    small_batches(df.sparkSession)
     body = F.coalesce(text, F.lit(""))
     rows = df.select(doc_id.cast("long").alias("doc_id"), body.alias("text"))
     short = rows.where(F.length("text") <= leaf).mapInArrow(partial(_whole, vocabulary=vocabulary), "doc_id long, ids binary")
@@ -167,7 +175,7 @@ def _decode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.R
     from .encoders import vocabulary as find
 
     tok = encoder(find(vocabulary)).tok
-    for batch in batches:
+    for batch in _slices(batches):
         n, by_id, by_text = [], [], []
         for raw in batch.column(1).to_pylist():
             ids = array("I", raw).tolist()
@@ -183,7 +191,7 @@ def _texts(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.Re
     from .encoders import vocabulary as find
 
     tok = encoder(find(vocabulary)).tok
-    for batch in batches:
+    for batch in _slices(batches):
         out = [tok.decode(array("I", raw).tolist(), skip_special_tokens=False) for raw in batch.column(1).to_pylist()]
         yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
@@ -206,7 +214,7 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """ids as bytes -> number and list of ids."""
-    for batch in batches:
+    for batch in _slices(batches):
         raw = batch.column(1).to_pylist()
         at = np.zeros(len(raw) + 1, np.int32)
         np.cumsum([len(r) // 4 for r in raw], out=at[1:])

@@ -16,8 +16,8 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Remembered pre-tokens of a worker; the older half goes when it is full.
-MEMORY = 1_000_000
+#: Remembered pre-tokens of a worker (about 200 bytes each); the older half goes when it is full.
+MEMORY = 300_000
 #: Pre-tokens longer than this are not remembered.
 LONGEST = 64
 #: Fixed value: the pattern that the library's ByteLevel step applies.
@@ -52,8 +52,9 @@ def byte_characters() -> dict[int, str]:
 class Memory(dict):
     """pre-token -> ids as little-endian unsigned 32-bit integers; asks the model for what it lacks."""
 
-    def __init__(self, model):
+    def __init__(self, model, most: int):
         super().__init__()
+        self.most = most
         self.ask, self.old = model.tokenize, {}
         self.table = byte_characters()
         self.space = self.table[32]
@@ -69,7 +70,7 @@ class Memory(dict):
         return ids
 
     def trim(self) -> None:
-        if len(self) > MEMORY // 2:
+        if len(self) > self.most // 2:
             self.old = dict(self)
             self.clear()
 
@@ -77,7 +78,7 @@ class Memory(dict):
 class Encoder:
     """ids of texts, as the library's ``encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -100,7 +101,7 @@ class Encoder:
         self.cut = re.compile(pattern).findall if pattern else None
         self.plain = re.compile(PLAIN).fullmatch
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.memory = Memory(self.tok.model)
+        self.memory = Memory(self.tok.model, memory)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
@@ -111,9 +112,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and file."""
-    return Encoder(path)
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
+    """One encoder a worker, file and size of memory."""
+    return Encoder(path, memory)
 
 
 def vocabulary(name: str) -> str:

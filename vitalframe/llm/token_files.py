@@ -32,6 +32,8 @@ ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.
                "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "compression": "snappy"}
 SCHEMA = "doc_id long, tie long, n_tokens long, ids array<int>"
 END_ID = 0
+#: Pre-tokens a worker remembers while it encodes.
+MEMORY = 1_000_000
 
 
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -40,7 +42,7 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) ->
 
     import numpy as np
 
-    enc = encoder(find(vocabulary))
+    enc = encoder(find(vocabulary), MEMORY)
     end = int(end_id).to_bytes(4, "little")
     for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
         parts = [enc.encode(t or "") + end for t in batch.column(2).to_pylist()]
