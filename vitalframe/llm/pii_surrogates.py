@@ -91,9 +91,8 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
-def atoms_of(entity: Column) -> Column:
-    """A match as an array of (kind, norm, piece); kind is null for pieces that stay."""
-    kind = kind_of(entity)
+def atoms_of(entity: Column, kind: Column) -> Column:
+    """A match of a type as an array of (kind, norm, piece); kind is null for pieces that stay."""
     atom = lambda k, n, p: F.struct(k.cast("string").alias("kind"), n.cast("string").alias("norm"), p.alias("piece"))
     # the last ten digits of a phone number are the same with and without a country code
     # a labelled secret is its value between what stays
@@ -147,15 +146,21 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), one), F.lit(0), lambda a, x: a + x)
 
 
-def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    """The normal form's surrogate at an attempt."""
-    s = _stream(key, kind, norm, attempt)
-    mapped = _map_characters(norm, s)
+def with_surrogate(rows: DataFrame, key: str) -> DataFrame:
+    """Add ``surrogate`` to (kind, norm, attempt) rows; the keyed streams are columns, so they are computed once a row."""
+    domain = F.substring_index("norm", "@", -1)
+    streams = rows.withColumns({"_own": _stream(key, F.col("kind"), F.col("norm"), F.col("attempt")), "_domain": _stream(key, F.lit("DOMAIN"), domain, F.col("attempt"))})
+    mapped = streams.withColumn("_mapped", _map_characters(F.col("norm"), F.col("_own")))
+    return mapped.withColumn("surrogate", _surrogate(F.col("kind"), F.col("norm"), F.col("_own"), F.col("_domain"), F.col("_mapped"))).drop("_own", "_domain", "_mapped")
+
+
+def _surrogate(kind: Column, norm: Column, s: Column, domain_stream: Column, mapped: Column) -> Column:
+    """The normal form's surrogate from its streams."""
     hexed = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.lower(F.hex(_byte(s, i) % 16))), "")
     secret = F.when(norm.rlike("^[0-9a-f]+$"), hexed).otherwise(mapped)
     # a domain's labels are mapped by the domain alone; its last one stays
     domain = F.substring_index(norm, "@", -1)
-    email = F.concat(_map_characters(F.substring_index(norm, "@", 1), s), F.lit("@"), _map_characters(F.regexp_replace(domain, r"\.[^.]+$", ""), _stream(key, F.lit("DOMAIN"), domain, attempt)), F.lit("."), F.substring_index(domain, ".", -1))
+    email = F.concat(_map_characters(F.substring_index(norm, "@", 1), s), F.lit("@"), _map_characters(F.regexp_replace(domain, r"\.[^.]+$", ""), domain_stream), F.lit("."), F.substring_index(domain, ".", -1))
     ip = F.concat_ws(".", (_byte(s, F.lit(0)) % 223 + 1).cast("string"), *[_byte(s, F.lit(i)).cast("string") for i in (1, 2, 3)])
     # first digit (the brand) stays; a valid check digit stays valid
     card = F.concat(F.substring(norm, 1, 1), F.substr(mapped, F.lit(2), F.length(norm)))
@@ -181,7 +186,7 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate) of distinct (kind, norm) rows: no two surrogates of a kind alike, none an entity itself."""
-    tried = keep(entities.select("kind", "norm", F.lit(0).alias("attempt")).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))), "pii-try")
+    tried = keep(with_surrogate(entities.select("kind", "norm", F.lit(0).alias("attempt")), key), "pii-try")
     # given names of all genders share one space, as do the kinds of their own
     space = F.when(F.col("kind").startswith("GIVEN"), "GIVEN").otherwise(F.col("kind"))
     real = tried.select(space.alias("space"), F.col("norm").alias("surrogate")).distinct()
@@ -194,7 +199,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         again = keep(again, "pii-again")
         if not again.limit(1).count():
             return tried.select("kind", "norm", "surrogate")
-        moved = again.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
+        moved = with_surrogate(again.withColumn("attempt", F.lit(attempt)), key)
         tried = keep(tried.join(again, ["kind", "norm"], "left_anti").unionByName(moved), "pii-try")
     raise ValueError(f"no free surrogates after {MAX_ATTEMPTS} attempts")
 
@@ -220,7 +225,9 @@ def replace_entities(df: DataFrame, text: str, key: str) -> DataFrame:
     has = has_entity(body)
     # one row a distinct text and atom
     some = df.where(has).select(md5.alias("_key"), F.posexplode(found).alias("_at", "_entity"))
-    atoms = some.select("_key", "_at", F.posexplode(atoms_of(F.col("_entity"))).alias("_k", "_atom"))
+    # the type is a column of its own, so its tests run once a match
+    some = some.withColumn("_type", kind_of(F.col("_entity")))
+    atoms = some.select("_key", "_at", F.posexplode(atoms_of(F.col("_entity"), F.col("_type"))).alias("_k", "_atom"))
     atoms = keep(atoms.select("_key", "_at", "_k", "_atom.kind", "_atom.norm", "_atom.piece").groupBy("_key", "_at", "_k").agg(F.first("kind").alias("kind"), F.first("norm").alias("norm"), F.first("piece").alias("piece")), "pii-atoms")
     table = assign(atoms.where("kind is not null").select("kind", "norm").distinct(), key)
     filled = atoms.join(table, ["kind", "norm"], "left").withColumn("new", F.when(F.col("kind").isNull(), F.col("piece")).otherwise(_rendered(F.col("kind"), F.col("piece"), F.col("surrogate"))))
