@@ -20,7 +20,7 @@ columns not named are ignored. Fewer groups than shards leave shards empty.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,111 +40,102 @@ SLOT_BUCKETS = 256
 
 @dataclass
 class Node:
-    """A box of the tree: ``where`` selects its groups, ``leaves`` is how many shards it becomes."""
+    """A box of the tree: the shards ``first`` to ``first + leaves - 1`` come of it."""
 
-    where: Column
     first: int
     leaves: int
-    dim: str = ""
-    bytes: float = 0
-    # search state: the open interval of the current order key, and the bytes below it
-    key: str = ""
-    lo: float = 0
-    hi: float = 0
-    below: float = 0
+    bytes: float = 0.0
+    span: list | None = None  # (least, greatest) by coordinate, None without groups
+    # search state: coordinate, its open interval, bytes below it, and a value fixed before (coordinate, value)
+    at: int = 0
+    lo: float = 0.0
+    hi: float = 0.0
+    below: float = 0.0
+    fixed_at: int | None = None
     fixed: float | None = None
-    left: Column | None = None
-    span: dict = field(default_factory=dict)
 
 
-def _measure(groups: DataFrame, nodes: list[Node], dims: list[str]) -> None:
+#: A node's search state and cut as rows: plans stay the same from pass to pass, only these rows change.
+_PARAMS = "node int, at int, lo double, hi double, fixed_at int, fixed double"
+_CUTS = "node int, at int, value double, closed boolean, fixed_at int, fixed double, left_id int, right_id int"
+
+
+def _measure(level: DataFrame, nodes: dict[int, Node], width: int) -> None:
     """Bytes and coordinate ranges of every node, in one pass."""
-    aggs = [F.sum("bytes").alias("bytes")] + [f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
-    rows = {r.node: r for r in groups.withColumn("node", _node_of(nodes)).where("node is not null").groupBy("node").agg(*aggs).collect()}
-    for i, node in enumerate(nodes):
-        r = rows.get(i)
-        node.bytes = float(r["bytes"]) if r else 0.0
-        node.span = {d: (r[f"lo_{d}"], r[f"hi_{d}"]) for d in dims} if r else {}
-
-
-def _node_of(nodes: list[Node]) -> Column:
-    out = F.lit(None).cast("int")
-    for i, node in enumerate(nodes):
-        out = F.when(node.where, F.lit(i)).otherwise(out)
-    return out
-
-
-def _cut(groups: DataFrame, nodes: list[Node], sliver: float) -> None:
-    """Find each node's ``left`` predicate: the groups before its weighted median."""
-    open_nodes = [n for n in nodes if n.span]
-    for n in nodes:
-        n.left = F.lit(True)
-    for n in open_nodes:
-        n.key, (n.lo, n.hi), n.below, n.fixed = n.dim, n.span[n.dim], 0.0, None
-    while open_nodes:
-        node, value, lo, width = (F.lit(None).cast(t) for t in ("int", "double", "double", "double"))
-        for i, n in enumerate(open_nodes):
-            here = n.where & F.col(n.key).between(F.lit(n.lo), F.lit(n.hi))
-            if n.fixed is not None:
-                here = here & (F.col(n.dim) == F.lit(n.fixed))
-            node, value = F.when(here, F.lit(i)).otherwise(node), F.when(here, F.col(n.key)).otherwise(value)
-            lo, width = F.when(here, F.lit(float(n.lo))).otherwise(lo), F.when(here, F.lit(float(n.hi - n.lo))).otherwise(width)
-        binned = (groups.select(node.alias("node"), value.alias("v"), lo.alias("lo"), width.alias("width"), "bytes").where("node is not null")
-                  .withColumn("bin", F.when(F.col("width") > 0, F.least(F.floor((F.col("v") - F.col("lo")) / F.col("width") * BINS), F.lit(BINS - 1))).otherwise(F.lit(0).cast("long"))))
-        rows = binned.groupBy("node", "bin").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-        nxt = []
-        for i, n in enumerate(open_nodes):
+    ends = [f(F.element_at("v", i + 1)).alias(f"{n}{i}") for i in range(width) for n, f in (("lo", F.min), ("hi", F.max))]
+    for r in level.groupBy("node").agg(F.sum("bytes").alias("bytes"), *ends).collect():
+        nodes[r.node].bytes, nodes[r.node].span = float(r["bytes"]), [(r[f"lo{i}"], r[f"hi{i}"]) for i in range(width)]
+
+
+def _cut(level: DataFrame, nodes: dict[int, Node], hash_at: int, sliver: float) -> list[tuple]:
+    """Rows (node, at, value, closed, fixed_at, fixed): the groups before each node's weighted median."""
+    spark, cuts, todo = level.sparkSession, [], dict(nodes)
+    while todo:
+        params = spark.createDataFrame([(i, n.at, float(n.lo), float(n.hi), n.fixed_at, n.fixed) for i, n in todo.items()], _PARAMS)
+        value, span = F.element_at("v", F.col("at")), F.col("hi") - F.col("lo")
+        here = level.join(F.broadcast(params), "node").where(F.col("fixed_at").isNull() | (F.element_at("v", F.coalesce("fixed_at", F.lit(1))) == F.col("fixed"))).where(value.between(F.col("lo"), F.col("hi")))
+        binned = here.select("node", value.alias("x"), F.when(span > 0, F.least(F.floor((value - F.col("lo")) / span * BINS), F.lit(BINS - 1))).otherwise(F.lit(0).cast("long")).alias("bin"), "bytes")
+        rows = binned.groupBy("node", "bin").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        again = {}
+        for i, n in todo.items():
             target, cum = n.bytes * (n.leaves // 2) / n.leaves, n.below
             for b in sorted((r for r in rows if r.node == i), key=lambda r: r.bin):
                 if cum + b.bytes >= target:
                     break
                 cum += b.bytes
-            key = F.col(n.key)
-            before = (lambda c, n=n: (F.col(n.dim) < F.lit(n.fixed)) | ((F.col(n.dim) == F.lit(n.fixed)) & c) if n.fixed is not None else c)
-            if b.n == 1 or b.bytes <= sliver or (b.lo == b.hi and n.key == "h"):
+            if b.n == 1 or b.bytes <= sliver or (b.lo == b.hi and n.at == hash_at):
                 # whichever side brings the left part nearer to its target
-                n.left = before(key <= F.lit(b.hi)) if (cum + b.bytes - target) < (target - cum) else before(key < F.lit(b.lo))
+                closed = (cum + b.bytes - target) < (target - cum)
+                cuts.append((i, n.at, b.hi if closed else b.lo, closed, n.fixed_at, n.fixed))
                 continue
             if b.lo == b.hi:  # one coordinate value: go on by the hash
-                n.fixed, n.key, n.lo, n.hi, n.below = b.lo, "h", 0.0, 1.0, cum
+                n.fixed_at, n.fixed, n.at, n.lo, n.hi, n.below = n.at, b.lo, hash_at, 0.0, 1.0, cum
             else:
                 n.lo, n.hi, n.below = b.lo, b.hi, cum
-            nxt.append(n)
-        open_nodes = nxt
+            again[i] = n
+        todo = again
+    return cuts
 
 
-def plan_shards(groups: DataFrame, dims: list[str], shards: int) -> Column:
-    """The shard of a group as an expression over (gkey, h, bytes, dims) of ``groups``."""
-    heavy: list[str] = []
+def plan_shards(groups: DataFrame, dims: list[str], shards: int) -> DataFrame:
+    """(gkey, n, shard) of the groups (gkey, h, bytes, n, dims)."""
+    spark, width = groups.sparkSession, len(dims)
     total = groups.agg(F.sum("bytes")).first()[0] or 0
+    heavy: list[tuple] = []
     rest, leaves = float(total), shards
-    for r in groups.select("gkey", "bytes").orderBy(F.desc("bytes"), "gkey").limit(shards).collect():
-        if leaves > 1 and r.bytes * leaves >= rest:
-            heavy.append(r.gkey)
-            rest, leaves = rest - r.bytes, leaves - 1
-        else:
+    for r in groups.select("gkey", "bytes", "n").orderBy(F.desc("bytes"), "gkey").limit(shards).collect():
+        if leaves == 1 or r.bytes * leaves < rest:
             break
-    light = groups.where(~F.col("gkey").isin(heavy)) if heavy else groups
-    shard = F.lit(None).cast("int")
-    for i, k in enumerate(heavy):
-        shard = F.when(F.col("gkey") == k, F.lit(shards - 1 - i)).otherwise(shard)
-    whole = light.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    level, done = [Node(F.lit(True), 0, leaves)], []
-    while level:
-        _measure(light, level, dims)
-        for n in level:
+        heavy.append((r.gkey, r.n, shards - 1 - len(heavy)))
+        rest, leaves = rest - r.bytes, leaves - 1
+    alone = spark.createDataFrame(heavy, "gkey string, n long, shard int")
+    light = groups.where(~F.col("gkey").isin([k for k, _, _ in heavy])) if heavy else groups
+    level = light.select("gkey", "n", "bytes", F.array(*dims, "h").alias("v"), F.lit(0).alias("node"))
+    nodes, whole, last = {0: Node(0, leaves)}, None, 0
+    while any(n.leaves > 1 for n in nodes.values()):
+        _measure(level, nodes, width)
+        whole = nodes[0].span if 0 in nodes else whole
+        for n in nodes.values():
             if n.span:
-                n.dim = max(dims, key=lambda d: (n.span[d][1] - n.span[d][0]) / ((whole[f"hi_{d}"] - whole[f"lo_{d}"]) or 1.0))
-        split = [n for n in level if n.leaves > 1]
-        done += [n for n in level if n.leaves == 1]
-        _cut(light, split, SLIVER * rest / max(leaves, 1))
-        level = []
-        for n in split:
+                best = max(range(width), key=lambda d: (n.span[d][1] - n.span[d][0]) / ((whole[d][1] - whole[d][0]) or 1.0))
+                n.at, (n.lo, n.hi), n.below, n.fixed_at, n.fixed = best + 1, n.span[best], 0.0, None, None
+        split = {i: n for i, n in nodes.items() if n.leaves > 1}
+        cuts = _cut(level, {i: n for i, n in split.items() if n.span}, width + 1, SLIVER * rest / max(leaves, 1))
+        after, children = {i: n for i, n in nodes.items() if n.leaves == 1}, {}
+        for i, n in split.items():
             k = n.leaves // 2
-            level += [Node(n.where & n.left, n.first, k), Node(n.where & ~n.left, n.first + k, n.leaves - k)]
-    for n in done:
-        shard = F.when(shard.isNull() & n.where, F.lit(n.first)).otherwise(shard) if not heavy else F.when(F.col("gkey").isin(heavy), shard).when(n.where, F.lit(n.first)).otherwise(shard)
-    return shard
+            children[i] = (last + 1, last + 2)
+            after[last + 1], after[last + 2] = Node(n.first, k), Node(n.first + k, n.leaves - k)
+            last += 2
+        table = spark.createDataFrame([(*c, *children[c[0]]) for c in cuts], _CUTS)
+        own, fixed = F.element_at("v", F.coalesce("at", F.lit(1))), F.element_at("v", F.coalesce("fixed_at", F.lit(1)))
+        before = F.when(F.col("closed"), own <= F.col("value")).otherwise(own < F.col("value"))
+        before = F.when(F.col("fixed_at").isNull(), before).otherwise((fixed < F.col("fixed")) | ((fixed == F.col("fixed")) & before))
+        node = F.when(F.col("left_id").isNull(), F.col("node")).when(before, F.col("left_id")).otherwise(F.col("right_id"))
+        level = keep(level.join(F.broadcast(table), "node", "left").select("gkey", "n", "bytes", "v", node.alias("node")), "kd-level")
+        nodes = after
+    shard = spark.createDataFrame([(i, n.first) for i, n in nodes.items()], "node int, shard int")
+    return level.join(F.broadcast(shard), "node").select("gkey", "n", "shard").unionByName(alone)
 
 
 def kd_shards(df: DataFrame, text: Column, doc_id: Column, dims: dict[str, Column], shards: int = 8) -> DataFrame:
@@ -160,7 +151,7 @@ def kd_shards(df: DataFrame, text: Column, doc_id: Column, dims: dict[str, Colum
     groups = keep(grouped.withColumn("h", h).withColumns({k: F.coalesce(k, F.lit(-1e308)) for k in names}), "kd-groups")
     lows = groups.agg(*[F.min(F.when(F.col(k) > -1e308, F.col(k))).alias(k) for k in names]).first()
     groups = groups.withColumns({k: F.when(F.col(k) > -1e308, F.col(k)).otherwise(F.lit((lows[k] if lows[k] is not None else 0.0) - 1.0)) for k in names})
-    placed = groups.select("gkey", "n", plan_shards(groups, names, shards).alias("shard"))
+    placed = plan_shards(groups, names, shards)
     all_rows = rows.count()
     hot = F.broadcast(placed.where(F.col("n") * HOT >= F.lit(all_rows)).select("gkey", "shard"))
     cold = placed.where(F.col("n") * HOT < F.lit(all_rows)).select("gkey", "shard")
