@@ -12,7 +12,8 @@ documents are then chosen in a seeded hash order by prefix sums, which are
 computed over hash buckets so that a source with a third of all rows is spread
 over many tasks. The gap that whole documents leave at a prefix's end is filled
 by further seeded documents that fit, in ``GAP_ROUNDS`` rounds; the smallest
-open document is added at last where overshooting by it ends nearer.
+open document is added at last, and documents given back for what it takes too
+much, where that ends nearer.
 
 Defined cases: null text has size 0 and is never taken; a null source is a
 source of its own, ordered last; equal (doc_id, size) rows are separate rows in
@@ -149,14 +150,23 @@ def mix(df: DataFrame, doc_id: Column, size: Column, sources: Column, targets, s
         open_ = _before(open_.join(F.broadcast(lowest), "pattern", "left").withColumn("fits", fits), F.when(F.col("fits"), F.col("size")).otherwise(0))
         more = F.when(F.col("fits") & (F.col("before") + F.col("size") <= F.col("gap")), 1).otherwise(0)
         taken = keep(open_.select("doc_id", "size", "pattern", "u", "rid", (F.col("copies") + more).alias("copies"), "wanted", *extra), "mix-gap")
-    # rid, written with the rows, tells equal rows apart
-    # what is left is smaller than any open document: take the smallest one where that ends nearer
+    # what is left is smaller than any open document: try the smallest one, and give back
+    # seeded documents for what it takes too much; rid, written with the rows, tells equal rows apart
     again = (F.col("size") > 0) & (F.col("copies") < n)
     last = taken.groupBy("pattern").agg((F.max("wanted") - F.sum(F.col("size") * F.col("copies"))).alias("gap"), F.min(F.when(again, F.struct("size", "u", "doc_id", "rid"))).alias("least"))
-    last = last.where((F.col("gap") > 0) & (F.col("least.size") < 2 * F.col("gap"))).select("pattern", "least")
-    one = again & F.coalesce(F.col("rid") == F.col("least.rid"), F.lit(False))
-    taken = taken.join(F.broadcast(last), "pattern", "left").withColumn("copies", F.col("copies") + F.when(one, 1).otherwise(0))
-    return taken.drop("wanted", "least", "rid"), sizes, target
+    last = last.where((F.col("gap") > 0) & F.col("least").isNotNull()).select("pattern", "gap", F.col("least.rid").alias("added"), (F.col("least.size") - F.col("gap")).alias("over"))
+    tried = taken.join(F.broadcast(last), "pattern", "left").withColumn("plus", F.coalesce(F.col("rid") == F.col("added"), F.lit(False)))
+    spare = F.coalesce((F.col("over") > 0) & ~F.col("plus") & (F.col("copies") >= 1) & (F.col("size") > 0) & (F.col("size") <= F.col("over")), F.lit(False))
+    # the dearest pass first: only documents taken the most times
+    most = tried.where(spare).groupBy("pattern").agg(F.max("copies").alias("most"))
+    tried = tried.join(F.broadcast(most), "pattern", "left").withColumn("spare", spare & F.coalesce(F.col("copies") == F.col("most"), F.lit(False)))
+    tried = _before(tried, F.when(F.col("spare"), F.col("size")).otherwise(0))
+    tried = keep(tried.withColumn("minus", F.col("spare") & (F.col("before") + F.col("size") <= F.col("over"))), "mix-last")
+    back = tried.groupBy("pattern").agg(F.sum(F.when(F.col("minus"), F.col("size")).otherwise(0)).alias("back"))
+    tried = tried.join(F.broadcast(back), "pattern")
+    nearer = F.coalesce(F.col("over") - F.col("back") < F.col("gap"), F.lit(False))
+    copies = F.when(nearer, F.col("copies") + F.col("plus").cast("int") - F.col("minus").cast("int")).otherwise(F.col("copies"))
+    return tried.select("doc_id", "size", "pattern", "u", copies.alias("copies"), *extra), sizes, target
 
 
 def one_source(df: DataFrame, sizes: dict, target: dict) -> DataFrame:
