@@ -20,6 +20,7 @@ columns not named are ignored. Fewer groups than shards leave shards empty.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +61,13 @@ _PARAMS = "node int, at int, lo double, hi double, fixed_at int, fixed double"
 _CUTS = "node int, at int, value double, closed boolean, fixed_at int, fixed double, left_id int, right_id int"
 
 
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table, by way of a JSON literal: no Python and no RDD takes part."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{', '.join(c.replace(' ', ':') for c in schema.split(', '))}>>")).alias("r")).select("r.*")
+
+
 def _measure(level: DataFrame, nodes: dict[int, Node], width: int) -> None:
     """Bytes and coordinate ranges of every node, in one pass."""
     ends = [f(F.element_at("v", i + 1)).alias(f"{n}{i}") for i in range(width) for n, f in (("lo", F.min), ("hi", F.max))]
@@ -71,7 +79,7 @@ def _cut(level: DataFrame, nodes: dict[int, Node], hash_at: int, sliver: float)
     """Rows (node, at, value, closed, fixed_at, fixed): the groups before each node's weighted median."""
     spark, cuts, todo = level.sparkSession, [], dict(nodes)
     while todo:
-        params = spark.createDataFrame([(i, n.at, float(n.lo), float(n.hi), n.fixed_at, n.fixed) for i, n in todo.items()], _PARAMS)
+        params = _rows(spark, [(i, n.at, float(n.lo), float(n.hi), n.fixed_at, n.fixed) for i, n in todo.items()], _PARAMS)
         value, span = F.element_at("v", F.col("at")), F.col("hi") - F.col("lo")
         here = level.join(F.broadcast(params), "node").where(F.col("fixed_at").isNull() | (F.element_at("v", F.coalesce("fixed_at", F.lit(1))) == F.col("fixed"))).where(value.between(F.col("lo"), F.col("hi")))
         binned = here.select("node", value.alias("x"), F.when(span > 0, F.least(F.floor((value - F.col("lo")) / span * BINS), F.lit(BINS - 1))).otherwise(F.lit(0).cast("long")).alias("bin"), "bytes")
@@ -108,7 +116,7 @@ def plan_shards(groups: DataFrame, dims: list[str], shards: int) -> DataFrame:
             break
         heavy.append((r.gkey, r.n, shards - 1 - len(heavy)))
         rest, leaves = rest - r.bytes, leaves - 1
-    alone = spark.createDataFrame(heavy, "gkey string, n long, shard int")
+    alone = _rows(spark, heavy, "gkey string, n long, shard int")
     light = groups.where(~F.col("gkey").isin([k for k, _, _ in heavy])) if heavy else groups
     level = light.select("gkey", "n", "bytes", F.array(*dims, "h").alias("v"), F.lit(0).alias("node"))
     nodes, whole, last = {0: Node(0, leaves)}, None, 0
@@ -127,14 +135,14 @@ def plan_shards(groups: DataFrame, dims: list[str], shards: int) -> DataFrame:
             children[i] = (last + 1, last + 2)
             after[last + 1], after[last + 2] = Node(n.first, k), Node(n.first + k, n.leaves - k)
             last += 2
-        table = spark.createDataFrame([(*c, *children[c[0]]) for c in cuts], _CUTS)
+        table = _rows(spark, [(*c, *children[c[0]]) for c in cuts], _CUTS)
         own, fixed = F.element_at("v", F.coalesce("at", F.lit(1))), F.element_at("v", F.coalesce("fixed_at", F.lit(1)))
         before = F.when(F.col("closed"), own <= F.col("value")).otherwise(own < F.col("value"))
         before = F.when(F.col("fixed_at").isNull(), before).otherwise((fixed < F.col("fixed")) | ((fixed == F.col("fixed")) & before))
         node = F.when(F.col("left_id").isNull(), F.col("node")).when(before, F.col("left_id")).otherwise(F.col("right_id"))
         level = keep(level.join(F.broadcast(table), "node", "left").select("gkey", "n", "bytes", "v", node.alias("node")), "kd-level")
         nodes = after
-    shard = spark.createDataFrame([(i, n.first) for i, n in nodes.items()], "node int, shard int")
+    shard = _rows(spark, [(i, n.first) for i, n in nodes.items()], "node int, shard int")
     return level.join(F.broadcast(shard), "node").select("gkey", "n", "shard").unionByName(alone)
 
 
