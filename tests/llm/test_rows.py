@@ -300,6 +300,27 @@ def test_collisions_are_resolved(spark):
     assert len({r.surrogate for r in table_}) == len(few) and not {r.surrogate for r in table_} & {n for _, n in few}
 
 
+def test_surrogates_do_not_run_out(spark):
+    # more surnames than three syllables and an ending can make (93,750)
+    many = spark.range(100_000).select(F.lit("SURNAME").alias("kind"), F.concat(F.lit("name"), F.col("id").cast("string")).alias("norm"))
+    out = pii_surrogates.assign(many, "k")
+    assert out.agg(F.count("*"), F.countDistinct("norm"), F.countDistinct("surrogate")).first()[:] == (100_000,) * 3
+
+
+def test_short_formats_grow(spark):
+    # ten values, all of them entities; a masked secret; a secret of a script without a table
+    texts = ['password="-----%d"' % i for i in range(2)] + ['password="********"', 'password="密码密码密码"', "用户@例子.com"]
+    hexes = [("SECRET", f"-----{c}") for c in "0123456789"]
+    table_ = pii_surrogates.assign(spark.createDataFrame(hexes, "kind string, norm string"), "k").collect()
+    assert len({r.surrogate for r in table_}) == 10 and not {r.surrogate for r in table_} & {n for _, n in hexes}
+    out = {r.doc_id: r.text for r in pii_surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "k").collect()}
+    assert len(set(out.values())) == len(texts) and not set(out.values()) & set(texts)
+    assert re.fullmatch('password="[a-z]{8}"', out[2]) and re.fullmatch('password="[a-z]{6}"', out[3]) and re.fullmatch(r"[a-z]{2}@[a-z]{2}\.com", out[4])
+    # digits a phone number has grown by follow the mention
+    row = spark.createDataFrame([("PHONE", "12345", "+1 23 45", "987654")], "kind string, norm string, piece string, s string")
+    assert row.select(pii_surrogates._rendered(*map(F.col, row.columns))).first()[0] == "+9 87 654"
+
+
 def test_op8_removes_all_detected_entities(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in read_table(spark, sf, "documents").collect()}

@@ -7,18 +7,24 @@ part of a name by itself) and the key decide its surrogate, so all mentions,
 however written, stay the same person or number. Surrogates keep type and format:
 digits stay digits and letters letters of their script, punctuation, length,
 country codes, top-level domains and a valid check digit of a card stay, octets
-stay octets, given names keep the gender of the form of address.
+stay octets, given names keep the gender of the form of address. Letters of other
+scripts than Latin, Cyrillic and Greek become Latin ones; a secret of signs alone
+becomes letters.
 
 Collision checks run on the distributed table of distinct entities: where two
 entities of a type would get one surrogate, or a surrogate is itself an entity
 of the table, all but one try again with the next attempt number, until no
-collision is left. So distinct entities stay distinct.
+collision is left. So distinct entities stay distinct. Made-up names get a syllable
+more with every attempt, and after ``GROW_AFTER`` attempts e-mail addresses, phone
+numbers and secrets a character more, so short formats never run out.
 
 Only DataFrame functions are used. Only texts with an entity are shuffled.
 
 Defined cases: null and empty texts and texts without an entity stay as they
-are; repeated rows and copies get equal texts; other columns are kept; a format
-too small for its entities (``MAX_ATTEMPTS``) raises.
+are; repeated rows and copies get equal texts; other columns are kept. Only IPv4
+addresses, card, social security and IBAN numbers have formats of fixed size (10^9
+values at least); about half of all of one would have to occur before it raises
+(``MAX_ATTEMPTS``).
 """
 
 from __future__ import annotations
@@ -28,8 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import keep, read_table
 
-#: Attempts after which a format is taken to have no free surrogate left.
+#: Attempts after which a format of fixed size is taken to have no free surrogate left.
 MAX_ATTEMPTS = 64
+#: Attempts after which a surrogate of a format without a fixed size grows, by a character an attempt up to MAX_GROWN.
+GROW_AFTER, MAX_GROWN = 16, 16
 
 #: Forms of address by the gender they tell.
 MALE = ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н", "Κύριος"]
@@ -76,7 +84,8 @@ SYLLABLES = {"latin": ["ba", "bel", "cor", "da", "del", "fa", "gar", "hol", "jan
 ENDINGS = {("latin", "M"): ["o", "us", "ert", "in"], ("latin", "F"): ["a", "ia", "ine", "ette"], ("latin", "X"): ["i", "en", "is", "y"], ("latin", "S"): ["son", "mann", "ez", "ier", "ford", "berg"],
            ("cyrillic", "M"): ["ей", "ан", "ил", "ор"], ("cyrillic", "F"): ["а", "ия", "ина", "ана"], ("cyrillic", "X"): ["и", "ень", "е", "ю"], ("cyrillic", "S"): ["енко", "ских", "ич", "ко", "ян", "ук"],
            ("greek", "M"): ["ος", "ης", "ας", "ων"], ("greek", "F"): ["α", "η", "ια", "ω"], ("greek", "X"): ["ι", "ε", "υ", "ει"], ("greek", "S"): ["ου", "ιδης", "ακης", "οπουλος", "ατος", "ελης"]}
-SYLLABLES_IN_NAME = 3
+#: Syllables of a name at the first attempt; every other attempt has one more, up to the most.
+SYLLABLES_IN_NAME, MAX_SYLLABLES = 3, 10
 
 
 def _digits(c: Column) -> Column:
@@ -131,11 +140,18 @@ def _map_characters(text: Column, stream: Column, digits: str = "0123456789") ->
     def one(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
         return (F.when(c.rlike(r"^\d$"), pick(digits, b)).when(c.rlike(r"^\p{IsLatin}$") & (F.lower(c) == c), pick(lower["latin"], b)).when(c.rlike(r"^\p{IsLatin}$"), F.upper(pick(lower["latin"], b)))
-                .when(c.rlike(r"^\p{IsCyrillic}$"), pick(lower["cyrillic"], b)).when(c.rlike(r"^\p{IsGreek}$"), pick(lower["greek"], b)).otherwise(c))
+                .when(c.rlike(r"^\p{IsCyrillic}$"), pick(lower["cyrillic"], b)).when(c.rlike(r"^\p{IsGreek}$"), pick(lower["greek"], b))
+                .when(c.rlike(r"^\p{L}$"), pick(lower["latin"], b)).when(c.rlike(r"^\p{N}$"), pick(digits, b)).otherwise(c))
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def _grown(stream: Column, attempt: Column, chars: str) -> Column:
+    """What a surrogate of a late attempt has more."""
+    more = F.array(*[F.substr(F.lit(chars), (_byte(stream, F.lit(40 + i)) % len(chars) + 1).cast("int"), F.lit(1)) for i in range(MAX_GROWN)])
+    return F.when(attempt > GROW_AFTER, F.array_join(F.slice(more, 1, F.least(attempt - GROW_AFTER, F.lit(MAX_GROWN))), "")).otherwise("")
+
+
 def _luhn(digits: Column) -> Column:
     """Luhn sum of a digit string."""
     def one(c: Column, i: Column) -> Column:
@@ -151,35 +167,40 @@ def with_surrogate(rows: DataFrame, key: str) -> DataFrame:
     domain = F.substring_index("norm", "@", -1)
     streams = rows.withColumns({"_own": _stream(key, F.col("kind"), F.col("norm"), F.col("attempt")), "_domain": _stream(key, F.lit("DOMAIN"), domain, F.col("attempt"))})
     mapped = streams.withColumn("_mapped", _map_characters(F.col("norm"), F.col("_own")))
-    return mapped.withColumn("surrogate", _surrogate(F.col("kind"), F.col("norm"), F.col("_own"), F.col("_domain"), F.col("_mapped"))).drop("_own", "_domain", "_mapped")
+    return mapped.withColumn("surrogate", _surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), F.col("_own"), F.col("_domain"), F.col("_mapped"))).drop("_own", "_domain", "_mapped")
 
 
-def _surrogate(kind: Column, norm: Column, s: Column, domain_stream: Column, mapped: Column) -> Column:
+def _surrogate(kind: Column, norm: Column, attempt: Column, s: Column, domain_stream: Column, mapped: Column) -> Column:
     """The normal form's surrogate from its streams."""
     hexed = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.lower(F.hex(_byte(s, i) % 16))), "")
-    secret = F.when(norm.rlike("^[0-9a-f]+$"), hexed).otherwise(mapped)
+    lettered = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.char(_byte(s, i) % 26 + 97)), "")
+    secret = F.when(norm.rlike("^[0-9a-f]+$"), hexed).when(norm.rlike(r"[\p{L}\p{N}]"), mapped).otherwise(lettered)
+    secret = F.concat(secret, _grown(s, attempt, "0123456789abcdef"))
     # a domain's labels are mapped by the domain alone; its last one stays
     domain = F.substring_index(norm, "@", -1)
-    email = F.concat(_map_characters(F.substring_index(norm, "@", 1), s), F.lit("@"), _map_characters(F.regexp_replace(domain, r"\.[^.]+$", ""), domain_stream), F.lit("."), F.substring_index(domain, ".", -1))
+    email = F.concat(_map_characters(F.substring_index(norm, "@", 1), s), _grown(s, attempt, "abcdefghijklmnopqrstuvwxyz"), F.lit("@"), _map_characters(F.regexp_replace(domain, r"\.[^.]+$", ""), domain_stream), F.lit("."), F.substring_index(domain, ".", -1))
     ip = F.concat_ws(".", (_byte(s, F.lit(0)) % 223 + 1).cast("string"), *[_byte(s, F.lit(i)).cast("string") for i in (1, 2, 3)])
     # first digit (the brand) stays; a valid check digit stays valid
     card = F.concat(F.substring(norm, 1, 1), F.substr(mapped, F.lit(2), F.length(norm)))
     body = F.substr(card, F.lit(1), F.length(norm) - 1)
     check = F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
     card = F.when(_luhn(norm) % 10 == 0, F.concat(body, check)).otherwise(card)
+    phone = F.concat(mapped, _grown(s, attempt, "0123456789"))
     iban = F.concat(F.substring(norm, 1, 2), F.substr(mapped, F.lit(3), F.length(norm)))
     script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
+    places = F.sequence(F.lit(0), F.least(attempt + SYLLABLES_IN_NAME, F.lit(MAX_SYLLABLES)) - 1)
+
     def name(ending: str) -> Column:
         out = F.lit(None).cast("string")
         for sc, syllables in SYLLABLES.items():
-            parts = [F.element_at(F.array(*map(F.lit, syllables)), (_byte(s, F.lit(2 * i)) * 256 + _byte(s, F.lit(2 * i + 1))) % len(syllables) + 1) for i in range(SYLLABLES_IN_NAME)]
+            parts = F.transform(places, lambda i: F.element_at(F.array(*map(F.lit, syllables)), (_byte(s, i * 2) * 256 + _byte(s, i * 2 + 1)) % len(syllables) + 1))
             last = F.element_at(F.array(*map(F.lit, ENDINGS[sc, ending])), _byte(s, F.lit(20)) % len(ENDINGS[sc, ending]) + 1)
-            out = F.when(script == sc, F.concat(*parts, last)).otherwise(out)
+            out = F.when(script == sc, F.concat(F.array_join(parts, ""), last)).otherwise(out)
         return out
 
     out = mapped
-    for k, v in {"SECRET": secret, "EMAIL": email, "IP": ip, "CARD": card, "IBAN": iban, "GIVEN_M": name("M"), "GIVEN_F": name("F"), "GIVEN_X": name("X"), "SURNAME": name("S")}.items():
+    for k, v in {"SECRET": secret, "EMAIL": email, "PHONE": phone, "IP": ip, "CARD": card, "IBAN": iban, "GIVEN_M": name("M"), "GIVEN_F": name("F"), "GIVEN_X": name("X"), "SURNAME": name("S")}.items():
         out = F.when(kind == k, v).otherwise(out)
     return out
 
@@ -204,17 +225,18 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"no free surrogates after {MAX_ATTEMPTS} attempts")
 
 
-def _rendered(kind: Column, piece: Column, new: Column) -> Column:
+def _rendered(kind: Column, norm: Column, piece: Column, surrogate: Column) -> Column:
     """A surrogate in the layout of a mention."""
-    # digit by digit from the end; digits beyond the surrogate (a country code) stay
+    # digit by digit from the end; digits beyond the surrogate (a country code) stay, those it has grown by follow
     chars = F.split(F.reverse(piece), "")
-    flipped = F.reverse(new)
+    flipped = F.reverse(F.substr(surrogate, F.lit(1), F.length(norm)))
+    more = F.substr(surrogate, F.length(norm) + 1, F.length(surrogate))
     step = F.aggregate(chars, F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), lambda a, c: F.struct(
         (a["n"] + F.when(c.rlike(r"^\d$"), 1).otherwise(0)).alias("n"),
         F.concat(a["out"], F.when(c.rlike(r"^\d$") & (a["n"] < F.length(flipped)), F.substr(flipped, a["n"] + 1, F.lit(1))).otherwise(c)).alias("out")), lambda a: F.reverse(a["out"]))
-    grouped = F.when(piece.contains(" "), F.regexp_replace(new, r"(.{4})(?=.)", "$1 ")).otherwise(new)
-    name = F.when(F.upper(piece) == piece, F.upper(new)).otherwise(F.initcap(new))
-    return F.when(kind.isin("PHONE", "CARD", "SSN"), step).when(kind == "IBAN", grouped).when(kind.startswith("GIVEN") | (kind == "SURNAME"), name).otherwise(new)
+    grouped = F.when(piece.contains(" "), F.regexp_replace(surrogate, r"(.{4})(?=.)", "$1 ")).otherwise(surrogate)
+    name = F.when(F.upper(piece) == piece, F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    return F.when(kind.isin("PHONE", "CARD", "SSN"), F.concat(step, more)).when(kind == "IBAN", grouped).when(kind.startswith("GIVEN") | (kind == "SURNAME"), name).otherwise(surrogate)
 
 
 def replace_entities(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -230,7 +252,7 @@ def replace_entities(df: DataFrame, text: str, key: str) -> DataFrame:
     atoms = some.select("_key", "_at", F.posexplode(atoms_of(F.col("_entity"), F.col("_type"))).alias("_k", "_atom"))
     atoms = keep(atoms.select("_key", "_at", "_k", "_atom.kind", "_atom.norm", "_atom.piece").groupBy("_key", "_at", "_k").agg(F.first("kind").alias("kind"), F.first("norm").alias("norm"), F.first("piece").alias("piece")), "pii-atoms")
     table = assign(atoms.where("kind is not null").select("kind", "norm").distinct(), key)
-    filled = atoms.join(table, ["kind", "norm"], "left").withColumn("new", F.when(F.col("kind").isNull(), F.col("piece")).otherwise(_rendered(F.col("kind"), F.col("piece"), F.col("surrogate"))))
+    filled = atoms.join(table, ["kind", "norm"], "left").withColumn("new", F.when(F.col("kind").isNull(), F.col("piece")).otherwise(_rendered(F.col("kind"), F.col("norm"), F.col("piece"), F.col("surrogate"))))
     is_name = F.col("kind").startswith("GIVEN") | (F.col("kind") == "SURNAME")
     alias = F.struct(F.col("piece").alias("from"), F.col("new").alias("to"))
     by_text = filled.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_k", "new", "kind"))).alias("_atoms"), F.collect_set(F.when(is_name, alias)).alias("_names"))
