@@ -236,6 +236,17 @@ def test_decoding_is_the_best_path(spark):
     assert [w for ws in r.words("an 1d10t, l0s3r $tup1d m.o.r.o.n t r a s h stuuupid ok!") for w in ws] == ["an", "idiot", "loser", "stupid", "moron", "trash", "stupid", "ok"]
 
 
+def test_disguises_reach_the_decoder(spark):
+    docs = spark.createDataFrame([("the idiot was an ass and the loser were stupid morons on the trash heap of all good letters " * 5,)], "text string")
+    r = toxicity.Restorer(toxicity.learn_characters(docs, F.col("text")))
+    restored = lambda t: [w for ws in r.words(t) for w in ws]
+    for noisy in ["you i d i o t. next", "you i d i o t, next", 'you "i d i o t!" next', "you idiiot next", "you iidioot, next", "you 1d10t! next"]:
+        assert restored(noisy) == ["you", "idiot", "next"]
+    assert restored("an a s s") == restored("an @$$") == restored("an @$$!") == restored("an (a s s).") == ["an", "ass"]
+    assert restored("all good letters, !!! $$$ -- 100 $1.50") == ["all", "good", "letters"]
+    assert restored("-" * 200 + "ab") == ["ab"]
+
+
 def test_op2_toxicity_holds_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in read_table(spark, sf, "labels").collect()}

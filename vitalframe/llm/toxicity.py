@@ -59,11 +59,12 @@ MEMORY = 400_000
 #: Characters handled at once; longer texts are cut between words.
 CHUNK = 1 << 20
 
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]{1,3}){3,}\S(?!\S)")
+#: Three or more single characters parted by marks, within quotes, brackets or before closing punctuation.
+_SPACED = re.compile(r"""(?<!\S)["'`(\[{<«“]*((?:[^\s.\-_*][ \t.\-_*]{1,5}){2,}[^\s.\-_*])(?=[.,;:?!"'`)\]}>»”…*_-]*(?!\S))""")
 _DOUBLE = re.compile(r"(.)\1")
-_TRIPLE = re.compile(r"(.)\1\1")
 #: Marks around a token that stand for no letter.
 _EDGE = ".,;:?\"'`)]}>«»…“”[{<*&#%_-"
+_CLOSING = ".,;:?\"'`)]}>»«…“”"
 _DOUBLES = re.compile(r"([^\W\d_])\1")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -122,8 +123,8 @@ class CharModel:
         """The likeliest restored text (words parted by a space) of a noisy string."""
         return self.best(noisy)[1].strip()
 
-    def best(self, noisy: str) -> tuple[float, str]:
-        """Cost and text of the lattice's best path."""
+    def best(self, noisy: str, drop: bool = True) -> tuple[float, str]:
+        """Cost and text of the lattice's best path; without ``drop`` every sign for letters is one."""
         cost = self.cost
         # state (a, b) -> (cost, text so far)
         best = {(0, 0): (0.0, "")}
@@ -139,7 +140,8 @@ class CharModel:
                     edges.append(("", COST_DROP_RUN if long_run else COST_DROP_DOUBLE))
             else:
                 edges = [(c, COST_LEET) for c in LEET.get(ch, "")]
-                edges += [("", COST_DROP_DIGIT), (" ", COST_DROP_DIGIT)] if ch.isdigit() else [("", COST_DROP_MARK), (" ", COST_END)]
+                if drop or not edges:
+                    edges += [("", COST_DROP_DIGIT), (" ", COST_DROP_DIGIT)] if ch.isdigit() else [("", COST_DROP_MARK), (" ", COST_END)]
             nxt: dict = {}
             for (a, b), (so_far, text) in best.items():
                 for out, channel in edges:
@@ -157,12 +159,21 @@ class CharModel:
 
 
 def disguised(token: str) -> bool:
-    """Whether a token is worth decoding: letters mixed with signs for letters or with marks, or letters repeated."""
+    """Whether a token is worth decoding: letters mixed with signs for letters or with marks, or a letter doubled."""
     if token.isalpha():
-        return bool(_TRIPLE.search(token)) or len(_DOUBLES.findall(token)) > 1
-    core = token.strip(".,;:?\"'`)]}>«»…“”")
+        return bool(_DOUBLES.search(token))
+    core = token.strip(_CLOSING)
     inner = core.strip("!*&#%$_-|+")
-    return any(c.isalpha() for c in core) and (any(c in LEET for c in core) or not inner.isalpha() or bool(_TRIPLE.search(inner)))
+    return any(c.isalpha() for c in core) and (any(c in LEET for c in core) or not inner.isalpha() or bool(_DOUBLES.search(inner)))
+
+
+def signs_for_letters(token: str) -> str:
+    """The signs of a token that is made of signs for letters alone (three or more, not all alike, no digit), or nothing."""
+    core = token.strip(_CLOSING)
+    for signs in (core.rstrip("!"), core):
+        if len(signs) > 2 and len(set(signs)) > 1 and all(c in LEET and not c.isdigit() for c in signs):
+            return signs
+    return ""
 
 
 class Restorer(dict):
@@ -176,6 +187,8 @@ class Restorer(dict):
         core = token.strip(_EDGE)
         if core.isalpha() and not _DOUBLE.search(core):
             return (core,)
+        if signs := signs_for_letters(token):
+            return tuple(self.model.best(signs, drop=False)[1].split())
         return tuple(self.model.decode(token).split() if disguised(token) else _WORD.findall(token))
 
     def __missing__(self, token: str):
@@ -200,8 +213,8 @@ class Restorer(dict):
                 end = end if end > at else min(len(text), at + CHUNK)
             part, done = text[at:end], 0
             for m in _SPACED.finditer(part):
-                if sum(c.isalpha() for c in m.group()) >= 3:
-                    yield part[done : m.start()].split(), " ".join(m.group().split())
+                if sum(c.isalpha() for c in m.group(1)) >= 3:
+                    yield part[done : m.start()].split(), " ".join(m.group(1).split())
                     done = m.end()
             yield part[done:].split(), None
             at = end
