@@ -10,6 +10,7 @@ from .language_id import op3_language_id
 from .mixing import op4_mixing
 from .near_dedup import op1_minhash_dedup
 from .pii_surrogates import op8_pii_surrogates
+from .spelling import op11_spelling_variants
 from .token_files import op6_token_files
 from .toxicity import op2_toxicity
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_kd_sharding": op10_kd_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {}
