@@ -10,6 +10,7 @@ from .language_id import op3_language_id
 from .mixing import op4_mixing
 from .near_dedup import op1_minhash_dedup
 from .pii_surrogates import op8_pii_surrogates
+from .prefix_trie import op12_prefix_trie
 from .spelling import op11_spelling_variants
 from .token_files import op6_token_files
 from .toxicity import op2_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_kd_sharding": op10_kd_sharding,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {}
