@@ -9,6 +9,7 @@ from .kd_sharding import op10_kd_sharding
 from .language_id import op3_language_id
 from .mixing import op4_mixing
 from .near_dedup import op1_minhash_dedup
+from .packing import op13_packing
 from .pii_surrogates import op8_pii_surrogates
 from .prefix_trie import op12_prefix_trie
 from .spelling import op11_spelling_variants
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_kd_sharding": op10_kd_sharding,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
