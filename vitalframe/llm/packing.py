@@ -105,7 +105,7 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, gap
             if pivots % 500 == 0:  # rounding errors gather in the inverse
                 inverse = np.linalg.inv(basis.T)
                 x, price = np.maximum(inverse @ counts, 0), cost @ inverse
-        if cost @ x > before - ids * gap:
+        if cost @ x >= before - ids * gap:
             if not few:
                 return use, x
             few = few / 10 if few > 1e-5 * capacity else 0
