@@ -927,6 +927,9 @@ SELECT 'run-1' AS run_id, 'linear' AS model, {R6('roc_auc')} AS roc_auc, {D(0.79
 SELECT 'linear' AS model_name, '{"depth": 5}' AS params, roc_auc AS cv_score, accuracy, f1_score FROM m, auc"""
     q["S7_saved_model_scores_agree"] = with_(PATIENTS, CLEAN, FEATURED, SPLIT_CTE) + \
         "SELECT id, CAST(cardio AS INTEGER) AS label, true AS agree FROM splitted WHERE split = 'test'"
+    q["M2_logistic_folds_at_optimum"] = split_queries()["P3_kfold_exact_rows"].replace("SELECT id, fold FROM kf", """
+SELECT c, f.fold AS fold, (SELECT COUNT(*) FROM kf WHERE kf.fold <> f.fold) AS train_rows, true AS at_optimum
+FROM (SELECT DISTINCT fold FROM kf) f, (SELECT CAST(0.1 AS DOUBLE) AS c UNION ALL SELECT CAST(1 AS DOUBLE)) t""")
     q["K1_boosted_columns_agree"] = q["K1_forest_columns_agree"] = q["S7_saved_model_scores_agree"]
     q["K1_fitted_model_routing"] = option_queries()["C11_C12_request_routing"]
     q["M12_fold_sizes_of_search"] = with_(PATIENTS, CLEAN, FEATURED, f"""kf AS (SELECT *,

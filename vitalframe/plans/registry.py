@@ -325,6 +325,7 @@ def q_s10(spark, sf):
 # ------------------------------------------------------------------ models (rows-only)
 from vitalframe.operators import models as ml  # noqa: E402
 
+from vitalframe.operators import newton  # noqa: E402
 from vitalframe.operators import search  # noqa: E402
 from vitalframe.operators import tree_score as ts  # noqa: E402
 from vitalframe.operators import trees  # noqa: E402
@@ -350,6 +351,22 @@ def q_m8(spark, sf):
     return ml.cv_summary(fs)
 
 
+def _folded(spark, sf):
+    return ml.reliable_checkpoint(sp.kfold(batch.featured(spark, sf), exact=True))
+
+
+@register("M8_logistic_folds_all_rows")
+def q_m8_all(spark, sf):
+    return newton.cross_validate_logistic(_folded(spark, sf), [0.01, 0.1, 1.0, 10.0])
+
+
+@register("M2_logistic_folds_at_optimum")
+def q_m2(spark, sf):
+    folded = _folded(spark, sf)
+    found = newton.gradients(folded, newton.fit_folds(folded, MODEL_FEATURES, [0.1, 1.0]))
+    return found.select("c", "fold", "train_rows", (F.col("worst") < 1e-8).alias("at_optimum"))
+
+
 @register("M12_grid_search")
 def q_m12(spark, sf):
     train = splits(spark, sf).where(F.col("split") == "train")
@@ -752,7 +769,7 @@ ROUNDED = [
     "V1_dataset_info", "V2_missing_values", "V3_duplicates", "V8_V11_quality_report", "V12_column_statistics", "V13_clean_describe",
     "V12_labels_column_statistics", "E1_E2_E4_metrics_by_split", "E2_roc_auc_test", "E5_classification_report_test", "E6_E8_reliability_test",
     "E9_threshold_sweep_test", "E10_evaluation_bundle_test", "E13_train_validation_report", "E12_best_model_test_evaluation",
-    "M6_M7_M10_M11_training_summary", "M8_M9_cross_validation", "M12_grid_search", "M13_M14_random_search", "M17_improvement", "M10_M11_summary_of_fixed_models",
+    "M6_M7_M10_M11_training_summary", "M8_M9_cross_validation", "M8_logistic_folds_all_rows", "M12_grid_search", "M13_M14_random_search", "M17_improvement", "M10_M11_summary_of_fixed_models",
     "M17_improvement_of_fixed_model", "S9_run_log_of_fixed_model", "S8_best_params_of_fixed_model", "V2_missing_with_nan",
 ]
 
