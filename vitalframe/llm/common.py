@@ -1,7 +1,9 @@
 """Helpers shared by the operators of this subpackage.
 
 Every operator first projects its input to the columns it needs, under names of
-its own, so extra or clashing columns of the caller never reach a plan.
+its own, so extra or clashing columns of the caller never reach a plan. Stages,
+which carry all columns of the caller, take names that these do not have
+(``free_names``).
 """
 
 from __future__ import annotations
@@ -48,6 +50,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores added until no column has it (upper and lower case are one)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null, as long."""
     words = F.split(text, GAP)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, small_batches
+from .common import free_names, read_table, small_batches
 
 #: Cells of the trigram table.
 BUCKETS = 1 << 16
@@ -249,6 +249,6 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, least: fl
     Learns from the stage's own documents with a ``lang``; ``lang`` itself is kept as given.
     """
     model = fit(docs, F.col("text"), F.col("lang"))
-    names = ("_lang_pred", "_lang_score", "_lang_spans")
+    names = tuple(free_names(docs.columns, "lang_pred", "lang_score", "lang_spans"))
     found = identify(docs, "text", model, names)
     return found.where((F.col(names[0]) != UNDECIDED) & (F.col(names[1]) >= least)).select(*docs.columns)

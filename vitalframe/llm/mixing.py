@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import bounded, keep, read_table, word_count
+from .common import bounded, free_names, keep, read_table, word_count
 
 #: Distinct membership patterns the driver accepts (an error beyond, never a cut).
 MAX_PATTERNS = 100_000
@@ -195,8 +195,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     key = F.to_json(F.struct("doc_id", "source", word_count(F.col("text")).alias("size")))
     taken, _, _ = mix(docs, F.col("doc_id"), word_count(F.col("text")), F.array("source"), share(), extra=("source",))
-    alike = taken.groupBy(F.to_json(F.struct("doc_id", "source", "size")).alias("_key")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_n")).where("_sum > 0")
-    joined = docs.withColumn("_key", key).join(alike, "_key")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
-    copies = F.floor(F.col("_sum") / F.col("_n")) + F.when(nth <= F.col("_sum") % F.col("_n"), 1).otherwise(0)
-    return joined.withColumn("_copies", copies.cast("int")).where("_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    same, total, rows, times, nth = free_names(docs.columns, "key", "total", "rows", "times", "nth")
+    alike = taken.groupBy(F.to_json(F.struct("doc_id", "source", "size")).alias(same)).agg(F.sum("copies").alias(total), F.count("*").alias(rows)).where(F.col(total) > 0)
+    joined = docs.withColumn(same, key).join(alike, same)
+    place = F.row_number().over(Window.partitionBy(same).orderBy("text"))
+    copies = F.floor(F.col(total) / F.col(rows)) + F.when(place <= F.col(total) % F.col(rows), 1).otherwise(0)
+    return joined.withColumn(times, copies.cast("int")).where(F.col(times) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(nth)).select(*docs.columns)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import MaybeIn, keep, maybe_in, read_table
+from .common import MaybeIn, free_names, keep, maybe_in, read_table
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -259,13 +259,13 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, F.col("doc_id"), F.col("text")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _with_node(batches: Iterator[pa.RecordBatch], text: int, among: MaybeIn) -> Iterator[pa.RecordBatch]:
+def _with_node(batches: Iterator[pa.RecordBatch], text: int, among: MaybeIn, name: str) -> Iterator[pa.RecordBatch]:
     """Rows followed by two places in the filter -> the rows it lets through, with their node."""
     for batch in batches:
         a, b = (batch.column(batch.num_columns - k).to_numpy() for k in (2, 1))
         some = batch.filter(pa.array(among.hits(a, b)))
         node = [_node_of(shingle_set(t)) for t in some.column(text).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*some.columns[:-2], pa.array(node, pa.int64())], names=[*some.schema.names[:-2], "_node"])
+        yield pa.RecordBatch.from_arrays([*some.columns[:-2], pa.array(node, pa.int64())], names=[*some.schema.names[:-2], name])
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -280,10 +280,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     touched = keep(found.join(multi, "component_id").select("doc_id", "node", (F.struct("doc_id", "node") == F.col("best")).alias("stays")), "dedup-touched")
     among = maybe_in(touched.select("doc_id"))
     a, b = among.bits(F.col("doc_id"))
-    part = docs.select("*", a.alias("_a"), b.alias("_b")).mapInArrow(
-        partial(_with_node, text=docs.columns.index("text"), among=among), T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
-    gone = touched.where("not stays").select("doc_id", F.col("node").alias("_node")).distinct()
-    part = part.join(gone, ["doc_id", "_node"], "left_anti")
-    whole = part.where("_node is null or doc_id is null")
-    part = part.where("_node is not null and doc_id is not null").dropDuplicates(["doc_id", "_node"])
+    first, second, node = free_names(docs.columns, "a", "b", "node")
+    part = docs.select("*", a.alias(first), b.alias(second)).mapInArrow(
+        partial(_with_node, text=docs.columns.index("text"), among=among, name=node), T.StructType([*docs.schema.fields, T.StructField(node, T.LongType())]))
+    gone = touched.where("not stays").select("doc_id", F.col("node").alias(node)).distinct()
+    part = part.join(gone, ["doc_id", node], "left_anti")
+    known = F.col(node).isNotNull() & F.col("doc_id").isNotNull()
+    whole = part.where(~known)
+    part = part.where(known).dropDuplicates(["doc_id", node])
     return docs.where(~among(F.col("doc_id"))).unionByName(whole.unionByName(part).select(*docs.columns))

@@ -21,7 +21,8 @@ numbers and secrets a character more, so short formats never run out.
 Only DataFrame functions are used. Only texts with an entity are shuffled.
 
 Defined cases: null and empty texts and texts without an entity stay as they
-are; repeated rows and copies get equal texts; other columns are kept. Only IPv4
+are; repeated rows and copies get equal texts; texts of any length are searched
+whole; other columns are kept, whatever their names. Only IPv4
 addresses, card, social security and IBAN numbers have formats of fixed size (10^9
 values at least); about half of all of one would have to occur before it raises
 (``MAX_ATTEMPTS``).
@@ -32,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, read_table
+from .common import free_names, keep, read_table
 
 #: Attempts after which a format of fixed size is taken to have no free surrogate left.
 MAX_ATTEMPTS = 64
@@ -44,6 +45,9 @@ MALE = ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Fräulein", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Doña", "Госпожа", "г-жа", "Κυρία"]
 EITHER = ["Dr", "Prof", "Doctor", "Professor", "Доктор"]
 
+#: Country calling codes of two digits; those in 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = "20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 _ADDRESS = "(?:" + "|".join(MALE + FEMALE + EITHER) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -54,12 +58,13 @@ PATTERNS = {
     "IP": rf"(?=\d)(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "SSN": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "IBAN": r"(?=[A-Z][A-Z]\d)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "PHONE": r"(?=[+(\d])(?:(?<![\w+(])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+.-])(?:\+?\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]|\.\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d))",
+    "PHONE": r"(?=[+(\d])(?:(?<![\w+(])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+.-])(?:\+?\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]|\.\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\d)?(?:[ .-]?\d{2,4}){2,5}(?!\d))",
     "CARD": r"(?=\d)(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
     "NAME": rf"(?=[MSHDFPГгДΚ])(?<![\p{{L}}\p{{N}}]){_ADDRESS}\.? {_NAME}(?: {_NAME})?",
 }
 #: Looked for only in texts with an at sign, before the others.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+#: A domain has at most 127 labels of 63 characters, as names have: the matcher's stack grows with a repeated group.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,126}\p{L}{2,63}"
 _OTHERS = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _ALL = f"(?:{EMAIL})|{_OTHERS}"
 PATTERNS["EMAIL"] = EMAIL
@@ -103,11 +108,13 @@ def kind_of(entity: Column) -> Column:
 def atoms_of(entity: Column, kind: Column) -> Column:
     """A match of a type as an array of (kind, norm, piece); kind is null for pieces that stay."""
     atom = lambda k, n, p: F.struct(k.cast("string").alias("kind"), n.cast("string").alias("norm"), p.alias("piece"))
-    # the last ten digits of a phone number are the same with and without a country code
     # a labelled secret is its value between what stays
     label = F.regexp_extract(entity, f"^({_LABEL})", 1)
     value = F.when(label != "", F.substr(entity, F.length(label) + 1, F.length(entity) - F.length(label) - 1)).otherwise(entity)
-    national = F.when(F.length(_digits(entity)) > 10, F.substring(_digits(entity), -10, 10)).otherwise(_digits(entity))
+    # a country code stays: the one a plus sign announces, else what stands before ten digits
+    digits = _digits(entity)
+    code = F.when(digits.rlike("^[17]"), 1).when(digits.rlike(f"^(?:{TWO_DIGIT_CODES})"), 2).otherwise(3)
+    national = F.when(entity.contains("+"), F.substr(digits, code + 1, F.length(digits))).when(F.length(digits) > 10, F.substring(digits, -10, 10)).otherwise(digits)
     own = (F.when(kind == "PHONE", national).when(kind.isin("CARD", "SSN"), _digits(entity)).when(kind == "IBAN", F.regexp_replace(entity, " ", ""))
            .when(kind == "EMAIL", F.lower(entity)).otherwise(entity))
     address = F.regexp_extract(entity, rf"^({_ADDRESS}\.? )", 1)
@@ -210,7 +217,9 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     tried = keep(with_surrogate(entities.select("kind", "norm", F.lit(0).alias("attempt")), key), "pii-try")
     # given names of all genders share one space, as do the kinds of their own
     space = F.when(F.col("kind").startswith("GIVEN"), "GIVEN").otherwise(F.col("kind"))
-    real = tried.select(space.alias("space"), F.col("norm").alias("surrogate")).distinct()
+    # a made-up given name is not to be a real surname either, and the other way round
+    spaces = F.when(F.col("kind").startswith("GIVEN") | (F.col("kind") == "SURNAME"), F.array(F.lit("GIVEN"), F.lit("SURNAME"))).otherwise(F.array(space))
+    real = tried.select(F.explode(spaces).alias("space"), F.col("norm").alias("surrogate")).distinct()
     for attempt in range(1, MAX_ATTEMPTS + 1):
         spaced = tried.withColumn("space", space)
         # of those that share a surrogate the earliest assigned, then the least, keeps it
@@ -239,8 +248,14 @@ def _rendered(kind: Column, norm: Column, piece: Column, surrogate: Column) -> C
     return F.when(kind.isin("PHONE", "CARD", "SSN"), F.concat(step, more)).when(kind == "IBAN", grouped).when(kind.startswith("GIVEN") | (kind == "SURNAME"), name).otherwise(surrogate)
 
 
-def replace_entities(df: DataFrame, text: str, key: str) -> DataFrame:
-    """``df`` with surrogates in its ``text``; adds ``_n_entities`` and ``_kinds`` (sorted distinct types)."""
+def replace_entities(df: DataFrame, text: str, key: str, out: tuple[str, str] = ("_n_entities", "_kinds")) -> DataFrame:
+    """``df`` with surrogates in its ``text``; adds the number of entities and their sorted distinct types, under the names ``out``.
+
+    ``df`` must not have columns of these two names; any other names are fine.
+    """
+    if clash := {c.lower() for c in df.columns} & {c.lower() for c in out}:
+        raise ValueError(f"the table has columns {sorted(clash)}")
+    row_key, parts, aliases = free_names([*df.columns, *out], "row_key", "parts", "aliases")
     body, md5 = F.col(text), F.md5(F.col(text))
     pattern = pattern_for(body)
     found = F.regexp_extract_all(body, pattern, F.lit(0))
@@ -255,18 +270,18 @@ def replace_entities(df: DataFrame, text: str, key: str) -> DataFrame:
     filled = atoms.join(table, ["kind", "norm"], "left").withColumn("new", F.when(F.col("kind").isNull(), F.col("piece")).otherwise(_rendered(F.col("kind"), F.col("norm"), F.col("piece"), F.col("surrogate"))))
     is_name = F.col("kind").startswith("GIVEN") | (F.col("kind") == "SURNAME")
     alias = F.struct(F.col("piece").alias("from"), F.col("new").alias("to"))
-    by_text = filled.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_k", "new", "kind"))).alias("_atoms"), F.collect_set(F.when(is_name, alias)).alias("_names"))
-    marked = df.where(has).withColumn("_key", md5).join(by_text, "_key")
+    by_text = filled.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_k", "new", "kind"))).alias(parts), F.collect_set(F.when(is_name, alias)).alias(aliases)).withColumnRenamed("_key", row_key)
+    marked = df.where(has).withColumn(row_key, md5).join(by_text, row_key)
     # gaps and matches alternate
     gaps = F.split(body, pattern, -1)
-    entity = lambda at: F.array_join(F.transform(F.filter("_atoms", lambda a: a["_at"] == at), lambda a: a["new"]), "")
+    entity = lambda at: F.array_join(F.transform(F.filter(parts, lambda a: a["_at"] == at), lambda a: a["new"]), "")
     joined = F.array_join(F.transform(gaps, lambda g, i: F.when(i == 0, g).otherwise(F.concat(entity(i - 1), g))), "")
     # other mentions of the text's names, without a form of address
-    named = F.aggregate(F.array_sort("_names"), joined, lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), p["from"], F.lit(r"(?![\p{L}\p{N}])")), p["to"]))
-    kinds = F.array_sort(F.array_distinct(F.filter(F.transform("_atoms", lambda a: F.when(a["kind"].startswith("GIVEN") | (a["kind"] == "SURNAME"), F.lit("NAME")).otherwise(a["kind"])), lambda k: k.isNotNull())))
+    named = F.aggregate(F.array_sort(aliases), joined, lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), p["from"], F.lit(r"(?![\p{L}\p{N}])")), p["to"]))
+    kinds = F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda a: F.when(a["kind"].startswith("GIVEN") | (a["kind"] == "SURNAME"), F.lit("NAME")).otherwise(a["kind"])), lambda k: k.isNotNull())))
     n = (F.size(gaps) - 1).cast("long")
-    changed = marked.select(*[(F.when(F.size("_names") > 0, named).otherwise(joined)).alias(c) if c == text else F.col(c) for c in df.columns], n.alias("_n_entities"), kinds.alias("_kinds"))
-    same = df.where(~has).select(*df.columns, F.lit(0).cast("long").alias("_n_entities"), F.array().cast("array<string>").alias("_kinds"))
+    changed = marked.select(*[(F.when(F.size(aliases) > 0, named).otherwise(joined)).alias(c) if c == text else F.col(c) for c in df.columns], n.alias(out[0]), kinds.alias(out[1]))
+    same = df.where(~has).select(*df.columns, F.lit(0).cast("long").alias(out[0]), F.array().cast("array<string>").alias(out[1]))
     return same.unionByName(changed)
 
 
@@ -283,7 +298,8 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replaced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with surrogates in their text; ``n_chars`` follows a changed text."""
-    out = replace_entities(docs, "text", QUERY_KEY)
+    found = free_names(docs.columns, "n_entities", "kinds")
+    out = replace_entities(docs, "text", QUERY_KEY, tuple(found))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(found[0]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

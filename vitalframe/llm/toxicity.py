@@ -126,12 +126,11 @@ class CharModel:
     def best(self, noisy: str, drop: bool = True) -> tuple[float, str]:
         """Cost and text of the lattice's best path; without ``drop`` every sign for letters is one."""
         cost = self.cost
-        # state (a, b) -> (cost, text so far)
-        best = {(0, 0): (0.0, "")}
+        # state (a, b) -> (cost, what was put out last with what came before it)
+        best: dict = {(0, 0): (0.0, None)}
+        run, last = 0, ""
         for i, ch in enumerate(noisy):
-            run = 1
-            while i - run >= 0 and noisy[i - run] == ch:
-                run += 1
+            run, last = run + 1 if ch == last else 1, ch
             long_run = run > 2 or (run == 2 and i + 1 < len(noisy) and noisy[i + 1] == ch)
             # (letter or "" to drop or " " to end the word, channel cost)
             if ch.isalpha():
@@ -148,14 +147,25 @@ class CharModel:
                     if out == "":
                         key, total, grown = (a, b), so_far + channel, text
                     elif out == " ":
-                        key, total, grown = (0, 0), so_far + channel + (float(cost[a, b, 0]) if b else 0.0), text + " " if b else text
+                        key, total, grown = (0, 0), so_far + channel + (float(cost[a, b, 0]) if b else 0.0), (text, " ") if b else text
                     else:
                         c = symbol(out)
-                        key, total, grown = (b, c), so_far + channel + float(cost[a, b, c]), text + out
+                        key, total, grown = (b, c), so_far + channel + float(cost[a, b, c]), (text, out)
                     if key not in nxt or total < nxt[key][0]:
                         nxt[key] = (total, grown)
             best = nxt
-        return min((s + (float(cost[a, b, 0]) if b else 0.0), t) for (a, b), (s, t) in best.items())
+        ends = [(s + (float(cost[a, b, 0]) if b else 0.0), t) for (a, b), (s, t) in best.items()]
+        least = min(s for s, _ in ends)
+        return least, min(_written(t) for s, t in ends if s == least)
+
+
+def _written(text: tuple | None) -> str:
+    """The letters of a path, which holds them last first."""
+    out = []
+    while text:
+        text, c = text
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def disguised(token: str) -> bool:
