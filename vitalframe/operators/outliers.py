@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalframe.operators.ordered import exact_quantiles
+from vitalframe.operators.selection import quantiles
 
 OUTLIER_COLUMNS = ["age_years", "height", "weight", "ap_hi", "ap_lo"]
 
@@ -41,14 +41,12 @@ def iqr_bounds(df: DataFrame, columns: list[str] | None = None,
                multiplier: float = IQR_MULTIPLIER) -> dict[str, tuple[float, float]]:
     """D1 fit: exact Q1 / Q3 per column (linear interpolation) -> [Q1 - k IQR, Q3 + k IQR]."""
     cols = columns or [c for c in OUTLIER_COLUMNS if c in df.columns]
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("kv")).select("kv.*")
-    q = exact_quantiles(long, "column", "value", [0.25, 0.75], out_names=["q1", "q3"])
+    value = {c: F.col(c).cast("double") for c in cols}
+    n = df.agg(*[F.count(F.when(~F.isnan(v), v)).alias(c) for c, v in value.items()]).first().asDict()
     out = {}
-    for r in q.collect():  # one row per column
-        iqr = r["q3"] - r["q1"]
-        out[r["column"]] = (r["q1"] - multiplier * iqr, r["q3"] + multiplier * iqr)
+    for c, (q1, q3) in quantiles(df, value, n, [0.25, 0.75])[0].items():
+        if q1 is not None:
+            out[c] = (q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1))
     return out
 
 

@@ -9,13 +9,15 @@ read the DataFrame's schema and launch no job.
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalframe.functions.rounding import half_even
-from vitalframe.operators.ordered import quantiles_from_counts
-from vitalframe.session import checkpoint_root
+from vitalframe.operators import selection
 from vitalframe.schema import (
     CATEGORICAL_DOMAINS,
     DUPLICATE_THRESHOLD,
@@ -205,59 +207,51 @@ def quality_report(df: DataFrame, domains: dict | None = None,
 
 # ----------------------------------------------------------------- V12 - V14
 
-def column_statistics(df: DataFrame, columns: list[str] | None = None,
-                      num_buckets: int | None = None) -> DataFrame:
+def column_statistics(df: DataFrame, columns: list[str] | None = None, distinct: list[str] | None = None) -> DataFrame:
     """describe() per numeric column plus missing and unique counts.
 
-    One pass over the input builds the count per distinct (column, value),
-    nulls included, written once to the checkpoint folder. Everything else
-    reads that reduced table: count, missing, unique, min, max and the mean
-    from weighted sums; the sample std from a second weighted pass around the
-    per-column mean (numerically two-pass); the exact 25/50/75% quantiles
-    (linear interpolation) from distributed prefix sums. Values of integer
-    columns are told apart, counted and compared as integers: ``unique_count``,
+    The numeric columns are held (spillable) while one aggregate takes counts,
+    means and extremes, a second the squares around the means (numerically
+    two-pass), and refined histograms the exact 25/50/75% quantiles (linear
+    interpolation; ``selection.py``). Columns of few values are told by the first
+    histogram; only the others of ``distinct`` (all by default) are grouped by
+    value for ``unique_count``, null where not asked for. Values of integer columns
+    are told apart, counted and compared as integers: ``unique_count``,
     ``min_whole`` and ``max_whole`` (null for other columns) are exact beyond 2 ** 53.
     """
-    cols = columns or [f.name for f in df.schema.fields
-                       if isinstance(f.dataType, T.NumericType)]
+    cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), present(df, c).cast("double").alias("value"),
-                 (F.col(c) if c in whole else F.lit(None)).cast("bigint").alias("whole"))
-        for c in cols])).alias("kv")).select("kv.*")
-    checkpoint_root(df.sparkSession)
-    counts = long.groupBy("column", "value", "whole").agg(F.count(F.lit(1)).alias("_cnt")) \
-        .checkpoint(eager=True)
-    present_ = counts.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.sum("_cnt").alias("_cnt"))
-    v, c = F.col("value"), F.col("_cnt")
-    first = counts.groupBy("column").agg(
-        F.sum(c).alias("_n"),
-        F.sum(F.when(v.isNotNull(), c).otherwise(0)).alias("count"),
-        F.count_if(v.isNotNull()).alias("unique_count"),
-        (F.sum(F.when(v.isNotNull(), v * c)) / F.sum(F.when(v.isNotNull(), c))).alias("mean"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-        F.min("whole").alias("min_whole"), F.max("whole").alias("max_whole"))
-    # One row per column: a bounded broadcast.
-    means = F.broadcast(first.select("column", F.col("mean").alias("_mean")))
-    second = present_.join(means, "column").groupBy("column").agg(
-        F.sum(c * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_ss"))
-    quants = quantiles_from_counts(present_, "column", "value", [0.25, 0.5, 0.75], num_buckets,
-                                   ["p25", "p50", "p75"], materialize=False)
-    out = first.join(second, "column", "left").join(quants, "column", "left")
-    std = F.sqrt(F.try_divide(F.col("_ss"), F.col("count") - 1))
-    return out.select(
-        "column",
-        F.col("count").cast("bigint").alias("count"),
-        F.col("mean").alias("mean"), std.alias("std"),
-        F.col("min").alias("min"), F.col("p25").alias("p25"),
-        F.col("p50").alias("p50"), F.col("p75").alias("p75"),
-        F.col("max").alias("max"),
-        (F.col("_n") - F.col("count")).cast("bigint").alias("missing_count"),
-        half_even(F.try_divide((F.col("_n") - F.col("count")) * 100.0, F.col("_n")), 2)
-        .alias("missing_percent"),
-        F.col("unique_count").cast("bigint").alias("unique_count"),
-        "min_whole", "max_whole",
-    )
+    schema = ("column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double, "
+              "missing bigint, n bigint, unique_count bigint, min_whole bigint, max_whole bigint")
+    slim = df.select(*[present(df, c).alias(f"c{i}") for i, c in enumerate(cols)]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        at = {c: F.col(f"c{i}") for i, c in enumerate(cols)}
+        value = {c: v.cast("double") for c, v in at.items()}
+        first = slim.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(cols) for x in (
+            F.count(at[c]).alias(f"n{i}"), F.avg(value[c]).alias(f"m{i}"), F.min(value[c]).alias(f"a{i}"), F.max(value[c]).alias(f"b{i}"),
+            F.min(at[c].cast("bigint") if c in whole else F.lit(None).cast("bigint")).alias(f"l{i}"), F.max(at[c].cast("bigint") if c in whole else F.lit(None).cast("bigint")).alias(f"h{i}"))]).first()
+        squares = slim.agg(*[F.sum((value[c] - F.lit(first[f"m{i}"])) * (value[c] - F.lit(first[f"m{i}"]))).alias(f"s{i}") for i, c in enumerate(cols)], F.lit(0).alias("_")).first()
+        counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
+        extremes = {c: (first[f"a{i}"], first[f"b{i}"]) for i, c in enumerate(cols)}
+        quarts, found = selection.quantiles(slim, value, counts, [0.25, 0.5, 0.75], extremes)
+        # a histogram tells values apart as doubles
+        exact = {c for i, c in enumerate(cols) if c not in whole or max(abs(first[f"l{i}"] or 0), abs(first[f"h{i}"] or 0)) <= 1 << 53}
+        unique = {c: 0 if not counts[c] else found.distinct[c] for c in cols if not counts[c] or (c in found.distinct and c in exact)}
+        many = [c for c in (cols if distinct is None else distinct) if c not in unique]
+        if many:
+            kept = F.array(*[F.struct(F.lit(cols.index(c)).alias("i"), value[c].alias("value"), (at[c].cast("bigint") if c in whole else F.lit(None).cast("bigint")).alias("whole")) for c in many])
+            long = slim.select(F.explode(kept).alias("kv")).select("kv.*").where("value is not null").distinct()
+            unique.update({cols[r["i"]]: r["k"] for r in long.groupBy("i").agg(F.count("*").alias("k")).collect()})
+    finally:
+        slim.unpersist()
+    rows = []
+    for i, c in enumerate(cols):
+        n, ss = counts[c], squares[f"s{i}"]
+        std = math.sqrt(ss / (n - 1)) if n > 1 and ss is not None else None
+        rows.append((c, n, first[f"m{i}"], std, *extremes[c][:1], *quarts[c], extremes[c][1], first["n"] - n, first["n"], unique.get(c), first[f"l{i}"], first[f"h{i}"]))
+    out = df.sparkSession.createDataFrame(rows, schema)
+    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max", F.col("missing").alias("missing_count"),
+                      half_even(F.try_divide(F.col("missing") * 100.0, F.col("n")), 2).alias("missing_percent"), "unique_count", "min_whole", "max_whole")
 
 
 DISTRIBUTION_COLUMNS = ["cardio", "gender", "cholesterol", "gluc", "smoke", "alco", "active"]
