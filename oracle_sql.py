@@ -927,6 +927,26 @@ SELECT 'run-1' AS run_id, 'linear' AS model, {R6('roc_auc')} AS roc_auc, {D(0.79
 SELECT 'linear' AS model_name, '{"depth": 5}' AS params, roc_auc AS cv_score, accuracy, f1_score FROM m, auc"""
     q["S7_saved_model_scores_agree"] = with_(PATIENTS, CLEAN, FEATURED, SPLIT_CTE) + \
         "SELECT id, CAST(cardio AS INTEGER) AS label, true AS agree FROM splitted WHERE split = 'test'"
+    q["M17_previous_run_as_of"] = """WITH ev AS (SELECT event_id AS run_id, event_type AS model, date_trunc('hour', ts) AS logged_at, value FROM events),
+last AS (SELECT model, logged_at, MAX(run_id) AS previous_run, arg_max(value, run_id) AS previous_value FROM ev WHERE logged_at IS NOT NULL AND value IS NOT NULL GROUP BY ALL)
+SELECT run_id, ev.model AS model, ev.logged_at AS logged_at, """ + R6("value") + " AS value, previous_run, " + R6("previous_value") + " AS previous_value, " + R6("CASE WHEN previous_value <> 0 THEN (value - previous_value) * 100 / previous_value END") + """ AS improvement_pct
+FROM ev ASOF LEFT JOIN last ON ev.model = last.model AND ev.logged_at > last.logged_at"""
+    q["D7_bands_from_a_table"] = BASE + """
+SELECT CASE WHEN bmi < 18.5 THEN 'low' WHEN bmi >= 20 AND bmi < 25 THEN 'mid' WHEN bmi >= 24 AND bmi < 30 THEN 'high' WHEN bmi >= 32.5 THEN 'very high' END AS band,
+ COUNT(*) AS "rows" FROM featured GROUP BY ALL"""
+    at = ", ".join(f"CAST(probability > {D(t)} AS INTEGER) AS p{i}" for i, t in enumerate((0.35, 0.5, 0.65)))
+    q["D9_predictions_at_thresholds"] = EVAL_BASE + f"""SELECT label, {at}, COUNT(*) AS "rows" FROM test GROUP BY ALL"""
+
+    def lacks(table, have):
+        names = sorted(set(FEATS20) - set(have))
+        items = "[" + ", ".join(f"'{n}'" for n in names) + "]" if names else "CAST([] AS VARCHAR[])"
+        return f"""SELECT '{table}' AS "table", {len(names)} AS n_missing, {items} AS missing, COUNT(*) AS "rows" FROM """
+    q["E11_missing_features_of_tables"] = BASE + lacks("raw", RAW_COLS) + "patients UNION ALL " + lacks("cleaned", [*RAW_COLS, "age_years"]) + "clean UNION ALL " + lacks("featured", FEATS20) + "featured"
+    both = pressure.replace("split <> 'test'", "true") + ",\nexam AS (SELECT * FROM two WHERE split = 'test')"
+    q["E12_best_fixed_model_on_test"] = EVAL_BASE.rstrip() + ",\n" + both + ",\n" + _auc_cte("val", "model") + ",\n" + _auc_cte("exam", "model", name="exam_auc") + f""",
+best AS (SELECT arg_min(model, rank) AS model FROM (SELECT model, ROW_NUMBER() OVER (ORDER BY coalesce(roc_auc, 0) DESC, model) AS rank FROM auc))
+SELECT c.model AS model, {_metrics_select()}, {R6(_ratio('tn', 'tn + fp'))} AS specificity, a.roc_auc AS roc_auc
+FROM ({_cc('exam', 'model')}) c JOIN exam_auc a ON a.model = c.model JOIN best b ON b.model = c.model"""
     q["M2_logistic_folds_at_optimum"] = split_queries()["P3_kfold_exact_rows"].replace("SELECT id, fold FROM kf", """
 SELECT c, f.fold AS fold, (SELECT COUNT(*) FROM kf WHERE kf.fold <> f.fold) AS train_rows, true AS at_optimum
 FROM (SELECT DISTINCT fold FROM kf) f, (SELECT CAST(0.1 AS DOUBLE) AS c UNION ALL SELECT CAST(1 AS DOUBLE)) t""")

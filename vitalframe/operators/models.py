@@ -52,6 +52,14 @@ MODEL_CONFIG: dict[str, dict] = {
                 "min_child_weight": 3, "subsample": 0.8, "colsample_bytree": 0.8},
 }
 
+# Settings of the retrain path's baseline (its library's defaults filled in).
+RETRAIN_BASELINE: dict[str, dict] = {
+    "Logistic_Regression": {"C": 1.0, "max_iter": 1000},
+    "Random_Forest": {"n_estimators": 100, "max_depth": 15, "min_samples_split": 2, "min_samples_leaf": 1},
+    "Gradient_Boosting": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5, "min_samples_split": 2, "min_samples_leaf": 1},
+    "XGBoost": {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 5, "min_child_weight": 1, "subsample": 1.0, "colsample_bytree": 1.0},
+}
+
 # Grid of the retrain script: 3 * 3 * 3 * 3 * 2 = 162 combinations, 3-fold.
 RETRAIN_GRID = {
     "n_estimators": [100, 200, 300],
@@ -206,6 +214,9 @@ class ModelBundle:
         )
         spark = SparkSession.getActiveSession()
         meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
+        if meta["model_class"] == "BoostedModel":
+            from vitalframe.operators.tree_score import BoostedBundle
+            return BoostedBundle.of(meta)
         cls = {"LogisticRegressionModel": LogisticRegressionModel,
                "RandomForestClassificationModel": RandomForestClassificationModel,
                "GBTClassificationModel": GBTClassificationModel}[meta["model_class"]]
@@ -492,6 +503,29 @@ def improvement(runs: DataFrame, previous_auc: float = PREVIOUS_MODEL_AUC,
         .alias("improvement_pct"))
 
 
+def previous_runs_as_of(runs: DataFrame, model: str = "model", run_id: str = "run_id", value: str = "value", at: str = "logged_at") -> DataFrame:
+    """M17 as of each run's time: the last strictly earlier run of the same model, and the improvement on it.
+
+    (run_id, model, logged_at, value, previous_run, previous_value, improvement_pct).
+    Runs of one instant do not see each other; of several earlier runs of one
+    instant the greatest run_id counts. A late run takes its place by its own time.
+    Runs without a time or value are no one's previous run and have none. Windows
+    hold one model and day; the days' last runs are carried over by a window of days.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = runs.select(F.col(run_id).alias("run_id"), F.col(model).alias("model"), F.col(at).alias("logged_at"), F.col(value).cast("double").alias("value"), micros.alias("us"))
+    rows = rows.withColumns({"day": F.floor(F.col("us") / F.lit(86_400_000_000.0)), "run": F.when(F.col("us").isNotNull() & F.col("value").isNotNull(), F.struct("us", "run_id", "value"))})
+    days = rows.groupBy("model", "day").agg(F.max("run").alias("last"))
+    before = Window.partitionBy("model").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(F.col("model").alias("m"), F.col("day").alias("d"), F.max("last").over(before).alias("carried"))
+    within = Window.partitionBy("model", "day").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("same_day", F.max("run").over(within)).join(carried, F.col("model").eqNullSafe(F.col("m")) & F.col("day").eqNullSafe(F.col("d")))
+    previous = F.when(F.col("us").isNotNull(), F.coalesce("same_day", "carried"))
+    out = found.select("run_id", "model", "logged_at", "value", previous.alias("p"))
+    return out.select("run_id", "model", "logged_at", "value", F.col("p.run_id").alias("previous_run"), F.col("p.value").alias("previous_value"),
+                      F.try_divide((F.col("value") - F.col("p.value")) * 100, F.col("p.value")).alias("improvement_pct"))
+
+
 def runs_rows(spark: SparkSession, run_id: str, model: str, params: dict,
               metrics: dict[str, float], stage: str) -> DataFrame:
     """S9 rows: one per metric, with the parameters as JSON."""

@@ -10,11 +10,14 @@ join.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import reduce
+from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalframe.operators.ordered import with_bucket
 from vitalframe.operators.selection import quantiles
 
 OUTLIER_COLUMNS = ["age_years", "height", "weight", "ap_hi", "ap_lo"]
@@ -113,3 +116,54 @@ def with_reference_bands(df: DataFrame) -> DataFrame:
         "age_band": band("age_years", AGE_BANDS),
         "bp_band": bp_band(),
     })
+
+
+#: Bands of a caller's table at most.
+MAX_BANDS = 100_000
+
+
+def elementary_bands(bands: list[tuple[str, float | None, float | None]]) -> tuple[list[float], dict[int, str]]:
+    """Sorted bounds, and the band of every stretch between two of them; stretch k begins at bound k - 1.
+
+    The first band of the list wins where bands overlap; a stretch without a band is a gap.
+    """
+    bounds = sorted({float(b) for _, lo, hi in bands for b in (lo, hi) if b is not None})
+    opens: dict[int, list[int]] = {}
+    ends = {}
+    for i, (_, lo, hi) in enumerate(bands):
+        first = 0 if lo is None else bisect_right(bounds, float(lo))
+        ends[i] = len(bounds) + 1 if hi is None else bisect_right(bounds, float(hi))
+        if first < ends[i]:
+            opens.setdefault(first, []).append(i)
+    out, live = {}, []
+    for k in range(len(bounds) + 1):
+        for i in opens.get(k, []):
+            heappush(live, i)
+        while live and ends[live[0]] <= k:
+            heappop(live)
+        if live:
+            out[k] = bands[live[0]][0]
+    return bounds, out
+
+
+def with_band(df: DataFrame, column: str, bands: DataFrame, out: str = "band") -> DataFrame:
+    """D7 with a caller's table ``bands`` (name, low, high; in order of ``rank`` where it has one): low <= x < high.
+
+    A null bound is open, gaps give null, and of overlapping bands the first wins.
+    Bounds are looked up by binary search, then joined by stretch number, so a
+    row meets one band however many there are. Null and NaN have no band.
+    """
+    order = ["rank"] if "rank" in bands.columns else ["low", "high", "name"]
+    rows = bands.orderBy(*[F.col(c).asc_nulls_first() for c in order]).limit(MAX_BANDS + 1).collect()
+    if len(rows) > MAX_BANDS:
+        raise ValueError(f"more than {MAX_BANDS} bands")
+    bounds, stretches = elementary_bands([(r["name"], r["low"], r["high"]) for r in rows])
+    at, name = f"{out}__at", f"{out}__name"
+    value = F.col(column).cast("double")
+    if not bounds:  # no bands, or open ones
+        return df.withColumn(out, F.when(value.isNotNull() & ~F.isnan(value), F.lit(stretches.get(0)).cast("string")))
+    found = with_bucket(df.withColumn(f"{at}_x", F.when(~F.isnan(value), value)), f"{at}_x", bounds, at)
+    table = df.sparkSession.createDataFrame([(float(k), v) for k, v in stretches.items()], f"`{at}` double, `{name}` string")
+    # a missing value has a bucket of its own
+    joined = found.join(F.broadcast(table), at, "left")
+    return joined.select(*[F.col(c) for c in df.columns if c != out], F.col(name).alias(out))

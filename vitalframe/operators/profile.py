@@ -181,17 +181,26 @@ def quality_report(df: DataFrame, domains: dict | None = None,
     passed / (2 + categorical checks) * 100, rounded to 2 places.
     """
     domains = CATEGORICAL_DOMAINS if domains is None else domains
-    miss = missing_values(df).agg(F.max("missing_percentage").alias("value")).select(
-        F.lit("missing_values").alias("check"), F.lit(None).cast("string").alias("column"),
-        F.col("value"), (F.col("value") < MAX_MISSING_PERCENTAGE).alias("passed"))
+    cats = [c for c in domains if c in df.columns]
+    # one read for nulls and domains: categorical columns by value, of the others whether a value is there
+    long = df.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), (present(df, c).cast("double") if c in cats else F.when(present(df, c).isNotNull(), F.lit(0.0))).alias("value")) for c in df.columns])).alias("kv")).select("kv.*")
+    valid = F.lit(False)
+    for c in cats:
+        valid = F.when(F.col("column") == c, F.col("value").isin(*[float(v) for v in domains[c]])).otherwise(valid)
+    bad = ~F.coalesce(valid, F.lit(False)) & (F.col("value").isNotNull() | F.lit(null_is_invalid))
+    per = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows")).groupBy("column").agg(
+        F.try_divide(F.sum(F.when(F.col("value").isNull(), F.col("rows")).otherwise(0)) * 100.0, F.sum("rows")).alias("missing"), F.count_if(bad).cast("double").alias("n_invalid"))
+    none = F.lit(None).cast("string").alias("column")
+    # a row a column: nulls and domains fold into one, so the read is not repeated
+    folded = per.agg(F.max("missing").alias("missing"), F.collect_list(F.when(F.col("column").isin(cats), F.struct("column", "n_invalid"))).alias("cats"))
+    checked = F.transform("cats", lambda c: F.struct(F.lit("categorical").alias("check"), c["column"].alias("column"), c["n_invalid"].alias("value"), (c["n_invalid"] == 0).alias("passed")))
+    missing = F.struct(F.lit("missing_values").alias("check"), none, F.col("missing").alias("value"), (F.col("missing") < MAX_MISSING_PERCENTAGE).alias("passed"))
+    read = folded.select(F.explode(F.concat(F.array(missing), checked)).alias("r")).select("r.*")
     dup = duplicate_stats(df).select(
-        F.lit("duplicates").alias("check"), F.lit(None).cast("string").alias("column"),
-        F.col("duplicate_percentage").alias("value"),
+        F.lit("duplicates").alias("check"), none, F.col("duplicate_percentage").alias("value"),
         (F.col("duplicate_percentage") < DUPLICATE_THRESHOLD * 100).alias("passed"))
-    cat = categorical_checks(df, domains, null_is_invalid).select(
-        F.lit("categorical").alias("check"), "column",
-        F.col("n_invalid").cast("double").alias("value"), "passed")
-    checks = miss.unionByName(dup).unionByName(cat)
+    checks = read.unionByName(dup)
     n_cat = len([c for c in domains if c in df.columns])
     # The check rows (2 + categorical columns) fold into one row, so each
     # source is computed once; the score is added before exploding back.

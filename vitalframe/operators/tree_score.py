@@ -12,10 +12,11 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalframe.functions.rounding import half_even
+from vitalframe.operators import metrics as ev
 from vitalframe.operators.trees import BoostedModel
 from vitalframe.schema import CLASSIFICATION_THRESHOLD
 
@@ -134,6 +135,33 @@ class TreeRiskModel:
         return TreeRiskModel.from_trees(bundle.features, [trees[k] for k in sorted(trees)], link="share" if forest else "logit2", center=scaler.center, scale=scaler.scale, **settings)
 
 
+@dataclass
+class BoostedBundle:
+    """A fitted booster where a ModelBundle is expected: scored by columns, saved as one JSON record."""
+    name: str
+    model: BoostedModel
+    params: dict = field(default_factory=dict)
+
+    @property
+    def features(self) -> list[str]:
+        return self.model.features
+
+    def score(self, df: DataFrame, keep: tuple[str, ...] = ("id",), threshold: float = CLASSIFICATION_THRESHOLD) -> DataFrame:
+        """(keep..., label?, probability, prediction); E11 is checked."""
+        ev.require_features(df.columns, self.features)
+        label = [F.col("cardio").cast("int").alias("label")] if "cardio" in df.columns else []
+        p = TreeRiskModel.from_boosted(self.model).probability()
+        return df.select(*[c for c in keep if c in df.columns], *label, p.alias("probability")).withColumn("prediction", (F.col("probability") > threshold).cast("int"))
+
+    def save(self, path: str) -> None:
+        meta = {"name": self.name, "params": self.params, "model_class": "BoostedModel", "model": asdict(self.model)}
+        SparkSession.getActiveSession().createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+    @staticmethod
+    def of(meta: dict) -> "BoostedBundle":
+        return BoostedBundle(meta["name"], BoostedModel(**meta["model"]), meta["params"])
+
+
 def _split(feature: int, cut: float, low: dict, high: dict) -> dict:
     """A tree of a cut and two smaller trees."""
     out = {"feature": [feature], "cut": [cut], "low": [1], "high": [1 + len(low["value"])], "value": [0.0]}

@@ -143,29 +143,35 @@ def evaluate_saved(spark: SparkSession, model_path: str, splits_path: str, out_r
 
 def retrain(spark: SparkSession, table: DataFrame, out_root: str, names: list[str] | None = None,
             baseline_params: dict[str, dict] | None = None, grid: dict[str, list] | None = None,
-            baseline_folds: int = 5, grid_folds: int = 3, fit_rows: int | None = None, parallelism: int = 4) -> dict:
+            baseline_folds: int = 5, grid_folds: int = 3, fit_rows: int | None = None, parallelism: int | None = None) -> dict:
     """The retrain path as one plan: 80/20 split, baseline CV of the models, grid
     search of the boosting model, refitted winner, test metrics, improvement on
     the previous model, saved model and parameter record with its CV score.
 
-    ``fit_rows`` bounds the labelled rows of the baseline and the grid search
-    (see ``models.fit_rows_sample``); the winner is fitted on all training rows.
+    The baseline has ``models.RETRAIN_BASELINE`` unless told otherwise. ``fit_rows``
+    bounds the labelled rows of the baseline and the grid search (``search.FIT_ROWS``
+    by default); the winner is fitted on all training rows. The searches' ledgers
+    stay under ``out_root``, so a plan that is run again there fits only what is missing.
     """
     import os
 
     from vitalframe.operators import metrics as ev
     from vitalframe.operators import models as ml
+    from vitalframe.operators import search
     from vitalframe.operators.split import train_test_split
+    from vitalframe.operators.tree_score import BoostedBundle
     from vitalframe.sources import io as sio
 
-    p = {k: os.path.join(out_root, k) for k in ("splits", "baseline", "grid", "test_metrics", "runs", "improvement", "best_params", "model")}
+    p = {k: os.path.join(out_root, k) for k in ("splits", "baseline", "baseline_ledger", "grid", "grid_ledger", "test_metrics", "runs", "improvement", "best_params", "model")}
     train_test_split(table).write.mode("overwrite").partitionBy("split").parquet(p["splits"])
     splits_df = spark.read.parquet(p["splits"])
     train, test = (splits_df.where(splits_df["split"] == s).drop("split") for s in ("train", "test"))
-    sample = ml.fit_rows_sample(train, fit_rows, train.count() if fit_rows else 0)
-    ml.cv_summary(ml.cross_validate(sample, names, baseline_folds, baseline_params)).write.mode("overwrite").json(p["baseline"])
-    best, cv_score, points, bundle = ml.grid_search(train, grid, grid_folds, parallelism=parallelism, fit_rows=fit_rows)
+    rows = fit_rows or search.FIT_ROWS
+    baseline = search.cross_validate(train, names, baseline_folds, baseline_params or ml.RETRAIN_BASELINE, fit_rows=rows, ledger=p["baseline_ledger"], parallelism=parallelism)
+    ml.cv_summary(baseline).write.mode("overwrite").json(p["baseline"])
+    best, cv_score, points = search.grid_search(train, grid, grid_folds, fit_rows=rows, ledger=p["grid_ledger"], parallelism=parallelism)
     points.write.mode("overwrite").json(p["grid"])
+    bundle = BoostedBundle("XGBoost", search.refit(train, best), best)
     metrics = ev.basic_metrics(bundle.score(test, keep=("id",)))
     m = metrics.first().asDict()
     metrics.write.mode("overwrite").json(p["test_metrics"])

@@ -7,6 +7,7 @@ driver tables (through the patient view over ``orders``, or ``labels``), so the
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -615,9 +616,9 @@ def q_v12l(spark, sf):
 
 
 # ------------------------------------------------------------------ model tables on fixed-coefficient scores
-def two_models(spark, sf):
-    """Scores of two fixed models over train and validation, as the fitted ones deliver them."""
-    linear = scored_splits(spark, sf).where(F.col("split") != "test").withColumns({"model": F.lit("linear"), "model_order": F.lit(0)})
+def two_models(spark, sf, of=("train", "validation")):
+    """Scores of two fixed models over some splits, as the fitted ones deliver them."""
+    linear = scored_splits(spark, sf).where(F.col("split").isin(*of)).withColumns({"model": F.lit("linear"), "model_order": F.lit(0)})
     pressure = linear.select("id", "label", "split").join(batch.featured(spark, sf).select("id", "ap_hi"), "id")
     p = F.col("ap_hi") / 250.0
     pressure = pressure.select("id", "label", p.alias("probability"), "split", (p > 0.5).cast("int").alias("prediction"),
@@ -682,6 +683,58 @@ def q_m12_folds(spark, sf):
     return _counts(sp.kfold(train, k=3, exact=True), "fold", "cardio")
 
 
+@register("M16_baseline_cross_validation")
+def q_m16(spark, sf):
+    train = sp.train_test_split(batch.featured(spark, sf)).where(F.col("split") == "train")
+    return ml.cv_summary(search.cross_validate(train, k=5, params=ml.RETRAIN_BASELINE, fit_rows=CV_ROWS))
+
+
+@register("M12_M17_retrain_and_evaluate")
+def q_retrain(spark, sf):
+    """The whole retrain path, then the evaluation of the model that it has saved."""
+    done = batch.retrain(spark, batch.featured(spark, sf), scratch_dir(spark, "retrain"))
+    return batch.evaluate_saved(spark, done["paths"]["model"], done["paths"]["splits"], scratch_dir(spark, "evaluate"))
+
+
+@register("M17_previous_run_as_of")
+def q_m17_as_of(spark, sf):
+    """Events stand in for runs: by type, at the hour, so that many share an instant."""
+    runs = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("event_id").alias("run_id"), F.col("event_type").alias("model"), F.date_trunc("hour", "ts").alias("logged_at"), "value")
+    return ml.previous_runs_as_of(runs)
+
+
+@register("D7_bands_from_a_table")
+def q_d7_table(spark, sf):
+    bands = spark.createDataFrame([("low", None, 18.5), ("mid", 20.0, 25.0), ("high", 24.0, 30.0), ("very high", 32.5, None)], "name string, low double, high double")
+    return _counts(ol.with_band(batch.featured(spark, sf), "bmi", bands), "band")
+
+
+@register("D9_predictions_at_thresholds")
+def q_d9(spark, sf):
+    rows = scored_test(spark, sf)
+    at = [replace(sc.DEFAULT_RISK_MODEL, threshold=t).prediction(F.col("probability")).alias(f"p{i}") for i, t in enumerate((0.35, 0.5, 0.65))]
+    return _counts(rows.select("label", *at), "label", "p0", "p1", "p2")
+
+
+@register("E11_missing_features_of_tables")
+def q_e11(spark, sf):
+    """Features that the saved model needs and a table lacks, with the table's rows: raw, cleaned and featured patients."""
+    out = None
+    for name, df in (("raw", batch.raw_patients(spark, sf)), ("cleaned", batch.cleaned(spark, sf)), ("featured", batch.featured(spark, sf))):
+        diff = ev.feature_consistency(MODEL_FEATURES, [c for c in df.columns if c in MODEL_FEATURES])
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), F.lit(len(diff["missing"])).alias("n_missing"), F.array(*map(F.lit, diff["missing"])).cast("array<string>").alias("missing"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("E12_best_fixed_model_on_test")
+def q_e12_fixed(spark, sf):
+    """E12 with fixed models: the best of the summary, evaluated on the test split."""
+    best = ml.select_best(ml.training_summary(ev.basic_metrics(two_models(spark, sf), ["model", "model_order", "split"])))
+    return ev.basic_metrics(two_models(spark, sf, ("test",)).where(F.col("model") == best), ["model"])
+
+
 # ------------------------------------------------------------------ tree models as columns
 @register("K1_tree_model_scoring")
 def q_k1_tree(spark, sf):
@@ -769,7 +822,7 @@ ROUNDED = [
     "V1_dataset_info", "V2_missing_values", "V3_duplicates", "V8_V11_quality_report", "V12_column_statistics", "V13_clean_describe",
     "V12_labels_column_statistics", "E1_E2_E4_metrics_by_split", "E2_roc_auc_test", "E5_classification_report_test", "E6_E8_reliability_test",
     "E9_threshold_sweep_test", "E10_evaluation_bundle_test", "E13_train_validation_report", "E12_best_model_test_evaluation",
-    "M6_M7_M10_M11_training_summary", "M8_M9_cross_validation", "M8_logistic_folds_all_rows", "M12_grid_search", "M13_M14_random_search", "M17_improvement", "M10_M11_summary_of_fixed_models",
+    "M6_M7_M10_M11_training_summary", "M8_M9_cross_validation", "M8_logistic_folds_all_rows", "M16_baseline_cross_validation", "M12_M17_retrain_and_evaluate", "M17_previous_run_as_of", "E12_best_fixed_model_on_test", "M12_grid_search", "M13_M14_random_search", "M17_improvement", "M10_M11_summary_of_fixed_models",
     "M17_improvement_of_fixed_model", "S9_run_log_of_fixed_model", "S8_best_params_of_fixed_model", "V2_missing_with_nan",
 ]
 
