@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .bpe_tree import op5_bpe_tree
 from .embedding_dedup import op9_embedding_dedup
 from .fingerprints import op7_fingerprints
@@ -32,4 +33,9 @@ QUERIES = {
     "op13_packing": op13_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": oracles.NEAR_DUPLICATES,
+    "op9_embedding_dedup": oracles.EMBEDDINGS,
+    "op11_spelling_variants": oracles.SPELLING,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
+}
