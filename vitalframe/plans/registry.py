@@ -390,7 +390,7 @@ def q_m18(spark, sf):
 
 @register("E12_best_model_test_evaluation")
 def q_e12(spark, sf):
-    s = splits(spark, sf)
+    s = ml.reliable_checkpoint(splits(spark, sf))  # read by the fit and by the scoring
     b = ml.fit_bundle("Logistic_Regression", s.where(F.col("split") == "train"))
     scored = b.score(s.where(F.col("split") == "test"), keep=("id",))
     return ev.basic_metrics(scored)
