@@ -73,3 +73,30 @@ def test_stage_keeps_one_of_each_component(spark):
     want = {i for i, r in brute([(r.doc_id, r.text) for r in real.collect()]).items() if r[2]}
     out = nd.keep_one(spark, real, SF)
     assert out.columns == real.columns and sorted(r.doc_id for r in out.collect()) == sorted(want)
+
+
+def test_documents_of_shared_passages_make_few_block_pairs(spark, monkeypatch):
+    """Three passages a document: lists are long, no hub collides often enough, and hardly anything links."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
+    passages = [" ".join(word() for _ in range(40)) for _ in range(14)]
+    counted = {}
+
+    def run(n):
+        texts = [" ".join(rnd.sample(passages, 3)) for _ in range(n)]
+        rows = list(enumerate(texts))
+        kept = nd.keep
+
+        def watch(df, name):
+            out = kept(df, name)
+            if name == "dedup-pairs":
+                counted[n] = out.count()
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(nd, "keep", watch)
+            assert got(nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id"), F.col("text"))) == brute(rows)
+
+    run(150)
+    run(300)
+    assert counted[300] < 3000 and counted[300] < 3.5 * counted[150]

@@ -1,6 +1,7 @@
 """Sharding, mixing, language, toxicity and surrogates: brute force, properties and odd rows."""
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -142,6 +143,15 @@ def test_flow_is_maximal_at_least_cost(patterns, quotas):
         assert sum(flow[p, s] for s in p) == passes[0][p] + passes[1][p] and passes[0][p] <= patterns[p] >= passes[1][p]
 
 
+def test_many_single_sources_are_routed_directly():
+    patterns = {(f"s{i}",): 100 + i % 7 for i in range(20_000)} | {("s0", "s1"): 500}
+    quotas = {f"s{i}": 150 for i in range(20_000)}
+    began = time.time()
+    flow, passes = mixing.route(patterns, quotas)
+    assert time.time() - began < 20 and sum(flow.values()) == 150 * 20_000
+    assert all(0 <= passes[k][p] <= n for k in (0, 1) for p, n in patterns.items())
+
+
 def test_overlapping_sources(spark):
     rows = [(i, 10, ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else ["b", "c", None]) for i in range(90)]
     df = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>")

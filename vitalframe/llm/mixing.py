@@ -68,13 +68,22 @@ def route(patterns: dict, quotas: dict, costs: tuple = PASS_COSTS) -> tuple[dict
     paths in the residual network that the passes before it left.
     """
     flow = {(p, s): 0 for p in patterns for s in p}
-    members = {s: [p for p in patterns if s in p] for s in quotas}
+    members: dict = {s: [] for s in quotas}
+    for p in patterns:
+        for s in p:
+            members[s].append(p)
     free = {s: int(q) for s, q in quotas.items()}
     passes = []
     for _ in sorted(costs):
         room = dict(patterns)
+        for p in patterns:  # a pattern of one source has one way to go
+            if len(p) == 1:
+                amount = min(room[p], free[p[0]])
+                flow[p, p[0]] += amount
+                room[p] -= amount
+                free[p[0]] -= amount
         while True:
-            came = {("pattern", p): None for p in room if room[p] > 0}
+            came = {("pattern", p): None for p in room if room[p] > 0} if any(free.values()) else {}
             todo, end = deque(came), None
             while todo and end is None:
                 kind, x = node = todo.popleft()

@@ -16,8 +16,8 @@ and every document has many such pairs in a group of copies.
   hash) only, and of its hubs the ``HUBS`` it collides with most are confirmed
   on full sets. That joins most of a group of copies at linear cost.
 * Second round, for what the first has not joined: nodes are packed into blocks
-  (by component, or by hub), lists become lists of blocks, and each distinct
-  pair of blocks is one task's work: collisions of all its pairs across
+  (by component, others by the longest of their lists), lists become lists of
+  blocks, and each distinct pair of blocks is one task's work: collisions of all its pairs across
   components are counted as one numpy product, and pairs that reach MATCHES and
   are not yet joined within the task are confirmed on full sets.
 
@@ -215,9 +215,12 @@ def near_duplicates(df: DataFrame, doc_id: Column, text: Column) -> DataFrame:
 
     # second round: blocks of nodes, pairs of blocks that share a list
     one = active.join(comp, "node", "left")
-    least = star.groupBy("node").agg(F.min(F.struct("h", "hub")).alias("least")).select("node", F.col("least.hub").alias("hub"))
-    grouped = one.join(least, "node", "left").join(nodes.select("node", "n"), "node")
-    grouped = grouped.select("node", "n", F.coalesce("component", "node").alias("comp"), F.col("component").isNotNull().alias("joined"), F.coalesce("component", "hub", "node").alias("cluster"))
+    # nodes of one long list share blocks: alone, or by their hubs, they would be its square in pairs
+    theirs = lists.join(one.where("component is null"), "node", "left_semi")
+    often = theirs.groupBy("token").agg(F.count("*").alias("k"))
+    longest = theirs.join(often, "token").groupBy("node").agg(F.max(F.struct("k", "token")).alias("longest")).select("node", F.col("longest.token").alias("list"))
+    grouped = one.join(longest, "node", "left").join(nodes.select("node", "n"), "node")
+    grouped = grouped.select("node", "n", F.coalesce("component", "node").alias("comp"), F.col("component").isNotNull().alias("joined"), F.coalesce("component", "list", "node").alias("cluster"))
     count = grouped.groupBy("cluster", "joined").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("parts"))
     block = F.struct("cluster", "joined", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int").alias("part"))
     placed = keep(grouped.join(count, ["cluster", "joined"]).select("node", "comp", block.alias("block")), "dedup-placed")
