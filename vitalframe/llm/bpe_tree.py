@@ -34,7 +34,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, small_batches
+from .encoders import MEMORY
 
+#: Pre-tokens a worker remembers in the pipeline: workers live on into the next stages, which need the room.
+STAGE_MEMORY = 100_000
 #: Characters of a leaf.
 LEAF = 32_768
 #: Characters of the first window on each side of a join.
@@ -112,12 +115,12 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _whole(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+def _whole(batches: Iterator[pa.RecordBatch], vocabulary: str, memory: int) -> Iterator[pa.RecordBatch]:
     """Short texts: (doc, ids)."""
     from .encoders import encoder
     from .encoders import vocabulary as find
 
-    enc = encoder(find(vocabulary))
+    enc = encoder(find(vocabulary), memory)
     for batch in _slices(batches):
         yield pa.record_batch([*batch.columns[:-1], pa.array([enc.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())],
                               names=[*batch.schema.names[:-1], "ids"])
@@ -150,15 +153,16 @@ def _tree(pdf: pd.DataFrame, vocabulary: str) -> pd.DataFrame:
     return pd.DataFrame({"row": [pdf["row"].iloc[0]], "ids": [array("I", concatenate(tok, parts).ids).tobytes()]})
 
 
-def encode(df: DataFrame, doc_id: Column, text: Column, vocabulary: str = "word_bpe_49k.json", leaf: int = LEAF) -> DataFrame:
+def encode(df: DataFrame, doc_id: Column, text: Column, vocabulary: str = "word_bpe_49k.json", leaf: int = LEAF, memory: int = MEMORY) -> DataFrame:
     """(doc_id, ids) of every row; ids as little-endian unsigned 32-bit integers.
 
-    ``leaf`` only moves work between tasks; any value gives the same ids.
+    ``leaf`` only moves work between tasks, and ``memory`` (pre-tokens that a
+    worker remembers) only saves some of it; any values give the same ids.
     """
     small_batches(df.sparkSession)
     body = F.coalesce(text, F.lit(""))
     rows = df.select(doc_id.cast("long").alias("doc_id"), body.alias("text"))
-    short = rows.where(F.length("text") <= leaf).mapInArrow(partial(_whole, vocabulary=vocabulary), "doc_id long, ids binary")
+    short = rows.where(F.length("text") <= leaf).mapInArrow(partial(_whole, vocabulary=vocabulary, memory=memory), "doc_id long, ids binary")
     long = rows.where(F.length("text") > leaf).withColumn("row", F.struct("doc_id", F.monotonically_increasing_id().alias("n")))
     count = F.ceil(F.length("text") / F.lit(leaf)).cast("int")
     pieces = long.select(F.to_json("row").alias("row"), F.explode(F.sequence(F.lit(0), count - 1)).alias("k"), "text")
@@ -224,4 +228,4 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: (doc_id, n_tokens, ids) of every document."""
-    return encode(docs, F.col("doc_id"), F.col("text")).select("doc_id", "ids").mapInArrow(_lists, "doc_id long, n_tokens long, ids array<int>")
+    return encode(docs, F.col("doc_id"), F.col("text"), memory=STAGE_MEMORY).select("doc_id", "ids").mapInArrow(_lists, "doc_id long, n_tokens long, ids array<int>")
