@@ -39,6 +39,13 @@ HEADLINE = [
     "P3_kfold_exact_counts",
     "V15_raw_expectations",
     "K20_streaming_scoring",
+    "V13_clean_describe",
+    "D1_iqr_outlier_filter",
+    "K1_tree_model_scoring",
+    "K1_boosted_columns_agree",
+    "M2_logistic_folds_at_optimum",
+    "M12_grid_search",
+    "M17_previous_run_as_of",
 ]
 
 

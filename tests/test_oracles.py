@@ -1,6 +1,8 @@
 """Every registered query with an oracle matches DuckDB at sf0.001 (fast subset of the gate)."""
 
+import glob
 import math
+import os
 
 import duckdb
 import pytest
@@ -31,8 +33,8 @@ def _rows(cols, recs):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("orders", "labels", "events"):
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    for path in sorted(glob.glob(f"{SF}/*.parquet")):
+        c.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
     return c
 
 
