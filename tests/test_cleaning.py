@@ -85,3 +85,9 @@ def test_gender_and_label_codes(spark):
     lab = spark.createDataFrame([("High (>= 240 mg/dL)",), ("nope",)], "c string")
     assert [r[0] for r in lab.select(C.label_code("c", C.CHOLESTEROL_LABELS)).collect()] == [3, None]
     assert spark.range(1).select(F.lit("Yes").alias("x")).select(C.yes_no_code("x")).first()[0] == 1
+
+
+def test_filters_of_later_stages_do_not_repeat_the_source_formulas(spark):
+    from vitalframe.plans import batch
+    plan = batch.cleaned(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FLOOR(o_totalprice") == 1

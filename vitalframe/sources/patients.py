@@ -53,10 +53,12 @@ def patients_from_orders(orders: DataFrame) -> DataFrame:
          + F.floor(F.col("o_totalprice")).cast("bigint") % 9973).alias("h"),
     )
     # Every 150th order appears twice: one scan, a bounded explode (1 or 2 rows
-    # per order) instead of a second scan of orders for the copies.
-    copies = F.when(F.col("id") % 150 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    both = keyed.select("*", F.explode(copies).alias("_copy"))
-    out = both.select(*_patient_columns(F.col("id"), F.col("h")))
+    # per order) instead of a second scan of orders for the copies. The whole row
+    # is exploded, so filters of later stages read its finished columns: moved below
+    # them they would repeat every formula, in a method too large for the JVM to compile.
+    row = F.struct(*_patient_columns(F.col("id"), F.col("h")))
+    copies = F.when(F.col("id") % 150 == 0, F.lit(2)).otherwise(F.lit(1))
+    out = keyed.select(F.explode(F.array_repeat(row, copies)).alias("row")).select("row.*")
     return out.select(*RAW_COLUMNS)
 
 
