@@ -64,17 +64,20 @@ class TreeRiskModel:
 
         if not self.roots:
             return F.lit(float(self.start))
-        x = F.array(*[input_of(c) for c in self.features])
         feature, cut, low, high = constant(self.feature, "int"), constant(self.cut, "double"), constant(self.low, "int"), constant(self.high, "int")
-
-        def step(node: Column, _: Column) -> Column:
-            goes_low = F.coalesce(x[feature[node]] <= cut[node], F.lit(self.missing_low))
-            return F.when(low[node] < 0, node).when(goes_low, low[node]).otherwise(high[node])
-
         levels = F.sequence(F.lit(1), F.lit(self.depth()))
         value = constant(self.value, "double")
-        leaf = (lambda root: F.aggregate(levels, root, step)) if self.depth() else (lambda root: root)
-        return F.aggregate(constant(self.roots, "int"), F.lit(float(self.start)), lambda total, root: total + value[leaf(root)])
+
+        def total(x: Column) -> Column:
+            def step(node: Column, _: Column) -> Column:
+                goes_low = F.coalesce(x[feature[node]] <= cut[node], F.lit(self.missing_low))
+                return F.when(low[node] < 0, node).when(goes_low, low[node]).otherwise(high[node])
+
+            leaf = (lambda root: F.aggregate(levels, root, step)) if self.depth() else (lambda root: root)
+            return F.aggregate(constant(self.roots, "int"), F.lit(float(self.start)), lambda so_far, root: so_far + value[leaf(root)])
+
+        # bound as a variable, the inputs are made once a row, not once a step of every tree
+        return F.transform(F.array(F.array(*[input_of(c) for c in self.features])), total)[0]
 
     def probability(self) -> Column:
         m = self.margin()
