@@ -99,6 +99,55 @@ def test_blocks_give_the_same_trees(spark, monkeypatch, p):
     assert tr.BoostedModel.from_json(whole.to_json()) == whole
 
 
+def test_a_round_takes_one_job_a_level(spark, monkeypatch):
+    x, y = data()
+    df = table(spark, x, y).cache()
+    monkeypatch.setattr(tr, "BLOCK_ROWS", 37)
+
+    def jobs(rounds):
+        group = f"fit-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        tr.fit_boosted(df, NAMES, tr.TreeParams("xgb", rounds, 3, 0.1, l2=0.5))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    jobs(1)
+    assert jobs(7) - jobs(3) <= 4 * 3
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_shared_codes_give_the_sums_of_a_level():
+    rng = np.random.default_rng(3)
+    sizes = [32, 3, 2, 7, 4, 30]
+    bins = np.stack([rng.integers(0, n, 500) for n in sizes], 1).astype(np.uint8)
+    y, key, margin = rng.integers(0, 2, 500).astype(float), np.arange(500), rng.normal(size=500)
+    p = tr.TreeParams("xgb", 2, 4, 0.3, rows=0.8, columns=0.67)
+    groups = tr.packs(sizes, 64)
+    assert sorted(f for g in groups for f in g) == list(range(6)) and len(groups) < 6
+    row = {"n": 500, "bins": bins.tobytes(), "y": y.tobytes(), "key": key.tobytes(), "margin": margin.tobytes()}
+    growth = tr.Growth([p], np.array([0]), 0, 6)
+    more = True
+    while more:
+        shared = type("Shared", (), {"value": (growth, groups, sizes, tr.BINS)})
+        got = next(tr._level(tr._held([row], p, groups, sizes), shared))
+        w = tr._weights(p, key, 0, np.ones(500, bool))
+        g, h = tr._gradients(p, margin, y, w)
+        slot = np.full(len(growth.trees.feature), -1)
+        slot[growth.open] = np.arange(len(growth.open))
+        at = slot[tr.descend(growth.trees.arrays(), bins, np.full((1, 500), growth.roots[0]))[0]]
+        take = np.flatnonzero((at >= 0) & (w > 0))
+        want = tr.level_sums(bins, take, at[take], growth.chosen, g[take], h[take], w[take])
+        assert got == pytest.approx(want, abs=1e-12)
+        more = growth.split(got)
+
+
+def test_columns_make_a_rows_inputs_once(spark):
+    tree = {"feature": [0, 0, 0], "cut": [1.0, 0.0, 0.0], "low": [1, -1, -1], "high": [2, -1, -1], "value": [0.0, -1.0, 1.0]}
+    m = TreeRiskModel.from_trees(["a"], [tree, tree])
+    plan = spark.range(3).select(F.col("id").cast("double").alias("a")).select(m.probability().alias("p"))._jdf.queryExecution().analyzed().toString()
+    # the inputs are the argument of the outer function, outside every tree's walk
+    assert "transform(array(array(" in plan
+
+
 def test_limits_and_odd_tables(spark):
     x, y = data()
     flat = tr.fit_boosted(table(spark, x, y), NAMES, tr.TreeParams("xgb", 2, 4, gain=1e6))
