@@ -129,6 +129,18 @@ def test_fit_input_does_not_follow_the_cluster(splits):
     assert a.rdd.glom().map(lambda x: [tuple(r) for r in x]).collect() == b.rdd.glom().map(lambda x: [tuple(r) for r in x]).collect()
 
 
+def test_models_of_a_summary_share_one_input(splits, monkeypatch):
+    """The rows are dealt out once for all models, and each model is the one that is fitted alone."""
+    dealt, whole = [], ml.fit_input
+    monkeypatch.setattr(ml, "fit_input", lambda *a, **k: dealt.append(1) or whole(*a, **k))
+    small = {"Random_Forest": {"n_estimators": 3, "max_depth": 3}, "XGBoost": {"n_estimators": 3, "max_depth": 3}}
+    bundles, _ = ml.train_and_evaluate(splits, names=list(small), params=small)
+    assert len(dealt) == 1
+    for name, b in bundles.items():
+        alone = ml.fit_bundle(name, splits.where(F.col("split") == "train"), params=small[name])
+        assert alone.scaler == b.scaler and alone.model.toDebugString.split("\n", 1)[1] == b.model.toDebugString.split("\n", 1)[1]
+
+
 def test_unsupported_parameters_raise():
     with pytest.raises(ValueError, match="30"):
         ml.build_estimator("Random_Forest", {"max_depth": 31})
