@@ -141,6 +141,16 @@ def test_models_of_a_summary_share_one_input(splits, monkeypatch):
         assert alone.scaler == b.scaler and alone.model.toDebugString.split("\n", 1)[1] == b.model.toDebugString.split("\n", 1)[1]
 
 
+def test_agreement_writes_only_what_it_reads(spark, monkeypatch):
+    from vitalframe.plans import registry
+    from vitalframe.schema import MODEL_FEATURES
+    written, whole = [], ml.reliable_checkpoint
+    monkeypatch.setattr(ml, "reliable_checkpoint", lambda df: written.append(df.columns) or whole(df))
+    got = registry.QUERIES["K1_forest_columns_agree"](spark, "/root/testdata/sf0.001")
+    assert written == [["id", "split", "cardio", *MODEL_FEATURES]]
+    assert got.columns == ["id", "label", "agree"] and got.where("not agree").isEmpty()
+
+
 def test_unsupported_parameters_raise():
     with pytest.raises(ValueError, match="30"):
         ml.build_estimator("Random_Forest", {"max_depth": 31})

@@ -760,7 +760,7 @@ def _agreement(scored, again, label="cardio"):
 
 @register("K1_forest_columns_agree")
 def q_k1_forest_agree(spark, sf):
-    s = ml.reliable_checkpoint(splits(spark, sf))
+    s = ml.reliable_checkpoint(ml.fit_columns(splits(spark, sf)))
     b = ml.fit_bundle("Random_Forest", s.where(F.col("split") == "train"), params={"n_estimators": 20, "max_depth": 8})
     test = s.where(F.col("split") == "test")
     return _agreement(b.score(test, keep=("id",)), test.select("id", ts.TreeRiskModel.from_spark(b).probability().alias("p")))
