@@ -58,6 +58,21 @@ def test_encode_and_digest(spark):
     assert bpe_tree.digest(bpe_tree.encode(df.where("false"), F.col("doc_id"), F.col("text"))).count() == 0
 
 
+def test_lists_come_from_the_step_that_encodes(spark):
+    df = rows(spark)
+    got = bpe_tree.encode(df, F.col("doc_id"), F.col("text"), leaf=64, lists=True)
+    assert got.dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids", "array<int>")]
+    tok = encoder(vocabulary("word_bpe_49k.json")).tok
+    want = [(r.doc_id, len(ids), ids) for r in df.collect() for ids in [tok.encode(r.text or "", add_special_tokens=False).ids]]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_bpe_stage_has_one_python_step_a_task(spark):
+    # short texts, pieces of long ones, joins of pieces: a second step after any of them keeps a second worker a core
+    plan = bpe_tree.encoded(spark, rows(spark), SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("FlatMapGroupsInPandas") == 1
+
+
 def test_op5_against_library(spark):
     got = {r.doc_id: r for r in bpe_tree.op5_bpe_tree(spark, SF).collect()}
     docs = read_table(spark, SF, "documents").collect()

@@ -115,6 +115,21 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ids as bytes -> number and list of ids."""
+    for batch in batches:
+        raw = batch.column(1).to_pylist()
+        at = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum([len(r) // 4 for r in raw], out=at[1:])
+        ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+        yield pa.record_batch([batch.column(0), pa.array(np.diff(at).astype(np.int64)), ids], names=["doc_id", "n_tokens", "ids"])
+
+
+def _whole_listed(batches: Iterator[pa.RecordBatch], vocabulary: str, memory: int) -> Iterator[pa.RecordBatch]:
+    """Short texts: (doc, n_tokens, ids as a list)."""
+    return _listed(_whole(batches, vocabulary, memory))
+
+
 def _whole(batches: Iterator[pa.RecordBatch], vocabulary: str, memory: int) -> Iterator[pa.RecordBatch]:
     """Short texts: (doc, ids)."""
     from .encoders import encoder
@@ -126,12 +141,12 @@ def _whole(batches: Iterator[pa.RecordBatch], vocabulary: str, memory: int) -> I
                               names=[*batch.schema.names[:-1], "ids"])
 
 
-def _leaf(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+def _leaf(batches: Iterator[pa.RecordBatch], vocabulary: str, memory: int) -> Iterator[pa.RecordBatch]:
     """Pieces of long texts: ids and places beside the piece's text."""
     from .encoders import encoder
     from .encoders import vocabulary as find
 
-    tok = encoder(find(vocabulary)).tok
+    tok = encoder(find(vocabulary), memory).tok  # the one that short texts use
     for batch in batches:
         for k in range(batch.num_rows):
             part = Part.of(tok, batch.column(2)[k].as_py())
@@ -140,37 +155,43 @@ def _leaf(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.Rec
                                   names=["row", "k", "text", "ids", "spans"])
 
 
-def _tree(pdf: pd.DataFrame, vocabulary: str) -> pd.DataFrame:
-    """All pieces of one text -> its ids."""
+def _tree(pdf: pd.DataFrame, vocabulary: str, memory: int, lists: bool) -> pd.DataFrame:
+    """All pieces of one text -> its ids, as bytes or as their number and list."""
     from .encoders import encoder
     from .encoders import vocabulary as find
 
-    tok = encoder(find(vocabulary)).tok
+    tok = encoder(find(vocabulary), memory).tok
     parts = []
     for t, i, s in pdf.sort_values("k")[["text", "ids", "spans"]].itertuples(index=False):
         flat = array("I", s).tolist()
         parts.append(Part(t, array("I", i).tolist(), list(zip(flat[::2], flat[1::2]))))
-    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "ids": [array("I", concatenate(tok, parts).ids).tobytes()]})
+    row, ids = pdf["row"].iloc[0], concatenate(tok, parts).ids
+    if lists:
+        return pd.DataFrame({"row": [row], "n_tokens": [len(ids)], "ids": [np.array(ids, np.int32)]})
+    return pd.DataFrame({"row": [row], "ids": [array("I", ids).tobytes()]})
 
 
-def encode(df: DataFrame, doc_id: Column, text: Column, vocabulary: str = "word_bpe_49k.json", leaf: int = LEAF, memory: int = MEMORY) -> DataFrame:
+def encode(df: DataFrame, doc_id: Column, text: Column, vocabulary: str = "word_bpe_49k.json", leaf: int = LEAF, memory: int = MEMORY, lists: bool = False) -> DataFrame:
     """(doc_id, ids) of every row; ids as little-endian unsigned 32-bit integers.
 
+    With ``lists``, (doc_id, n_tokens, ids) with ids as an array. The step that
+    encodes makes it: a Python step of its own would keep a second worker a core.
     ``leaf`` only moves work between tasks, and ``memory`` (pre-tokens that a
     worker remembers) only saves some of it; any values give the same ids.
     """
     small_batches(df.sparkSession)
+    found = "n_tokens long, ids array<int>" if lists else "ids binary"
     body = F.coalesce(text, F.lit(""))
     rows = df.select(doc_id.cast("long").alias("doc_id"), body.alias("text"))
-    short = rows.where(F.length("text") <= leaf).mapInArrow(partial(_whole, vocabulary=vocabulary, memory=memory), "doc_id long, ids binary")
+    short = rows.where(F.length("text") <= leaf).mapInArrow(partial(_whole_listed if lists else _whole, vocabulary=vocabulary, memory=memory), f"doc_id long, {found}")
     long = rows.where(F.length("text") > leaf).withColumn("row", F.struct("doc_id", F.monotonically_increasing_id().alias("n")))
     count = F.ceil(F.length("text") / F.lit(leaf)).cast("int")
     pieces = long.select(F.to_json("row").alias("row"), F.explode(F.sequence(F.lit(0), count - 1)).alias("k"), "text")
     pieces = pieces.select("row", "k", F.expr(f"substring(text, k * {leaf} + 1, {leaf})").alias("text"))
     # spread the pieces, whichever rows they come from, before the work on them
-    leaves = pieces.repartition("row", "k").mapInArrow(partial(_leaf, vocabulary=vocabulary), "row string, k int, text string, ids binary, spans binary")
-    joined = leaves.groupBy("row").applyInPandas(partial(_tree, vocabulary=vocabulary), "row string, ids binary")
-    return short.unionByName(joined.select(F.get_json_object("row", "$.doc_id").cast("long").alias("doc_id"), "ids"))
+    leaves = pieces.repartition("row", "k").mapInArrow(partial(_leaf, vocabulary=vocabulary, memory=memory), "row string, k int, text string, ids binary, spans binary")
+    joined = leaves.groupBy("row").applyInPandas(partial(_tree, vocabulary=vocabulary, memory=memory, lists=lists), f"row string, {found}")
+    return short.unionByName(joined.select(F.get_json_object("row", "$.doc_id").cast("long").alias("doc_id"), *joined.columns[1:]))
 
 
 def _decode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
@@ -216,16 +237,6 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(encode(docs, F.col("doc_id"), F.col("text")))
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ids as bytes -> number and list of ids."""
-    for batch in _slices(batches):
-        raw = batch.column(1).to_pylist()
-        at = np.zeros(len(raw) + 1, np.int32)
-        np.cumsum([len(r) // 4 for r in raw], out=at[1:])
-        ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-        yield pa.record_batch([batch.column(0), pa.array(np.diff(at).astype(np.int64)), ids], names=["doc_id", "n_tokens", "ids"])
-
-
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: (doc_id, n_tokens, ids) of every document."""
-    return encode(docs, F.col("doc_id"), F.col("text"), memory=STAGE_MEMORY).select("doc_id", "ids").mapInArrow(_lists, "doc_id long, n_tokens long, ids array<int>")
+    return encode(docs, F.col("doc_id"), F.col("text"), memory=STAGE_MEMORY, lists=True)
